@@ -24,8 +24,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(read_table(spark, sf_dir, "documents")).drop("tkey")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_sharding, op8_simhash)}
+    return {f.__name__: f for f in (op6_sharding, op8_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
