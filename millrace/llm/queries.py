@@ -17,6 +17,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan
+
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    base = {rule.name: f"filter(spans, s -> s.kind = '{rule.name}')" for rule in secret_scan.BASE}
+    known = ", ".join(f"'{name}'" for name in base)
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.begin, ':', s.end)), ',')"
+    return found.select(
+        "doc_id",
+        *[F.expr(f"cast(size({spans}) as bigint)").alias(f"n_{name}") for name, spans in base.items()],
+        F.sha2(F.expr(joined.format(f"filter(spans, s -> s.kind in ({known}))")).cast("binary"), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -31,7 +46,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_sharding, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_secrets, op6_sharding, op8_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
