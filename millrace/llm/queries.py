@@ -32,6 +32,37 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("tkey")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM b, unnest(range(1, len(w) - 3)) AS r(i)),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, CAST(n_item AS INTEGER) AS n_item, CAST(n_shared AS DOUBLE) / n_item AS containment
+FROM p JOIN n USING (item_id) WHERE n_shared >= ceil(round(n_item * 0.8, 6))
+"""
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    return substring_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mpeg_audio
+
+    read = mpeg_audio.probe(mpeg_audio.store_texts(read_table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_us")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -46,8 +77,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op6_sharding, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_substrings, op5_mpeg_audio, op6_sharding, op8_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL}
