@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,12 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Columns of plain objects, which Arrow converts to the declared types whatever their length."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, columns, strict=True)})
+
+
 def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, keyed, materialize, text_key
+from .common import frame, fresh, keyed, materialize, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -83,7 +83,7 @@ def _shared(wanted: dict[int, set[str]]):
                     n = len(own) if k == SHINGLE else n
                     found += own & theirs
                 rows.append((n, found))
-            yield pd.DataFrame(rows, columns=_HITS.names)
+            yield frame(rows, _HITS.names)
 
     return shared
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed
+from .common import frame, keyed
 
 # Fixed values of the format (ISO/IEC 11172-3, 13818-3): kbit/s and Hz by header index.
 BITRATES = {3: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), 0: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
@@ -253,7 +253,7 @@ def _probe(streams: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD_TO:]), len(data), hashlib.sha256(data).hexdigest())
                 + (feature(media), duration_us(media), [f.offset for f in media.frames])
             )
-        yield pd.DataFrame(rows, columns=_PROBE.names)
+        yield frame(rows, _PROBE.names)
 
 
 def probe(stored: DataFrame) -> DataFrame:

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -56,6 +62,12 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_score
+
+    return lm_score.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mpeg_audio
 
@@ -76,8 +88,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).drop("tkey")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.classify(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_substrings, op5_mpeg_audio, op6_sharding, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_substrings, op4_pitman_yor, op5_mpeg_audio, op6_sharding, op7_toxicity, op8_simhash, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed, materialize
+from .common import frame, keyed, materialize
 
 SPAN_WORDS = 20
 LONE_WORDS = 40
@@ -105,7 +105,7 @@ def remove(text: str, repeated: set[int]) -> tuple[int, int, str, str]:
 def _remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, repeated in batches:
         rows = [remove(t, set() if r is None else set(r)) for t, r in zip(texts, repeated, strict=True)]
-        yield pd.DataFrame(rows, columns=_CUT.names)
+        yield frame(rows, _CUT.names)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
