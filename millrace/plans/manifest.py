@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sha256
+from ..functions.text import hash_list_sha256, sha256
 
 
 def source_summary(records: DataFrame, retained: DataFrame) -> DataFrame:
@@ -21,21 +21,31 @@ def source_summary(records: DataFrame, retained: DataFrame) -> DataFrame:
 BLOCK = 10_000
 
 
+def _ordered(index: str, hash_: str):
+    return F.transform(F.array_sort(F.collect_list(F.struct(index, hash_))), lambda s: s[hash_])
+
+
 def content_checksum(hashed: DataFrame, hash_: str = "record_sha256", index: str = "input_index") -> DataFrame:
-    """One row: the digest of all hashes in order of their index, exactly as of one list of them.  Small datasets only.
+    """One row: the digest of all hashes in order of their index, exactly as of one list of them.
 
-    A digest of one list is one task's work by its nature; tree_checksum scales.
+    A digest of one list is one task's work by its nature: it is for a released dataset of bounded size, such as a
+    frozen split; tree_checksum and block_checksums scale.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(index, hash_))), lambda s: s[hash_])
-    text = F.concat(F.lit('["'), F.array_join(ordered, '","'), F.lit('"]'))
-    return hashed.agg(F.count("*").alias("n"), sha256(text).alias("sha256"))
+    return hashed.agg(F.count("*").alias("n"), hash_list_sha256(_ordered(index, hash_)).alias("sha256"))
+
+
+def block_checksums(hashed: DataFrame, hash_: str = "record_sha256", index: str = "input_index") -> DataFrame:
+    """The digest of the list of hashes of each block of BLOCK indexes, in order."""
+    blocks = hashed.groupBy(F.floor(F.col(index) / BLOCK).alias("block"))
+    return blocks.agg(F.count("*").alias("n"), hash_list_sha256(_ordered(index, hash_)).alias("sha256"))
 
 
 def tree_checksum(hashed: DataFrame, hash_: str = "record_sha256", index: str = "input_index") -> DataFrame:
     """One row: the digest of the digests of blocks of BLOCK indexes, in order; a task holds one block."""
-    ordered = lambda i, h: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(i, h))), lambda s: s[h]), ",")
-    blocks = hashed.groupBy(F.floor(F.col(index) / BLOCK).alias("block")).agg(F.count("*").alias("rows"), sha256(ordered(index, hash_)).alias("digest"))
-    return blocks.agg(F.sum("rows").alias("n"), sha256(ordered("block", "digest")).alias("sha256"))
+    blocks = hashed.groupBy(F.floor(F.col(index) / BLOCK).alias("block")).agg(
+        F.count("*").alias("rows"), sha256(F.array_join(_ordered(index, hash_), ",")).alias("digest")
+    )
+    return blocks.agg(F.sum("rows").alias("n"), sha256(F.array_join(_ordered("block", "digest"), ",")).alias("sha256"))
 
 
 def manifest(counts: DataFrame, sources: DataFrame, checksum: DataFrame, contamination: str, seed: int, fraction: float) -> dict:
