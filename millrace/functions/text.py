@@ -233,3 +233,30 @@ def truncate_utf8(text: Column, most: int, marker: str) -> Column:
     whole = F.when(~step(0), room).when(~step(1), room - 1).when(~step(2), room - 2).otherwise(room - 3)
     cut = F.concat(F.substring(octets, F.lit(1), whole).cast("string"), F.lit(marker))
     return F.when(F.octet_length(text) <= most, text).otherwise(cut)
+
+
+# --- metadata and trainer shapes -------------------------------------------------------------------------
+
+
+def metadata_int(metadata: Column, key: str) -> Column:
+    """struct(value, problem) of an integer that the metadata must hold."""
+    raw = F.try_element_at(metadata, F.lit(key))
+    value = F.when(raw.rlike(r"^-?\d{1,18}$"), raw.try_cast("long"))
+    return F.struct(value.alias("value"), F.when(raw.isNull(), f"{key} is missing").when(value.isNull(), f"{key} is no integer").alias("problem"))
+
+
+def metadata_update(metadata: Column, changes: dict[str, Column]) -> Column:
+    """metadata with keys set; a null value takes the key out."""
+    flat = [x for k, v in changes.items() for x in (F.lit(k), v.cast("string"))]
+    kept = F.map_filter(metadata, lambda k, _: ~k.isin(list(changes)))
+    return F.map_filter(F.map_concat(kept, F.create_map(*flat)), lambda _, v: v.isNotNull())
+
+
+def metadata_sorted(metadata: Column) -> Column:
+    return F.array_sort(F.map_entries(metadata))
+
+
+def prompt_completion(messages: Column) -> Column:
+    """struct(prompt, completion): all messages but the last, and the last."""
+    history = F.slice(messages, 1, F.greatest(F.size(messages) - 1, F.lit(0)))
+    return F.struct(history.alias("prompt"), F.slice(messages, -1, 1).alias("completion"))

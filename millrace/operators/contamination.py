@@ -88,3 +88,27 @@ def cross_partition_collisions(entries: DataFrame) -> DataFrame:
     left = keyed.select("k", F.col("entry_id").alias("left_id"), F.col("role").alias("left_role"))
     right = keyed.select("k", F.col("entry_id").alias("right_id"), F.col("role").alias("right_role"))
     return left.join(right, "k").where("left_id < right_id and left_role <> right_role").select("left_id", "left_role", "right_id", "right_role").distinct()
+
+
+def admission(entries: DataFrame, findings: DataFrame | None, key: str = "entry_id") -> DataFrame:
+    """entries with admitted: only a check that ran and found nothing about an entry admits it."""
+    if findings is None:
+        return entries.withColumn("admitted", F.lit(False))
+    named = findings.select(F.col(key)).distinct().withColumn("_found", F.lit(True))
+    return entries.join(named, key, "left").withColumn("admitted", F.col("_found").isNull()).drop("_found")
+
+
+ROLES = ("train", "development", "qualification", "author_few_shot")
+
+
+def environment_findings(entries: DataFrame, references: DataFrame) -> DataFrame:
+    """Findings about environment entries (entry_id, role, text): benchmark collisions, then leaks between roles.
+
+    A role outside ROLES is a finding of its own.
+    """
+    parts = entries.select(F.col("entry_id").alias("component_id"), "text")
+    hits = component_collisions(parts, references).select(F.col("component_id").alias("entry_id"), F.concat(F.lit("benchmark_"), F.col("match")).alias("finding_type"), F.col("reference_id").cast("string").alias("other_id"))
+    pairs = cross_partition_collisions(entries)
+    sides = [pairs.select(F.col(f"{a}_id").alias("entry_id"), F.lit("cross_partition").alias("finding_type"), F.col(f"{b}_id").cast("string").alias("other_id")) for a, b in (("left", "right"), ("right", "left"))]
+    odd = entries.where(~F.col("role").isin(*ROLES)).select("entry_id", F.lit("unknown_role").alias("finding_type"), F.lit(None).cast("string").alias("other_id"))
+    return hits.unionByName(sides[0]).unionByName(sides[1]).unionByName(odd).distinct()

@@ -224,3 +224,40 @@ def outcome_category(status: Column, passed: Column, total: Column) -> Column:
         F.when(status == "timeout", "timeout").when(status.isin("harness_error", "not_started"), "harness").when(status == "syntax_error", "syntax")
         .when((status == "ok") & (passed == total), "none").when(status == "ok", "assertion").otherwise("runtime")
     )
+
+
+def promotion_gates(policy: dict) -> dict[str, Column]:
+    """The eight checks of an adapter's promotion.
+
+    policy: combined (least passed, total), suites {name: (passed, total)}, general (least passed, total, most
+    regressions), cross_conclusion, languages {name: (least passed, total)}, contamination, load_required.
+    """
+    passed, total = policy["combined"]
+    least, cases, regressions = policy["general"]
+    cross = F.col("cross_language_conclusion") == policy["cross_conclusion"]
+    for name, (n, of) in policy["languages"].items():
+        cross = cross & (F.col(f"{name}_total") == of) & (F.col(f"{name}_passed") >= n)
+    return {
+        "combined_gain": (F.col("combined_total") == total) & (F.col("combined_passed") >= passed),
+        **preservation_gates(policy["suites"]),
+        "general_tool_preservation": (F.col("general_total") == cases) & (F.col("general_passed") >= least) & (F.col("general_regressions") <= regressions),
+        "cross_language_preservation": cross,
+        "contamination_evidence": F.col("contamination_status") == policy["contamination"],
+        "adapter_load_validation": F.col("load_validated") | F.lit(not policy["load_required"]),
+    }
+
+
+def superiority_gates(*, margin: int, alpha: float, most_regression_rate: float) -> dict[str, Column]:
+    """For a row of paired_effect(): a teacher is better by enough tasks, beyond chance, and loses few."""
+    return {
+        "net_improvement": F.col("net_improvement") >= margin,
+        "significance": F.col("adjusted_p_value") <= alpha,
+        "regression_rate": F.try_divide("regressions", "total_tasks") <= most_regression_rate,
+        "improvements_exceed_regressions": F.col("improvements") > F.col("regressions"),
+    }
+
+
+def target_gate(partitions: DataFrame, required: int) -> DataFrame:
+    """Development and qualification passes together against the number required."""
+    out = partitions.agg(F.sum("passed").alias("passed"), F.sum("total").alias("total"))
+    return out.withColumns({"required": F.lit(required), "met": F.col("passed") >= required})

@@ -121,3 +121,11 @@ def stratified_sample(fingerprinted: DataFrame, *, count: int, seed: int, keys:
     # ranges that begin past the quota are dropped before they are ordered
     kept = rows.join(wanted.where("_start < quota"), [*keys, "_range"]).withColumn("_place", place)
     return kept.where(F.col("_start") + F.col("_place") <= F.col("quota")).drop("_range", "_start", "_place", "size", "quota")
+
+
+def naive_split(rows: DataFrame, *, fraction: float, seed: int, key: str = "input_index") -> DataFrame:
+    """rows with partition by a seeded order of single rows, whatever their prompts; exact sizes."""
+    target = validation_target(rows.count(), fraction)
+    order = sha256(F.concat_ws("\0", F.lit(str(seed)), F.col(key).cast("string")))
+    out = running_total(rows, order, F.lit(1), "_place")
+    return out.withColumn("partition", F.when(F.col("_place") <= target, "validation").otherwise("train")).drop("_place")

@@ -598,6 +598,140 @@ def q_stream_resume(spark, sf):
     return resume.ingested(spark, folder).groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
+# --- further operators -----------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id END AS value, CASE WHEN event_id % 3 = 0 THEN 'n is no integer' END AS problem, '1' AS added FROM events")
+def q_metadata(spark, sf):
+    value = F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("user_id").cast("string"))
+    rows = table(spark, sf, "events").select("event_id", F.create_map(F.lit("n"), value, F.lit("gone"), F.lit("y")).alias("m"))
+    changed = rows.withColumn("m2", text.metadata_update(F.col("m"), {"added": F.lit("1"), "gone": F.lit(None)}))
+    out = changed.select("event_id", text.metadata_int(F.col("m2"), "n").alias("n"), F.element_at("m2", "added").alias("added"))
+    return out.select("event_id", "n.value", "n.problem", "added")
+
+
+@query("SELECT conv_id AS input_index, count(*) - 1 AS prompt_messages, max_by(role, turn) AS completion_role FROM conversations GROUP BY conv_id")
+def q_prompt_completion(spark, sf):
+    out = convs(spark, sf).select("input_index", text.prompt_completion(F.col("messages")).alias("p"))
+    return out.select("input_index", F.size("p.prompt").cast("long").alias("prompt_messages"), F.col("p.completion")[0]["role"].alias("completion_role"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN strlen(text) <= 40 THEN strlen(text) END AS whole_bytes, strlen(text) > 40 AS cut FROM conversations")
+def q_truncate_utf8(spark, sf):
+    t = text.truncate_utf8(F.col("text"), 40, "...")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.octet_length("text").alias("n"), F.octet_length(t).alias("m"), F.endswith(t, F.lit("...")).alias("e"))
+    return rows.select("conv_id", "turn", F.when(F.col("n") <= 40, F.col("m")).cast("long").alias("whole_bytes"), ((F.col("n") > 40) & (F.col("m") <= 40) & F.col("e")).alias("cut"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'ok' WHEN event_id % 4 = 1 THEN 'unknown_tool' WHEN event_id % 4 = 2 THEN 'arguments' ELSE 'bad_json' END AS status FROM events")
+def q_tool_calls(spark, sf):
+    k = F.col("event_id") % 4
+    call = F.when(k == 3, "{").otherwise(F.concat(F.lit('{"name":"'), F.when(k == 1, "fly").otherwise("run"), F.lit('","arguments":'), F.when(k == 2, "{}").otherwise('{"cmd":"ls"}'), F.lit("}")))
+    return table(spark, sf, "events").select("event_id", code.parse_tool_call(call, {"run": ["cmd"]})["status"].alias("status"))
+
+
+@query("""SELECT event_type AS suite, CASE WHEN event_id % 5 = 0 THEN 'timeout' WHEN event_id % 5 = 1 THEN 'harness' WHEN event_id % 5 = 2 THEN 'syntax' WHEN event_id % 2 = 0 THEN 'none' ELSE 'assertion' END AS category,
+count(*) AS n FROM events GROUP BY 1, 2""")
+def q_outcome_categories(spark, sf):
+    k = F.col("event_id") % 5
+    status = F.when(k == 0, "timeout").when(k == 1, "harness_error").when(k == 2, "syntax_error").otherwise("ok")
+    stderr = F.concat(F.lit("OK 1\nOK 1\n"), F.when(F.col("event_id") % 2 == 0, "OK 2\n").otherwise("no 2\n"))
+    category = evaluation.outcome_category(status, evaluation.marked_passes(stderr, "OK ", F.lit(2)), F.lit(2))
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("suite"), category.alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS item_id, o_orderstatus, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def q_subset_join(spark, sf):
+    from .operators import joins
+
+    part = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("item_id"), "o_orderstatus")
+    return joins.subset_join(part, table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("item_id", "o_orderstatus", "c_mktsegment")
+
+
+@query("""SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN 'in_no_part' ELSE 'in_several_parts' END AS problem FROM documents
+WHERE lang IN ('de', 'es') OR (lang = 'fr' AND source = 'src0')""")
+def q_set_partition(spark, sf):
+    from .operators import joins
+
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    parts = {"a": rows.where("lang = 'en' or (lang = 'fr' and source = 'src0')"), "b": rows.where("lang = 'fr'")}
+    return joins.partition_violations(rows, parts, "doc_id")
+
+
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('11' || chr(0) || CAST(doc_id AS VARCHAR))) AS p FROM documents)
+SELECT doc_id AS input_index, CASE WHEN p <= (SELECT greatest(1, least(count(*) - 1, CAST(round_even(count(*) * 0.1, 0) AS BIGINT))) FROM documents) THEN 'validation' ELSE 'train' END AS partition FROM o""")
+def q_naive_split(spark, sf):
+    return split.naive_split(docs(spark, sf).select("input_index"), fraction=0.1, seed=11)
+
+
+@query("SELECT DISTINCT source AS dataset_id FROM documents WHERE source IN ('src1', 'src2')")
+def q_source_guard(spark, sf):
+    from .operators import joins
+
+    selectors = table(spark, sf, "documents").select(F.col("source").alias("dataset_id")).distinct()
+    return joins.guarded_sources(selectors, spark.createDataFrame([("src1",), ("src2",), ("hidden",)], "dataset_id string"))
+
+
+@query("""WITH e AS (SELECT doc_id, lang, text FROM documents), x AS (SELECT DISTINCT l.doc_id FROM e l JOIN e r ON l.text = r.text AND l.lang <> r.lang) SELECT doc_id AS entry_id, doc_id NOT IN (SELECT doc_id FROM x) AS admitted FROM e""")
+def q_admission(spark, sf):
+    entries = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.col("lang").alias("role"), "text")
+    pairs = contamination.cross_partition_collisions(entries)
+    found = pairs.select(F.col("left_id").alias("entry_id")).unionAll(pairs.select(F.col("right_id").alias("entry_id")))
+    return contamination.admission(entries.select("entry_id"), found)
+
+
+@query()
+def q_environment_findings(spark, sf):
+    role = F.when(F.col("doc_id") % 2 == 0, "development").otherwise("train")
+    entries = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), role.alias("role"), "text")
+    return contamination.environment_findings(entries, table(spark, sf, "benchmark").select(F.col("item_id").alias("reference_id"), "text"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, strlen(text) AS n FROM conversations), s AS (SELECT conv_id, sum(n) AS n, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS a FROM t GROUP BY conv_id)
+SELECT conv_id AS session_id, CAST(n AS BIGINT) AS n_input, CAST(a AS BIGINT) AS n_action, CAST(a AS BIGINT) AS n_masked, CAST(NULL AS VARCHAR) AS problem FROM s""")
+def q_alignment(spark, sf):
+    """Conversations as rollouts whose tokens are the texts' bytes; each token of the assistant has log-probability -1."""
+    ids = F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: i)
+    own = F.col("role") == "assistant"
+    none = F.array().cast("array<int>")
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), F.when(own, none).otherwise(ids).alias("appended_ids"), F.when(own, ids).otherwise(none).alias("output_ids"))
+    out = trajectory.align(rows.withColumn("log_probs", F.transform("output_ids", lambda _: F.lit(-1.0))))
+    return out.select("session_id", F.size("input_ids").cast("long").alias("n_input"), F.size("action_ids").cast("long").alias("n_action"), F.size(F.filter("action_mask", lambda m: m)).cast("long").alias("n_masked"), "problem")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT conv_id AS session_id, turn AS turn_index, true AS prefix_ok, CASE WHEN turn <> i THEN 'turn_gap' END AS problem FROM t""")
+def q_ledger(spark, sf):
+    """Every turn's prompt is all turns before it and its own number; its output is one token."""
+    place = F.col("turn_index").cast("int")
+    ids = F.flatten(F.transform(F.sequence(F.lit(0), place), lambda i: F.when(i < place, F.array(i, i + 1000)).otherwise(F.array(i))))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index")).select("session_id", "turn_index", ids.alias("prompt_ids"), F.array(place + 1000).alias("output_ids"))
+    return trajectory.ledger(rows).select("session_id", "turn_index", "prefix_ok", "problem")
+
+
+@query(_FINISHED + """, k AS (SELECT d.*, x.text FROM d JOIN documents x USING (doc_id)) SELECT count(*) AS input, count(*) FILTER (fr <> 'stop') AS not_stopped, count(*) FILTER (fr = 'stop' AND quality <> 1) AS quality,
+count(DISTINCT text) FILTER (fr = 'stop' AND quality = 1) AS retained FROM k""")
+def q_finalize(spark, sf):
+    from .plans import finalize
+
+    marks = _finished(spark, sf).select(F.col("doc_id").alias("input_index"), "finish_reason", "quality_passed")
+    done = finalize.finalize(docs(spark, sf).join(marks, "input_index"), None, most=1 << 30, fraction=None)
+    counts = done.prefiltered.agg(F.count("*").alias("input"), F.count_if(F.col("prefilter_reason") == "not_stopped").alias("not_stopped"), F.count_if(F.col("prefilter_reason") == "quality").alias("quality"))
+    return counts.join(F.broadcast(done.stages.retained.agg(F.count("*").alias("retained"))))
+
+
+@query(_PAIRED + """, g AS (SELECT count(*) AS t, count(*) FILTER (b) AS b, count(*) FILTER (c) AS c FROM p)
+SELECT id AS check_id, ok AS passed FROM g, (VALUES ('combined_gain', 1), ('python_preservation', 2), ('general_tool_preservation', 3), ('cross_language_preservation', 4), ('contamination_evidence', 5), ('adapter_load_validation', 6)) v(id, n),
+LATERAL (SELECT CASE n WHEN 1 THEN c >= b WHEN 2 THEN c >= 1 WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN false ELSE true END AS ok)""")
+def q_promotion_policy(spark, sf):
+    c = evaluation.suite_comparison(outcomes(spark, sf)).where("suite = 'all'").first()
+    e = outcomes(spark, sf).agg(F.count("*").alias("combined_total"), F.count_if("candidate_passed").alias("combined_passed"))
+    e = e.withColumns({"python_total": F.col("combined_total"), "python_passed": F.col("combined_passed"), "general_total": F.lit(12), "general_passed": F.lit(2), "general_regressions": F.lit(0),
+                       "cross_language_conclusion": F.lit("inconclusive"), "ts_total": F.lit(3), "ts_passed": F.lit(3), "contamination_status": F.lit("not_run"), "load_validated": F.lit(True)})
+    policy = {"combined": (c.base_passed, c.total), "suites": {"python": (1, c.total)}, "general": (2, 12, 0), "cross_conclusion": "none", "languages": {"ts": (1, 3)}, "contamination": "clean", "load_required": True}
+    return evaluation.gate(e, evaluation.promotion_gates(policy))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline's stage counts, the flagship."""
     return pipeline.stage_counts(pipeline.prepare(docs(spark, sf), least=40, protected=None, fraction=None))
