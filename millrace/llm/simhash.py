@@ -110,7 +110,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, fp, component_id for every row.
+    """doc_id, tkey, fp, part, component_id for every row; part: the component's smallest fingerprint, as its name.
 
     component_id is the smallest doc_id reachable over links of 2 or fewer differing bits, the
     document's own included; null where all of them are null.  Texts without words have fingerprint 0 and
@@ -123,8 +123,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = each.join(parts, each["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     named = materialize(named, "parts")
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "part").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(ids, rows["fp"] == ids["_fp"]).select("doc_id", "tkey", "fp", "component_id")
+    ids = named.join(least, "part").select(F.col("fp").alias("_fp"), "part", "component_id")
+    return rows.join(ids, rows["fp"] == ids["_fp"]).select("doc_id", "tkey", "fp", "part", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     texts under the smallest doc_id the one with the smallest hash stays.  All columns are kept.
     """
     found = near_duplicates(docs)
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("k"))
+    kept = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("doc_id"), F.col("k.tkey").alias("tkey"))
     own_id, own_key = fresh(docs, "_mr_id"), fresh(docs, "_mr_key")
     own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_key: text_key()})

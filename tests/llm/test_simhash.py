@@ -86,6 +86,8 @@ def test_one_of_each_keeps_columns(spark):
     out = simhash.one_of_each(df)
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+    nameless = spark.createDataFrame([(None, "a b c d", "x", None), (None, "a b c d", "y", None), (None, "q r s", "z", None)], SCHEMA)
+    assert sorted(r.text for r in simhash.one_of_each(nameless).collect()) == ["a b c d", "q r s"]
 
 
 def test_components_of_long_paths_and_hubs(spark):
