@@ -47,8 +47,8 @@ def leakage_safe_split(retained: DataFrame, *, fraction: float, seed: int, order
     the target, under it on a tie.  order: "native" sorts by a salted hash; "compat" shuffles the sorted prompts with
     Python's generator, on the driver, for splits that must equal ones made so.
     """
-    groups = prompt_groups(retained)
-    total = retained.count()
+    groups = prompt_groups(retained).persist()  # a hash and a count each; read three times
+    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     target = validation_target(total, fraction)
     if order == "compat":
         prompts = [r[0] for r in groups.select("prompt_sha256").orderBy("prompt_sha256").collect()]
