@@ -139,6 +139,9 @@ _CLAUSE = re.compile(r"[^.!?;:\n]+")
 _WORD = re.compile(r"\w+(?:'\w+)?")
 
 
+HEAD = 4
+
+
 class Lexicon:
     """Words to classes.  stems: learned insults; one that ends in "$" is a whole word."""
 
@@ -146,9 +149,11 @@ class Lexicon:
         self.words = {w: c for ws, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)) for w in ws}
         self.words |= {s[:-1]: INSULT for s in stems if s.endswith("$")}
         self.stems = frozenset(s for s in stems if not s.endswith("$"))
-        whole = [re.escape(w) for w, c in self.words.items() if c in (INSULT, THREAT)]
-        starts = [re.escape(s) for s in sorted(self.stems)]
-        self.trigger = re.compile(r"\b(?:" + "|".join([rf"(?:{'|'.join(whole)})\b", *starts]) + ")")
+        #: first letters of all that can make a clause match
+        self.heads = frozenset(w[:HEAD] for w in [*self.stems, *(w for w, c in self.words.items() if c in (INSULT, THREAT))])
+
+    def touches(self, low: str) -> bool:
+        return not self.heads.isdisjoint([w[:HEAD] for w in set(_WORD.findall(low))])
 
     def read(self, word: str) -> str:
         found = self.words.get(word)
@@ -164,13 +169,14 @@ FEATURES = 3 + len(MARKS)
 def features(text: str, lexicon: Lexicon, machine: Transducer) -> list[float]:
     """What the clauses of a text match, a clause at a time; all zero if none matches."""
     low = text.lower()
-    if not lexicon.trigger.search(low):
+    if not lexicon.touches(low):
         return [0.0] * FEATURES
     total = most = 0.0
     marks: Counter[str] = Counter()
     for clause in _CLAUSE.finditer(low):
-        if lexicon.trigger.search(clause[0]):
-            written, weight = machine.run([lexicon.read(w) for w in _WORD.findall(clause[0])])
+        classes = [lexicon.read(w) for w in _WORD.findall(clause[0])]
+        if INSULT in classes or THREAT in classes:
+            written, weight = machine.run(classes)
             marks.update(m for m in written if m in MARKS)
             total, most = total + weight, max(most, weight)
     return [float(total > 0), math.log1p(total), most, *(float(marks[m] > 0) for m in MARKS)]
