@@ -27,8 +27,9 @@ from .common import keyed
 FIT_ROWS = 20_000
 #: Stems are tried at these lengths, and as whole words.
 STEM_LENGTHS = (4, 5, 6)
-LEAST_ODDS = 3.0
-LEAST_DOCS = 3
+#: The 95 % lower bound of a stem's log odds, and its least share of the toxic documents and number of them.
+LEAST_ODDS = 1.5
+LEAST_SHARE, LEAST_DOCS = 0.01, 3
 MOST_STEMS = 2_000
 
 # Seed lexicon of the grammar.
@@ -209,18 +210,24 @@ def _count_stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_stems(labelled: DataFrame) -> list[str]:
-    """Stems whose documents are toxic far more often than others (log odds of LEAST_ODDS or more).
+    """Stems whose documents are toxic surely and far more often than others.
 
-    labelled: text, toxic (0 or 1).  A stem that begins with another one of them is left out.
+    labelled: text, toxic (0 or 1).  Of stems that begin alike the one that says it most exactly
+    stays, or else the shortest.
     """
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     counts = labelled.mapInPandas(_count_stems, _COUNTED).groupBy("stem").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
     log = lambda a, b: F.log((F.col(a) + 0.5) / (F.lit(b) - F.col(a) + 0.5))
-    picked = counts.where(F.col("p") >= max(LEAST_DOCS, bad // 500)).withColumn("odds", log("p", bad) - log("n", good))
+    picked = counts.where(F.col("p") >= max(LEAST_DOCS, int(bad * LEAST_SHARE)))
+    spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
+    picked = picked.withColumn("odds", log("p", bad) - log("n", good) - 1.96 * spread)
     rows = picked.where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.log1p("p")), "stem").limit(MOST_STEMS).collect()
+    docs = {r["stem"]: r["p"] for r in rows}
+    # a longer stem that nearly all the documents of a shorter one have says it more exactly
+    closer = {s[:n] for s, p in docs.items() for n in STEM_LENGTHS if n < len(s) and s[:n] in docs and p >= 0.9 * docs[s[:n]]}
     kept: set[str] = set()
-    for stem in sorted((r["stem"] for r in rows), key=lambda s: (len(s.rstrip("$")), s)):
+    for stem in sorted(docs.keys() - closer, key=lambda s: (len(s.rstrip("$")), s)):
         if not any(stem[:n] in kept for n in STEM_LENGTHS):
             kept.add(stem)
     return sorted(kept)
