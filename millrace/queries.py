@@ -244,11 +244,11 @@ def q_split_leakage_check(spark, sf):
     return counts.join(F.broadcast(split.leaks(rows).agg(F.count("*").alias("leaks"))))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderpriority, ('0x' || substr(sha256(concat_ws(chr(0), 'p9', o_orderpriority, CAST(o_orderkey AS VARCHAR))), 1, 16))::UBIGINT % 10 AS r FROM orders)
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority, ('0x' || substr(sha256(concat_ws(chr(0), 'dev', o_orderpriority, CAST(o_orderkey AS VARCHAR))), 1, 16))::UBIGINT % 10 AS r FROM orders)
 SELECT CAST(o_orderkey AS VARCHAR) AS task_id, CAST(r AS INTEGER) AS remainder, CASE WHEN r IN (0, 1, 2) AND o_orderpriority <> '1-URGENT' THEN 'development' ELSE 'qualification' END AS partition FROM o""")
 def q_hash_partition(spark, sf):
     tasks = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("suite"), F.col("o_orderkey").cast("string").alias("task_id"))
-    return split.hash_partition(tasks, salt="p9", modulus=10, development=[0, 1, 2], qualification_only=["1-URGENT"]).select("task_id", "remainder", "partition")
+    return split.hash_partition(tasks, salt="dev", modulus=10, development=[0, 1, 2], qualification_only=["1-URGENT"]).select("task_id", "remainder", "partition")
 
 
 @query("SELECT p_partkey, sha256('salt:' || CAST(p_partkey AS VARCHAR)) AS rank_sha256 FROM part ORDER BY 2 LIMIT 100")
@@ -303,10 +303,10 @@ def q_contam_summary(spark, sf):
     return found.groupBy("checker_id", "finding_type").agg(F.count("*").alias("findings"), F.count_distinct("training_record_sha256").alias("records"))
 
 
-@query("SELECT 'mbpp' AS benchmark_id, 'missing' AS side UNION ALL SELECT 'extra', 'unexpected'")
+@query("SELECT 'held_out' AS benchmark_id, 'missing' AS side UNION ALL SELECT 'extra', 'unexpected'")
 def q_contam_coverage(spark, sf):
     found = spark.createDataFrame([("benchmark",), ("extra",)], "benchmark_id string")
-    wanted = spark.createDataFrame([("benchmark",), ("mbpp",)], "benchmark_id string")
+    wanted = spark.createDataFrame([("benchmark",), ("held_out",)], "benchmark_id string")
     return checks.coverage(found, wanted, "benchmark_id")
 
 
