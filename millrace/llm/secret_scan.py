@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import fresh, keyed, materialize, text_key
 
 #: Ids in one block of a posting list: lists hold at most so many distinct ids.
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 #: Most strings and clauses that the analysis of a regex keeps before it settles for weaker ones.
 MOST = 64
 
@@ -191,7 +191,7 @@ def _grams_of(trigrams: list[str]):
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Posting lists (trigram, block, ids) of the trigrams in the rules' queries over all rows of docs.
 
-    A block is the ids that agree but for their last 16 bits; a null id has the block null and the list [null].
+    A block is the ids that agree but for their last 13 bits; a null id has the block null and the list [null].
     """
     trigrams = sorted({t for q in queries_of(rules).values() for clause in q for t in clause})
     rows = keyed(docs).select("doc_id", F.explode(_grams_of(trigrams)("text")).alias("trigram"))
