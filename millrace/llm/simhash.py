@@ -9,6 +9,10 @@ Bit 63 lies outside the code; it counts in comparisons only.
 
 A ball of radius 2 holds at most 2 * 2017 fingerprints, so that no anchor's group grows with the input:
 equal fingerprints are one row before they are copied.
+
+The pipeline's stage (one_of_each) links texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+Two such texts differ in more bits than anchors can cover; MinHash bands find them instead, missing a pair at
+0.8 with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, 5e-8, and less above it; every candidate is verified.
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ from .common import connected_components, fresh, keyed, materialize, text_key
 
 THRESHOLD = 2
 SHINGLE = 3
+#: Of the stage: words in a shingle, and bands and MinHashes in each.
+WORDS = 5
+BANDS, BAND_ROWS = 32, 4
 _SLICE = 1 << 15
+_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * 2 + np.uint64(1)
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -127,13 +135,90 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(ids, rows["fp"] == ids["_fp"]).select("doc_id", "tkey", "fp", "part", "component_id")
 
 
+# --- near-duplicates by shared words -------------------------------------------------------------------------
+
+
+def word_set(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the five-word shingles of a text; a shorter one is one shingle of all its words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(min(WORDS, len(words)))), strict=False))
+    return np.unique(np.fromiter(map(_hash, runs), dtype=np.uint64, count=max(1, len(words) - WORDS + 1)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS bands of BAND_ROWS MinHashes of a set; none of an empty one."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(len(_FACTORS), ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
+    bands = least.reshape(BANDS, -1)
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=b) for b, row in enumerate(bands)], dtype=np.uint64).view(np.int64)
+
+
+_SKETCH = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_SKETCH)
+def _sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        sets = [word_set(t) for t in batch]
+        ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+        yield pd.DataFrame({"sid": ids, "n": [len(s) for s in sets], "bands": pd.Series([band_keys(s) for s in sets], dtype=object)})
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _word_sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([word_set(t).view(np.int64) for t in batch], dtype=object)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose sets (sid, words) have a Jaccard similarity of at least 4/5, exactly."""
+    left, right = sets.select(F.col("sid").alias("u"), F.col("words").alias("a")), sets.select(F.col("sid").alias("v"), F.col("words").alias("b"))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", (F.size("a") + F.size("b")).alias("sum"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    return both.where(F.col("shared") * 5 >= (F.col("sum") - F.col("shared")) * 4).select("u", "v")
+
+
+def word_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey, part for every row; part names the component over links of Jaccard similarity 4/5 or more.
+
+    Texts with the same shingles are one set.  Sets that share a band are candidates, each verified by its
+    shingles: first every set of a band against the band's smallest, then all pairs that this has not connected yet, so
+    that a band of many near copies is not held against itself.  Texts without words are copies of one another.
+    """
+    texts = keyed(docs)
+    rows = materialize(texts.select("doc_id", "tkey", _sketch("text").alias("s")).select("doc_id", "tkey", "s.*"), "word-sets")
+    bands = rows.select("sid", "n", F.explode("bands").alias("band")).distinct()
+    stars = bands.groupBy("band").agg(F.min(F.struct("sid", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    bands = materialize(bands.join(stars, "band").select("band", "sid", "n", "least"), "bands")
+    # the shingles of the candidates
+    wanted = bands.select("sid").distinct()
+    keys = rows.groupBy("sid").agg(F.min("tkey").alias("_key")).join(wanted, "sid", "left_semi")
+    sets = texts.join(keys, texts["tkey"] == keys["_key"]).select("sid", "text").dropDuplicates(["sid"]).select("sid", _word_sets("text").alias("words"))
+    sets = materialize(sets, "words")
+    fits = "5L * least({0}, {1}) >= 4L * greatest({0}, {1})"
+    star = bands.where("sid <> least.sid").where(fits.format("n", "least.n")).select(F.col("least.sid").alias("u"), F.col("sid").alias("v")).distinct()
+    links = materialize(_similar(star, sets), "star-links")
+    near = connected_components(links)
+    named = bands.join(near, bands["sid"] == near["node"], "left").select("band", "sid", "n", F.coalesce("component", "sid").alias("part"))
+    mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
+    named = materialize(named.join(mixed, "band", "left_semi"), "mixed-bands")
+    a, b = named.select("band", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "part")]), named.select("band", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "part")])
+    rest = a.join(b, "band").where("sid_a < sid_b and part_a <> part_b").where(fits.format("n_a", "n_b")).select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"))
+    parts = connected_components(links.unionAll(materialize(_similar(rest.distinct(), sets), "other-links")))
+    return rows.join(parts, rows["sid"] == parts["node"], "left").select("doc_id", "tkey", F.coalesce("component", "sid").alias("part"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component one row stays, that of the smallest doc_id.
+    """docs without near-duplicates: of each component of word_duplicates() one row stays, that of the smallest doc_id.
 
     Rows that share doc_id and text are one document and one of them stays; a null doc_id ranks last; of several
     texts under the smallest doc_id the one with the smallest hash stays.  All columns are kept.
     """
-    found = near_duplicates(docs)
+    found = word_duplicates(docs)
     kept = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("doc_id"), F.col("k.tkey").alias("tkey"))
     own_id, own_key = fresh(docs, "_mr_id"), fresh(docs, "_mr_key")

@@ -99,3 +99,43 @@ def test_components_of_long_paths_and_hubs(spark):
     got = {r.node: r.component for r in out.collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(300))
     assert out.groupBy("node").count().where(F.col("count") > 1).isEmpty()
+
+
+def test_one_of_each_matches_brute_force_jaccard(spark):
+    import random
+
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (7, 30, 60, 100, 100, 150, 300, 500)]
+    texts = [" ".join(w) for w in base]
+    for words in base:
+        for edits in (1, 1, 2, 3, 4, 6):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy) + rng.choice(["", " tail", " a longer tail of words"]))
+    chain = [f"c{i}" for i in range(160)]
+    texts += [" ".join(chain[i * 8 : i * 8 + 100]).upper() for i in range(7)] + ["", " ", "one two", "One  two"]
+    shuffled = list(enumerate(texts))
+    rng.shuffle(shuffled)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [shingles(t) for t in texts]
+    part = list(range(len(texts)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                part[y] = x
+    want = [i for i in range(len(texts)) if root(i) == i]
+    df = spark.createDataFrame([(i, t, "x", None) for i, t in shuffled], SCHEMA)
+    got = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
+    assert got == want and len(want) < len(texts) - 20
