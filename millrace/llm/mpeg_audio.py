@@ -158,9 +158,19 @@ def read(data: bytes) -> Media:
     data follows its frame; a last frame cut short is not a frame.
     """
     at, tags = _id3(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    if end < len(data):
+    if data[-128:-125] == b"TAG":
+        # such bytes may also be main data: they are a tag unless a frame that runs over them is the last
+        media = _scan(data, at, len(data), tags)
+        last = media.frames[-1] if media.frames else None
+        if last and last.offset + last.length == len(data) and last.offset < len(data) - 128:
+            return media
+        end = len(data) - 128
         tags["TIT2"] = tags.get("TIT2") or data[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
+        return _scan(data, at, end, tags)
+    return _scan(data, at, len(data), tags)
+
+
+def _scan(data: bytes, at: int, end: int, tags: dict[str, str]) -> Media:
     frames: list[Frame] = []
     table, skipped = None, 0
     while at < end:

@@ -57,3 +57,29 @@ def test_edge_rows(spark):
     rows = ma.probe(ma.store_texts(df)).collect()
     assert sorted(r.payload_bytes for r in rows) == [64, 64, 64, 200000]
     assert len({r.media_sha256 for r in rows}) == 2 and ma.probe(ma.store_texts(df.limit(0))).collect() == []
+
+
+def test_tag_marks_within_the_payload_are_no_tag():
+    for n in (*range(64, 129), 960, 1417, 1418, 1500, 2900, 4000):
+        stream = bytearray(ma.store(ma.padded(b"x" * n)))
+        payload = bytearray(ma.padded(b"x" * n))
+        plain = ma.read(bytes(stream))
+        last = plain.frames[-1]
+        at = len(stream) - 128 - last.offset - last.before
+        if at < 0 or at + 3 > last.length - last.before:
+            continue
+        at += sum(f.length - f.before for f in plain.frames[:-1])
+        if at + 3 > len(payload):
+            continue
+        payload[at : at + 3] = b"TAG"
+        stream = ma.store(bytes(payload))
+        assert stream[-128:-125] == b"TAG"
+        media = ma.read(stream)
+        assert media.frames == plain.frames and "TIT2" not in media.tags and ma.payload_of(stream, media) == payload
+        # a real tag after it is still one
+        tagged = stream + b"TAG" + b"title".ljust(125, b"\0")
+        media = ma.read(tagged)
+        assert media.frames == plain.frames and media.tags["TIT2"] == "title" and ma.payload_of(tagged, media) == payload
+    text = b"x" * 29 + b"TAG" + b"x" * 60
+    stream = ma.store(ma.padded(text))
+    assert ma.payload_of(stream, ma.read(stream)) == ma.padded(text) and ma.feature(ma.read(stream))
