@@ -1,17 +1,23 @@
 """Substring deduplication by sliding sentence spans.
 
 A span is a run of consecutive sentences: the shortest of at least two sentences and SPAN_WORDS words
-that begins at a sentence, and the shortest that ends at one; a sentence of LONE_WORDS words is a run by itself.
-Two copies of a passage of at least 50 words so share runs that cover all its whole sentences, whatever
-stands around it.  Runs are hashed and joined over the corpus, and the sentences of every run that an
+that begins at a sentence, and the shortest that ends at one.  A sentence of SPAN_WORDS words or more is cut into
+pieces, which count as sentences, at borders that its own words define: the least hash of every WINDOW words
+begins a piece.  Copies of 50 words within a sentence (text without marks, or all of one case) so share
+borders and runs, except for some words at their ends, wherever they are cut out; and a whole sentence of SPAN_WORDS
+words is covered by itself.  Characters of scripts without spaces are words.  A passage whose whole sentences have
+less than SPAN_WORDS words together, between two shorter sentences that are cut, shares no run.
+Runs are hashed and joined over the corpus, and the sentences of every run that an
 earlier document has (or the document itself, earlier) are removed.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,44 +27,69 @@ from pyspark.sql import types as T
 from .common import frame, keyed, materialize
 
 SPAN_WORDS = 20
-LONE_WORDS = 40
+#: Words of which one begins a piece of a long sentence.
+WINDOW = 6
 #: Documents without an id come last.
 LAST = (1 << 63) - 1
 
 #: A sentence ends after its marks, at a line end, or where a capitalised word follows without a mark.
-_BORDER = re.compile(r"[.!?]+\s+|\n+|\s+(?=[^\W\d_a-zß-öø-ÿ][a-zß-öø-ÿ])")
+_BORDER = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n+|\s+(?=[^\W\d_a-zß-öø-ÿ][a-zß-öø-ÿ])")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Words between white space, in lower case; a character of a script without spaces is one."""
+    text = text.lower()
+    return _WORD.findall(text) if _ANY_UNSPACED.search(text) else text.split()
+
+
+def _cuts(text: str, start: int, end: int) -> list[int]:
+    """Where the pieces of a sentence but the first begin."""
+    part = text[start:end]
+    if len(part) < SPAN_WORDS or (not _ANY_UNSPACED.search(part) and len(part.split()) < SPAN_WORDS):
+        return []
+    found = list(_WORD.finditer(part))
+    if len(found) < SPAN_WORDS:
+        return []
+    hashes = np.array([zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) for m in found], dtype=np.uint32)
+    # of equal hashes the last, whatever stands before the window
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
+    first = np.arange(len(windows)) + WINDOW - 1 - windows[:, ::-1].argmin(axis=1)
+    return [start + found[i].start() for i in np.unique(first).tolist() if i]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) in code points of the sentences, each with the white space after it; they cover the text."""
+    """(start, end) in code points of the sentences and pieces, each with the white space after it; they cover the text."""
     ends = [m.end() for m in _BORDER.finditer(text)]
     if text and (not ends or ends[-1] < len(text)):
         ends.append(len(text))
-    return list(zip([0, *ends], ends, strict=False))
+    borders = []
+    for start, end in zip([0, *ends], ends, strict=False):
+        borders += [*_cuts(text, start, end), end]
+    return list(zip([0, *borders], borders, strict=False))
 
 
-def runs(text: str, span_words: int = SPAN_WORDS, lone_words: int = LONE_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+def runs(text: str, span_words: int = SPAN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
     """The sentences, and the runs (first sentence, last sentence, hash) in order.
 
     A run's hash is that of its words in lower case: white space and borders within it do not matter.
     """
     cut = sentences(text)
-    words = [text[a:b].lower().split() for a, b in cut]
+    words = [words_of(text[a:b]) for a, b in cut]
     found = set()
     n = len(words)
     for step in (1, -1):
         for i in range(n) if step == 1 else range(n - 1, -1, -1):
             total, j = len(words[i]), i
-            if total < lone_words:
-                while total < span_words or j == i:
-                    j += step
-                    if not 0 <= j < n:
-                        break
-                    total += len(words[j])
-                else:
-                    found.add((min(i, j), max(i, j)))
-            elif step == 1:
-                found.add((i, i))
+            while total < span_words or j == i:
+                j += step
+                if not 0 <= j < n:
+                    break
+                total += len(words[j])
+            else:
+                found.add((min(i, j), max(i, j)))
     joined = [" ".join(w) for w in words]
     digest = xxhash.xxh3_64_intdigest
     out = []

@@ -72,3 +72,40 @@ def test_query_matches_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((str(r.doc_id), r.n_sentences, r.n_removed, r.kept_text) for r in queries()["op3_substrings"](spark, sf).collect())
     assert got == brute(rows) and sum(r[2] for r in got) > 0
+
+
+def test_passages_cut_at_any_word_go(spark):
+    """Passages of 50 words and more out of text without marks, in one case or without spaces, against word matching."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    for shape in (str.lower, str.upper, None):
+        n, glue = (120, " ") if shape else (120, "")
+        unit = (lambda: shape(word())) if shape else (lambda: chr(rng.randrange(0x4E00, 0x9F00)))
+        rows, shared = [], []
+        for k in range(12):
+            p = [unit() for _ in range(rng.randrange(50, 80))]
+            shared.append(p)
+            for c in range(2):
+                around = [unit() for _ in range(n)]
+                at = rng.randrange(n)
+                rows.append((2 * k + c, glue.join(around[:at] + p + around[at:])))
+        out = {r[0]: r for r in run(spark, rows)}
+        texts = dict(rows)
+        for k, p in enumerate(shared):
+            first, second = out[str(2 * k)], out[str(2 * k + 1)]
+            assert first[2] == 0
+            left = second[3].split() if shape else list(second[3])
+            before = texts[2 * k + 1].split() if shape else list(texts[2 * k + 1])
+            gone = len(before) - len(left)
+            # only words of the passage go, and all but some at its ends
+            assert len(p) - 4 * sd.WINDOW <= gone <= len(p)
+            assert set(before) - set(left) <= set(p)
+
+
+def test_a_whole_sentence_between_two_cut_ones_goes(spark):
+    rng = random.Random(10)
+    whole = passage(rng, 39, 60)
+    p = f"{passage(rng, 6, 60).lower()} {whole} {passage(rng, 6, 60)[:-1]}"
+    rows = [(i, f"{passage(rng, 12, 60)[:-1]} {p} {passage(rng, 9, 60).lower()}") for i in range(2)]
+    out = {r[0]: r for r in run(spark, rows)}
+    assert whole in out["0"][3] and not set(whole.split()) & set(out["1"][3].split())
