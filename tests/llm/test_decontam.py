@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -61,3 +62,43 @@ def test_without_benchmark(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "k"), (2, "q", "k"), (None, None, None)], "doc_id long, text string, item_id string")
     out = decontam.without_benchmark(df, spark.createDataFrame([(1, "b c d e f")], "item_id long, text string"))
     assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "None"]
+
+
+def test_the_search_finds_and_the_result_depends_on_it(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = {(r[0], r[1]) for r in brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])}
+    found = {(r.doc_id, r.item_id) for r in decontam.candidates(docs, items).collect()}
+    assert len(found & want) >= 0.9 * len(want) > 5
+    # documents that share a shingle with an item are many more than the candidates
+    of = lambda t: decontam.shingles_of(decontam.words_of(t or ""), 5)
+    theirs = {r.item_id: of(r.text) for r in items.collect()}
+    touched = {(r.doc_id, i) for r in docs.collect() for i, q in theirs.items() if q & of(r.text)}
+    assert found <= touched
+    of_rows = decontam.Block.of
+    monkeypatch.setattr(decontam.Block, "of", classmethod(lambda cls, rows: of_rows(rows)._replace(lookup={})))
+    assert decontam.contained_items(docs, items).count() == 0
+
+
+def test_recall_at_the_threshold_before_verification():
+    rng = random.Random(3)
+    for n in (5, 20, 40, 300, 3000):
+        missed = 0
+        for k in range(200):
+            words = [f"w{k}x{i}" for i in range(n + 4)]
+            all_ = sorted(decontam.shingles_of(words, 5))
+            block = decontam.Block.of([{"n_item": len(all_), "all": all_, "sketch": decontam.sketch_of(all_)}])
+            have = set(rng.sample(all_, -(-4 * n // 5)))
+            hit = any(set(band) <= have for band in decontam.sketch_of(all_))
+            assert block.search(words) == [0]
+            missed += not hit
+        assert missed <= 1
+
+
+def test_an_item_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK", 7)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, "x " + " ".join(words) + " y"), (2, " ".join(words[:50])), (3, " ".join(words[:40]))]
+    items = [(1, " ".join(words)), (2, " ".join(words[:9]))]
+    assert run(spark, docs, items) == brute(docs, items) != []
+    assert all(len(r.all) <= 7 for r in decontam.sketches(spark.createDataFrame(items, "item_id long, text string")).collect())
