@@ -11,8 +11,10 @@ A ball of radius 2 holds at most 2 * 2017 fingerprints, so that no anchor's grou
 equal fingerprints are one row before they are copied.
 
 The pipeline's stage (one_of_each) links texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-Two such texts differ in more bits than anchors can cover; MinHash bands find them instead, missing a pair at
-0.8 with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, 5e-8, and less above it; every candidate is verified.
+Two such texts differ in about 10 of 64 bits, more than anchors can cover; MinHash bands find them instead, missing a
+pair at 0.8 with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, 3e-5, and 4e-8 at 0.85; every candidate is verified.
+Bands are long, so that texts that only share a passage, a quarter of their shingles, are no candidates
+(3e-4 of such pairs are): a passage in a third of all texts would otherwise make pairs by the square.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, fresh, keyed, materialize, text_key
+from .common import connected_components, discard, fresh, keyed, materialize, text_key
 
 THRESHOLD = 2
 SHINGLE = 3
 #: Of the stage: words in a shingle, and bands and MinHashes in each.
 WORDS = 5
-BANDS, BAND_ROWS = 32, 4
+BANDS, BAND_ROWS = 56, 8
+#: Texts that are found by a broadcast of their keys; more of them are found by a shuffle.
+FEW = 200_000
 _SLICE = 1 << 15
-_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * 2 + np.uint64(1)
+_FACTORS = np.random.default_rng(8).integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -151,9 +155,9 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A key for each of BANDS bands of BAND_ROWS MinHashes of a set; none of an empty one."""
     if not len(hashes):
         return np.zeros(0, dtype=np.int64)
-    least = np.full(len(_FACTORS), ~np.uint64(0))
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
+    least, high = np.full(len(_FACTORS), ~np.uint32(0)), (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 1024):
+        np.minimum(least, (_FACTORS[:, None] * high[None, at : at + 1024]).min(axis=1), out=least)
     bands = least.reshape(BANDS, -1)
     return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=b) for b, row in enumerate(bands)], dtype=np.uint64).view(np.int64)
 
@@ -188,15 +192,17 @@ def word_duplicates(docs: DataFrame) -> DataFrame:
     Texts with the same shingles are one set.  Sets that share a band are candidates, each verified by its
     shingles: first every set of a band against the band's smallest, then all pairs that this has not connected yet, so
     that a band of many near copies is not held against itself.  Texts without words are copies of one another.
+    Texts of any length are read whole; an empty table gives an empty result.
     """
     texts = keyed(docs)
     rows = materialize(texts.select("doc_id", "tkey", _sketch("text").alias("s")).select("doc_id", "tkey", "s.*"), "word-sets")
-    bands = rows.select("sid", "n", F.explode("bands").alias("band")).distinct()
-    stars = bands.groupBy("band").agg(F.min(F.struct("sid", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    bands = materialize(bands.join(stars, "band").select("band", "sid", "n", "least"), "bands")
+    each = rows.where("n > 0").dropDuplicates(["sid"]).select("sid", "n", F.explode("bands").alias("band"))
+    stars = each.groupBy("band").agg(F.min(F.struct("sid", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    bands = materialize(each.join(stars, "band").select("band", "sid", "n", "least"), "bands")
     # the shingles of the candidates
     wanted = bands.select("sid").distinct()
-    keys = rows.groupBy("sid").agg(F.min("tkey").alias("_key")).join(wanted, "sid", "left_semi")
+    keys = materialize(rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("_key")), "wanted")
+    keys = F.broadcast(keys) if keys.count() <= FEW else keys
     sets = texts.join(keys, texts["tkey"] == keys["_key"]).select("sid", "text").dropDuplicates(["sid"]).select("sid", _word_sets("text").alias("words"))
     sets = materialize(sets, "words")
     fits = "5L * least({0}, {1}) >= 4L * greatest({0}, {1})"
@@ -208,7 +214,10 @@ def word_duplicates(docs: DataFrame) -> DataFrame:
     named = materialize(named.join(mixed, "band", "left_semi"), "mixed-bands")
     a, b = named.select("band", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "part")]), named.select("band", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "part")])
     rest = a.join(b, "band").where("sid_a < sid_b and part_a <> part_b").where(fits.format("n_a", "n_b")).select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"))
-    parts = connected_components(links.unionAll(materialize(_similar(rest.distinct(), sets), "other-links")))
+    more = materialize(_similar(rest.distinct(), sets), "other-links")
+    parts = connected_components(links.unionAll(more))
+    for table in (bands, sets, links, named, more):
+        discard(table)
     return rows.join(parts, rows["sid"] == parts["node"], "left").select("doc_id", "tkey", F.coalesce("component", "sid").alias("part"))
 
 

@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from millrace.llm import decontam, packing, quality, secret_scan, simhash
+from millrace.llm import decontam, packing, quality, secret_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,8 +18,12 @@ def test_stages_against_brute_force(spark):
         if scorer.score(*quality.features(t, counts, s)) >= quality.THRESHOLD:
             kept[d] = t
     assert 0 < len(kept) < len(texts)
-    # 2. all pairs of fingerprints, the smallest id of each group
-    fps = {d: simhash.fingerprint(t) & (2**64 - 1) for d, t in kept.items()}
+    # 2. the Jaccard similarity of all pairs by five-word shingles, the smallest id of each group
+    def words5(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = {d: words5(t) for d, t in kept.items()}
     part = {d: d for d in kept}
 
     def root(d):
@@ -29,7 +33,7 @@ def test_stages_against_brute_force(spark):
 
     for a in kept:
         for b in kept:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 part[y] = x
     kept = {d: t for d, t in kept.items() if root(d) == d}
