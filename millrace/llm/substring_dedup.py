@@ -1,21 +1,21 @@
 """Substring deduplication by sliding sentence spans.
 
-A span is a run of consecutive sentences: the shortest of at least two sentences and SPAN_WORDS words
-that begins at a sentence, and the shortest that ends at one.  A sentence of SPAN_WORDS words or more is cut into
-pieces, which count as sentences, at borders that its own words define: the least hash of every WINDOW words
-begins a piece.  Copies of 50 words within a sentence (text without marks, or all of one case) so share
-borders and runs, except for some words at their ends, wherever they are cut out; and a whole sentence of SPAN_WORDS
-words is covered by itself.  Characters of scripts without spaces are words.  A passage whose whole sentences have
-less than SPAN_WORDS words together, between two shorter sentences that are cut, shares no run.
-Runs are hashed and joined over the corpus, and the sentences of every run that an
-earlier document has (or the document itself, earlier) are removed.
+A text is cut into sentences: after their marks and at line ends.  Sentences of LONG_WORDS words or more are cut
+further into pieces at borders that their own words define, the word of the least hash among every WINDOW words, so
+that passages align that begin or end within a sentence, or that have no marks at all.  Characters of scripts without
+spaces are words.  Sentences and pieces are units.  A span is a run of consecutive units: the shortest of SPAN_WORDS
+words or more that begins at a unit, and the shortest that ends at one.
+
+Spans are hashed (96 bits) and joined over the corpus, and the units of every span that is not its first occurrence are
+removed: the first is in the row that comes first by (doc_id, hash of the text), rows without an id last, and within
+a row by position.  SPAN_WORDS is the least length of a repetition: shorter ones, license lines for example, stay.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,19 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frame, keyed, materialize
+from .common import discard, frame, keyed, materialize
 
-SPAN_WORDS = 20
-#: Words of which one begins a piece of a long sentence.
-WINDOW = 6
-#: Documents without an id come last.
-LAST = (1 << 63) - 1
+SPAN_WORDS = 28
+#: Words of a sentence that is cut into pieces, and the words of which one begins a piece.
+LONG_WORDS, WINDOW = 20, 10
+#: Repeated hashes that are broadcast to find their spans; more of them are joined by a shuffle.
+FEW = 1_500_000
 
-#: A sentence ends after its marks, at a line end, or where a capitalised word follows without a mark.
-_BORDER = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n+|\s+(?=[^\W\d_a-zß-öø-ÿ][a-zß-öø-ÿ])")
+#: A sentence ends after its marks or at a line end.
+_BORDER = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n+")
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+#: Two odd multipliers and their inverses modulo 2 ** 64: a span's hash is a polynomial of its words' hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+_powers: list[np.ndarray] = []
+_known: dict[str, int] = {}
 
 
 def words_of(text: str) -> list[str]:
@@ -45,64 +50,130 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text) if _ANY_UNSPACED.search(text) else text.split()
 
 
-def _cuts(text: str, start: int, end: int) -> list[int]:
-    """Where the pieces of a sentence but the first begin."""
-    part = text[start:end]
-    if len(part) < SPAN_WORDS or (not _ANY_UNSPACED.search(part) and len(part.split()) < SPAN_WORDS):
-        return []
-    found = list(_WORD.finditer(part))
-    if len(found) < SPAN_WORDS:
-        return []
-    hashes = np.array([zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) for m in found], dtype=np.uint32)
-    # of equal hashes the last, whatever stands before the window
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-    first = np.arange(len(windows)) + WINDOW - 1 - windows[:, ::-1].argmin(axis=1)
-    return [start + found[i].start() for i in np.unique(first).tolist() if i]
-
-
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) in code points of the sentences and pieces, each with the white space after it; they cover the text."""
+    """(start, end) in code points of the sentences, each with the white space after it; they cover the text."""
     ends = [m.end() for m in _BORDER.finditer(text)]
     if text and (not ends or ends[-1] < len(text)):
         ends.append(len(text))
-    borders = []
-    for start, end in zip([0, *ends], ends, strict=False):
-        borders += [*_cuts(text, start, end), end]
-    return list(zip([0, *borders], borders, strict=False))
+    return list(zip([0, *ends], ends, strict=False))
+
+
+def _hash_words(words: list[str]) -> np.ndarray:
+    if len(_known) > 500_000:
+        _known.clear()
+    try:
+        return np.array([_known[w] for w in words], dtype=np.uint64)
+    except KeyError:
+        for w in words:
+            if w not in _known:
+                _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.array([_known[w] for w in words], dtype=np.uint64)
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers 0 to n - 1 of the bases and their inverses."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 16, n)
+        _powers[:] = [np.cumprod(np.array([1] + [b] * (size - 1), dtype=np.uint64)) for b in (*_BASES, *_INVERSES)]
+    return _powers
+
+
+class Cut:
+    """A text's sentences (spans of code points, numbers of words) and units (borders in words)."""
+
+    def __init__(self, text: str):
+        self.text, self.sentences, words, self.sizes = text, sentences(text), [], []
+        for a, b in self.sentences:
+            found = words_of(text[a:b])
+            words += found
+            self.sizes.append(len(found))
+        self.hashes = _hash_words(words)
+        self.starts = np.cumsum([0, *self.sizes])
+        self.borders = np.unique(np.concatenate([self.starts, self._pieces()]))
+
+    def _pieces(self) -> np.ndarray:
+        sizes = np.asarray(self.sizes, dtype=np.int64)
+        n = len(self.hashes)
+        if n < WINDOW or not (sizes >= LONG_WORDS).any():
+            return np.zeros(0, dtype=np.int64)
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        windows = np.lib.stride_tricks.sliding_window_view(self.hashes, WINDOW)
+        # of equal hashes the last, whatever stands before the window
+        least = np.arange(n - WINDOW + 1) + WINDOW - 1 - windows[:, ::-1].argmin(axis=1)
+        inside = (number[: n - WINDOW + 1] == number[WINDOW - 1 :]) & (sizes[number[: n - WINDOW + 1]] >= LONG_WORDS)
+        return np.unique(least[inside])
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first unit, end unit) of all spans, in order, and two 64-bit hashes of each."""
+        b = self.borders
+        units = np.arange(len(b))
+        ends = np.searchsorted(b, b + SPAN_WORDS)
+        firsts = np.searchsorted(b, b - SPAN_WORDS, side="right") - 1
+        pairs = np.concatenate([np.stack([units, ends])[:, ends < len(b)], np.stack([firsts, units])[:, firsts >= 0]], axis=1)
+        pairs = np.unique(pairs[0] * len(b) + pairs[1])
+        i, j = pairs // len(b), pairs % len(b)
+        n = len(self.hashes)
+        power = _power(n + 1)
+        mixed = (self.hashes ^ (self.hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = []
+        for k, h in enumerate((self.hashes, mixed)):
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power[k][:n])])
+            span = (sums[b[j]] - sums[b[i]]) * power[k + 2][b[i]] + (b[j] - b[i]).astype(np.uint64)
+            out.append(((span ^ (span >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64))
+        return np.stack([i, j]), out[0], out[1]
+
+    def remove(self, repeated: np.ndarray) -> tuple[int, str, str]:
+        """Sentences that lose words, the removed spans start:end in code points, and the text that stays.
+
+        A span of units goes if its first hash is among repeated, or if the text has had it before.
+        """
+        (i, j), h, _ = self.spans()
+        again = np.ones(len(h), dtype=bool)
+        again[np.unique(h, return_index=True)[1]] = False
+        again |= np.isin(h, repeated)
+        change = np.zeros(len(self.borders) + 1, dtype=np.int64)
+        np.add.at(change, i[again], 1)
+        np.add.at(change, j[again], -1)
+        gone = np.flatnonzero(np.cumsum(change)[: len(self.borders) - 1] > 0)
+        if not len(gone):
+            return 0, "", self.text
+        at: dict[int, int] = {}  # code points of the borders of units that go
+        touched = set()
+        for k in sorted({int(x) for u in gone.tolist() for x in (self.borders[u], self.borders[u + 1])}):
+            s = int(np.searchsorted(self.starts, k, side="left"))
+            if s < len(self.starts) and self.starts[s] == k:
+                at[k] = self.sentences[s][0] if s < len(self.sentences) else len(self.text)
+            else:
+                a, b = self.sentences[s - 1]
+                at[k] = a + [m.start() for m in _WORD.finditer(self.text[a:b])][k - int(self.starts[s - 1])]
+        spans: list[list[int]] = []
+        for u in gone.tolist():
+            a, b = at[int(self.borders[u])], at[int(self.borders[u + 1])]
+            touched.add(int(np.searchsorted(self.starts, self.borders[u], side="right")))
+            if spans and spans[-1][1] == a:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+        kept, last = [], 0
+        for a, b in spans:
+            kept.append(self.text[last:a])
+            last = b
+        return len(touched), ",".join(f"{a}:{b}" for a, b in spans), "".join([*kept, self.text[last:]])
 
 
-def runs(text: str, span_words: int = SPAN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """The sentences, and the runs (first sentence, last sentence, hash) in order.
+_SPANS = T.StructType([T.StructField("own", T.BooleanType()), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("g", T.ArrayType(T.IntegerType()))])
 
-    A run's hash is that of its words in lower case: white space and borders within it do not matter.
-    """
-    cut = sentences(text)
-    words = [words_of(text[a:b]) for a, b in cut]
-    found = set()
-    n = len(words)
-    for step in (1, -1):
-        for i in range(n) if step == 1 else range(n - 1, -1, -1):
-            total, j = len(words[i]), i
-            while total < span_words or j == i:
-                j += step
-                if not 0 <= j < n:
-                    break
-                total += len(words[j])
-            else:
-                found.add((min(i, j), max(i, j)))
-    joined = [" ".join(w) for w in words]
-    digest = xxhash.xxh3_64_intdigest
-    out = []
-    for i, j in sorted(found):
-        h = digest(" ".join(filter(None, joined[i : j + 1])).encode("utf-8", "surrogatepass"))
-        out.append((i, j, h - (1 << 64) if h >> 63 else h))
-    return cut, out
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+@F.pandas_udf(_SPANS)
+def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Whether a span repeats within the text, and the distinct spans' hashes."""
     for batch in texts:
-        yield pd.Series([list({h for _, _, h in runs(t)[1]}) for t in batch], dtype=object)
+        rows = []
+        for text in batch:
+            _, h, g = Cut(text).spans()
+            first = np.unique(h, return_index=True)[1]
+            rows.append((len(first) < len(h), h[first], (g[first] >> 32).astype(np.int32)))
+        yield frame(rows, _SPANS.names)
 
 
 _CUT = T.StructType(
@@ -111,47 +182,70 @@ _CUT = T.StructType(
 )
 
 
-def remove(text: str, repeated: set[int]) -> tuple[int, int, str, str]:
-    """Sentences, those removed, their spans start:end in code points, and the text that stays.
-
-    A run goes if its hash is in repeated, or if the document has had it before.
-    """
-    cut, found = runs(text)
-    gone, seen = set(), set()
-    for i, j, h in found:
-        if h in repeated or h in seen:
-            gone.update(range(i, j + 1))
-        seen.add(h)
-    spans: list[list[int]] = []
-    for i in sorted(gone):
-        if spans and spans[-1][1] == cut[i][0]:
-            spans[-1][1] = cut[i][1]
-        else:
-            spans.append(list(cut[i]))
-    kept = "".join(text[a:b] for i, (a, b) in enumerate(cut) if i not in gone)
-    return len(cut), len(gone), ",".join(f"{a}:{b}" for a, b in spans), kept
-
-
 @F.pandas_udf(_CUT)
 def _remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """repeated: null where nothing of the text repeats."""
     for texts, repeated in batches:
-        rows = [remove(t, set() if r is None else set(r)) for t, r in zip(texts, repeated, strict=True)]
+        rows = []
+        for text, r in zip(texts, repeated, strict=True):
+            n = sum(not text[a:b].isspace() for a, b in sentences(text))
+            rows.append((n, *((0, "", text) if r is None else Cut(text).remove(np.asarray(r, dtype=np.int64)))))
+        yield frame(rows, _CUT.names)
+
+
+@F.pandas_udf(_CUT)
+def _remove_all(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Of texts that an earlier row has whole: every span goes."""
+    for batch in texts:
+        rows = []
+        for text in batch:
+            cut = Cut(text)
+            rows.append((sum(map(bool, cut.sizes)), *cut.remove(cut.spans()[1])))
         yield frame(rows, _CUT.names)
 
 
+def _repeated(spans: DataFrame) -> DataFrame:
+    """(tkey, repeated) of the texts with spans that repeat within them or that an earlier text has.
+
+    Hashes that occur once, nearly all, are dropped by a count of the first 64 bits before texts come into it.
+    """
+    many = materialize(spans.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    found = spans.select("doc_id", "tkey", F.explode(F.arrays_zip("h", "g")).alias("s")).select("doc_id", "tkey", "s.h", "s.g")
+    found = materialize(found.join(F.broadcast(many) if many.count() <= FEW else many, "h"), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("tkey").alias("tkey"))
+    firsts = found.groupBy("h", "g").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").select("h", "g", "first")
+    later = found.join(firsts, ["h", "g"]).where(order > F.col("first")).select("tkey", "h")
+    own = spans.where("own").select("tkey", F.lit(None).cast("long").alias("h"))
+    out = materialize(later.unionAll(own).groupBy("tkey").agg(F.collect_set("h").alias("repeated")), "later")
+    discard(many)
+    discard(found)
+    return out
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed (start:end, code points), kept_text of every row.
 
-    The first document of a span is the one of the smallest doc_id; rows that share a doc_id are one document
-    and do not remove one another's sentences, nor do rows without an id, which come last.
-    A null or empty text has no sentences.  No row is dropped, even if all its sentences are.
+    n_removed counts the sentences that lose words.  Rows that share an id, or have none, are documents of their own; of
+    rows equal in id and text one is the first, and the others lose every span.  A null or empty text has no sentences.
+    Texts of any length are read whole.  No row is dropped, even if all its sentences are.
     """
-    # a document without an id goes by its text, so that no group gathers all of them
-    rows = keyed(docs).select(
-        F.coalesce("doc_id", F.lit(LAST)).alias("at"), F.when(F.col("doc_id").isNull(), F.col("tkey")).otherwise(F.lit(0)).alias("alone"), "doc_id", "text"
-    )
-    spans = materialize(rows.select("at", "alone", F.explode(_hashes("text")).alias("h")), "spans")
-    firsts = spans.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("h", "first")
-    repeated = spans.join(firsts, "h").where("at > first").groupBy("at", "alone").agg(F.collect_set("h").alias("repeated"))
-    cut = rows.join(repeated, ["at", "alone"], "left").select("doc_id", _remove("text", "repeated").alias("cut"))
-    return cut.select("doc_id", "cut.n_sentences", "cut.n_removed", "cut.removed", "cut.kept_text")
+    rows = keyed(docs)
+    # of each text the first row holds its spans, and rows after it lose them all
+    groups = rows.groupBy("doc_id", "tkey").agg(F.count("*").alias("n")).groupBy("tkey")
+    groups = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("n").alias("n"))).alias("first"), F.sum("n").alias("rows"))
+    copies = materialize(groups.where("rows > 1").select("tkey", "first"), "copies")
+    few = copies.count() <= FEW
+    marked = rows.join(F.broadcast(copies) if few else copies, "tkey", "left")
+    leads = F.col("first").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    spans = materialize(marked.where(leads).select("doc_id", "tkey", _spans("text").alias("s")).select("doc_id", "tkey", "s.*"), "spans")
+    later = _repeated(spans)
+    discard(spans)
+    alone = F.coalesce(F.col("first.n"), F.lit(1)) == 1
+    first, rest = [marked.where(leads & alone)], [marked.where(~leads).select("doc_id", "text")]
+    if not copies.where("first.n > 1").isEmpty():
+        equal = marked.where(leads & ~alone).groupBy("doc_id", "tkey").agg(F.first("text").alias("text"), F.first("first").alias("first"))
+        first.append(equal.select(*marked.columns))
+        rest.append(equal.select("doc_id", "text", F.explode(F.expr("sequence(2L, first.n)"))).drop("col"))
+    cut = [r.select("doc_id", _remove_all("text").alias("cut")) for r in rest]
+    cut += [f.join(later, "tkey", "left").select("doc_id", _remove("text", "repeated").alias("cut")) for f in first]
+    return reduce(DataFrame.unionAll, cut).select("doc_id", "cut.n_sentences", "cut.n_removed", "cut.removed", "cut.kept_text")
