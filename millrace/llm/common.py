@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _serial = itertools.count()
+#: Rows of an Arrow batch: texts may be long, and a Python worker and the JVM each hold a batch whole.
+BATCH = 1_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir of the session.
 
-    Where the session has none (tests, a laptop) a temporary folder is set as its checkpoint folder.
+    Where the session has none, a temporary folder is set as its checkpoint folder if driver and executors are one
+    process (a local master); elsewhere it is an error, since a machine-local folder is not shared.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -29,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -65,7 +70,11 @@ def text_key(text: Column | str = "text") -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, tkey): the document, null text as empty, and the hash that tells texts apart."""
+    """(doc_id, text, tkey): the document, null text as empty, and the hash that tells texts apart.
+
+    The session's Arrow batches are set to BATCH rows.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tkey", text_key())
 

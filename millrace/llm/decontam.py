@@ -146,22 +146,23 @@ class Block(NamedTuple):
         return out
 
 
-def _search(block: Block):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([block.search(words_of(t)) for t in batch], dtype=object)
+_FOUND = T.StructType([T.StructField("found", T.ArrayType(T.IntegerType())), T.StructField("shared", T.ArrayType(T.IntegerType()))])
 
-    return search
 
+def _search(block: Block):
+    """UDF: the candidates of a text by their sketches, and for these alone the shingles that they share with it."""
 
-def _count(block: Block):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, found in batches:
-            yield pd.Series([block.count(words_of(t), list(c)) for t, c in zip(texts, found, strict=True)], dtype=object)
+    @F.pandas_udf(_FOUND)
+    def search(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            rows = []
+            for text in batch:
+                words = words_of(text)
+                found = block.search(words)
+                rows.append((found, block.count(words, found)))
+            yield frame(rows, _FOUND.names)
 
-    return count
+    return search
 
 
 def _blocks(items: DataFrame) -> Iterator[list]:
@@ -174,8 +175,8 @@ def _blocks(items: DataFrame) -> Iterator[list]:
 
 
 def _candidates(rows: DataFrame, block: Block) -> DataFrame:
-    """Those of rows (keyed()) that the search finds candidates for, with these (found)."""
-    return rows.withColumn("found", _search(block)("text")).where(F.size("found") > 0)
+    """(doc_id, tkey, found, shared) of those rows (keyed()) that the search finds candidates for."""
+    return rows.select("doc_id", "tkey", _search(block)("text").alias("s")).where(F.size("s.found") > 0).select("doc_id", "tkey", "s.*")
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark, parts = docs.sparkSession, []
     for pieces in _blocks(items):
         block = Block.of(pieces)
-        hits = _candidates(keyed(docs), block).withColumn("shared", _count(block)("text", "found"))
+        hits = _candidates(keyed(docs), block)
         hits = hits.select("doc_id", "tkey", F.explode(F.arrays_zip("found", "shared")).alias("h")).select("doc_id", "tkey", "h.*").distinct()
         names = spark.createDataFrame([(i, r["item_id"], r["ikey"], r["n_item"], r["piece"]) for i, r in enumerate(pieces)], "found int, item_id long, ikey long, n_item int, piece int")
         parts.append(hits.join(F.broadcast(names), "found").drop("found"))  # a row for each piece of a block

@@ -168,9 +168,12 @@ _SKETCH = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T
 @F.pandas_udf(_SKETCH)
 def _sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        sets = [word_set(t) for t in batch]
-        ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"sid": ids, "n": [len(s) for s in sets], "bands": pd.Series([band_keys(s) for s in sets], dtype=object)})
+        rows = []
+        for text in batch:
+            words = word_set(text)
+            rows.append((xxhash.xxh3_64_intdigest(words.tobytes()), len(words), band_keys(words)))
+        ids = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
+        yield pd.DataFrame({"sid": ids, "n": [r[1] for r in rows], "bands": pd.Series([r[2] for r in rows], dtype=object)})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
