@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, prompt_sha256, prompt_text, response_sha256, sha256, with_shingles
+from ..work import written
 
 SHINGLE, LEAST_TOKENS, THRESHOLD = 5, 16, 0.8
+#: Protected shingles that are broadcast; more of them are joined by a shuffle.
+FEW = 500_000
 COLUMNS = ("checker_id", "protected_dataset_id", "finding_type", "training_record_sha256", "protected_record_id", "score")
 
 
@@ -29,8 +32,11 @@ def protected_example(benchmark: DataFrame, dataset_id: str) -> DataFrame:
 def _overlaps(training: DataFrame, protected: DataFrame, exact: DataFrame, kind: str, threshold: float) -> DataFrame:
     """Pairs at the threshold.  training: record_sha256, shingles; protected: ids, shingles."""
     left = training.select("training_record_sha256", F.size("shingles").alias("n_left"), F.explode("shingles").alias("s"))
-    right = protected.select("protected_dataset_id", "protected_record_id", F.size("shingles").alias("n_right"), F.explode("shingles").alias("s"))
-    pairs = left.join(right, "s").groupBy("training_record_sha256", "n_left", "protected_dataset_id", "protected_record_id", "n_right")
+    right = written(protected.select("protected_dataset_id", "protected_record_id", F.size("shingles").alias("n_right"), F.explode("shingles").alias("s")), "protected-shingles")
+    # a benchmark's shingles are few: training shingles then meet them where they are, and only hits move
+    right = F.broadcast(right) if right.count() <= FEW else right
+    hits = left.join(right, "s").distinct()  # a record that occurs twice counts once
+    pairs = hits.groupBy("training_record_sha256", "n_left", "protected_dataset_id", "protected_record_id", "n_right")
     scored = pairs.agg((F.count("*") / F.least("n_left", "n_right")).alias("raw")).where(F.col("raw") >= threshold)
     rest = scored.join(exact, ["training_record_sha256", "protected_dataset_id", "protected_record_id"], "left_anti")
     return rest.select(F.lit("high_overlap").alias("checker_id"), "protected_dataset_id", F.lit(f"high_{kind}_overlap").alias("finding_type"),
@@ -52,7 +58,7 @@ def training_findings(fingerprinted: DataFrame, protected: DataFrame, *, size: i
         exact = rows.join(guard, rows[own] == guard[theirs]).select(*keys).distinct()
         parts.append(exact.select(F.lit(f"exact_{kind}").alias("checker_id"), "protected_dataset_id", F.lit(f"exact_{kind}_match").alias("finding_type"),
                                   "training_record_sha256", "protected_record_id", F.lit(1.0).alias("score")))
-        left = with_shingles(rows.select("training_record_sha256", text.alias("t")), F.col("t"), "shingles", size, least).dropDuplicates(["training_record_sha256"])
+        left = with_shingles(rows.select("training_record_sha256", text.alias("t")), F.col("t"), "shingles", size, least)
         right = with_shingles(protected.select("protected_dataset_id", "protected_record_id", guarded.alias("t")), F.col("t"), "shingles", size, least)
         parts.append(_overlaps(left, right, exact, kind, threshold))
     return reduce(DataFrame.unionByName, parts).select(*COLUMNS)
@@ -90,6 +96,25 @@ def cross_partition_collisions(entries: DataFrame) -> DataFrame:
     return left.join(right, "k").where("left_id < right_id and left_role <> right_role").select("left_id", "left_role", "right_id", "right_role").distinct()
 
 
+def cross_partition_groups(entries: DataFrame) -> DataFrame:
+    """(text_sha256, role, entries, least): texts, normalised, that entries of more than one role have, a row for each role.
+
+    entries counts them and least is the smallest entry_id: a text of many copies is a few rows, not all its pairs.
+    """
+    groups = entries.select("entry_id", "role", sha256(normalize_text(F.col("text"))).alias("text_sha256")).groupBy("text_sha256", "role")
+    sized = groups.agg(F.count("*").alias("entries"), F.min("entry_id").alias("least"))
+    shared = sized.groupBy("text_sha256").agg(F.count("*").alias("n")).where("n > 1").select("text_sha256")
+    return sized.join(shared, "text_sha256", "left_semi")
+
+
+def cross_partition_members(entries: DataFrame) -> DataFrame:
+    """(entry_id, role, text_sha256, other_id): the entries of cross_partition_groups(), with the smallest entry_id of another role."""
+    each = F.struct("role", "least")
+    roles = cross_partition_groups(entries).groupBy("text_sha256").agg(F.collect_list(each).alias("roles"))  # as many as roles
+    named = entries.select("entry_id", "role", sha256(normalize_text(F.col("text"))).alias("text_sha256")).join(roles, "text_sha256")
+    return named.selectExpr("entry_id", "role", "text_sha256", "array_min(transform(filter(roles, r -> r.role <> role), r -> r.least)) as other_id")
+
+
 def admission(entries: DataFrame, findings: DataFrame | None, key: str = "entry_id") -> DataFrame:
     """entries with admitted: only a check that ran and found nothing about an entry admits it."""
     if findings is None:
@@ -99,16 +124,23 @@ def admission(entries: DataFrame, findings: DataFrame | None, key: str = "entry_
 
 
 ROLES = ("train", "development", "qualification", "author_few_shot")
+#: Findings in their order in a report.
+ORDER = ("benchmark_exact", "benchmark_normalized", "benchmark_overlap", "cross_partition", "unknown_role")
 
 
 def environment_findings(entries: DataFrame, references: DataFrame) -> DataFrame:
-    """Findings about environment entries (entry_id, role, text): benchmark collisions, then leaks between roles.
+    """Findings about environment entries (entry_id, role, text): benchmark collisions, then leaks between roles, one for each entry.
 
     A role outside ROLES is a finding of its own.
     """
     parts = entries.select(F.col("entry_id").alias("component_id"), "text")
     hits = component_collisions(parts, references).select(F.col("component_id").alias("entry_id"), F.concat(F.lit("benchmark_"), F.col("match")).alias("finding_type"), F.col("reference_id").cast("string").alias("other_id"))
-    pairs = cross_partition_collisions(entries)
-    sides = [pairs.select(F.col(f"{a}_id").alias("entry_id"), F.lit("cross_partition").alias("finding_type"), F.col(f"{b}_id").cast("string").alias("other_id")) for a, b in (("left", "right"), ("right", "left"))]
-    odd = entries.where(~F.col("role").isin(*ROLES)).select("entry_id", F.lit("unknown_role").alias("finding_type"), F.lit(None).cast("string").alias("other_id"))
-    return hits.unionByName(sides[0]).unionByName(sides[1]).unionByName(odd).distinct()
+    across = cross_partition_members(entries).select("entry_id", F.lit("cross_partition").alias("finding_type"), F.col("other_id").cast("string").alias("other_id"))
+    odd = entries.where(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))).select("entry_id", F.lit("unknown_role").alias("finding_type"), F.lit(None).cast("string").alias("other_id"))
+    return hits.unionByName(across).unionByName(odd).distinct()
+
+
+def in_order(findings: DataFrame) -> DataFrame:
+    """findings in the total order of a report: by type as in ORDER, then the entry, then the other one, nulls first."""
+    place = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in ORDER]), F.col("finding_type")), F.lit(0))
+    return findings.orderBy(F.when(place > 0, place).otherwise(len(ORDER) + 1), "finding_type", F.col("entry_id").cast("string"), F.col("other_id").asc_nulls_first())

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import with_fingerprints
+from ..work import written
 
 IDENTITY = ("source_id", "revision", "split", "record_id")
 REASONS = ["duplicate_content", "duplicate_source_record"]
@@ -21,12 +22,20 @@ def with_identity(records: DataFrame) -> DataFrame:
     return records.select("*", *[F.col(f"provenance.{c}").alias(c) for c in IDENTITY])
 
 
-def exact_duplicates(records: DataFrame) -> DataFrame:
-    """records with fingerprints, retained, content_duplicate_of, source_duplicate_of and reasons.
+HASHES = ("prompt_sha256", "response_sha256", "record_sha256")
+
+
+def fingerprint_table(records: DataFrame) -> DataFrame:
+    """input_index, source identity and hashes of every record: texts are read and hashed once, and stay where they are."""
+    return written(with_identity(with_fingerprints(records)).select("input_index", *IDENTITY, *HASHES), "fingerprints")
+
+
+def duplicate_decisions(fingerprints: DataFrame) -> DataFrame:
+    """fingerprints with retained, content_duplicate_of, source_duplicate_of and reasons; no text moves.
 
     The back-references are the input_index of the first row of the content and of the identity.
     """
-    rows = with_identity(with_fingerprints(records))
+    rows = fingerprints
     first = rows.groupBy("record_sha256").agg(F.min("input_index").alias("_content"))
     named = rows.where("record_id is not null").groupBy(*IDENTITY).agg(F.min("input_index").alias("_source"))
     named = named.select(*[F.col(c).alias(f"_{c}") for c in IDENTITY], "_source")
@@ -40,6 +49,16 @@ def exact_duplicates(records: DataFrame) -> DataFrame:
     return out.withColumns({"reasons": reasons, "retained": F.col("content_duplicate_of").isNull()})
 
 
+def with_decisions(records: DataFrame, decisions: DataFrame) -> DataFrame:
+    """records with their decisions, by input_index (unique): the one place where whole records move."""
+    return records.join(decisions, "input_index")
+
+
+def exact_duplicates(records: DataFrame) -> DataFrame:
+    """records with fingerprints, source identity and the columns of duplicate_decisions()."""
+    return with_decisions(records, duplicate_decisions(fingerprint_table(records)))
+
+
 def identity_conflicts(fingerprinted: DataFrame) -> DataFrame:
     """Source identities that carry more than one content."""
     groups = fingerprinted.where("record_id is not null").groupBy(*IDENTITY)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import split_reasoning
+from ..functions.text import split_reasoning, strip
 
 
 def shard_index(position: Column, size: int) -> Column:
@@ -103,10 +103,21 @@ def length_diagnostics(rows: DataFrame, least: int, most: int) -> DataFrame:
 
 
 def salvage(rows: DataFrame) -> DataFrame:
-    """rows (completion, finish_reason) with answer, mode (clean, split, unfinished, malformed) and error."""
+    """rows (completion, finish_reason) with reasoning, answer, mode and error.
+
+    mode: wrapped and closing-only for reasoning that is marked, by the way it begins; truncated-reasoning-only for an
+    unmarked completion cut off by its length, all of which is reasoning, so that its answer is empty; refused for what cannot be
+    told apart: malformed markup, and an unmarked completion that stopped.  A refused row has neither reasoning nor answer.
+    """
+    bare = strip(F.col("completion"))
     out = rows.withColumn("_s", split_reasoning(F.col("completion")))
-    mode = F.when(F.col("finish_reason") != "stop", "unfinished").when(F.col("_s.error").isNotNull(), "malformed").when(F.col("completion").contains("</think>"), "split").otherwise("clean")
-    return out.select(*rows.columns, F.col("_s.answer").alias("answer"), mode.alias("mode"), F.col("_s.error").alias("error"))
+    marked, cut = bare.contains("<think>") | bare.contains("</think>"), F.col("finish_reason") == "length"
+    refused = F.when(marked, F.col("_s.error")).when(~F.coalesce(cut, F.lit(False)), "no boundary between reasoning and answer")
+    mode = F.when(F.col("error").isNotNull(), "refused").when(~marked, "truncated-reasoning-only").when(bare.startswith("<think>"), "wrapped").otherwise("closing-only")
+    out = out.withColumn("error", F.when(F.col("completion").isNull(), "no completion").otherwise(refused)).withColumn("mode", mode)
+    reasoning = F.when(F.col("mode") == "truncated-reasoning-only", F.when(bare != "", bare)).when(F.col("error").isNull(), F.col("_s.reasoning"))
+    answer = F.when(F.col("mode") == "truncated-reasoning-only", "").when(F.col("error").isNull(), F.col("_s.answer"))
+    return out.select(*rows.columns, reasoning.alias("reasoning"), answer.alias("answer"), "mode", "error")
 
 
 def semantic_filter(split: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import is_blank
 from .checks import membership_drift
 
 
@@ -196,20 +197,21 @@ def cross_language_conclusion(rows: DataFrame) -> DataFrame:
 
 
 def response_score(kind: Column, expected: Column, response: Column) -> Column:
-    """exact text, equal JSON whatever its key order, or the JSON of a marked tool call."""
+    """exact text, equal JSON whatever its key order, or a response that is one marked tool call and nothing else."""
     canonical = lambda c: F.to_json(F.try_parse_json(c))  # noqa: E731  VARIANT objects sort their keys
-    call = F.regexp_extract(response, r"(?s)<tool_call>\s*(.*?)\s*</tool_call>", 1)
+    call = F.regexp_extract(response, r"(?s)\A<tool_call>(.+)</tool_call>\z", 1)
     same = F.when(kind == "exact", response == expected).when(kind == "json", canonical(response) == canonical(expected)).when(kind == "tool_call", canonical(call) == canonical(expected))
     return F.coalesce(same, F.lit(False))
 
 
-def structural_score(text: Column, required: list[str], forbidden: list[str], budget: int) -> Column:
-    ok = F.char_length(text) <= budget
-    for p in required:
-        ok = ok & text.rlike(p)
+def structural_score(text: Column, tokens: Column, required: list[str], forbidden: list[str], budget: int) -> Column:
+    """struct(passed, reason): text that is not blank, ended before its budget of tokens, and has the patterns in any case."""
+    missing = F.array_compact(F.array(*[F.when(~text.rlike(f"(?ims){p}"), F.lit(p)) for p in required]).cast("array<string>"))
+    reason = F.when(text.isNull() | is_blank(text), "empty response").when(tokens.isNull() | (tokens >= budget), "generation reached the token budget")
     for p in forbidden:
-        ok = ok & ~text.rlike(p)
-    return F.coalesce(ok, F.lit(False))
+        reason = reason.when(text.rlike(f"(?im){p}"), f"forbidden pattern matched: {p}")
+    reason = reason.when(F.size(missing) > 0, F.concat(F.lit("missing required patterns: "), F.array_join(missing, ", ")))
+    return F.struct(reason.isNull().alias("passed"), reason.alias("reason"))
 
 
 def marked_passes(stderr: Column, marker: str, total: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256
+from ..work import written
 
-#: Bits of the ordering hash by which running sums are cut into ranges.
+#: Ranges of the ordering hash by which running sums are cut: its first two digits.
 RANGES = 256
 
 
@@ -47,7 +48,7 @@ def leakage_safe_split(retained: DataFrame, *, fraction: float, seed: int, order
     the target, under it on a tie.  order: "native" sorts by a salted hash; "compat" shuffles the sorted prompts with
     Python's generator, on the driver, for splits that must equal ones made so.
     """
-    groups = prompt_groups(retained).persist()  # a hash and a count each; read three times
+    groups = written(prompt_groups(retained), "prompt-groups")  # a hash and a count each; read three times
     total = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     target = validation_target(total, fraction)
     if order == "compat":

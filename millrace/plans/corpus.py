@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import with_fingerprints
 from ..operators import filters
 from ..operators.checks import first_failing
+from ..work import written
 
 STAGES = ("content", "validation", "length")
 
@@ -59,11 +60,21 @@ def _scanned(classified: DataFrame, seen: DataFrame | None, requested: int) -> D
     return out.join(starts.where(F.col("_start") < requested), "_range").withColumn("_before", F.col("_start") + before).where(F.col("_before") < requested).drop("_ok", "_range", "_start", "_before")
 
 
+NARROW = ("input_index", "stage", "stage_reasons", "token_count", "prompt_sha256", "response_sha256", "record_sha256")
+
+
 class Composition(NamedTuple):
+    """scanned and accepted hold what was decided of each row (NARROW and source_order), not the records."""
+
     scanned: DataFrame
     accepted: DataFrame
     stats: DataFrame
 
+    def records(self, sources: dict[str, DataFrame], budgets: list[Budget]) -> DataFrame:
+        """The accepted records themselves with source_order: the one join that moves them."""
+        parts = [sources[b.source_id].join(self.accepted.where(F.col("source_order") == i).select("input_index", "source_order", "record_sha256"), "input_index") for i, b in enumerate(budgets)]
+        return reduce(DataFrame.unionByName, parts)
+
 
 def compose(sources: dict[str, DataFrame], budgets: list[Budget], fill: str, *, validator: Column | None = None, least: int = 1, most: int = 2048) -> Composition:
     """accepted rows have source_order, that of the configuration, which is also the output's.
@@ -75,8 +86,9 @@ def compose(sources: dict[str, DataFrame], budgets: list[Budget], fill: str, *,
     short, stats, seen = 0, [], None
     for budget in sorted(budgets, key=lambda b: (b.source_id == fill, order[b.source_id])):
         requested = budget.target + (short if budget.source_id == fill else 0)
-        rows = _scanned(classify(sources[budget.source_id], validator, least, most), seen, requested)
-        rows = rows.withColumn("source_order", F.lit(order[budget.source_id])).persist()
+        # texts are read, checked and hashed once; what follows moves only what was decided of them
+        decided = written(classify(sources[budget.source_id], validator, least, most).select(*NARROW), "classified")
+        rows = written(_scanned(decided, seen, requested).withColumn("source_order", F.lit(order[budget.source_id])), "scanned")
         counts = {r["stage"]: r["n"] for r in rows.groupBy("stage").agg(F.count("*").alias("n")).collect()}
         got = counts.get(None, 0)
         short = max(0, requested - got) + (short if budget.source_id != fill else 0)

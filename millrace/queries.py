@@ -43,7 +43,16 @@ def hashed(spark, sf):
     return dedup.with_identity(text.with_fingerprints(docs(spark, sf)))
 
 
+def decided(spark, sf):
+    """What exact dedup decides of each record, without its messages."""
+    return dedup.duplicate_decisions(dedup.fingerprint_table(docs(spark, sf)))
+
+
 def retained(spark, sf):
+    return decided(spark, sf).where("retained")
+
+
+def retained_records(spark, sf):
     return dedup.exact_duplicates(docs(spark, sf)).where("retained")
 
 
@@ -152,13 +161,14 @@ def q_validator_evidence(spark, sf):
     return rows.select("input_index", filters.validation_passed().alias("passed"), F.explode("validation.results").alias("r")).select("input_index", "passed", "r.validator_id", "r.detail")
 
 
-@query()
+@query("""SELECT event_id, event_id % 4 IN (0, 3) AS passed, CASE WHEN event_id % 4 IN (0, 3) THEN 'reason=validated_standalone_python' WHEN event_id % 4 = 1 THEN 'reason=python2_print_statement'
+ELSE 'reason=syntax_error;line=1;offset=7' END AS detail FROM events""")
 def q_python_quality(spark, sf):
     """Python rows made of the events: some parse, some are Python 2, some do not parse."""
     rows = table(spark, sf, "events").select("event_id", (F.col("event_id") % 4).alias("k"), "event_type")
     made = F.when(F.col("k") == 0, F.concat(F.lit("def f():\n    return '"), "event_type", F.lit("'\n"))).when(F.col("k") == 1, F.concat(F.lit("print '"), "event_type", F.lit("'\n")))
     made = made.when(F.col("k") == 2, F.concat(F.lit("def f(:\n    "), "event_type")).otherwise(F.concat(F.lit("```python\nx = '"), "event_type", F.lit("'\n```")))
-    q = code.python_quality(F.lit("python"), F.lit(None).cast("string"), made)
+    q = code.python_quality(F.lit("python"), F.lit(None).cast("array<string>"), made)
     return rows.select("event_id", q.alias("q")).select("event_id", "q.passed", "q.detail")
 
 
@@ -200,13 +210,13 @@ def q_dedup_keep(spark, sf):
 @query(f"""WITH {_HASHED} SELECT input_index, input_index = first_index AS retained, CASE WHEN first_index < input_index THEN first_index END AS content_duplicate_of,
 CAST(NULL AS BIGINT) AS source_duplicate_of, CASE WHEN first_index < input_index THEN 'duplicate_content' ELSE '' END AS reasons FROM h JOIN first USING (record_sha256)""")
 def q_dedup_annotated(spark, sf):
-    return dedup.exact_duplicates(docs(spark, sf)).select("input_index", "retained", "content_duplicate_of", "source_duplicate_of", F.array_join("reasons", ",").alias("reasons"))
+    return decided(spark, sf).select("input_index", "retained", "content_duplicate_of", "source_duplicate_of", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"""WITH {_HASHED} SELECT 0 AS position, 'duplicate_content' AS reason, count(*) FILTER (first_index < input_index) AS n FROM h JOIN first USING (record_sha256)
 UNION ALL SELECT 1, 'duplicate_source_record', 0""")
 def q_dedup_reason_counts(spark, sf):
-    return filters.reason_counts(dedup.exact_duplicates(docs(spark, sf)), dedup.REASONS)
+    return filters.reason_counts(decided(spark, sf), dedup.REASONS)
 
 
 @query(f"WITH {_HASHED} SELECT source_id, count(DISTINCT record_sha256) AS contents FROM h GROUP BY source_id HAVING count(DISTINCT record_sha256) > 1")
@@ -286,20 +296,20 @@ o AS (SELECT id, item_id, CAST(c AS DOUBLE) / least(na.n, nb.n) AS score FROM p
 
 @query(_SHINGLES + " SELECT id AS training_record_sha256, CAST(item_id AS VARCHAR) AS protected_record_id, round_even(score, 6) AS score FROM o WHERE score >= 0.8")
 def q_contam_overlap(spark, sf):
-    found = contamination.training_findings(retained(spark, sf), protected(spark, sf)).where("finding_type = 'high_solution_overlap'")
+    found = contamination.training_findings(retained_records(spark, sf), protected(spark, sf)).where("finding_type = 'high_solution_overlap'")
     return found.select("training_record_sha256", "protected_record_id", "score")
 
 
 @query(f"""WITH {_HASHED}, lines AS (SELECT DISTINCT item_id, sha256('{{"messages":[{{"content":' || {_js("text")} || ',"role":"user"}}],"schema_version":1}}') AS k FROM benchmark)
 SELECT record_sha256 AS training_record_sha256, CAST(item_id AS VARCHAR) AS protected_record_id FROM kept JOIN lines ON k = prompt_sha256""")
 def q_contam_exact(spark, sf):
-    found = contamination.training_findings(retained(spark, sf), protected(spark, sf)).where("checker_id = 'exact_prompt'")
+    found = contamination.training_findings(retained_records(spark, sf), protected(spark, sf)).where("checker_id = 'exact_prompt'")
     return found.select("training_record_sha256", "protected_record_id")
 
 
 @query()
 def q_contam_summary(spark, sf):
-    found = contamination.training_findings(retained(spark, sf), protected(spark, sf))
+    found = contamination.training_findings(retained_records(spark, sf), protected(spark, sf))
     return found.groupBy("checker_id", "finding_type").agg(F.count("*").alias("findings"), F.count_distinct("training_record_sha256").alias("records"))
 
 
@@ -373,7 +383,7 @@ def q_stage_counts(spark, sf):
 @query(f"""WITH {_HASHED} SELECT source_id, 'r1' AS revision, count(*) AS input, count(*) FILTER (input_index = first_index) AS prepared, true AS one_license
 FROM h JOIN first USING (record_sha256) GROUP BY source_id""")
 def q_source_summary(spark, sf):
-    return manifest.source_summary(docs(spark, sf), retained(spark, sf))
+    return manifest.source_summary(docs(spark, sf), retained_records(spark, sf))
 
 
 @query(f"""WITH {_HASHED}, b AS (SELECT input_index // 10000 AS block, count(*) AS n, sha256(string_agg(record_sha256, ',' ORDER BY input_index)) AS d FROM kept GROUP BY 1)
@@ -584,7 +594,7 @@ def q_alignment_spans(spark, sf):
     return spans.select("session_id", F.size("spans").cast("long").alias("n_spans"), F.coalesce(F.get("spans", F.lit(0))["start"], F.lit(-1)).cast("long").alias("first_start"), total.cast("long").alias("n_true"))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def q_stream_resume(spark, sf):
     """The events through the resumable stream, run twice: the second run finds nothing new."""
     import uuid
@@ -675,9 +685,21 @@ def q_source_guard(spark, sf):
 @query("""WITH e AS (SELECT doc_id, lang, text FROM documents), x AS (SELECT DISTINCT l.doc_id FROM e l JOIN e r ON l.text = r.text AND l.lang <> r.lang) SELECT doc_id AS entry_id, doc_id NOT IN (SELECT doc_id FROM x) AS admitted FROM e""")
 def q_admission(spark, sf):
     entries = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.col("lang").alias("role"), "text")
-    pairs = contamination.cross_partition_collisions(entries)
-    found = pairs.select(F.col("left_id").alias("entry_id")).unionAll(pairs.select(F.col("right_id").alias("entry_id")))
-    return contamination.admission(entries.select("entry_id"), found)
+    return contamination.admission(entries.select("entry_id"), contamination.cross_partition_members(entries))
+
+
+@query("""WITH g AS (SELECT text, lang AS role, count(*) AS entries, min(doc_id) AS least FROM documents GROUP BY text, lang)
+SELECT sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_sha256, role, entries, least FROM g WHERE text IN (SELECT text FROM g GROUP BY text HAVING count(*) > 1)""")
+def q_cross_partition_groups(spark, sf):
+    return contamination.cross_partition_groups(table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.col("lang").alias("role"), "text"))
+
+
+@query("""WITH e AS (SELECT doc_id, doc_id % 2 AS role, text FROM documents), o AS (SELECT text, role, min(doc_id) AS least FROM e GROUP BY text, role)
+SELECT e.doc_id AS entry_id, CASE WHEN e.role = 0 THEN 'development' ELSE 'train' END AS role, o.least AS other_id FROM e JOIN o ON e.text = o.text AND e.role <> o.role""")
+def q_cross_partition_members(spark, sf):
+    role = F.when(F.col("doc_id") % 2 == 0, "development").otherwise("train")
+    entries = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), role.alias("role"), "text")
+    return contamination.cross_partition_members(entries).select("entry_id", "role", "other_id")
 
 
 @query()
@@ -735,3 +757,84 @@ def q_promotion_policy(spark, sf):
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline's stage counts, the flagship."""
     return pipeline.stage_counts(pipeline.prepare(docs(spark, sf), least=40, protected=None, fraction=None))
+
+
+# --- contracts, salvage and scoring over made-up columns -------------------------------------------------
+
+
+def _kind(spark, sf, n):
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "text", F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).alias("k"))
+
+
+def _choose(k, *values):
+    """The value at place k."""
+    out = F.lit(None)
+    for i, v in enumerate(values):
+        out = F.when(k == i, v).otherwise(out)
+    return out
+
+
+_STATUSES = ["ok", "ok", "keys", "schema_version", "entry_point", "unverifiable_with_fields", "reason", "bad_json", "unclosed_reasoning", "tests"]
+
+
+@query("SELECT doc_id, CAST((" + repr(_STATUSES) + ")[1 + doc_id % 10] AS VARCHAR) AS status, CASE WHEN doc_id % 10 IN (0, 1) THEN lang END AS reason FROM documents")
+def q_contract_status(spark, sf):
+    def contract(version="1", verifiable="true", entry='"f"', tests='"assert f(1)"', reason=F.col("lang"), last="}"):
+        head = F.lit(f'{{"schema_version":{version},"verifiable":{verifiable},"entry_point":{entry},"reference_solution":{"null" if verifiable == "false" else chr(34) + "x" + chr(34)},"tests":{tests},"reason":"')
+        return F.concat(head, reason, F.lit('"' + last))
+
+    none = {"verifiable": "false", "entry": "null"}
+    rows = _kind(spark, sf, 10)
+    made = _choose(
+        F.col("k"), contract(), F.concat(F.lit("<think>"), F.col("lang"), F.lit("</think>\n"), contract(**none, tests="null")), contract(last=',"more":1}'), contract(version="2"), contract(entry='"1f"'),
+        contract(**none), contract(reason=F.lit(" ")), contract(last=""), F.concat(F.lit("<think>"), contract()), contract(tests="[1]"),
+    )
+    parsed = rows.select("doc_id", code.parse_contract(made).alias("c")).select("doc_id", "c.status", "c.fields.reason")
+    return parsed.select("doc_id", "status", F.when(F.col("status") == "ok", F.col("reason")).alias("reason"))
+
+
+_REASONS = ["static_valid", "reference_missing_entry_point", "tests_redefine_entry_point", "tests_rebind_entry_point", "too_few_entry_point_assertions:1", "forbidden_import:time", "forbidden_call:breakpoint", "syntax_error:1"]
+
+
+@query("SELECT event_id, event_id % 8 = 0 AS ok, CAST((" + repr(_REASONS) + ")[1 + event_id % 8] AS VARCHAR) AS reason, CASE WHEN event_id % 8 IN (0, 5, 6) THEN 8 WHEN event_id % 8 = 4 THEN 1 ELSE 0 END AS assertions FROM events")
+def q_contract_verdict(spark, sf):
+    k = F.col("event_id") % 8
+    good = "\n".join(f"assert f({i}) == {i}" for i in range(8))
+    reference = _choose(k, *map(F.lit, ["def f(x): return x", "def g(x): return x", *["def f(x): return x"] * 3, "import time\ndef f(x): return x", "def f(x): return breakpoint()", "def f(:"]))
+    tests = _choose(k, *map(F.lit, [good, good, "def f(x): return x", "f = 1", "assert f(1)", good, good, good]))
+    rows = table(spark, sf, "events").select("event_id", reference.alias("r"), tests.alias("t"), F.lit("f").alias("f"))
+    return rows.select("event_id", code.contract_check("f", "r", "t").alias("v")).select("event_id", "v.ok", "v.reason", "v.assertions")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'wrapped' WHEN 1 THEN 'closing-only' WHEN 2 THEN 'truncated-reasoning-only' ELSE 'refused' END AS mode,
+CASE WHEN doc_id % 5 <= 2 THEN lang END AS reasoning, CASE WHEN doc_id % 5 <= 1 THEN source WHEN doc_id % 5 = 2 THEN '' END AS answer FROM documents""")
+def q_salvage(spark, sf):
+    rows = _kind(spark, sf, 5)
+    made = _choose(F.col("k"), F.concat(F.lit("<think>"), "lang", F.lit("</think>"), "source"), F.concat("lang", F.lit("</think>"), "source"), F.col("lang"), F.col("source"), F.concat(F.lit("<think>"), "lang"))
+    done = rows.select("doc_id", made.alias("completion"), F.when(F.col("k") == 2, "length").otherwise("stop").alias("finish_reason"))
+    return distill.salvage(done).select("doc_id", "mode", "reasoning", "answer")
+
+
+@query("SELECT doc_id, doc_id % 6 IN (0, 2, 4) AS passed FROM documents")
+def q_response_score(spark, sf):
+    rows = _kind(spark, sf, 6)
+    call = F.concat(F.lit('{"name":"run","arguments":{"a":"'), "lang", F.lit('","b":1}}'))
+    turned = F.concat(F.lit('<tool_call>{"arguments": {"b": 1, "a": "'), "lang", F.lit('"}, "name": "run"}</tool_call>'))
+    pair = F.concat(F.lit('{"x":"'), "lang", F.lit('"}'))
+    k = F.col("k")
+    kind = F.when(k < 2, "exact").when(k < 4, "json").otherwise("tool_call")
+    expected = F.when(k < 2, F.col("lang")).when(k < 4, pair).otherwise(call)
+    response = _choose(k, F.col("lang"), F.concat("lang", F.lit(" ")), F.concat(F.lit(" "), pair), F.concat(F.lit("so: "), pair), turned, F.concat(F.lit("I call "), turned))
+    return rows.select("doc_id", evaluation.response_score(kind, expected, response).alias("passed"))
+
+
+@query("""SELECT doc_id, n_chars < 900 AND NOT regexp_matches(text, 'licen[sc]e', 'i') AND regexp_matches(text, '(?im)^t') AS passed FROM documents""")
+def q_structural_score(spark, sf):
+    rows = table(spark, sf, "documents")
+    return rows.select("doc_id", evaluation.structural_score(F.col("text"), F.col("n_chars"), ["^t"], ["licen[sc]e"], 900)["passed"].alias("passed"))
+
+
+@query()
+def q_findings_order(spark, sf):
+    """The environment findings in the order of a report."""
+    return contamination.in_order(q_environment_findings(spark, sf))

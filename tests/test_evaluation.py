@@ -54,12 +54,14 @@ def test_reproduction_selection_and_gates(spark):
 
 
 def test_scoring(spark):
-    rows = [("exact", "a", "a", True), ("json", '{"a":1,"b":[2]}', '{"b":[2],"a":1}', True), ("json", "{}", "no", False), ("tool_call", '{"n":1}', 'x <tool_call>\n{"n": 1}\n</tool_call>', True), ("exact", "a", None, False)]
+    rows = [("exact", "a", "a", True), ("json", '{"a":1,"b":[2]}', '{"b":[2],"a":1}', True), ("json", "{}", "no", False), ("tool_call", '{"n":1}', 'x <tool_call>{"n":1}</tool_call>', False), ("tool_call", '{"n":1}', '<tool_call>\n{"n": 1}\n</tool_call>', True), ("exact", "a", None, False)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, expected string, response string, want boolean")
     assert all(r.got == r.want for r in df.select("want", ev.response_score(F.col("kind"), F.col("expected"), F.col("response")).alias("got")).collect())
     one = spark.createDataFrame([("PASS:1\nPASS:3\nPASS:3\nPASS:9\nxPASS:2",)], "e string")
     assert one.select(ev.marked_passes(F.col("e"), "PASS:", F.lit(4))).first()[0] == 2
-    assert spark.createDataFrame([("fn main",)], "t string").select(ev.structural_score(F.col("t"), ["fn "], ["unsafe"], 20)).first()[0]
+    cases = [("Fn main\nend", 5, None), (" \n", 5, "empty response"), (None, 5, "empty response"), ("fn main", 20, "generation reached the token budget"), ("fn UNSAFE", 5, "forbidden pattern matched: unsafe"), ("main", 5, "missing required patterns: fn .*end")]
+    scored = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(cases)], "i int, t string, n int").select("i", ev.structural_score(F.col("t"), F.col("n"), ["fn .*end"], ["unsafe"], 20).alias("s")).orderBy("i").collect()
+    assert [r.s.reason for r in scored] == [c[2] for c in cases] and [r.s.passed for r in scored] == [c[2] is None for c in cases]
     kinds = spark.createDataFrame([("ok", 2, 2), ("ok", 1, 2), ("timeout", 0, 2), ("not_started", 0, 2), ("syntax_error", 0, 2), ("crash", 0, 2)], "s string, p int, t int")
     assert [r[0] for r in kinds.select(ev.outcome_category(F.col("s"), F.col("p"), F.col("t"))).collect()] == ["none", "assertion", "timeout", "harness", "syntax", "runtime"]
 
@@ -69,8 +71,10 @@ def test_distillation(spark):
     payload = spark.createDataFrame([(0, 2, "a"), (1, 2, "b"), (2, 1, "c")], "shard long, n long, sha256 string")
     sidecar = spark.createDataFrame([(0, "a"), (1, "x"), (2, "c"), (3, "d")], "shard long, sha256 string")
     assert {r.shard: r.status for r in distill.shard_status(expected, payload, sidecar).collect()} == {0: "complete", 1: "corrupt", 2: "incomplete", 3: "error"}
-    done = spark.createDataFrame([("<think>r</think>a", "stop"), ("a", "stop"), ("<think>r", "stop"), ("a", "length")], "completion string, finish_reason string")
-    assert [r["mode"] for r in distill.salvage(done).collect()] == ["split", "clean", "malformed", "unfinished"]
+    done = spark.createDataFrame([("<think>r</think>a", "stop"), ("a", "stop"), ("<think>r", "stop"), ("hidden thought", "length"), ("r</think>a", "stop")], "completion string, finish_reason string")
+    got = distill.salvage(done).collect()
+    assert [r["mode"] for r in got] == ["wrapped", "refused", "refused", "truncated-reasoning-only", "closing-only"]
+    assert [(r.reasoning, r.answer) for r in got] == [("r", "a"), (None, None), (None, None), ("hidden thought", ""), ("r", "a")]
     rows = spark.createDataFrame([("stop", 3000, 2000, 1500), ("stop", 3000, 1000, 1500), ("length", 3000, 2000, 1500)], "finish_reason string, full_tokens int, answer_tokens int, budget int")
     assert distill.compression_targets(rows).count() == 1 and distill.compression_violations(rows).count() == 1
     source = spark.createDataFrame([(0, [("user", "q"), ("assistant", "old")], "r0", "p0"), (1, [("user", "q"), ("assistant", "old")], "r1", "p1"), (2, [("user", "q"), ("assistant", "old")], "r2", "p2")], "input_index long, messages array<struct<role:string,content:string>>, record_sha256 string, prompt_sha256 string")

@@ -104,17 +104,17 @@ def test_masks_and_truncation(spark):
 
 def test_python_quality(spark):
     cases = {
-        "x = 1": "valid_standalone", "def f(:\n  pass": "syntax_error", "print 'a'": "python2_print_statement", "print  (x)": "python2_print_statement", "print(x)": "valid_standalone",
+        "x = 1": "validated_standalone_python", "def f(:\n  pass": "syntax_error", "print 'a'": "python2_print_statement", "print  (x)": "python2_print_statement", "print(x)": "validated_standalone_python",
         "just prose here": "not_applicable_non_standalone", "```\nx\n```": "not_applicable_unlabeled_fence", "```js\nx\n```": "not_applicable_non_python_fence", "a ```x``` b": "not_applicable_mixed_content",
-        "```python\nx = 1\n```": "valid_standalone", "return x": "not_applicable_fragment", "  x = 1": "not_applicable_fragment", "diff --git a b": "not_applicable_diff", "#!/usr/bin/env python\nx = 1": "valid_standalone",
+        "```python\nx = 1\n```": "validated_standalone_python", "return x": "not_applicable_fragment", "  x = 1": "not_applicable_fragment", "diff --git a b": "not_applicable_diff", "#!/usr/bin/env python\nx = 1": "validated_standalone_python", "#!/usr/bin/env python\nHello there world": "not_applicable_non_standalone", "\n\tdiff --git a b": "not_applicable_diff",
         "import os\nraise E, 'x'": "python2_raise_syntax", "x = 10L": "python2_long_literal", "import a\nif a <> b: pass": "python2_not_equal",
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")
-    q = code.python_quality(F.lit("python"), F.lit(None).cast("string"), F.col("t"))
+    q = code.python_quality(F.lit("python"), F.lit(None).cast("array<string>"), F.col("t"))
     for r in df.select("t", q.alias("q")).collect():
         assert r.q.detail.split(";")[0] == f"reason={cases[r.t]}", r
         assert r.q.passed == cases[r.t].startswith(("valid", "not_"))
-    other = df.limit(1).select(code.python_quality(F.lit("rust"), F.lit(None).cast("string"), F.col("t")).alias("a"), code.python_quality(F.lit("python"), F.lit(" Py2"), F.col("t")).alias("b")).first()
+    other = df.limit(1).select(code.python_quality(F.lit("rust"), F.lit(None).cast("array<string>"), F.col("t")).alias("a"), code.python_quality(F.lit("python"), F.array(F.lit(None), F.lit(" Py2\t")), F.col("t")).alias("b")).first()
     assert other.a.detail == "reason=wrong_language" and other.b.detail == "reason=python2_source_metadata"
 
 
@@ -125,9 +125,19 @@ def test_contracts(spark):
              ("f", "def f(:", good, "syntax_error:1"), (None, None, None, "unverifiable")]
     df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, e string, r string, t string")
     assert [v.reason for v in values(df, code.contract_check("e", "r", "t"))] == [c[3] for c in cases]
-    blocks = spark.createDataFrame([(0, "```python\ndef f(): pass\n```\n```python\ndef g(): pass\n```", "f"), (1, "def f(): pass", "f"), (2, "def g(): pass", "f")], "i int, c string, e string")
-    assert values(blocks, code.candidate_block("c", "e")) == ["def f(): pass", "def f(): pass", None]
-    raw = spark.createDataFrame([(0, '{"verifiable":false,"entry_point":null,"reference_solution":null,"tests":null,"reason":"x"}'), (1, '{"reason":"x"}'), (2, "{"), (3, '{"verifiable":true,"entry_point":null,"reference_solution":null,"tests":null,"reason":"x"}')], "i int, t string")
-    assert values(raw, code.parse_contract(F.col("t"))["status"]) == ["ok", "keys", "bad_json", "verifiable_without_fields"]
+    blocks = spark.createDataFrame([(0, "```python\ndef f(): pass\n```\n```python\ndef g(): pass\n```", "f"), (1, "def f(): pass", "f"), (2, "def g(): pass", "f"), (3, "```\ndef f(): pass\n```", "f")], "i int, c string, e string")
+    assert values(blocks, code.candidate_block("c", "e")) == ["def f(): pass", "def f(): pass", None, None]
+    whole = {"schema_version": 1, "verifiable": True, "entry_point": "f", "reference_solution": "x", "tests": "y", "reason": "z"}
+    none = whole | {"verifiable": False, "entry_point": None, "reference_solution": None, "tests": None}
+    wanted = [
+        (whole, "ok"), (none, "ok"), ("<think>r</think> " + json.dumps(whole), "ok"), ("r</think>" + json.dumps(none), "ok"), ("<think>" + json.dumps(whole), "unclosed_reasoning"), ("{", "bad_json"), ("[1]", "bad_json"), (None, "bad_json"),
+        ({k: v for k, v in whole.items() if k != "schema_version"}, "keys"), (whole | {"more": 1}, "keys"), (whole | {"schema_version": 2}, "schema_version"), (whole | {"schema_version": "1"}, "schema_version"),
+        (whole | {"verifiable": "true"}, "verifiable"), (whole | {"reason": " \n"}, "reason"), (whole | {"reason": 3}, "reason"), (none | {"tests": "y"}, "unverifiable_with_fields"),
+        (whole | {"entry_point": "1f"}, "entry_point"), (whole | {"entry_point": None}, "entry_point"), (whole | {"entry_point": "größe_2"}, "ok"), (whole | {"reference_solution": ""}, "reference_solution"), (whole | {"tests": [1]}, "tests"),
+    ]
+    raw = spark.createDataFrame([(i, t if t is None or isinstance(t, str) else json.dumps(t)) for i, (t, _) in enumerate(wanted)], "i int, t string")
+    assert values(raw, code.parse_contract(F.col("t"))["status"]) == [w for _, w in wanted]
+    banned = spark.createDataFrame([(i, "f", f"import {m}\ndef f(x): return x" if m.isidentifier() else f"def f(x): return {m}", good) for i, m in enumerate(("time", "random", "secrets", "tempfile", "breakpoint()", "globals()"))], "i int, e string, r string, t string")
+    assert [v.reason for v in values(banned, code.contract_check("e", "r", "t"))] == [*[f"forbidden_import:{m}" for m in ("time", "random", "secrets", "tempfile")], "forbidden_call:breakpoint", "static_valid"]
     calls = spark.createDataFrame([(0, '{"name":"run","arguments":{"cmd":"x"}}'), (1, '{"name":"run","arguments":{}}'), (2, '{"name":"no","arguments":{}}'), (3, '{"name":"run"}'), (4, "x")], "i int, t string")
     assert values(calls, code.parse_tool_call(F.col("t"), {"run": ["cmd"]})["status"]) == ["ok", "arguments", "unknown_tool", "keys", "bad_json"]
