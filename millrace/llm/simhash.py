@@ -36,6 +36,8 @@ SHINGLE = 3
 #: Of the stage: words in a shingle, and bands and MinHashes in each.
 WORDS = 5
 BANDS, BAND_ROWS = 56, 8
+#: Of the stage: bits by which pairs that differ too much are left out before they become rows.
+BITS = 512
 #: Texts that are found by a broadcast of their keys; more of them are found by a shuffle.
 FEW = 200_000
 _SLICE = 1 << 15
@@ -162,7 +164,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=b) for b, row in enumerate(bands)], dtype=np.uint64).view(np.int64)
 
 
-_SKETCH = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits, as longs: for each of as many classes of hashes, whether the set has an odd number of them.
+
+    Two sets differ in at least as many elements as their bits differ.
+    """
+    odd = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_LONGS = T.ArrayType(T.LongType())
+_SKETCH = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", _LONGS), T.StructField("bits", _LONGS)])
 
 
 @F.pandas_udf(_SKETCH)
@@ -171,9 +183,9 @@ def _sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch:
             words = word_set(text)
-            rows.append((xxhash.xxh3_64_intdigest(words.tobytes()), len(words), band_keys(words)))
+            rows.append((xxhash.xxh3_64_intdigest(words.tobytes()), len(words), band_keys(words), parities(words)))
         ids = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"sid": ids, "n": [r[1] for r in rows], "bands": pd.Series([r[2] for r in rows], dtype=object)})
+        yield pd.DataFrame({"sid": ids, "n": [r[1] for r in rows], "bands": pd.Series([r[2] for r in rows], dtype=object), "bits": pd.Series([r[3] for r in rows], dtype=object)})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -194,7 +206,8 @@ def word_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with the same shingles are one set.  Sets that share a band are candidates, each verified by its
     shingles: first every set of a band against the band's smallest, then all pairs that this has not connected yet, so
-    that a band of many near copies is not held against itself.  Texts without words are copies of one another.
+    that a band of many near copies is not held against itself.  Of these, pairs whose parities() already differ in more
+    elements than the similarity allows, a ninth of both sizes, are left out within the join.  Texts without words are copies of one another.
     Texts of any length are read whole; an empty table gives an empty result.
     """
     texts = keyed(docs)
@@ -215,11 +228,16 @@ def word_duplicates(docs: DataFrame) -> DataFrame:
     named = bands.join(near, bands["sid"] == near["node"], "left").select("band", "sid", "n", F.coalesce("component", "sid").alias("part"))
     mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
     named = materialize(named.join(mixed, "band", "left_semi"), "mixed-bands")
-    a, b = named.select("band", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "part")]), named.select("band", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "part")])
-    rest = a.join(b, "band").where("sid_a < sid_b and part_a <> part_b").where(fits.format("n_a", "n_b")).select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"))
+    marked = named.join(rows.where("n > 0").groupBy("sid").agg(F.first("bits").alias("bits")), "sid")
+    columns = ("sid", "n", "part", *[f"bit{k}" for k in range(BITS // 64)])
+    marked = materialize(marked.select("band", "sid", "n", "part", *[F.get("bits", F.lit(k)).alias(f"bit{k}") for k in range(BITS // 64)]), "marked")
+    a, b = (marked.select("band", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
+    apart = " + ".join(f"bit_count(bit{k}_a ^ bit{k}_b)" for k in range(BITS // 64))
+    close = F.expr(f"sid_a < sid_b and part_a <> part_b and {fits.format('n_a', 'n_b')} and 9 * ({apart}) <= n_a + n_b")
+    rest = a.join(b, (a["band"] == b["band"]) & close).select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"))
     more = materialize(_similar(rest.distinct(), sets), "other-links")
     parts = connected_components(links.unionAll(more))
-    for table in (bands, sets, links, named, more):
+    for table in (bands, sets, links, named, marked, more):
         discard(table)
     return rows.join(parts, rows["sid"] == parts["node"], "left").select("doc_id", "tkey", F.coalesce("component", "sid").alias("part"))
 
