@@ -139,13 +139,16 @@ class Cut:
             return 0, "", self.text
         at: dict[int, int] = {}  # code points of the borders of units that go
         touched = set()
+        words_at: dict[int, list[int]] = {}  # code points of a sentence's words, found once
         for k in sorted({int(x) for u in gone.tolist() for x in (self.borders[u], self.borders[u + 1])}):
             s = int(np.searchsorted(self.starts, k, side="left"))
             if s < len(self.starts) and self.starts[s] == k:
                 at[k] = self.sentences[s][0] if s < len(self.sentences) else len(self.text)
             else:
                 a, b = self.sentences[s - 1]
-                at[k] = a + [m.start() for m in _WORD.finditer(self.text[a:b])][k - int(self.starts[s - 1])]
+                if s not in words_at:
+                    words_at[s] = [a + m.start() for m in _WORD.finditer(self.text[a:b])]
+                at[k] = words_at[s][k - int(self.starts[s - 1])]
         spans: list[list[int]] = []
         for u in gone.tolist():
             a, b = at[int(self.borders[u])], at[int(self.borders[u + 1])]
