@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -60,7 +60,7 @@ def _crc_step(byte: int) -> int:
     return crc & 0xFFFF
 
 
-@cache
+@lru_cache(maxsize=4096)  # frames of one stream often share these bytes
 def crc16(data: bytes) -> int:
     crc = 0xFFFF
     for byte in data:
@@ -185,6 +185,8 @@ def _scan(data: bytes, at: int, end: int, tags: dict[str, str]) -> Media:
                 main = at + lead + side
                 if not frames and table is None and data[main : main + 4] in (b"Xing", b"Info"):
                     table = _vbr(data[main:after])
+                elif not frames and table is None and data[at + _HEAD + 32 : at + _HEAD + 36] == b"VBRI":
+                    table = _vbri(data[at + _HEAD + 32 : after])
                 else:
                     frames.append(Frame(at, length, version, kbit, rate, channels, 1152 if version == 3 else 576, lead + side, ok))
                 at = after
@@ -209,9 +211,19 @@ def _vbr(body: bytes) -> tuple[int, int, bytes]:
     return frames, size, toc
 
 
-def payload_of(data: bytes, media: Media) -> bytes:
-    out = b"".join(data[f.offset + f.before : f.offset + f.length] for f in media.frames)
-    return out[: int(media.tags["payload"])]
+def _vbri(body: bytes) -> tuple[int, int, bytes]:
+    """The other table of variable bitrates, 32 bytes after the header: frames, bytes, and its entries as they are."""
+    number = lambda at, n: int.from_bytes(body[at : at + n], "big")
+    entries, width = number(18, 2), number(22, 2)
+    return number(14, 4), number(10, 4), body[26 : 26 + entries * width]
+
+
+def payload_of(data: bytes, media: Media) -> bytes | None:
+    """The payload that store() put in; None of a stream that does not say how long it is."""
+    length = media.tags.get("payload", "")
+    if not length.isascii() or not length.isdigit():
+        return None
+    return b"".join(data[f.offset + f.before : f.offset + f.length] for f in media.frames)[: int(length)]
 
 
 def duration_us(media: Media) -> int:
@@ -222,7 +234,10 @@ def duration_us(media: Media) -> int:
     return sum(n * 1_000_000 // rate for rate, n in samples.items())
 
 
-def feature(media: Media) -> str:
+def feature(media: Media) -> str | None:
+    """What the frames, the checks and the table say; None without frames."""
+    if not media.frames:
+        return None
     f = media.frames[0]
     checked = sum(bool(x.crc_ok) for x in media.frames)
     offsets = " ".join(str(x.offset) for x in media.frames)
@@ -248,7 +263,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 _PROBE = T.StructType(
     [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType())]
     + [T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
-    + [T.StructField("duration_us", T.LongType()), T.StructField("seek_offsets", T.ArrayType(T.LongType()))]
+    + [T.StructField("duration_us", T.LongType()), T.StructField("seek_offsets", T.ArrayType(T.LongType())), T.StructField("reason", T.StringType())]
 )
 
 
@@ -257,16 +272,23 @@ def _probe(streams: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in streams:
         rows = []
         for data in batch:
+            if data is None:
+                rows.append((*[None] * 8, "no media"))
+                continue
             media = read(data)
             payload = payload_of(data, media)
-            rows.append(
-                (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD_TO:]), len(data), hashlib.sha256(data).hexdigest())
-                + (feature(media), duration_us(media), [f.offset for f in media.frames])
-            )
+            own = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD_TO:]))
+            reason = "no frames" if not media.frames else "no payload" if payload is None else None
+            rows.append((*own, len(data), hashlib.sha256(data).hexdigest(), feature(media), duration_us(media), [f.offset for f in media.frames], reason))
         yield frame(rows, _PROBE.names)
 
 
 def probe(stored: DataFrame) -> DataFrame:
-    """The columns of stored but media, and what reading the streams back gives."""
+    """The columns of stored but media, and what reading the streams back gives.
+
+    reason is null for streams of store(); else "no media" (null: all else is null), "no frames" (empty or foreign bytes: no
+    feature, duration 0) or "no payload" (another's stream of layer III: its payload columns are null).  Damaged frames are passed over.
+    Layers I and II are not read.  Equal streams give equal rows, whatever their length; an empty table gives none.
+    """
     rest = [c for c in stored.columns if c != "media"]
     return stored.select(*rest, _probe("media").alias("probe")).select(*rest, "probe.*")

@@ -83,3 +83,17 @@ def test_tag_marks_within_the_payload_are_no_tag():
     text = b"x" * 29 + b"TAG" + b"x" * 60
     stream = ma.store(ma.padded(text))
     assert ma.payload_of(stream, ma.read(stream)) == ma.padded(text) and ma.feature(ma.read(stream))
+
+
+def test_foreign_empty_null_and_damaged_media(spark):
+    own = ma.store(ma.padded(b"abc" * 900))
+    plain = b"".join(own[f.offset : f.offset + f.length] for f in ma.read(own).frames)  # frames without tags
+    rows = [(1, None), (2, b""), (3, b"no audio at all" * 50), (4, plain), (5, own[:300] + b"\x00" * 9 + own[300:]), (6, own)]
+    out = {r.doc_id: r for r in ma.probe(spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, m in rows], "doc_id long, media binary")).collect()}
+    assert [out[i].reason for i in range(1, 7)] == ["no media", "no frames", "no frames", "no payload", None, None]
+    assert out[2].feature is None and out[2].duration_us == 0 and out[4].feature and out[4].payload_sha256 is None and out[6].payload_bytes == 2752
+
+
+def test_vbri_table():
+    body = b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + (5000).to_bytes(4, "big") + (12).to_bytes(4, "big") + (3).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (4).to_bytes(2, "big") + b"aabbcc"
+    assert ma._vbri(body) == (12, 5000, b"aabbcc")
