@@ -156,7 +156,11 @@ def trigram_query(pattern: str) -> frozenset:
 
     The clause without trigrams stands for a regex that has no mandatory ones.
     """
-    query = _closed(_sequence(sre_parser.parse(pattern)))
+    parsed = sre_parser.parse(pattern)
+    query = _closed(_sequence(parsed))
+    # the index holds ASCII trigrams; i, k and s match letters beyond ASCII where case is ignored
+    odd = frozenset("iks") if re.compile(pattern).flags & re.IGNORECASE or "(?i" in pattern else frozenset()
+    query = frozenset(frozenset(t for t in clause if t.isascii() and odd.isdisjoint(t)) for clause in query)
     return ANY if frozenset() in query else query
 
 
@@ -226,7 +230,7 @@ def spans_of(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[str,
 
 def _compiled(rule: Rule) -> re.Pattern:
     # a run of one class is as long at every start: the least length can be asked for at once
-    single = rule.group == 0 and rule.pattern.endswith("]+") and rule.pattern.startswith("[")
+    single = rule.group == 0 and re.fullmatch(r"\[\^?\]?(?:[^\]\\]|\\.)*\]\+", rule.pattern, re.DOTALL)
     return re.compile(f"{rule.pattern[:-1]}{{{rule.least},}}" if single else rule.pattern)
 
 

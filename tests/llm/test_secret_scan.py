@@ -61,3 +61,11 @@ def test_edge_rows_and_redaction(spark):
     rows = sorted((str(r.doc_id), str(r.text), r.n_chars) for r in out.collect())
     assert rows == sorted([("None", "None", 0), ("None", "[SECRET]", 8), ("1", "", 0), ("2", "x " * 60000 + "[SECRET]", 120008), ("2", "no secrets", 10), ("2", "no secrets", 10)])
     assert len(ss.scan(df).collect()) == 6 and ss.scan(df.limit(0)).collect() == []
+
+
+def test_rules_beyond_ascii_and_beyond_one_class(spark):
+    rules = (ss.Rule("umlaut", "größe_[a-z]+"), ss.Rule("fold", "(?i)kiste_token"), ss.Rule("two", "[a-z]_[0-9]+", 0, 8))
+    texts = ["die größe_abc", "KISTE_TOKEN", "a_123456 a_1", "Kiste_Token", "nothing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.begin, s.end) for s in r.spans] for r in ss.scan(df, rules).collect()}
+    assert got == {0: [("umlaut", 4, 13)], 1: [("fold", 0, 11)], 2: [("two", 0, 8)], 3: [("fold", 0, 11)], 4: []}
