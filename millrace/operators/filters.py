@@ -53,7 +53,9 @@ def with_validation(records: DataFrame, validators: dict[str, Validator]) -> Dat
     results = F.col("validation.results")
     shape = "array<struct<validator_id:string,passed:boolean,detail:string>>"
     old = F.coalesce(results, F.array().cast(shape))
-    new = [F.struct(F.lit(i).alias("validator_id"), v(records)["passed"].alias("passed"), v(records)["detail"].alias("detail")) for i, v in validators.items()]
+    # each validator is one column, so that one with a UDF runs once a row
+    verdicts = {i: v(records) for i, v in validators.items()}
+    new = [F.struct(F.lit(i).alias("validator_id"), v["passed"].alias("passed"), v["detail"].alias("detail")) for i, v in verdicts.items()]
     both = F.concat(old, F.array(*new).cast(shape)) if new else old
     ids = F.transform(both, lambda r: r["validator_id"])
     return records.withColumns({"id_collision": F.size(F.array_distinct(ids)) < F.size(ids), "validation": F.struct(both.alias("results"))})
@@ -71,6 +73,11 @@ def language_validator(language: str) -> Validator:
     return check
 
 
+def python_validator(records: DataFrame) -> Column:
+    """The language validator of Python records, as a hook by name."""
+    return language_validator("python")(records)
+
+
 def word_token_count(messages: Column) -> Column:
     """The stand-in tokenizer: two tokens, and one for each word of all messages."""
     words = lambda m: F.size(F.filter(F.split(m["content"], r"\s+"), lambda w: w != ""))

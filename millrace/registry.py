@@ -61,4 +61,4 @@ def load(reference: str) -> Callable:
     return hook
 
 
-PYTHON = add_language(Language("python", ("py", "python3"), (".py",), ("millrace.operators.filters:language_validator",)))
+PYTHON = add_language(Language("python", ("py", "python3"), (".py",), ("millrace.operators.filters:python_validator",)))

@@ -10,20 +10,39 @@ import stat
 import zipfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import json_array, json_object, json_string
 from ..operators.checks import assert_empty, membership_drift, repeated_keys
 from ..schema import RECORD, RECORD_KEYS
+from ..work import written
+
+
+#: Blocks of files whose first lines are broadcast; more of them are joined by a shuffle.
+FEW_BLOCKS = 100_000
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(input_index, line_number, line): a task reads blocks of files, each in order, and the blocks' counts place them."""
+    block = ["file_path", "file_block_start"]
+    lines = spark.read.text(path).select(*[f"_metadata.{c}" for c in block], F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    sizes = lines.groupBy(*block).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    within = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0))
+    places = written(sizes.select(*block, (total(before) - F.col("_low")).alias("_start"), (total(within) - F.col("_low")).alias("_line")), "blocks")
+    placed = lines.join(F.broadcast(places) if places.count() <= FEW_BLOCKS else places, block)
+    return placed.select((F.col("_start") + F.col("_at")).alias("input_index"), (F.col("_line") + F.col("_at") + 1).alias("line_number"), "line")
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
-    """input_index, line, record fields, bad_encoding and `problem` of every line: nothing is dropped.
+    """input_index, line_number, line, record fields, bad_encoding and `problem` of every line: nothing is dropped.
 
-    The index is that of the line within its file's position in the read order (monotonic, not gapless).
+    The index counts all lines from 0 in the order of file names and of lines within a file, however files are dealt to
+    tasks; line_number counts those of a file from 1.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("input_index"), F.col("value").alias("line"))
+    lines = _numbered(spark, path)
     parsed = lines.withColumn("r", F.from_json("line", RECORD, {"mode": "PERMISSIVE"})).withColumn("keys", F.json_object_keys("line"))
     allowed = F.array(*[F.lit(k) for k in RECORD_KEYS])
     required = F.array(*[F.lit(k) for k in RECORD_KEYS[:-1]])
@@ -34,17 +53,17 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     )
     # a lone surrogate is lost in parsing, so it is looked for in the line
     lone = F.col("line").rlike(r"(?i)\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2}")
-    return parsed.select("input_index", "line", "r.*", lone.alias("bad_encoding"), problem.alias("problem"))
+    return parsed.select("input_index", "line_number", "line", "r.*", lone.alias("bad_encoding"), problem.alias("problem"))
 
 
 def load_records(spark: SparkSession, path: str, language: str) -> DataFrame:
     """The records of a file; any problem, another language, or no row at all is an error."""
     rows = scan_records(spark, path)
-    assert_empty(rows.where("problem is not null").select("input_index", "problem"), f"{path} is not a record file")
+    assert_empty(rows.where("problem is not null").select("line_number", "problem"), f"{path} is not a record file")
     assert_empty(rows.where(~F.coalesce(F.col("language") == language, F.lit(False))).select("input_index", "language"), f"{path} holds records that are not {language}")
     if rows.isEmpty():
         raise ValueError(f"{path} has no records")
-    return rows.drop("line", "problem")
+    return rows.drop("line", "line_number", "problem")
 
 
 def hub_scan(spark: SparkSession, path: str, predicate: Column, mapping: dict[str, Column], fmt: str = "parquet", limit: int | None = None, order: str = "input_index") -> DataFrame:
@@ -145,5 +164,7 @@ def bundle_problems(path: str) -> list[tuple[str, str]]:
 def inventory_drift(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
     """Files of a folder whose digest is not the expected one (name, sha256), or that only one side has."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    found = files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("found"))
+    top = folder.rstrip("/") + "/"
+    name = F.substring(F.col("path"), F.instr("path", top) + len(top), F.lit(1 << 30))  # within the folder, folders below it included
+    found = files.select(name.alias("name"), F.sha2("content", 256).alias("found"))
     return expected.join(found, "name", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("found")))
