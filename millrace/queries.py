@@ -307,7 +307,18 @@ def q_contam_exact(spark, sf):
     return found.select("training_record_sha256", "protected_record_id")
 
 
-@query()
+_PROMPTS = r"""{before}, tokp AS (SELECT record_sha256 AS id, regexp_extract_all('<user>' || chr(10) || prompt, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') AS w FROM kept),
+ap AS (SELECT DISTINCT id, array_to_string(w[i:i+4], chr(1)) AS s FROM tokp, unnest(range(1, len(w) - 3)) AS x(i) WHERE len(w) >= 16),
+btp AS (SELECT item_id, regexp_extract_all('<user>' || chr(10) || text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') AS w FROM benchmark),
+bp AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], chr(1)) AS s FROM btp, unnest(range(1, len(w) - 3)) AS x(i) WHERE len(w) >= 16),
+op AS (SELECT id, item_id, count(*) / CAST(least((SELECT count(*) FROM ap z WHERE z.id = ap.id), (SELECT count(*) FROM bp y WHERE y.item_id = bp.item_id)) AS DOUBLE) AS score FROM ap JOIN bp USING (s) GROUP BY ap.id, bp.item_id, id, item_id),
+ep AS (SELECT DISTINCT record_sha256 AS id, item_id FROM kept JOIN benchmark b ON prompt = b.text), es AS (SELECT DISTINCT record_sha256 AS id, item_id FROM kept JOIN benchmark b ON response = b.text),
+f AS (SELECT 'exact_prompt' AS checker_id, 'exact_prompt_match' AS finding_type, id FROM ep UNION ALL SELECT 'exact_solution', 'exact_solution_match', id FROM es
+UNION ALL SELECT 'high_overlap', 'high_prompt_overlap', id FROM (SELECT id, item_id FROM op WHERE score >= 0.8 EXCEPT SELECT id, item_id FROM ep)
+UNION ALL SELECT 'high_overlap', 'high_solution_overlap', id FROM (SELECT id, item_id FROM o WHERE score >= 0.8 EXCEPT SELECT id, item_id FROM es))""".format(before=_SHINGLES)
+
+
+@query(_PROMPTS + " SELECT checker_id, finding_type, count(*) AS findings, count(DISTINCT id) AS records FROM f GROUP BY checker_id, finding_type")
 def q_contam_summary(spark, sf):
     found = contamination.training_findings(retained_records(spark, sf), protected(spark, sf))
     return found.groupBy("checker_id", "finding_type").agg(F.count("*").alias("findings"), F.count_distinct("training_record_sha256").alias("records"))
@@ -320,7 +331,18 @@ def q_contam_coverage(spark, sf):
     return checks.coverage(found, wanted, "benchmark_id")
 
 
-@query()
+_COLLISIONS = r"""WITH d AS (SELECT doc_id AS id, text, {d} AS n, regexp_extract_all({d}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') AS w FROM documents),
+r AS (SELECT item_id AS ref, text, {d} AS n, regexp_extract_all({d}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') AS w FROM benchmark),
+a AS (SELECT DISTINCT id, array_to_string(w[i:i+4], chr(1)) AS s FROM d, unnest(range(1, len(w) - 3)) AS x(i) WHERE len(w) >= 16),
+b AS (SELECT DISTINCT ref, array_to_string(w[i:i+4], chr(1)) AS s FROM r, unnest(range(1, len(w) - 3)) AS x(i) WHERE len(w) >= 16),
+na AS (SELECT id, count(*) AS n FROM a GROUP BY id), nb AS (SELECT ref, count(*) AS n FROM b GROUP BY ref),
+p AS (SELECT id, ref, count(*) AS c FROM a JOIN b USING (s) GROUP BY id, ref),
+m AS (SELECT id, ref, 1 AS place, 1.0::DOUBLE AS score FROM d JOIN r USING (text) UNION ALL SELECT id, ref, 2, 1.0 FROM d JOIN r USING (n)
+UNION ALL SELECT id, ref, 3, round_even(CAST(c AS DOUBLE) / least(na.n, nb.n), 6) FROM p JOIN na USING (id) JOIN nb USING (ref) WHERE CAST(c AS DOUBLE) / least(na.n, nb.n) >= 0.8),
+best AS (SELECT id, ref, ['exact', 'normalized', 'overlap'][min(place)] AS match, max(score) AS score FROM m GROUP BY id, ref)""".format(d=_NORM.format("text"))
+
+
+@query(_COLLISIONS + " SELECT id AS component_id, ref AS reference_id, match, score FROM best")
 def q_component_collisions(spark, sf):
     parts = table(spark, sf, "documents").select(F.col("doc_id").alias("component_id"), "text")
     return contamination.component_collisions(parts, table(spark, sf, "benchmark").select(F.col("item_id").alias("reference_id"), "text"))
@@ -702,7 +724,9 @@ def q_cross_partition_members(spark, sf):
     return contamination.cross_partition_members(entries).select("entry_id", "role", "other_id")
 
 
-@query()
+@query(_COLLISIONS + """, e AS (SELECT id, id % 2 AS role, n FROM d), o AS (SELECT n, role, min(id) AS least FROM e GROUP BY n, role)
+SELECT id AS entry_id, 'benchmark_' || match AS finding_type, CAST(ref AS VARCHAR) AS other_id FROM best
+UNION ALL SELECT e.id, 'cross_partition', CAST(o.least AS VARCHAR) FROM e JOIN o ON e.n = o.n AND e.role <> o.role""")
 def q_environment_findings(spark, sf):
     role = F.when(F.col("doc_id") % 2 == 0, "development").otherwise("train")
     entries = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), role.alias("role"), "text")
@@ -834,7 +858,9 @@ def q_structural_score(spark, sf):
     return rows.select("doc_id", evaluation.structural_score(F.col("text"), F.col("n_chars"), ["^t"], ["licen[sc]e"], 900)["passed"].alias("passed"))
 
 
-@query()
+@query(_COLLISIONS + """, e AS (SELECT id, id % 2 AS role, n FROM d), o AS (SELECT n, role, min(id) AS least FROM e GROUP BY n, role)
+SELECT id AS entry_id, 'benchmark_' || match AS finding_type, CAST(ref AS VARCHAR) AS other_id FROM best
+UNION ALL SELECT e.id, 'cross_partition', CAST(o.least AS VARCHAR) FROM e JOIN o ON e.n = o.n AND e.role <> o.role""")
 def q_findings_order(spark, sf):
     """The environment findings in the order of a report."""
     return contamination.in_order(q_environment_findings(spark, sf))
