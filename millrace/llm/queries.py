@@ -94,6 +94,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.long_form(*whitening.whiten(read_table(spark, sf_dir, "embeddings")))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pieces
 
@@ -101,7 +107,7 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_substrings, op4_pitman_yor, op5_mpeg_audio, op6_sharding, op7_toxicity, op8_simhash, op9_packing, op10_quality, op12_sentencepiece)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_substrings, op4_pitman_yor, op5_mpeg_audio, op6_sharding, op7_toxicity, op8_simhash, op9_packing, op10_quality, op11_whitening, op12_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
