@@ -106,9 +106,33 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents"), digests=True)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie
+
+    return prefix_trie.trie_nodes(read_table(spark, sf_dir, "conversations"))
+
+
+#: Every prefix as a list of turns; crc32 by its bits.
+OP13_SQL = """
+WITH o AS (SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce("text", '')) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce("text", '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(turn ORDER BY i) AS ts FROM o GROUP BY c),
+crc AS (SELECT c, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda k: ascii(substr(c::VARCHAR, k::INTEGER, 1))::BIGINT)),
+  lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 6 AS h FROM own),
+built AS (SELECT x.c, list_concat(coalesce(b.ts[1:x.h], []), x.ts[x.h + 1:]) AS ts FROM crc x LEFT JOIN own b ON b.c = x.c - x.c % 100),
+pre AS (SELECT c, d, len(ts) = d AS stops, ts[1:d] AS p FROM built, unnest(range(0, len(ts) + 1)) AS r(d)),
+nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (stops), '') AS ends FROM pre GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY p[1:d - 1]),
+own_sums AS (SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(n.p[d].t) ELSE 0 END AS saving FROM nodes n LEFT JOIN kids k ON k.p = n.p),
+below AS (SELECT p[1:a] AS p, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saving)::BIGINT AS saved_tokens FROM own_sums, unnest(range(0, d + 1)) AS r(a) GROUP BY p[1:a])
+SELECT s.conv_id, s.d AS depth, up.conv_id AS parent_conv_id, s.n_convs, s.n_children, b.n_leaves, b.saved_tokens, sha256(s.ends) AS ends_sha256
+FROM own_sums s JOIN below b ON b.p = s.p LEFT JOIN nodes up ON s.d > 0 AND up.p = s.p[1:s.d - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_substrings, op4_pitman_yor, op5_mpeg_audio, op6_sharding, op7_toxicity, op8_simhash, op9_packing, op10_quality, op11_whitening, op12_sentencepiece)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_substrings, op4_pitman_yor, op5_mpeg_audio, op6_sharding, op7_toxicity, op8_simhash, op9_packing, op10_quality, op11_whitening, op12_sentencepiece, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op13_prefix_trie": OP13_SQL}
