@@ -139,3 +139,32 @@ def test_one_of_each_matches_brute_force_jaccard(spark):
     df = spark.createDataFrame([(i, t, "x", None) for i, t in shuffled], SCHEMA)
     got = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
     assert got == want and len(want) < len(texts) - 20
+
+
+def test_many_near_copies_below_the_similarity_make_no_pairs(spark):
+    """3,000 texts, each three words off a text that is not among them: any two share bands, none is at 4/5 with another."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+
+    def copies(count, edits):
+        out = []
+        for i in range(count):
+            words = list(base)
+            for at in rng.sample(range(4, 96, 5), edits):  # no two of them in one shingle
+                words[at] = f"x{i}y{at}"
+            out.append((i, " ".join(words)))
+        return out
+
+    made = {}
+    for count in (300, 3000):
+        df = spark.createDataFrame(copies(count, 3), "doc_id long, text string").cache()
+        sets = df.select(F.col("doc_id").alias("sid"), simhash._word_sets("text").alias("words"))
+        made[count] = simhash.prefix_pairs(sets.select("sid", F.size("words").alias("n"), F.col("sid").alias("part")), sets).count()
+    assert made[3000] <= 20 * max(made[300], 150)
+    assert simhash.one_of_each(df).count() == 3000
+    # two words off, all are at 4/5 with the text they are copies of
+    df = spark.createDataFrame([(5000, " ".join(base)), *copies(400, 2)], "doc_id long, text string")
+    linked = simhash.word_duplicates(df).groupBy("part").count().collect()
+    assert max(r["count"] for r in linked) == 401
