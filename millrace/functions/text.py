@@ -115,12 +115,13 @@ def prompt_text(messages: Column) -> Column:
 def with_shingles(df: DataFrame, text: Column, name: str, size: int = 5, least: int = 16) -> DataFrame:
     """df with the array `name` of the distinct shingle hashes of text; empty under `least` tokens.
 
-    Tokens pass through explode() so that they are extracted once a row, not once for each shingle.
+    Tokens and their hashes pass through explode(), so that they are made once a row, not once for each shingle.
     """
     tokens = F.explode(F.array(F.coalesce(overlap_tokens(text), F.array().cast("array<string>"))))
-    shingles = F.expr(f"array_distinct(transform(sequence(1, size(_tokens) - {size - 1}), i -> xxhash64(slice(_tokens, i, {size}))))")
-    out = df.withColumn("_tokens", tokens)
-    return out.withColumn(name, F.when(F.size("_tokens") >= max(least, size), shingles).otherwise(F.array().cast("array<bigint>"))).drop("_tokens")
+    run = ", ".join(f"element_at(_hashes, i + {k})" for k in range(size))
+    shingles = F.expr(f"array_distinct(transform(sequence(1, size(_hashes) - {size - 1}), i -> xxhash64({run})))")
+    out = df.withColumn("_tokens", tokens).withColumn("_hashes", F.explode(F.array(F.transform("_tokens", lambda w: F.xxhash64(w))))).drop("_tokens")
+    return out.withColumn(name, F.when(F.size("_hashes") >= max(least, size), shingles).otherwise(F.array().cast("array<bigint>"))).drop("_hashes")
 
 
 def overlap_score(left: Column, right: Column) -> Column:

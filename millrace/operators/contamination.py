@@ -1,7 +1,7 @@
 """Contamination of training records by protected examples, and across environment partitions.
 
-Exact matches are equi-joins on hashes.  Overlap candidates come from an equi-join on exploded shingles, never from
-pairs: the score of a pair is the count of its joined shingles over the smaller set.
+Exact matches are equi-joins on hashes.  Overlap candidates come from an equi-join on the rarest shingles of the smaller
+set (overlap_pairs()), never from pairs, and are then counted.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..work import written
 SHINGLE, LEAST_TOKENS, THRESHOLD = 5, 16, 0.8
 #: Protected shingles that are broadcast; more of them are joined by a shuffle.
 FEW = 500_000
+CHECKERS = ("exact_prompt", "overlap_prompt", "exact_solution", "overlap_solution")
 COLUMNS = ("checker_id", "protected_dataset_id", "finding_type", "training_record_sha256", "protected_record_id", "score")
 
 
@@ -29,25 +30,45 @@ def protected_example(benchmark: DataFrame, dataset_id: str) -> DataFrame:
     )
 
 
-def _overlaps(training: DataFrame, protected: DataFrame, exact: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Pairs at the threshold.  training: record_sha256, shingles; protected: ids, shingles."""
-    left = training.select("training_record_sha256", F.size("shingles").alias("n_left"), F.explode("shingles").alias("s"))
-    right = written(protected.select("protected_dataset_id", "protected_record_id", F.size("shingles").alias("n_right"), F.explode("shingles").alias("s")), "protected-shingles")
-    # a benchmark's shingles are few: training shingles then meet them where they are, and only hits move
-    right = F.broadcast(right) if right.count() <= FEW else right
-    hits = left.join(right, "s").distinct()  # a record that occurs twice counts once
-    pairs = hits.groupBy("training_record_sha256", "n_left", "protected_dataset_id", "protected_record_id", "n_right")
-    scored = pairs.agg((F.count("*") / F.least("n_left", "n_right")).alias("raw")).where(F.col("raw") >= threshold)
-    rest = scored.join(exact, ["training_record_sha256", "protected_dataset_id", "protected_record_id"], "left_anti")
-    return rest.select(F.lit("high_overlap").alias("checker_id"), "protected_dataset_id", F.lit(f"high_{kind}_overlap").alias("finding_type"),
-                       "training_record_sha256", "protected_record_id", F.bround("raw", 6).alias("score"))
+def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(lid, rid, raw) of all pairs of left (lid, shingles) and right (rid, shingles) whose overlap coefficient is `threshold` or more.
 
-
-def training_findings(fingerprinted: DataFrame, protected: DataFrame, *, size: int = SHINGLE, least: int = LEAST_TOKENS, threshold: float = THRESHOLD) -> DataFrame:
-    """Exact prompt and solution matches, and high overlaps of pairs that do not match exactly."""
+    The coefficient is the count of shared shingles over those of the smaller set.  Of n shingles of the smaller one, all but
+    the first n - ceil(threshold * n) + 1 in any order are too few to reach it, so a pair is a candidate only if the other set has one
+    of these; the order puts shingles that few of left have first.  A shingle that most sets have, such as a licence line's, makes
+    candidates only of sets that have little else.  Candidates are then counted exactly.  A lid of several rows is one set.
+    """
+    needed = lambda n: f"cast(ceil(round({threshold} * {n}, 6)) as int)"
+    right = written(right.where("size(shingles) > 0").dropDuplicates(["rid"]).select("rid", F.size("shingles").alias("m"), F.col("shingles").alias("theirs")), "overlap-right")
+    words = right.select(F.explode("theirs").alias("s")).distinct()
+    # if right's shingles are few, left's meet them where they are, and only hits move
+    words = F.broadcast(words) if (right.agg(F.sum("m")).first()[0] or 0) <= FEW else words
+    hits = left.where("size(shingles) > 0").select("lid", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(words, "s")
+    sets = written(hits.groupBy("lid", "n").agg(F.collect_set("s").alias("own")), "overlap-left")
+    each = sets.select("lid", "n", F.explode("own").alias("s"))
+    rarity = written(each.groupBy("s").agg(F.count("*").alias("df")), "rarity")
+    ranks = F.broadcast(rarity) if rarity.count() <= FEW else rarity
+    in_order = lambda keys, rows: rows.join(ranks, "s").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda x: x["s"]).alias("ranked"))
+    # shingles of one side alone stand before all others; they can be no candidate's
+    first = lambda n: F.explode(F.expr(f"slice(ranked, 1, greatest(0, {n} - {needed(n)} + 1 - ({n} - size(ranked))))"))
+    theirs = in_order(("rid", "m"), right.select("rid", "m", F.explode("theirs").alias("s")))
+    by_right = theirs.select("rid", "m", first("m").alias("s")).join(each, "s").where("n >= m").select("lid", "rid")
+    ours = in_order(("lid", "n"), each)
+    by_left = ours.select("lid", "n", first("n").alias("s")).join(right.select("rid", "m", F.explode("theirs").alias("s")), "s").where("n < m").select("lid", "rid")
+    counted = by_right.unionAll(by_left).distinct().join(sets, "lid").join(right, "rid")
+    scored = counted.select("lid", "rid", (F.size(F.array_intersect("own", "theirs")) / F.least("n", "m")).alias("raw"))
+    return scored.where(F.col("raw") >= threshold)
+
+
+def training_findings(fingerprinted: DataFrame, protected: DataFrame, *, size: int = SHINGLE, least: int = LEAST_TOKENS, threshold: float = THRESHOLD, checkers: tuple[str, ...] = CHECKERS) -> DataFrame:
+    """Exact prompt and solution matches, and high overlaps of pairs that do not match exactly; of `checkers` alone.
+
+    Findings are about record_sha256, so copies of a record may be among the rows or not.
+    """
     rows = fingerprinted.withColumnRenamed("record_sha256", "training_record_sha256")
-    guard = protected.withColumns({"_prompt": prompt_sha256(F.col("prompt_messages")), "_solution": response_sha256(F.col("solution"))})
     keys = ["training_record_sha256", "protected_dataset_id", "protected_record_id"]
+    names = F.struct("protected_dataset_id", "protected_record_id")
+    hashes = protected.select(*keys[1:], prompt_sha256(F.col("prompt_messages")).alias("_prompt"), response_sha256(F.col("solution")).alias("_solution"))
     parts = []
     history = F.slice("messages", 1, F.greatest(F.size("messages") - 1, F.lit(0)))
     sides = {
@@ -55,12 +76,16 @@ def training_findings(fingerprinted: DataFrame, protected: DataFrame, *, size: i
         "solution": ("response_sha256", "_solution", F.element_at("messages", -1)["content"], F.col("solution")),
     }
     for kind, (own, theirs, text, guarded) in sides.items():
-        exact = rows.join(guard, rows[own] == guard[theirs]).select(*keys).distinct()
-        parts.append(exact.select(F.lit(f"exact_{kind}").alias("checker_id"), "protected_dataset_id", F.lit(f"exact_{kind}_match").alias("finding_type"),
-                                  "training_record_sha256", "protected_record_id", F.lit(1.0).alias("score")))
-        left = with_shingles(rows.select("training_record_sha256", text.alias("t")), F.col("t"), "shingles", size, least)
-        right = with_shingles(protected.select("protected_dataset_id", "protected_record_id", guarded.alias("t")), F.col("t"), "shingles", size, least)
-        parts.append(_overlaps(left, right, exact, kind, threshold))
+        exact = rows.select(own, "training_record_sha256").join(hashes, F.col(own) == F.col(theirs)).select(*keys).distinct()
+        if f"exact_{kind}" in checkers:
+            parts.append(exact.select(F.lit(f"exact_{kind}").alias("checker_id"), "protected_dataset_id", F.lit(f"exact_{kind}_match").alias("finding_type"),
+                                      "training_record_sha256", "protected_record_id", F.lit(1.0).alias("score")))
+        if f"overlap_{kind}" in checkers:
+            left = with_shingles(rows.select(F.col("training_record_sha256").alias("lid"), text.alias("t")), F.col("t"), "shingles", size, least)
+            right = with_shingles(protected.select(names.alias("rid"), guarded.alias("t")), F.col("t"), "shingles", size, least)
+            found = overlap_pairs(left.drop("t"), right.drop("t"), threshold).select(F.col("lid").alias("training_record_sha256"), "rid.*", "raw").join(exact, keys, "left_anti")
+            parts.append(found.select(F.lit("high_overlap").alias("checker_id"), "protected_dataset_id", F.lit(f"high_{kind}_overlap").alias("finding_type"),
+                                      "training_record_sha256", "protected_record_id", F.bround("raw", 6).alias("score")))
     return reduce(DataFrame.unionByName, parts).select(*COLUMNS)
 
 
@@ -74,16 +99,15 @@ def component_collisions(components: DataFrame, references: DataFrame, threshold
 
     exact text, then normalised text, then overlap.
     """
-    left = components.withColumns({"_exact": sha256(F.col("text")), "_normal": sha256(normalize_text(F.col("text")))})
-    right = references.withColumns({"_exact": sha256(F.col("text")), "_normal": sha256(normalize_text(F.col("text")))})
+    hashed = lambda df, key: df.select(key, sha256(F.col("text")).alias("_exact"), sha256(normalize_text(F.col("text"))).alias("_normal"))
+    left, right = hashed(components, "component_id"), hashed(references, "reference_id")
     keys = ["component_id", "reference_id"]
     ranked = []
     for rank, column in enumerate(("_exact", "_normal")):
         ranked.append(left.join(right, left[column] == right[column]).select(*keys, F.lit(rank).alias("rank"), F.lit(1.0).alias("score")))
-    a = with_shingles(left.select("component_id", "text"), F.col("text"), "shingles").select("component_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    b = with_shingles(right.select("reference_id", "text"), F.col("text"), "shingles").select("reference_id", F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
-    overlap = a.join(b, "s").groupBy(*keys, "n", "m").agg((F.count("*") / F.least("n", "m")).alias("score")).where(F.col("score") >= threshold)
-    ranked.append(overlap.select(*keys, F.lit(2).alias("rank"), F.bround("score", 6).alias("score")))
+    sets = lambda df, key, name: with_shingles(df.select(F.col(key).alias(name), "text"), F.col("text"), "shingles").drop("text")
+    overlap = overlap_pairs(sets(components, "component_id", "lid"), sets(references, "reference_id", "rid"), threshold)
+    ranked.append(overlap.select(F.col("lid").alias("component_id"), F.col("rid").alias("reference_id"), F.lit(2).alias("rank"), F.bround("raw", 6).alias("score")))
     best = reduce(DataFrame.unionByName, ranked).groupBy(*keys).agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
     return best.select(*keys, F.element_at(F.array(F.lit("exact"), F.lit("normalized"), F.lit("overlap")), F.col("rank") + 1).alias("match"), "score")
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import code, text
 from .operators import checks, contamination, dedup, distill, evaluation, filters, split, trajectory
 from .plans import corpus, manifest, pipeline
-from .sources import adapters
+from .sources import adapters, jsonl
 from .sources.adapters import table
+from .work import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -296,14 +297,14 @@ o AS (SELECT id, item_id, CAST(c AS DOUBLE) / least(na.n, nb.n) AS score FROM p
 
 @query(_SHINGLES + " SELECT id AS training_record_sha256, CAST(item_id AS VARCHAR) AS protected_record_id, round_even(score, 6) AS score FROM o WHERE score >= 0.8")
 def q_contam_overlap(spark, sf):
-    found = contamination.training_findings(retained_records(spark, sf), protected(spark, sf)).where("finding_type = 'high_solution_overlap'")
+    found = contamination.training_findings(hashed(spark, sf), protected(spark, sf), checkers=("overlap_solution",))
     return found.select("training_record_sha256", "protected_record_id", "score")
 
 
 @query(f"""WITH {_HASHED}, lines AS (SELECT DISTINCT item_id, sha256('{{"messages":[{{"content":' || {_js("text")} || ',"role":"user"}}],"schema_version":1}}') AS k FROM benchmark)
 SELECT record_sha256 AS training_record_sha256, CAST(item_id AS VARCHAR) AS protected_record_id FROM kept JOIN lines ON k = prompt_sha256""")
 def q_contam_exact(spark, sf):
-    found = contamination.training_findings(retained_records(spark, sf), protected(spark, sf)).where("checker_id = 'exact_prompt'")
+    found = contamination.training_findings(hashed(spark, sf), protected(spark, sf), checkers=("exact_prompt",))
     return found.select("training_record_sha256", "protected_record_id")
 
 
@@ -320,7 +321,7 @@ UNION ALL SELECT 'high_overlap', 'high_solution_overlap', id FROM (SELECT id, it
 
 @query(_PROMPTS + " SELECT checker_id, finding_type, count(*) AS findings, count(DISTINCT id) AS records FROM f GROUP BY checker_id, finding_type")
 def q_contam_summary(spark, sf):
-    found = contamination.training_findings(retained_records(spark, sf), protected(spark, sf))
+    found = contamination.training_findings(hashed(spark, sf), protected(spark, sf))
     return found.groupBy("checker_id", "finding_type").agg(F.count("*").alias("findings"), F.count_distinct("training_record_sha256").alias("records"))
 
 
@@ -864,3 +865,48 @@ UNION ALL SELECT e.id, 'cross_partition', CAST(o.least AS VARCHAR) FROM e JOIN o
 def q_findings_order(spark, sf):
     """The environment findings in the order of a report."""
     return contamination.in_order(q_environment_findings(spark, sf))
+
+
+# --- strict nested scan ----------------------------------------------------------------------------------
+
+#: (path, problem) of each kind of line, by doc_id % 16.
+_FAULTS = [
+    (None, None), ("messages[1].extra", "unknown_key"), ("messages[0].content", "missing_key"), ("messages[0].role", "unsupported_value"), ("messages[1].content", "not_a_string"),
+    ("provenance.license.name", "blank"), ("provenance.extra", "unknown_key"), ("provenance.source_metadata[1]", "not_two_strings"), ("provenance.source_metadata", "repeated"), ("schema_version", "not_an_integer"),
+    ("validation.results[0].passed", "not_a_boolean"), ("language", "pattern"), ("", "bad_json"), ("messages", "not_a_sequence"), ("provenance.license", "not_an_object"), ("validation.results", "repeated"),
+]
+
+
+def _sql_pick(values, at: str) -> str:
+    """SQL for the value at a place from 0."""
+    return "list_extract([" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"], CAST(1 + {at} AS BIGINT))"
+
+
+
+def _faulty_lines(spark, sf):
+    """A record line of each document, most with one fault somewhere inside."""
+    rows = _kind(spark, sf, 16)
+    k, body = F.col("k"), text.json_string(F.col("text"))
+    at = lambda n, odd, usual: F.when(k == n, odd).otherwise(usual)
+    piece = lambda n, odd, usual: at(n, F.lit(odd), F.lit(usual))
+    user = F.concat(piece(3, '{"role":"tool"', '{"role":"user"'), at(2, F.lit("}"), F.concat(F.lit(',"content":'), body, F.lit("}"))))
+    answer = F.concat(F.lit('{"role":"assistant","content":'), at(4, F.lit("7"), body), piece(1, ',"extra":[{}]}', "}"))
+    messages = F.concat(piece(13, '{"0":', "["), user, piece(13, "", ","), at(13, F.lit(""), answer), piece(13, "}", "]"))
+    metadata = F.when(k == 7, '[["a","1"],["b","2","3"]]').when(k == 8, '[["a","1"],["a","2"]]').otherwise('[["a","1"],["b","2"]]')
+    terms = F.when(k == 5, '{"name":"\u2003"}').when(k == 14, "null").otherwise('{"name":"free","url":null}')
+    origin = F.concat(F.lit('{"source_id":'), text.json_string(F.col("source")), F.lit(',"revision":"r1","license":'), terms, F.lit(',"source_metadata":'), metadata, piece(6, ',"extra":null}', "}"))
+    evidence = F.when(k == 10, '{"results":[{"validator_id":"v","passed":"yes"}]}').when(k == 15, '{"results":[{"validator_id":"v","passed":true},{"validator_id":"v","passed":false}]}').otherwise("null")
+    version, language = piece(9, "1.0", "1"), at(11, F.lit('"Python"'), text.json_string(F.col("lang")))
+    line = F.concat(F.lit('{"schema_version":'), version, F.lit(',"messages":'), messages, F.lit(',"language":'), language, F.lit(',"provenance":'), origin, F.lit(',"validation":'), evidence, piece(12, "", "}"))
+    return rows.select("doc_id", line.alias("value"))
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS input_index, {_sql_pick([p for p, _ in _FAULTS], "doc_id % 16")} AS path, {_sql_pick([r for _, r in _FAULTS], "doc_id % 16")} AS problem,
+CASE WHEN doc_id % 16 = 0 THEN lang END AS language, CASE WHEN doc_id % 16 = 0 THEN length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS answer_chars FROM documents""")
+def q_strict_scan(spark, sf):
+    """Record lines of the documents, written in order and scanned: where each has its first fault, and what the others hold."""
+    folder = work_folder(spark, "lines")
+    _faulty_lines(spark, sf).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(folder)
+    rows = jsonl.scan_records(spark, folder)
+    answer = F.char_length(text.normalize_text(F.element_at("messages", -1)["content"])).cast("long")
+    return rows.select("input_index", "path", "problem", F.when(F.col("problem").isNull(), F.col("language")).alias("language"), F.when(F.col("problem").isNull(), answer).alias("answer_chars"))

@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import json_array, json_object, json_string
+from ..functions.shapes import fault, first_fault
+from ..functions.text import is_blank, json_array, json_object, json_string
 from ..operators.checks import assert_empty, membership_drift, repeated_keys
-from ..schema import RECORD, RECORD_KEYS
+from ..schema import LINE, RECORD_SHAPE
 from ..work import written
 
 
@@ -37,33 +38,36 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
-    """input_index, line_number, line, record fields, bad_encoding and `problem` of every line: nothing is dropped.
+    """input_index, line_number, line, record fields, bad_encoding, and path and `problem` of the first fault of every line: nothing is dropped.
+
+    Lines with a fault have no fields.
 
     The index counts all lines from 0 in the order of file names and of lines within a file, however files are dealt to
     tasks; line_number counts those of a file from 1.
     """
     lines = _numbered(spark, path)
-    parsed = lines.withColumn("r", F.from_json("line", RECORD, {"mode": "PERMISSIVE"})).withColumn("keys", F.json_object_keys("line"))
-    allowed = F.array(*[F.lit(k) for k in RECORD_KEYS])
-    required = F.array(*[F.lit(k) for k in RECORD_KEYS[:-1]])
-    problem = (
-        F.when(F.trim("line") == "", "blank_line").when(F.col("keys").isNull(), "bad_json")
-        .when(F.size(F.array_except("keys", allowed)) > 0, "unknown_key").when(F.size(F.array_except(required, F.col("keys"))) > 0, "missing_key")
-        .when(F.coalesce(F.col("r.schema_version") != 1, F.lit(True)), "schema_version").when(F.col("r.messages").isNull() | F.col("r.provenance").isNull(), "bad_field")
-    )
+    # through explode(), so that a line is walked once, not once for each use of what is found
+    walked = lines.withColumn("_f", F.explode(F.array(F.when(is_blank(F.col("line")), fault(F.lit(""), "blank_line")).otherwise(first_fault(F.col("line"), RECORD_SHAPE)))))
+    whole = F.when(F.col("_f").isNull(), F.col("line"))
+    parsed = walked.withColumn("r", F.from_json(whole, LINE, {"mode": "PERMISSIVE"}))
+    pairs = F.transform("r.provenance.source_metadata", lambda p: F.struct(p[0].alias("key"), p[1].alias("value")))
+    provenance = F.col("r.provenance").withField("source_metadata", F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>"))))
     # a lone surrogate is lost in parsing, so it is looked for in the line
     lone = F.col("line").rlike(r"(?i)\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2}")
-    return parsed.select("input_index", "line_number", "line", "r.*", lone.alias("bad_encoding"), problem.alias("problem"))
+    return parsed.select(
+        "input_index", "line_number", "line", "r.schema_version", "r.messages", "r.language", F.when(F.col("r.provenance").isNotNull(), provenance).alias("provenance"), "r.validation",
+        lone.alias("bad_encoding"), F.col("_f.path").alias("path"), F.col("_f.reason").alias("problem"),
+    )
 
 
 def load_records(spark: SparkSession, path: str, language: str) -> DataFrame:
     """The records of a file; any problem, another language, or no row at all is an error."""
     rows = scan_records(spark, path)
-    assert_empty(rows.where("problem is not null").select("line_number", "problem"), f"{path} is not a record file")
+    assert_empty(rows.where("problem is not null").select("line_number", "path", "problem"), f"{path} is not a record file")
     assert_empty(rows.where(~F.coalesce(F.col("language") == language, F.lit(False))).select("input_index", "language"), f"{path} holds records that are not {language}")
     if rows.isEmpty():
         raise ValueError(f"{path} has no records")
-    return rows.drop("line", "line_number", "problem")
+    return rows.drop("line", "line_number", "path", "problem")
 
 
 def hub_scan(spark: SparkSession, path: str, predicate: Column, mapping: dict[str, Column], fmt: str = "parquet", limit: int | None = None, order: str = "input_index") -> DataFrame:
@@ -105,10 +109,10 @@ def record_line(df: DataFrame) -> Column:
     text = lambda c: F.coalesce(json_string(F.col(c)), F.lit("null"))
     terms = json_object(name=text(p + "license.name"), url=text(p + "license.url"), attribution=text(p + "license.attribution"))
     entries = F.array_sort(F.map_entries(p + "source_metadata"))
-    metadata = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e["key"]), F.lit(":"), json_string(e["value"]))), ","), F.lit("}"))
+    metadata = json_array(F.transform(entries, lambda e: json_array(F.array(json_string(e["key"]), json_string(e["value"])))))
     provenance = json_object(
         source_id=text(p + "source_id"), revision=text(p + "revision"), license=terms, split=text(p + "split"), record_id=text(p + "record_id"), url=text(p + "url"),
-        source_metadata=F.coalesce(metadata, F.lit("{}")),
+        source_metadata=F.coalesce(metadata, F.lit("[]")),
     )
     result = lambda r: json_object(validator_id=json_string(r["validator_id"]), passed=r["passed"].cast("string"), detail=F.coalesce(json_string(r["detail"]), F.lit("null")))
     validation = F.coalesce(json_object(results=json_array(F.transform("validation.results", result))), F.lit("null"))

@@ -21,8 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; whoever writes it makes it."""
+    return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table of the shared folder: computed once, whoever reads it, and not lost with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -140,10 +140,11 @@ def test_jsonl_round_trip_and_strictness(spark, tmp_path):
     assert line == json.dumps(json.loads(line), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     bad = tmp_path / "bad.jsonl"
     parsed = json.loads(line)
-    lines = [line, "", "{", json.dumps(parsed | {"extra": 1}), json.dumps({k: v for k, v in parsed.items() if k != "language"}), json.dumps(parsed | {"schema_version": 2}), line.replace('"role":"user"', '"role":"user\\ud800"')]
+    lines = [line, "", "{", json.dumps(parsed | {"extra": 1}), json.dumps({k: v for k, v in parsed.items() if k != "language"}), json.dumps(parsed | {"schema_version": 2}), line.replace('"content":"', '"content":"\\ud800', 1)]
     bad.write_text("\n".join(lines) + "\n")
     scanned = jsonl.scan_records(spark, str(bad)).orderBy("input_index").collect()
     assert [r.problem for r in scanned] == [None, "blank_line", "bad_json", "unknown_key", "missing_key", "schema_version", None]
+    assert [r.path for r in scanned] == [None, "", "", "extra", "language", "schema_version", None]
     assert [r.bad_encoding for r in scanned][-1] and not scanned[0].bad_encoding
     with pytest.raises(checks.InvariantError):
         jsonl.load_records(spark, str(bad), "python")
@@ -183,3 +184,33 @@ def test_bundles(spark, tmp_path):
     assert [r.name for r in jsonl.inventory_drift(spark, str(folder), expected).collect()] == ["b.bin"]
     digest = jsonl.write_document({"b": 1, "a": "é"}, str(tmp_path / "m.json"))
     assert (tmp_path / "m.json.sha256").read_text() == f"{digest}  m.json\n"
+
+
+def test_shapes_name_the_first_fault(spark):
+    from millrace.functions.shapes import Boolean, Integer, Items, Nullable, Object, Pair, Text, first_fault
+
+    shape = Object(
+        {"a": Items(Object({"b": Text(blank=False, most_bytes=4)}, {"c": Nullable(Items(Integer(0, 9)))}), least=1, most=2, key="$.b")},
+        {"p": Items(Pair(), key="$[0]", ordered=True), "x": Boolean(), "t": Text(nullable=True, pattern="[ab]+", least=1, rules=(("no_b", lambda t: ~t.contains("b")),))},
+    )
+    cases = {
+        '{"a":[{"b":"é"}]}': None, '{"a":[{"b":"é","c":[1,2]},{"b":"z","c":null}],"x":true,"t":null,"p":[["a","1"],["b","2"]]}': None,
+        "": ("", "bad_json"), "[]": ("", "not_an_object"), "{}": ("a", "missing_key"), '{"a":[],"z":1,"y":2}': ("y", "unknown_key"), '{"a":{}}': ("a", "not_a_sequence"), '{"a":[]}': ("a", "too_few"),
+        '{"a":[{"b":"x"},{"b":"y"},{"b":"z"}]}': ("a", "too_many"), '{"a":[{"b":"x"},{"b":"x"}]}': ("a", "repeated"), '{"a":[{"b":"x"},7]}': ("a[1]", "not_an_object"), '{"a":[{"b":"x","d":1}]}': ("a[0].d", "unknown_key"),
+        '{"a":[{"b":1}]}': ("a[0].b", "not_a_string"), '{"a":[{"b":null}]}': ("a[0].b", "not_a_string"), '{"a":[{"b":"\u3000"}]}': ("a[0].b", "blank"), '{"a":[{"b":"ééé"}]}': ("a[0].b", "too_long"),
+        '{"a":[{"b":"x","c":[1,-1]}]}': ("a[0].c[1]", "out_of_range"), '{"a":[{"b":"x","c":[1,10]}]}': ("a[0].c[1]", "out_of_range"), '{"a":[{"b":"x","c":[1.0]}]}': ("a[0].c[0]", "not_an_integer"), '{"a":[{"b":"x","c":[true]}]}': ("a[0].c[0]", "not_an_integer"),
+        '{"a":[{"b":"x"}],"x":0}': ("x", "not_a_boolean"), '{"a":[{"b":"x"}],"t":1}': ("t", "not_a_string_or_null"), '{"a":[{"b":"x"}],"t":"c"}': ("t", "pattern"), '{"a":[{"b":"x"}],"t":""}': ("t", "empty"), '{"a":[{"b":"x"}],"t":"ab"}': ("t", "no_b"),
+        '{"a":[{"b":"x"}],"p":[["a"]]}': ("p[0]", "not_two_strings"), '{"a":[{"b":"x"}],"p":[["a","b"],["a","c"]]}': ("p", "repeated"), '{"a":[{"b":"x"}],"p":[["b","1"],["a","2"]]}': ("p", "not_in_order"), '{"a":[{"b":"x"}],"p":[["b"," "]]}': ("p[0]", "blank"),
+        '{"a":[{"b":"x"}],"a":1}': ("", "bad_json"),
+    }
+    out = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, j string").select("i", first_fault(F.col("j"), shape).alias("f")).orderBy("i").collect()
+    assert [tuple(r.f) if r.f else None for r in out] == list(cases.values())
+
+
+def test_source_metadata_is_written_as_pairs(spark, tmp_path):
+    row = record(0, [("user", "q"), ("assistant", "a")], record_id="0")
+    df = frame(spark, [row]).withColumn("provenance", F.col("provenance").withField("source_metadata", F.create_map(F.lit("z"), F.lit("1"), F.lit("a"), F.lit("2"))))
+    jsonl.write_records(df, str(tmp_path / "pairs"))
+    line = next(x for f in (tmp_path / "pairs").glob("part*") for x in f.read_text().split("\n") if x)
+    assert json.loads(line)["provenance"]["source_metadata"] == [["a", "2"], ["z", "1"]]
+    assert jsonl.load_records(spark, str(tmp_path / "pairs"), "python").first().provenance.source_metadata == {"a": "2", "z": "1"}
