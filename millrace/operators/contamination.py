@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, prompt_sha256, prompt_text, response_sha256, sha256, with_shingles
-from ..work import written
+from ..work import placed, written
 
 SHINGLE, LEAST_TOKENS, THRESHOLD = 5, 16, 0.8
 #: Protected shingles that are broadcast; more of them are joined by a shuffle.
@@ -147,24 +147,88 @@ def admission(entries: DataFrame, findings: DataFrame | None, key: str = "entry_
     return entries.join(named, key, "left").withColumn("admitted", F.col("_found").isNull()).drop("_found")
 
 
-ROLES = ("train", "development", "qualification", "author_few_shot")
-#: Findings in their order in a report.
-ORDER = ("benchmark_exact", "benchmark_normalized", "benchmark_overlap", "cross_partition", "unknown_role")
+#: Roles of environment entries, and of an author's demonstrations.
+ROLES = ("training_curriculum", "calibration_diagnostic", "development_evaluation", "qualification_evaluation")
+AUTHOR = "author_few_shot"
+#: Which roles an entry of a role must share nothing with; demonstrations only with what is evaluated.
+APART = {r: tuple(o for o in ROLES if o != r) + ((AUTHOR,) if r.endswith("evaluation") else ()) for r in ROLES}
 
 
-def environment_findings(entries: DataFrame, references: DataFrame) -> DataFrame:
-    """Findings about environment entries (entry_id, role, text): benchmark collisions, then leaks between roles, one for each entry.
+def _apart(own: Column, other: Column) -> Column:
+    rules = F.create_map(*[x for r, others in APART.items() for x in (F.lit(r), F.array(*[F.lit(o) for o in others]))])
+    return F.coalesce(F.array_contains(F.try_element_at(rules, own), other), F.lit(False))
 
-    A role outside ROLES is a finding of its own.
+
+def _sides(entries: DataFrame, key: str) -> DataFrame:
+    """(key, sides): for each key, its roles and the least entry_id of each: as many as there are roles, however many entries."""
+    least = entries.where(F.col(key).isNotNull()).groupBy(key, "role").agg(F.min("entry_id").alias("least"))
+    return least.groupBy(key).agg(F.collect_list(F.struct("role", "least")).alias("sides"))
+
+
+def _least_apart(sides: str) -> Column:
+    """The least entry_id of a role from which the row's role must be apart; null if there is none."""
+    return F.array_min(F.transform(F.filter(sides, lambda s: _apart(F.col("role"), s["role"])), lambda s: s["least"]))
+
+
+def environment_findings(components: DataFrame, protected: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Findings (checker_id, finding_type, entry_id, component_id, other_id, score) about environment entries.
+
+    components: entry_id, kind (candidate, partition or author), role, task_id, environment_id, component_id, text; a row for each
+    text of an entry.  protected: benchmark_id, record_id, component_id, text.
+
+    Against protected examples: an equal task id, and texts by their strongest match (exact, normalised, overlap).
+    Between roles that must be apart (APART): equal task ids, one environment in several roles or twice in one, and texts: of
+    equal texts each entry names the least entry_id of a role it must be apart from, so a text of many copies is as many rows,
+    not all their pairs; of overlaps, that of each other text.  A role outside ROLES is a finding of its own.
     """
-    parts = entries.select(F.col("entry_id").alias("component_id"), "text")
-    hits = component_collisions(parts, references).select(F.col("component_id").alias("entry_id"), F.concat(F.lit("benchmark_"), F.col("match")).alias("finding_type"), F.col("reference_id").cast("string").alias("other_id"))
-    across = cross_partition_members(entries).select("entry_id", F.lit("cross_partition").alias("finding_type"), F.col("other_id").cast("string").alias("other_id"))
-    odd = entries.where(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))).select("entry_id", F.lit("unknown_role").alias("finding_type"), F.lit(None).cast("string").alias("other_id"))
-    return hits.unionByName(across).unionByName(odd).distinct()
+    texts = components.select("entry_id", "kind", "role", "component_id", "text").withColumns({"_exact": sha256(F.col("text")), "_normal": sha256(normalize_text(F.col("text")))})
+    owners = components.select("entry_id", "kind", "role", "task_id", "environment_id").distinct()
+    none = F.lit(None).cast("string")
+    by_kind = lambda usual: F.when(F.col("kind") == "author", "author-few-shot").when(F.col("kind") == "partition", "partition-overlap").otherwise(usual)
+
+    def rows(df: DataFrame, checker: Column, kind: Column, component: Column = none, score: Column | None = None) -> DataFrame:
+        score = F.lit(None) if score is None else score
+        return df.select(checker.alias("checker_id"), kind.alias("finding_type"), "entry_id", component.alias("component_id"), F.col("other_id").cast("string").alias("other_id"), score.cast("double").alias("score"))
+
+    held = lambda *c: F.concat_ws("/", *c)
+    named = owners.join(protected.select(F.col("record_id").alias("task_id"), held("benchmark_id", "record_id").alias("other_id")).distinct(), "task_id")
+    out = [rows(named, by_kind(F.lit("exact-task-id")), F.lit("exact-task-id"))]
+    subject = F.struct("entry_id", "kind", "component_id")
+    hits = component_collisions(components.select(subject.alias("component_id"), "text"), protected.select(held("benchmark_id", "record_id", "component_id").alias("reference_id"), "text"), threshold)
+    hits = hits.select("component_id.*", F.col("reference_id").alias("other_id"), F.when(F.col("match") == "overlap", "text-overlap").otherwise(F.concat("match", F.lit("-content"))).alias("type"), "score")
+    out.append(rows(hits, by_kind(F.col("type")), F.col("type"), F.col("component_id"), F.col("score")))
+
+    checker = F.lit("partition-overlap")
+    same_task = owners.join(_sides(owners, "task_id"), "task_id").withColumn("other_id", _least_apart("sides")).where("other_id is not null")
+    out.append(rows(same_task, checker, F.lit("exact-task-id")))
+    placed_ = owners.where(F.col("kind") != "author")
+    roles = placed_.groupBy("environment_id", "role").agg(F.min("entry_id").alias("low"), F.max("entry_id").alias("high"))
+    several = placed_.join(_sides(placed_, "environment_id"), "environment_id").withColumn("other_id", _least_apart("sides")).where("other_id is not null")
+    out.append(rows(several, checker, F.lit("environment-role-conflict")))
+    twice = placed_.join(roles.where("low < high"), ["environment_id", "role"]).withColumn("other_id", F.when(F.col("entry_id") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+    out.append(rows(twice, checker, F.lit("environment-task-conflict")))
+
+    one, score = F.lit(1.0), F.col("score")
+    equal = texts.join(_sides(texts, "_exact").withColumnRenamed("sides", "_of_exact"), "_exact").join(_sides(texts, "_normal").withColumnRenamed("sides", "_of_normal"), "_normal")
+    equal = equal.withColumns({"_very": _least_apart("_of_exact"), "_alike": _least_apart("_of_normal")}).where("_alike is not null").withColumn("other_id", F.coalesce("_very", "_alike"))
+    out.append(rows(equal, checker, F.when(F.col("_very").isNotNull(), "exact-content").otherwise("normalized-content"), F.col("component_id"), one))
+    # overlaps are found between texts, each once, and then told to the entries that have them
+    sides = written(_sides(texts, "_normal"), "sides")
+    single = components.select(sha256(normalize_text(F.col("text"))).alias("key"), "text").dropDuplicates(["key"])
+    sets = written(with_shingles(single, F.col("text"), "shingles").drop("text"), "text-sets")
+    near = overlap_pairs(sets.withColumnRenamed("key", "lid"), sets.withColumnRenamed("key", "rid"), threshold).where("lid <> rid")
+    apart = near.join(sides.withColumnRenamed("_normal", "rid"), "rid").select(F.col("lid").alias("_normal"), "sides", F.bround("raw", 6).alias("score"))
+    told = texts.join(apart, "_normal").withColumn("other_id", _least_apart("sides")).where("other_id is not null")
+    out.append(rows(told, checker, F.lit("text-overlap"), F.col("component_id"), score))
+    odd = owners.where((F.col("kind") != "author") & ~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))).withColumn("other_id", none)
+    out.append(rows(odd, checker, F.lit("unknown-role")))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+#: The total order of findings in a report; nulls come first.
+ORDER = ("checker_id", "finding_type", "entry_id", "component_id", "other_id", "score")
 
 
 def in_order(findings: DataFrame) -> DataFrame:
-    """findings in the total order of a report: by type as in ORDER, then the entry, then the other one, nulls first."""
-    place = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in ORDER]), F.col("finding_type")), F.lit(0))
-    return findings.orderBy(F.when(place > 0, place).otherwise(len(ORDER) + 1), "finding_type", F.col("entry_id").cast("string"), F.col("other_id").asc_nulls_first())
+    """findings with `place`, from 0 in the total order of a report."""
+    return placed(findings, "place", *[F.col(c).asc_nulls_first() for c in ORDER])

@@ -70,6 +70,12 @@ def _js(x: str) -> str:
     return rf"""('"' || replace(replace(replace(replace(replace({x}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"')"""
 
 
+def _sql_pick(values, at: str) -> str:
+    """SQL for the value at a place from 0."""
+    return "list_extract([" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"], CAST(1 + {at} AS BIGINT))"
+
+
+
 _NORM = "replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 _HASHED = f"""
 r AS (SELECT doc_id AS input_index, source AS source_id, lang, {_NORM.format("split_part(text, chr(10), 1)")} AS prompt, {_NORM.format("text")} AS response FROM documents),
@@ -301,11 +307,14 @@ def q_contam_overlap(spark, sf):
     return found.select("training_record_sha256", "protected_record_id", "score")
 
 
-@query(f"""WITH {_HASHED}, lines AS (SELECT DISTINCT item_id, sha256('{{"messages":[{{"content":' || {_js("text")} || ',"role":"user"}}],"schema_version":1}}') AS k FROM benchmark)
+@query(f"""WITH {_HASHED}, guard AS (SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id, split_part(text, chr(10), 1) FROM documents WHERE source = 'src1'),
+lines AS (SELECT DISTINCT item_id, sha256('{{"messages":[{{"content":' || {_js(_NORM.format("text"))} || ',"role":"user"}}],"schema_version":1}}') AS k FROM guard)
 SELECT record_sha256 AS training_record_sha256, CAST(item_id AS VARCHAR) AS protected_record_id FROM kept JOIN lines ON k = prompt_sha256""")
 def q_contam_exact(spark, sf):
-    found = contamination.training_findings(hashed(spark, sf), protected(spark, sf), checkers=("exact_prompt",))
-    return found.select("training_record_sha256", "protected_record_id")
+    """Prompts of the benchmark and of one source, held out, among all records."""
+    held = table(spark, sf, "documents").where("source = 'src1'").select(F.col("doc_id").alias("item_id"), F.substring_index("text", "\n", 1).alias("text"))
+    guard = contamination.protected_example(table(spark, sf, "benchmark").unionByName(held), "held-out")
+    return contamination.training_findings(hashed(spark, sf), guard, checkers=("exact_prompt",)).select("training_record_sha256", "protected_record_id")
 
 
 _PROMPTS = r"""{before}, tokp AS (SELECT record_sha256 AS id, regexp_extract_all('<user>' || chr(10) || prompt, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') AS w FROM kept),
@@ -325,10 +334,14 @@ def q_contam_summary(spark, sf):
     return found.groupBy("checker_id", "finding_type").agg(F.count("*").alias("findings"), F.count_distinct("training_record_sha256").alias("records"))
 
 
-@query("SELECT 'held_out' AS benchmark_id, 'missing' AS side UNION ALL SELECT 'extra', 'unexpected'")
+@query("""WITH w AS (SELECT DISTINCT lang || '/' || item_id % 10 AS id FROM documents, benchmark WHERE source = 'src1' OR lang = 'en'), f AS (SELECT DISTINCT lang || '/' || doc_id % 12 AS id FROM documents)
+SELECT id AS benchmark_id, 'missing' AS side FROM (SELECT id FROM w EXCEPT SELECT id FROM f) UNION ALL SELECT id, 'unexpected' FROM (SELECT id FROM f EXCEPT SELECT id FROM w)""")
 def q_contam_coverage(spark, sf):
-    found = spark.createDataFrame([("benchmark",), ("extra",)], "benchmark_id string")
-    wanted = spark.createDataFrame([("benchmark",), ("held_out",)], "benchmark_id string")
+    """Benchmark suites that are registered (by language and item) against those for which documents were loaded."""
+    rows = table(spark, sf, "documents")
+    suites = table(spark, sf, "benchmark").select((F.col("item_id") % 10).alias("k")).distinct()  # ten at most
+    wanted = rows.where("source = 'src1' or lang = 'en'").select("lang").distinct().join(F.broadcast(suites)).select(F.concat_ws("/", "lang", "k").alias("benchmark_id"))
+    found = rows.select(F.concat_ws("/", "lang", F.col("doc_id") % 12).alias("benchmark_id"))
     return checks.coverage(found, wanted, "benchmark_id")
 
 
@@ -711,10 +724,11 @@ def q_admission(spark, sf):
     return contamination.admission(entries.select("entry_id"), contamination.cross_partition_members(entries))
 
 
-@query("""WITH g AS (SELECT text, lang AS role, count(*) AS entries, min(doc_id) AS least FROM documents GROUP BY text, lang)
+@query("""WITH g AS (SELECT text, CASE WHEN doc_id % 2 = 0 THEN 'development' ELSE 'train' END AS role, count(*) AS entries, min(doc_id) AS least FROM documents GROUP BY 1, 2)
 SELECT sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_sha256, role, entries, least FROM g WHERE text IN (SELECT text FROM g GROUP BY text HAVING count(*) > 1)""")
 def q_cross_partition_groups(spark, sf):
-    return contamination.cross_partition_groups(table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.col("lang").alias("role"), "text"))
+    role = F.when(F.col("doc_id") % 2 == 0, "development").otherwise("train")
+    return contamination.cross_partition_groups(table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), role.alias("role"), "text"))
 
 
 @query("""WITH e AS (SELECT doc_id, doc_id % 2 AS role, text FROM documents), o AS (SELECT text, role, min(doc_id) AS least FROM e GROUP BY text, role)
@@ -725,13 +739,52 @@ def q_cross_partition_members(spark, sf):
     return contamination.cross_partition_members(entries).select("entry_id", "role", "other_id")
 
 
-@query(_COLLISIONS + """, e AS (SELECT id, id % 2 AS role, n FROM d), o AS (SELECT n, role, min(id) AS least FROM e GROUP BY n, role)
-SELECT id AS entry_id, 'benchmark_' || match AS finding_type, CAST(ref AS VARCHAR) AS other_id FROM best
-UNION ALL SELECT e.id, 'cross_partition', CAST(o.least AS VARCHAR) FROM e JOIN o ON e.n = o.n AND e.role <> o.role""")
+_ENTRY_ROLES = ["training_curriculum", "calibration_diagnostic", "development_evaluation", "qualification_evaluation", "development_evaluation", "author_few_shot"]
+_TOKEN_SQL = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'"
+_ENVIRONMENT = f"""WITH roles(r) AS (VALUES ('training_curriculum'), ('calibration_diagnostic'), ('development_evaluation'), ('qualification_evaluation')),
+sees AS (SELECT x.r AS a, y.r AS b FROM roles x JOIN roles y ON x.r <> y.r UNION ALL SELECT r, 'author_few_shot' FROM roles WHERE r LIKE '%evaluation'),
+e AS (SELECT 'd' || doc_id AS entry_id, CASE WHEN doc_id % 6 = 5 THEN 'author' WHEN doc_id % 6 = 4 THEN 'candidate' ELSE 'partition' END AS kind, {_sql_pick([*_ENTRY_ROLES[:5], "author_few_shot"], "doc_id % 6")} AS role,
+  CAST(doc_id // 2 AS VARCHAR) AS task_id, doc_id // 12 AS env, CASE WHEN doc_id % 5 = 1 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN doc_id % 7 = 2 THEN text || ' and one more tail of words' ELSE text END AS text FROM documents),
+k AS (SELECT *, {_NORM.format("text")} AS n, sha256(text) AS x, sha256({_NORM.format("text")}) AS y FROM e),
+w AS (SELECT y, regexp_extract_all(any_value(n), {_TOKEN_SQL}) AS w FROM k GROUP BY y),
+s AS (SELECT DISTINCT y, array_to_string(w[i:i+4], chr(1)) AS s FROM w, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 16), z AS (SELECT y, count(*) AS c FROM s GROUP BY y),
+ov AS (SELECT a.y AS u, b.y AS v, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.y <> b.y GROUP BY a.y, b.y),
+near AS (SELECT u, v, CAST(ov.c AS DOUBLE) / least(p.c, q.c) AS score FROM ov JOIN z p ON p.y = u JOIN z q ON q.y = v WHERE CAST(ov.c AS DOUBLE) / least(p.c, q.c) >= 0.8),
+bw AS (SELECT item_id, {_NORM.format("text")} AS n, text, regexp_extract_all({_NORM.format("text")}, {_TOKEN_SQL}) AS w FROM benchmark),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], chr(1)) AS s FROM bw, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 16), bz AS (SELECT item_id, count(*) AS c FROM bs GROUP BY item_id),
+bo AS (SELECT y, item_id, count(*) AS c FROM s JOIN bs USING (s) GROUP BY y, item_id), bn AS (SELECT y, item_id, CAST(bo.c AS DOUBLE) / least(z.c, bz.c) AS score FROM bo JOIN z USING (y) JOIN bz USING (item_id)),
+hit AS (SELECT entry_id, kind, item_id, 1 AS place, 1.0::DOUBLE AS score FROM k JOIN bw ON k.text = bw.text UNION ALL SELECT entry_id, kind, item_id, 2, 1.0 FROM k JOIN bw ON k.n = bw.n
+  UNION ALL SELECT entry_id, kind, item_id, 3, round_even(score, 6) FROM k JOIN bn USING (y) WHERE bn.score >= 0.8),
+best AS (SELECT entry_id, kind, item_id, ['exact-content', 'normalized-content', 'text-overlap'][min(place)] AS t, max(score) AS score FROM hit GROUP BY ALL),
+very AS (SELECT a.entry_id, min(b.entry_id) AS other FROM k a JOIN k b ON a.x = b.x JOIN sees ON a.role = sees.a AND b.role = sees.b GROUP BY a.entry_id),
+alike AS (SELECT a.entry_id, min(b.entry_id) AS other FROM k a JOIN k b ON a.y = b.y JOIN sees ON a.role = sees.a AND b.role = sees.b WHERE a.entry_id NOT IN (SELECT entry_id FROM very) GROUP BY a.entry_id),
+over_ AS (SELECT a.entry_id, near.v, near.score, min(b.entry_id) AS other FROM k a JOIN near ON a.y = near.u JOIN k b ON b.y = near.v JOIN sees ON a.role = sees.a AND b.role = sees.b GROUP BY ALL),
+f AS (SELECT CASE kind WHEN 'author' THEN 'author-few-shot' WHEN 'partition' THEN 'partition-overlap' ELSE t END AS checker_id, t AS finding_type, entry_id, 'specification' AS component_id, 'b/' || item_id || '/prompt' AS other_id, score FROM best
+  UNION SELECT CASE kind WHEN 'author' THEN 'author-few-shot' WHEN 'partition' THEN 'partition-overlap' ELSE 'exact-task-id' END, 'exact-task-id', entry_id, NULL, 'b/' || item_id, NULL FROM k JOIN benchmark ON task_id = CAST(item_id AS VARCHAR)
+  UNION SELECT 'partition-overlap', 'exact-task-id', a.entry_id, NULL, min(b.entry_id), NULL FROM k a JOIN k b USING (task_id) JOIN sees ON a.role = sees.a AND b.role = sees.b GROUP BY a.entry_id
+  UNION SELECT 'partition-overlap', 'environment-role-conflict', a.entry_id, NULL, min(b.entry_id), NULL FROM k a JOIN k b USING (env) WHERE a.kind <> 'author' AND b.kind <> 'author' AND a.role <> b.role GROUP BY a.entry_id
+  UNION SELECT 'partition-overlap', 'environment-task-conflict', a.entry_id, NULL, CASE WHEN a.entry_id = min(b.entry_id) THEN max(b.entry_id) ELSE min(b.entry_id) END, NULL FROM k a JOIN k b USING (env, role) WHERE a.kind <> 'author' AND b.kind <> 'author' GROUP BY a.entry_id HAVING count(*) > 1
+  UNION SELECT 'partition-overlap', 'exact-content', entry_id, 'specification', other, 1.0 FROM very UNION SELECT 'partition-overlap', 'normalized-content', entry_id, 'specification', other, 1.0 FROM alike
+  UNION SELECT 'partition-overlap', 'text-overlap', entry_id, 'specification', other, round_even(score, 6) FROM over_)"""
+
+
+def _environment(spark, sf):
+    """Documents as entries of all kinds and roles: some share task ids, environments, texts but for line ends, or all but a tail."""
+    doc = F.col("doc_id")
+    made = F.when(doc % 5 == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).when(doc % 7 == 2, F.concat("text", F.lit(" and one more tail of words"))).otherwise(F.col("text"))
+    k = doc % 6
+    kind = F.when(k == 5, "author").when(k == 4, "candidate").otherwise("partition")
+    entries = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), doc.cast("string")).alias("entry_id"), kind.alias("kind"), _choose(k, *_ENTRY_ROLES).alias("role"), F.expr("cast(doc_id div 2 as string)").alias("task_id"),
+        F.expr("doc_id div 12").alias("environment_id"), F.lit("specification").alias("component_id"), made.alias("text"),
+    )
+    guard = table(spark, sf, "benchmark").select(F.lit("b").alias("benchmark_id"), F.col("item_id").cast("string").alias("record_id"), F.lit("prompt").alias("component_id"), "text")
+    return contamination.environment_findings(entries, guard)
+
+
+@query(_ENVIRONMENT + " SELECT * FROM f")
 def q_environment_findings(spark, sf):
-    role = F.when(F.col("doc_id") % 2 == 0, "development").otherwise("train")
-    entries = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), role.alias("role"), "text")
-    return contamination.environment_findings(entries, table(spark, sf, "benchmark").select(F.col("item_id").alias("reference_id"), "text"))
+    return _environment(spark, sf)
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, strlen(text) AS n FROM conversations), s AS (SELECT conv_id, sum(n) AS n, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS a FROM t GROUP BY conv_id)
@@ -859,12 +912,10 @@ def q_structural_score(spark, sf):
     return rows.select("doc_id", evaluation.structural_score(F.col("text"), F.col("n_chars"), ["^t"], ["licen[sc]e"], 900)["passed"].alias("passed"))
 
 
-@query(_COLLISIONS + """, e AS (SELECT id, id % 2 AS role, n FROM d), o AS (SELECT n, role, min(id) AS least FROM e GROUP BY n, role)
-SELECT id AS entry_id, 'benchmark_' || match AS finding_type, CAST(ref AS VARCHAR) AS other_id FROM best
-UNION ALL SELECT e.id, 'cross_partition', CAST(o.least AS VARCHAR) FROM e JOIN o ON e.n = o.n AND e.role <> o.role""")
+@query(_ENVIRONMENT + " SELECT row_number() OVER (ORDER BY checker_id NULLS FIRST, finding_type NULLS FIRST, entry_id NULLS FIRST, component_id NULLS FIRST, other_id NULLS FIRST, score NULLS FIRST) - 1 AS place, entry_id, finding_type, other_id FROM f")
 def q_findings_order(spark, sf):
     """The environment findings in the order of a report."""
-    return contamination.in_order(q_environment_findings(spark, sf))
+    return contamination.in_order(_environment(spark, sf)).select("place", "entry_id", "finding_type", "other_id")
 
 
 # --- strict nested scan ----------------------------------------------------------------------------------
@@ -877,12 +928,6 @@ _FAULTS = [
 ]
 
 
-def _sql_pick(values, at: str) -> str:
-    """SQL for the value at a place from 0."""
-    return "list_extract([" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"], CAST(1 + {at} AS BIGINT))"
-
-
-
 def _faulty_lines(spark, sf):
     """A record line of each document, most with one fault somewhere inside."""
     rows = _kind(spark, sf, 16)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,4 +31,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table of the shared folder: computed once, whoever reads it, and not lost with an executor."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of written() that nothing reads any more; anything else is left alone."""
+    for df in tables:
+        if path := getattr(df, "_millrace_path", None):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def placed(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with `name`, the place of each row in the order, from 0.
+
+    Rows are dealt by ranges of the order and sorted within each; the ranges' counts, a row for each, place them.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "placed")
+    sizes = rows.groupBy("_range").agg(F.min("_at").alias("_low"), F.count("*").alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low")).alias("_start"))
+    return rows.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")
