@@ -36,6 +36,8 @@ SHINGLE = 3
 #: Of the stage: words in a shingle, and bands and MinHashes in each.
 WORDS = 5
 BANDS, BAND_ROWS = 56, 8
+#: Of the stage: bits by which pairs that differ too much are left out before they become rows, and rounds of centres of bands.
+BITS, ROUNDS = 256, 4
 #: Texts that are found by a broadcast of their keys; more of them are found by a shuffle.
 FEW = 200_000
 _SLICE = 1 << 15
@@ -162,8 +164,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=b) for b, row in enumerate(bands)], dtype=np.uint64).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits, as longs: for each of as many classes of hashes, whether the set has an odd number of them.
+
+    Two sets differ in at least as many elements as their bits differ.
+    """
+    odd = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 _LONGS = T.ArrayType(T.LongType())
-_SKETCH = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", _LONGS)])
+_SKETCH = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", _LONGS), T.StructField("bits", _LONGS)])
 
 
 @F.pandas_udf(_SKETCH)
@@ -172,9 +183,9 @@ def _sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch:
             words = word_set(text)
-            rows.append((xxhash.xxh3_64_intdigest(words.tobytes()), len(words), band_keys(words)))
+            rows.append((xxhash.xxh3_64_intdigest(words.tobytes()), len(words), band_keys(words), parities(words)))
         ids = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"sid": ids, "n": [r[1] for r in rows], "bands": pd.Series([r[2] for r in rows], dtype=object)})
+        yield pd.DataFrame({"sid": ids, "n": [r[1] for r in rows], "bands": pd.Series([r[2] for r in rows], dtype=object), "bits": pd.Series([r[3] for r in rows], dtype=object)})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -190,32 +201,42 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("shared") * 5 >= (F.col("sum") - F.col("shared")) * 4).select("u", "v")
 
 
+_FITS = "5L * least({0}, {1}) >= 4L * greatest({0}, {1})"
+
+
 def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of members (sid, n, part) of different parts that a similarity of 4/5 does not rule out.
+    """Pairs (u, v) of members (sid, n, part, bits) of different parts that a similarity of 4/5 does not rule out.
 
     Shingles are ordered by how few members have them.  Two sets of that similarity have 4/9 of their sizes' sum in common: of
     the smaller one 8/9 at least, of the larger one 4/5.  So one of the first n/9 of the smaller is among the first n/5 of the larger,
     and only these meet.  Sets that are further apart than that mostly begin with shingles of their own, and then make no pair,
-    however many of them there are.
+    however many of them there are.  Of those that meet, pairs whose parities() differ in more elements than the similarity
+    allows, a ninth of both sizes, are left out within the join.
     """
-    each = members.join(sets, "sid").select("sid", "n", "part", F.explode("words").alias("w"))
+    each = members.join(sets, "sid").select("sid", "n", "part", "bits", F.explode("words").alias("w"))
     rarity = each.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, "w").groupBy("sid", "n", "part").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    first = materialize(ranked.select("sid", "n", "part", F.posexplode(F.expr("slice(s, 1, n - cast(ceil(n * 4 / 5) as int) + 1)")).alias("at", "x")).select("sid", "n", "part", "at", F.col("x.w").alias("w")).where("x.df > 1"), "prefixes")
+    ranked = each.select("sid", "w").join(rarity.where("df > 1"), "w").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+    # shingles of one member alone stand before all others
+    first = ranked.join(members, "sid").select("sid", "n", "part", "bits", (F.col("n") - F.size("s")).alias("own"), "s")
+    first = first.select("sid", "n", "part", "bits", "own", F.posexplode(F.expr("slice(s, 1, greatest(0, n - cast(ceil(n * 4 / 5) as int) + 1 - own))")).alias("at", "x"))
+    bits = [F.get("bits", F.lit(k)).alias(f"bit{k}") for k in range(BITS // 64)]
+    first = materialize(first.select("sid", "n", "part", *bits, (F.col("at") + F.col("own")).alias("at"), F.col("x.w").alias("w")), "prefixes")
     mixed = first.groupBy("w").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("w")
-    first = first.join(mixed, "w", "left_semi")
-    small = first.where("at <= n - cast(ceil(n * 8 / 9) as int)").select("w", F.col("sid").alias("u"), F.col("n").alias("n_u"), F.col("part").alias("part_u"))
-    large = first.select("w", F.col("sid").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"))
-    pairs = small.join(large, "w").where("part_u <> part_v and u <> v and n_u <= n_v and 5L * n_u >= 4L * n_v")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    met = first.join(mixed, "w", "left_semi")
+    side = lambda df, x: df.select("w", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("w", "at")])
+    small, large = side(met.where("at <= n - cast(ceil(n * 8 / 9) as int)"), "u"), side(met, "v")
+    apart = " + ".join(f"bit_count(bit{k}_u ^ bit{k}_v)" for k in range(BITS // 64))
+    close = F.expr(f"part_u <> part_v and sid_u <> sid_v and n_u <= n_v and {_FITS.format('n_u', 'n_v')} and 9 * ({apart}) <= n_u + n_v")
+    pairs = small.join(large, (small["w"] == large["w"]) & close)
+    return pairs.select(F.least("sid_u", "sid_v").alias("u"), F.greatest("sid_u", "sid_v").alias("v")).distinct()
 
 
 def word_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, part for every row; part names the component over links of Jaccard similarity 4/5 or more.
 
     Texts with the same shingles are one set.  Sets that share a band are candidates, each verified by its
-    shingles: first every set of a band against the band's smallest; then, of sets in bands that this has not connected, the
-    pairs that prefix_pairs() leaves, so that neither a band of many near copies nor one of many sets below the similarity is
+    shingles: first every set of a band against the band's smallest, then in bands that this has not connected against other
+    centres, ROUNDS times; then, of sets in bands still unconnected, the pairs that prefix_pairs() leaves, so that neither a band of many near copies nor one of many sets below the similarity is
     held against itself.  Texts without words are copies of one another.
     Texts of any length are read whole; an empty table gives an empty result.
     """
@@ -230,17 +251,27 @@ def word_duplicates(docs: DataFrame) -> DataFrame:
     keys = F.broadcast(keys) if keys.count() <= FEW else keys
     sets = texts.join(keys, texts["tkey"] == keys["_key"]).select("sid", "text").dropDuplicates(["sid"]).select("sid", _word_sets("text").alias("words"))
     sets = materialize(sets, "words")
-    fits = "5L * least({0}, {1}) >= 4L * greatest({0}, {1})"
-    star = bands.where("sid <> least.sid").where(fits.format("n", "least.n")).select(F.col("least.sid").alias("u"), F.col("sid").alias("v")).distinct()
+    star = bands.where("sid <> least.sid").where(_FITS.format("n", "least.n")).select(F.col("least.sid").alias("u"), F.col("sid").alias("v")).distinct()
     links = materialize(_similar(star, sets), "star-links")
-    near = connected_components(links)
+    near = materialize(connected_components(links), "near")
+    discard(links)
+    for k in range(ROUNDS):
+        # bands whose sets are not all connected: all of a band against a centre of this round's
+        named = bands.join(near, bands["sid"] == near["node"], "left").select("band", "sid", "n", F.coalesce("component", "sid").alias("part"))
+        mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("draw"), "sid", "n", "part")).alias("c")).where("low < high")
+        left = materialize(named.join(mixed.select("band", "c"), "band"), "mixed-bands")
+        star = left.where("part <> c.part").where(_FITS.format("n", "c.n")).select(F.least("sid", "c.sid").alias("u"), F.greatest("sid", "c.sid").alias("v")).distinct()
+        more = materialize(_similar(star, sets), "star-links")
+        before, near = near, materialize(connected_components(more.unionAll(near.select(F.col("node").alias("u"), F.col("component").alias("v")))), "near")
+        for table in (left, more, before):
+            discard(table)
     named = bands.join(near, bands["sid"] == near["node"], "left").select("band", "sid", "n", F.coalesce("component", "sid").alias("part"))
     mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    named = materialize(named.join(mixed, "band", "left_semi"), "mixed-bands")
-    rest = prefix_pairs(named.select("sid", "n", "part").distinct(), sets)
-    more = materialize(_similar(rest, sets), "other-links")
-    parts = connected_components(links.unionAll(more))
-    for table in (bands, sets, links, named, more):
+    members = named.join(mixed, "band", "left_semi").select("sid", "n", "part").distinct()
+    members = materialize(members.join(rows.where("n > 0").groupBy("sid").agg(F.first("bits").alias("bits")), "sid"), "members")
+    more = materialize(_similar(prefix_pairs(members, sets), sets), "other-links")
+    parts = connected_components(more.unionAll(near.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    for table in (bands, sets, near, members, more):
         discard(table)
     return rows.join(parts, rows["sid"] == parts["node"], "left").select("doc_id", "tkey", F.coalesce("component", "sid").alias("part"))
 

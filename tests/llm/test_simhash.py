@@ -161,7 +161,8 @@ def test_many_near_copies_below_the_similarity_make_no_pairs(spark):
     for count in (300, 3000):
         df = spark.createDataFrame(copies(count, 3), "doc_id long, text string").cache()
         sets = df.select(F.col("doc_id").alias("sid"), simhash._word_sets("text").alias("words"))
-        made[count] = simhash.prefix_pairs(sets.select("sid", F.size("words").alias("n"), F.col("sid").alias("part")), sets).count()
+        bits = df.select(F.col("doc_id").alias("sid"), simhash._sketch("text")["bits"].alias("bits"))
+        made[count] = simhash.prefix_pairs(sets.select("sid", F.size("words").alias("n"), F.col("sid").alias("part")).join(bits, "sid"), sets).count()
     assert made[3000] <= 20 * max(made[300], 150)
     assert simhash.one_of_each(df).count() == 3000
     # two words off, all are at 4/5 with the text they are copies of
