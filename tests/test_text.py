@@ -141,3 +141,59 @@ def test_contracts(spark):
     assert [v.reason for v in values(banned, code.contract_check("e", "r", "t"))] == [*[f"forbidden_import:{m}" for m in ("time", "random", "secrets", "tempfile")], "forbidden_call:breakpoint", "static_valid"]
     calls = spark.createDataFrame([(0, '{"name":"run","arguments":{"cmd":"x"}}'), (1, '{"name":"run","arguments":{}}'), (2, '{"name":"no","arguments":{}}'), (3, '{"name":"run"}'), (4, "x")], "i int, t string")
     assert values(calls, code.parse_tool_call(F.col("t"), {"run": ["cmd"]})["status"]) == ["ok", "arguments", "unknown_tool", "keys", "bad_json"]
+
+
+def test_typed_tool_calls(spark):
+    from millrace.functions.tools import parse_typed_call
+
+    cases = {
+        '{"tool":"read","arguments":{"path":"a/b.py"}}': ("read", '{"arguments":{"max_lines":200,"path":"a/b.py","start_line":1},"tool":"read"}', None, None),
+        '{"arguments":{"max_lines":2000,"start_line":7,"path":"..a/.b"},"tool":"read"}': ("read", '{"arguments":{"max_lines":2000,"path":"..a/.b","start_line":7},"tool":"read"}', None, None),
+        '{"tool":"write","arguments":{"path":"é","content":"a\\n\\"b"}}': ("write", '{"arguments":{"content":"a\\n\\"b","path":"é"},"tool":"write"}', None, None),
+        '{"tool":"bash","arguments":{"command":"ls"}}': ("bash", '{"arguments":{"command":"ls"},"tool":"bash"}', None, None),
+        "{": (None, None, "", "bad_json"), "[1]": (None, None, "", "not_an_object"), '{"tool":"read"}': ("read", None, "arguments", "missing_key"), '{"tool":"read","arguments":{},"x":1}': ("read", None, "x", "unknown_key"),
+        '{"tool":1,"arguments":{}}': (None, None, "tool", "not_a_string"), '{"tool":"fly","arguments":{}}': ("fly", None, "tool", "unknown_tool"), '{"tool":"glob","arguments":{"pattern":"*"}}': ("glob", None, "tool", "disabled_tool"),
+        '{"tool":"read","arguments":[]}': ("read", None, "arguments", "not_an_object"), '{"tool":"read","arguments":{}}': ("read", None, "arguments.path", "missing_key"), '{"tool":"read","arguments":{"path":"a","lines":1}}': ("read", None, "arguments.lines", "unknown_key"),
+        '{"tool":"read","arguments":{"path":"a","start_line":0}}': ("read", None, "arguments.start_line", "out_of_range"), '{"tool":"read","arguments":{"path":"a","start_line":"1"}}': ("read", None, "arguments.start_line", "not_an_integer"),
+        '{"tool":"read","arguments":{"path":"a","max_lines":2001}}': ("read", None, "arguments.max_lines", "out_of_range"), '{"tool":"read","arguments":{"path":"a","max_lines":true}}': ("read", None, "arguments.max_lines", "not_an_integer"),
+        '{"tool":"bash","arguments":{"command":" \\t"}}': ("bash", None, "arguments.command", "blank"), '{"tool":"bash","arguments":{"command":"a\\u0000"}}': ("bash", None, "arguments.command", "nul"),
+        **{f'{{"tool":"read","arguments":{{"path":"{p}"}}}}': ("read", None, "arguments.path", r) for p, r in (
+            ("", "not_posix_text"), (" ", "not_posix_text"), ("a\\\\b", "not_posix_text"), ("/a", "not_normalized"), ("a//b", "not_normalized"), ("a/", "not_normalized"), ("./a", "not_normalized"), ("a/../b", "not_normalized"),
+            ("..", "not_normalized"), (".", "not_normalized"), ("grader/x", "reserved"), ("reference", "reserved"))},
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = [tuple(r.c) for r in df.select("i", parse_typed_call(F.col("t"), "self_contained_v0").alias("c")).orderBy("i").collect()]
+    assert got == list(cases.values())
+    edits = {'{"tool":"edit","arguments":{"path":"a","old_text":"x","new_text":""}}': None, '{"tool":"edit","arguments":{"path":"a","old_text":"","new_text":""}}': "empty", '{"tool":"edit","arguments":{"path":"a","old_text":"x","new_text":"","expected_replacements":101}}': "out_of_range", '{"tool":"glob","arguments":{"pattern":"**/*.py"}}': None}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(edits)], "i int, t string")
+    assert [r.c.reason for r in df.select("i", parse_typed_call(F.col("t")).alias("c")).orderBy("i").collect()] == list(edits.values())
+
+
+def test_policies_verify_what_they_take_out(spark):
+    from millrace.functions import policies
+
+    plain, budgeted = policies.Policy("concise", "Be brief."), policies.Policy("budgeted", "At most {answer_budget} tokens.", policies.Budget())
+    rows = [([("user", "q"), ("assistant", "a")], 40), ([("system", "s \n"), ("user", "q"), ("assistant", "a")], 1900), ([("user", "q")], 1), ([("user", "q"), ("assistant", "a")], 1920), ([("assistant", "x"), ("assistant", "a")], 3), ([("user", "q"), ("assistant", "a")], 0)]
+    df = spark.createDataFrame([(i, m, n) for i, (m, n) in enumerate(rows)], "i int, messages array<struct<role:string,content:string>>, n long").withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
+    done = {k: df.withColumn("p", policies.apply_policy(F.col("messages"), F.col("metadata"), k, F.col("n"))).orderBy("i") for k in (plain, budgeted)}
+    got = {k: [(r.p.problem, r.p.messages[0].content) for r in d.collect()] for k, d in done.items()}
+    assert got[plain] == [(None, "Be brief."), (None, "s\n\nBe brief."), ("no_answer", "q"), (None, "Be brief."), ("no_user_message", "x"), (None, "Be brief.")]
+    assert got[budgeted] == [(None, "At most 1792 tokens."), (None, "s\n\nAt most 20 tokens."), ("no_answer", "q"), ("no_budget", "q"), ("no_user_message", "x"), ("prompt_tokens", "q")]
+    marked = done[budgeted].where("i = 1").select("p.messages", "p.metadata")
+    again = marked.select(policies.apply_policy(F.col("messages"), F.col("metadata"), budgeted, F.lit(5)).alias("p")).first().p
+    assert again.problem == "policy_present"
+
+    def stripped(changes=None, messages=None, known=(plain, budgeted)):
+        metadata = F.col("metadata") if changes is None else text.metadata_update(F.col("metadata"), {k: F.lit(v) for k, v in changes.items()})
+        m = F.col("messages") if messages is None else F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in messages])
+        out = marked.select(policies.strip_policies(m, metadata, list(known)).alias("s")).first().s
+        return out.problem or out.messages[0].content
+
+    assert stripped() == "s" and stripped(known=(plain,)) == "unknown_policy"
+    assert stripped({policies.POLICY: None, policies.DIGEST: None}) == "s\n\nAt most 20 tokens." and stripped({policies.DIGEST: None}) == "incomplete_policy"
+    assert stripped({policies.DIGEST: "0"}) == "policy_digest" and stripped({policies.POLICY: "concise"}) == "policy_digest"
+    assert stripped({policies.BUDGET: "21"}) == "policy_budget" and stripped({policies.BUDGET: "x"}) == "policy_numbers" and stripped({policies.RESERVE: "1"}) == "policy_reserve"
+    assert stripped({policies.WINDOW: "1"}) == "policy_window" and stripped({policies.CEILING: "1"}) == "policy_ceiling" and stripped({policies.PROMPT_TOKENS: None}) == "policy_numbers"
+    assert stripped(messages=[("user", "q"), ("assistant", "a")]) == "no_system_message" and stripped(messages=[("system", "else"), ("assistant", "a")]) == "policy_text"
+    assert stripped(messages=[("system", "\n\nAt most 20 tokens."), ("assistant", "a")]) == "empty_system_message" and stripped(messages=[("system", "At most 20 tokens.")]) == "no_answer"
+    assert stripped(messages=[("system", "At most 20 tokens."), ("user", "q"), ("assistant", "a")]) == "q"
