@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_reasoning, strip
 
 
+#: What is measured of a teacher's rows: its own prompt, completion, reasoning and answer, and what the student gets.
+LENGTHS = (
+    "teacher_prompt_tokens", "teacher_completion_tokens", "reasoning_chars", "teacher_final_answer_tokens", "student_prompt_tokens", "student_final_answer_tokens", "student_full_record_tokens",
+)
+
+
 def shard_index(position: Column, size: int) -> Column:
     return F.floor(position / size).cast("long")
 
@@ -102,6 +108,33 @@ def length_diagnostics(rows: DataFrame, least: int, most: int) -> DataFrame:
     return out.withColumns({"stop_rate": F.try_divide("stopped", "total"), "accept_rate": F.coalesce(F.try_divide("accepted", "stopped"), F.lit(0.0))})
 
 
+def distributions(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(distribution, n, least, most, mean, p50, p90, p95, p99) of each column of whole numbers; nulls are not counted.
+
+    One pass makes (distribution, value, count) rows, as many as there are different lengths; ranks are sums over these.
+    Percentiles are nearest-rank: the smallest value that at least that share of the rows does not exceed.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("distribution"), F.col(c).cast("long").alias("value")) for c in columns])
+    counts = rows.select(F.inline(pairs)).where("value is not null").groupBy("distribution", "value").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("distribution").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"rank": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy("distribution"))})
+    at = lambda q, name: F.min(F.when(F.col("rank") * 100 >= F.col("n") * q, F.col("value"))).alias(name)
+    mean = F.sum(F.col("value") * F.col("c")) / F.sum("c")
+    out = ranked.groupBy("distribution").agg(F.sum("c").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), mean.alias("mean"), *[at(q, f"p{q}") for q in (50, 90, 95, 99)])
+    return out
+
+
+def teacher_lengths(rows: DataFrame, window: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(summary, distributions) of rows with finish_reason and the seven LENGTHS.
+
+    summary: total, stopped, stop_rate, accepted (stopped and within the window), accept_rate given a stop.
+    """
+    stop, fits = F.col("finish_reason") == "stop", F.col("student_full_record_tokens") <= window
+    out = rows.agg(F.count("*").alias("total"), F.count_if(stop).alias("stopped"), F.count_if(stop & fits).alias("accepted"))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return out.withColumns({"stop_rate": rate("stopped", "total"), "accept_rate": rate("accepted", "stopped")}), distributions(rows, list(LENGTHS))
+
+
 def salvage(rows: DataFrame) -> DataFrame:
     """rows (completion, finish_reason) with reasoning, answer, mode and error.
 

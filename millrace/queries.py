@@ -669,11 +669,32 @@ def q_truncate_utf8(spark, sf):
     return rows.select("conv_id", "turn", F.when(F.col("n") <= 40, F.col("m")).cast("long").alias("whole_bytes"), ((F.col("n") > 40) & (F.col("m") <= 40) & F.col("e")).alias("cut"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'ok' WHEN event_id % 4 = 1 THEN 'unknown_tool' WHEN event_id % 4 = 2 THEN 'arguments' ELSE 'bad_json' END AS status FROM events")
+#: (path, reason) of each kind of call, by event_id % 16.
+_CALLS = [
+    (None, None), (None, None), ("", "bad_json"), ("", "not_an_object"), ("tool", "missing_key"), ("extra", "unknown_key"), ("tool", "unknown_tool"), ("tool", "disabled_tool"), ("arguments", "not_an_object"),
+    ("arguments.path", "missing_key"), ("arguments.start_line", "not_an_integer"), ("arguments.max_lines", "out_of_range"), ("arguments.path", "not_normalized"), ("arguments.path", "reserved"), ("arguments.content", "not_a_string"), ("arguments.command", "blank"),
+]
+
+
+@query(f"""SELECT event_id, {_sql_pick([p for p, _ in _CALLS], "event_id % 16")} AS path, {_sql_pick([r for _, r in _CALLS], "event_id % 16")} AS reason,
+CASE event_id % 16 WHEN 0 THEN '{{"arguments":{{"max_lines":200,"path":"src/' || event_type || '.py","start_line":' || (1 + user_id) || '}},"tool":"read"}}'
+WHEN 1 THEN '{{"arguments":{{"content":' || {_js("props")} || ',"path":"out.txt"}},"tool":"write"}}' END AS call FROM events""")
 def q_tool_calls(spark, sf):
-    k = F.col("event_id") % 4
-    call = F.when(k == 3, "{").otherwise(F.concat(F.lit('{"name":"'), F.when(k == 1, "fly").otherwise("run"), F.lit('","arguments":'), F.when(k == 2, "{}").otherwise('{"cmd":"ls"}'), F.lit("}")))
-    return table(spark, sf, "events").select("event_id", code.parse_tool_call(call, {"run": ["cmd"]})["status"].alias("status"))
+    """Calls made of the events, each sixteenth of another kind, against the profile of self-contained tasks."""
+    from .functions.tools import parse_typed_call
+
+    path = F.concat(F.lit('"path":"src/'), "event_type", F.lit('.py"'))
+    read = lambda more="", path=path: F.concat(F.lit('{"tool":"read","arguments":{'), path, F.lit(more), F.lit("}}"))
+    made = _choose(
+        F.col("event_id") % 16,
+        F.concat(F.lit('{"arguments":{"start_line":'), (F.col("user_id") + 1).cast("string"), F.lit(","), path, F.lit('},"tool":"read"}')),
+        F.concat(F.lit('{"tool":"write","arguments":{"path":"out.txt","content":'), text.json_string(F.col("props")), F.lit("}}")),
+        F.concat(F.lit('{"tool":'), "event_type"), F.lit('["read"]'), F.lit('{"arguments":{}}'), F.lit('{"tool":"read","arguments":{},"extra":1}'), F.lit('{"tool":"fly","arguments":{}}'), F.lit('{"tool":"edit","arguments":{}}'),
+        F.lit('{"tool":"read","arguments":null}'), F.lit('{"tool":"read","arguments":{"max_lines":5}}'), read(',"start_line":1.5'), read(',"max_lines":2001'), read(path=F.concat(F.lit('"path":"../'), "event_type", F.lit('"'))),
+        read(path=F.concat(F.lit('"path":"grader/'), "event_type", F.lit('"'))), F.lit('{"tool":"write","arguments":{"path":"out.txt","content":7}}'), F.lit('{"tool":"bash","arguments":{"command":"\\t "}}'),
+    )
+    parsed = table(spark, sf, "events").select("event_id", parse_typed_call(made, "self_contained_v0").alias("c"))
+    return parsed.select("event_id", "c.path", "c.reason", "c.call")
 
 
 @query("""SELECT event_type AS suite, CASE WHEN event_id % 5 = 0 THEN 'timeout' WHEN event_id % 5 = 1 THEN 'harness' WHEN event_id % 5 = 2 THEN 'syntax' WHEN event_id % 2 = 0 THEN 'none' ELSE 'assertion' END AS category,
@@ -955,3 +976,135 @@ def q_strict_scan(spark, sf):
     rows = jsonl.scan_records(spark, folder)
     answer = F.char_length(text.normalize_text(F.element_at("messages", -1)["content"])).cast("long")
     return rows.select("input_index", "path", "problem", F.when(F.col("problem").isNull(), F.col("language")).alias("language"), F.when(F.col("problem").isNull(), answer).alias("answer_chars"))
+
+
+# --- policies, bundles, checkpoints, digest trees, distributions, ordered sinks --------------------------
+
+_POLICED = r"""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+c AS (SELECT conv_id, max(n) AS n, max(CASE WHEN i = n THEN role END) AS last, max(CASE WHEN i = n - 1 THEN role END) AS before, max(CASE WHEN i = 1 THEN role END) AS head,
+  sum(CASE WHEN i < n THEN len(regexp_extract_all(text, '\S+')) ELSE 0 END) AS tokens FROM t GROUP BY conv_id),
+p AS (SELECT *, conv_id % 9 AS k, CASE WHEN last <> 'assistant' THEN 'no_answer' WHEN before IS NULL OR before <> 'user' THEN 'no_user_message' WHEN conv_id % 9 NOT IN (0, 1) AND tokens < 1 THEN 'prompt_tokens'
+  WHEN conv_id % 9 NOT IN (0, 1) AND tokens >= 1920 THEN 'no_budget' END AS apply_problem FROM c)
+SELECT conv_id AS input_index, apply_problem, CASE WHEN apply_problem IS NULL THEN list_extract([NULL, 'policy_digest', NULL, 'policy_digest', 'policy_budget', 'incomplete_policy', 'unknown_policy', 'policy_reserve', 'policy_text'], CAST(1 + k AS BIGINT)) END AS strip_problem,
+CAST(CASE WHEN apply_problem IS NULL AND head <> 'system' THEN n + 1 ELSE n END AS BIGINT) AS given, CAST(CASE WHEN apply_problem IS NULL AND head <> 'system' AND k NOT IN (0, 2) THEN n + 1 ELSE n END AS BIGINT) AS left_over FROM p"""
+
+
+@query(_POLICED)
+def q_policy_verify(spark, sf):
+    """Conversations get one of two policies; the metadata or the instruction of most is then tampered with, and all are stripped."""
+    from .functions import policies
+
+    plain = policies.Policy("concise", "Keep the answer short.")
+    budgeted = policies.Policy("budgeted", "Answer within {answer_budget} tokens.", policies.Budget())
+    rows = convs(spark, sf).select("input_index", "messages", (F.col("input_index") % 9).alias("k"), F.create_map(F.lit("origin"), F.lit("table")).alias("metadata"))
+    history = F.slice("messages", 1, F.greatest(F.size("messages") - 1, F.lit(0)))
+    words = F.aggregate(history, F.lit(0).cast("long"), lambda n, m: n + F.size(F.filter(F.split(m["content"], r"\s+"), lambda w: w != "")))
+    given = [policies.apply_policy(F.col("messages"), F.col("metadata"), p, words) for p in (plain, budgeted)]
+    rows = rows.withColumn("a", F.explode(F.array(F.when(F.col("k") < 2, given[0]).otherwise(given[1]))))
+    done, k = F.col("a.problem").isNull(), F.col("k")
+    put = lambda **changes: text.metadata_update(F.col("a.metadata"), {getattr(policies, n): v for n, v in changes.items()})
+    budget = F.try_element_at("a.metadata", F.lit(policies.BUDGET)).cast("long")
+    changed = F.when(~done, F.col("a.metadata"))
+    for at, metadata in ((1, put(DIGEST=F.lit("0"))), (3, put(DIGEST=F.lit(plain.digest))), (4, put(BUDGET=budget + 1)), (5, put(DIGEST=F.lit(None))), (6, put(POLICY=F.lit("other"))), (7, put(RESERVE=F.lit(64)))):
+        changed = changed.when(k == at, metadata)
+    spoilt = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit("Something else.").alias("content"))), F.slice("a.messages", 2, F.size("a.messages")))
+    rows = rows.select("input_index", "a", changed.otherwise(F.col("a.metadata")).alias("metadata"), F.when(done & (k == 8), spoilt).otherwise(F.col("a.messages")).alias("messages"))
+    out = rows.withColumn("s", F.explode(F.array(policies.strip_policies(F.col("messages"), F.col("metadata"), [plain, budgeted]))))
+    return out.select("input_index", F.col("a.problem").alias("apply_problem"), F.col("s.problem").alias("strip_problem"), F.size("messages").cast("long").alias("given"), F.size("s.messages").cast("long").alias("left_over"))
+
+
+_BUNDLED = ["NULL", "'digest_differs'", "'no_sidecar'", "'unsafe_path'", "'link'", "'sidecar_format'", "'sidecar_elsewhere'", "'manifest_differs'", "'not_in_manifest'", "NULL"]
+
+
+@query(f"""WITH d AS (SELECT *, doc_id % 10 AS k, 'b' || doc_id % 7 AS bundle, CASE WHEN doc_id % 10 = 3 THEN '../' ELSE 'texts/' END || doc_id || '.txt' AS name FROM documents)
+SELECT bundle || '.zip' AS bundle, name, strlen(text) AS bytes, sha256(text) AS sha256, CASE k {" ".join(f"WHEN {i} THEN {r}" for i, r in enumerate(_BUNDLED) if r != "NULL")} END AS problem FROM d
+UNION ALL SELECT bundle || '.zip', 'gone/' || doc_id || '.txt', NULL, NULL, 'missing' FROM d WHERE k = 9
+UNION ALL SELECT bundle || '.zip', 'alone/' || doc_id || '.txt.sha256', NULL, NULL, 'missing_payload' FROM d WHERE k = 9""")
+def q_bundle_import(spark, sf):
+    """Documents as members of zip bundles with sidecars and a manifest, most with one thing wrong, read back and recomputed."""
+    from .sources import bundles
+
+    k, name = F.col("k"), F.col("name")
+    rows = _kind(spark, sf, 10).select("doc_id", "k", "text", F.concat(F.lit("b"), (F.col("doc_id") % 7).cast("string")).alias("bundle"))
+    rows = rows.withColumn("name", F.concat(F.when(k == 3, "../").otherwise("texts/"), F.col("doc_id").cast("string"), F.lit(".txt"))).withColumn("sha", text.sha256(F.col("text")))
+    payload = rows.select("bundle", "name", F.col("text").cast("binary").alias("content"), F.when(k == 4, 0o120777).cast("long").alias("mode"))
+    base = F.substring_index("name", "/", -1)
+    claim = F.when(k == 1, F.concat(F.repeat(F.lit("0"), F.lit(64)), F.lit("  "), base)).when(k == 5, F.concat("sha", F.lit(" "), base)).when(k == 6, F.concat("sha", F.lit("  other/"), base)).otherwise(F.concat("sha", F.lit("  "), base))
+    sidecar = rows.where(k != 2).select("bundle", F.concat(name, F.lit(".sha256")).alias("name"), F.concat(claim, F.lit("\n")).cast("binary").alias("content"), F.lit(None).cast("long").alias("mode"))
+    alone = rows.where(k == 9).select("bundle", F.concat(F.lit("alone/"), F.col("doc_id").cast("string"), F.lit(".txt.sha256")).alias("name"), F.concat("sha", F.lit("  x\n")).cast("binary").alias("content"), F.lit(None).cast("long").alias("mode"))
+    folder = work_folder(spark, "bundles")
+    bundles.write_bundles(payload.unionByName(sidecar).unionByName(alone), folder).collect()  # a row for each bundle
+    title = F.concat("bundle", F.lit(".zip"))
+    listed = rows.where(k != 8).select(title.alias("bundle"), "name", F.when(k == 7, F.reverse("sha")).otherwise(F.col("sha")).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+    gone = rows.where(k == 9).select(title.alias("bundle"), F.concat(F.lit("gone/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("sha").alias("sha256"), F.lit(1).cast("long").alias("bytes"))
+    return bundles.bundle_findings(bundles.read_bundles(spark, folder), listed.unionByName(gone))
+
+
+@query("""SELECT doc_id AS item_id, sha256(text) AS prompt_sha256, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS response, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS batch FROM documents
+UNION ALL SELECT -1 - item_id, sha256(text), 'b', 2 FROM benchmark""")
+def q_append_checkpoint(spark, sf):
+    """Answers of all documents, a third of them again in a second batch that is appended twice, and a batch whose files end in torn lines."""
+    from .streaming import checkpoint
+
+    folder = work_folder(spark, "answers")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), text.sha256(F.col("text")).alias("prompt_sha256"), "lang", "source")
+    checkpoint.append_batch(rows.select("item_id", "prompt_sha256", F.col("lang").alias("response")), folder, 0)
+    for _ in range(2):
+        checkpoint.append_batch(rows.where("item_id % 3 = 0").select("item_id", "prompt_sha256", F.col("source").alias("response")), folder, 1)
+    last = table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("item_id"), text.sha256(F.col("text")).alias("prompt_sha256"), F.lit("b").alias("response"))
+    torn = last.select(checkpoint.checkpoint_line().alias("v")).select(F.concat("v", F.lit("\n"), F.left("v", F.lit(20))).alias("value"))
+    torn.write.option("maxRecordsPerFile", 1).text(f"{folder}/batch={2:010d}")  # a file for each, as each writer died
+    return checkpoint.read_checkpoint(spark, folder)
+
+
+@query("""WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 500 <> 13), b AS (SELECT doc_id, CASE WHEN doc_id % 331 = 7 THEN text || '.' ELSE text END AS text FROM documents WHERE doc_id % 700 <> 1)
+SELECT coalesce(a.doc_id, b.doc_id) AS input_index, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' ELSE 'changed' END AS problem
+FROM a FULL JOIN b USING (doc_id) WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.text <> b.text""")
+def q_manifest_drift(spark, sf):
+    """A dataset against its frozen digest tree: the records that changed, found through the blocks that did."""
+    from .plans import merkle
+    from .work import written
+
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("input_index"), "text")
+    made = F.when(F.col("input_index") % 331 == 7, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    hashed_rows = lambda df, t, name: written(df.select("input_index", text.sha256(t).alias("record_sha256")).repartitionByRange("input_index").sortWithinPartitions("input_index"), name)
+    frozen = hashed_rows(rows.where("input_index % 500 <> 13"), F.col("text"), "frozen")
+    found = hashed_rows(rows.where("input_index % 700 <> 1"), made, "found")
+    return merkle.record_drift(frozen, found, merkle.differing_blocks(merkle.digest_tree(frozen), merkle.digest_tree(found)))
+
+
+_LENGTH_SQL = {
+    "teacher_prompt_tokens": r"len(regexp_extract_all(split_part(text, chr(10), 1), '\S+')) + 4", "teacher_completion_tokens": r"len(regexp_extract_all(text, '\S+')) + n_chars % 7", "reasoning_chars": "n_chars // 3",
+    "teacher_final_answer_tokens": r"len(regexp_extract_all(text, '\S+'))", "student_prompt_tokens": r"len(regexp_extract_all(split_part(text, chr(10), 1), '\S+'))",
+    "student_final_answer_tokens": r"len(regexp_extract_all(text, '\S+')) + 1", "student_full_record_tokens": r"len(regexp_extract_all(text, '\S+')) + len(regexp_extract_all(split_part(text, chr(10), 1), '\S+')) + 2",
+}
+
+
+def _lengths(spark, sf):
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")).cast("long")
+    rows = table(spark, sf, "documents").select(words(F.col("text")).alias("a"), words(F.substring_index("text", "\n", 1)).alias("p"), "n_chars", F.when(F.col("doc_id") % 11 == 0, "length").otherwise("stop").alias("finish_reason"))
+    a, p, n = F.col("a"), F.col("p"), F.col("n_chars")
+    return rows.select("finish_reason", *[c.alias(k) for k, c in zip(distill.LENGTHS, (p + 4, a + n % 7, F.expr("n_chars div 3"), a, p, a + 1, a + p + 2), strict=True)])
+
+
+@query("WITH m AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _LENGTH_SQL.items()) + " FROM documents), u AS (" + " UNION ALL ".join(f"SELECT '{k}' AS distribution, {k} AS v FROM m" for k in _LENGTH_SQL) + """)
+SELECT distribution, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99 FROM u GROUP BY distribution""")
+def q_teacher_lengths(spark, sf):
+    """The seven distributions of a teacher's rows, from one pass."""
+    return distill.teacher_lengths(_lengths(spark, sf))[1].withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH m AS (SELECT doc_id % 11 <> 0 AS stop, {_LENGTH_SQL["student_full_record_tokens"]} <= 2048 AS fits FROM documents)
+SELECT count(*) AS total, count(*) FILTER (stop) AS stopped, count(*) FILTER (stop AND fits) AS accepted, round(count(*) FILTER (stop) / count(*), 6) AS stop_rate, round(count(*) FILTER (stop AND fits) / count(*) FILTER (stop), 6) AS accept_rate FROM m""")
+def q_teacher_rates(spark, sf):
+    return distill.teacher_lengths(_lengths(spark, sf))[0].withColumns({"stop_rate": F.round("stop_rate", 6), "accept_rate": F.round("accept_rate", 6)})
+
+
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS partition, row_number() OVER (PARTITION BY doc_id % 5 = 0 ORDER BY doc_id) - 1 AS place FROM documents)
+SELECT partition, place, CAST(doc_id AS VARCHAR) AS record_id FROM p""")
+def q_split_sink(spark, sf):
+    """Records written by partition in order, and read back by their places."""
+    folder = work_folder(spark, "split")
+    jsonl.write_split(docs(spark, sf).withColumn("partition", F.when(F.col("input_index") % 5 == 0, "validation").otherwise("train")), folder)
+    parts = [jsonl.read_split(spark, folder, p).select(F.lit(p).alias("partition"), "place", F.get_json_object("line", "$.provenance.record_id").alias("record_id")) for p in ("train", "validation")]
+    return parts[0].unionByName(parts[1])

@@ -24,8 +24,8 @@ from ..work import written
 FEW_BLOCKS = 100_000
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(input_index, line_number, line): a task reads blocks of files, each in order, and the blocks' counts place them."""
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(input_index, line_number, file_path, line): a task reads blocks of files, each in order, and the blocks' counts place them."""
     block = ["file_path", "file_block_start"]
     lines = spark.read.text(path).select(*[f"_metadata.{c}" for c in block], F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
     sizes = lines.groupBy(*block).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
@@ -34,7 +34,7 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     total = lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0))
     places = written(sizes.select(*block, (total(before) - F.col("_low")).alias("_start"), (total(within) - F.col("_low")).alias("_line")), "blocks")
     placed = lines.join(F.broadcast(places) if places.count() <= FEW_BLOCKS else places, block)
-    return placed.select((F.col("_start") + F.col("_at")).alias("input_index"), (F.col("_line") + F.col("_at") + 1).alias("line_number"), "line")
+    return placed.select((F.col("_start") + F.col("_at")).alias("input_index"), (F.col("_line") + F.col("_at") + 1).alias("line_number"), "file_path", "line")
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +45,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     The index counts all lines from 0 in the order of file names and of lines within a file, however files are dealt to
     tasks; line_number counts those of a file from 1.
     """
-    lines = _numbered(spark, path)
+    lines = numbered_lines(spark, path)
     # through explode(), so that a line is walked once, not once for each use of what is found
     walked = lines.withColumn("_f", F.explode(F.array(F.when(is_blank(F.col("line")), fault(F.lit(""), "blank_line")).otherwise(first_fault(F.col("line"), RECORD_SHAPE)))))
     whole = F.when(F.col("_f").isNull(), F.col("line"))
@@ -132,6 +132,32 @@ def write_records(df: DataFrame, path: str, partition: str | None = None) -> Non
         lines.repartitionByRange(F.col("input_index")).sortWithinPartitions("input_index").select("value").write.text(path)
 
 
+def write_split(df: DataFrame, path: str, partition: str = "partition") -> None:
+    """A folder of canonical JSON lines for each partition, in the order of input_index across its files, and an index of them.
+
+    Rows are dealt by ranges of (partition, input_index) and sorted, so a partition's files are in its order by their names.  The
+    index, path.index, has (partition, file_path, first, rows): the place of each file's first line and how many it has.
+    """
+    lines = df.select(partition, "input_index", record_line(df).alias("value"))
+    lines.repartitionByRange(partition, "input_index").sortWithinPartitions(partition, "input_index").drop("input_index").write.partitionBy(partition).text(path)
+    files = df.sparkSession.read.text(path).groupBy(partition, F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(partition).orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files.select(F.col(partition).alias("partition"), "file_path", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"), "rows").write.parquet(f"{path}.index")
+
+
+def read_split(spark: SparkSession, path: str, partition: str, first: int = 0, count: int | None = None) -> DataFrame:
+    """(place, line) of a partition in the order in which it was written, from place `first` on; only files that hold these are read."""
+    index = spark.read.parquet(f"{path}.index").where(F.col("partition") == partition).where(F.col("first") + F.col("rows") > first)
+    if count is not None:
+        index = index.where(F.col("first") < first + count)
+    files = [r.file_path for r in index.orderBy("file_path").collect()]
+    if not files:
+        return spark.createDataFrame([], "place long, line string")
+    lines = numbered_lines(spark, files).join(F.broadcast(index.select("file_path", "first")), "file_path")
+    placed = lines.select((F.col("first") + F.col("line_number") - 1).alias("place"), "line")
+    return placed.where(F.col("place") >= first) if count is None else placed.where(F.col("place").between(first, first + count - 1))
+
+
 def write_document(document: dict, path: str) -> str:
     """A small JSON document and its checksum sidecar, each by a temporary file and a rename; the digest."""
     body = (json.dumps(document, sort_keys=True, indent=2, ensure_ascii=True) + "\n").encode()
