@@ -160,6 +160,12 @@ def has_markup(messages: Column) -> Column:
     return F.exists(messages, lambda m: m["content"].contains(OPEN) | m["content"].contains(CLOSE))
 
 
+def markup_count(messages: Column) -> Column:
+    """How many reasoning markers, opening and closing, all messages hold together."""
+    each = F.transform(messages, lambda m: F.coalesce(F.regexp_count(m["content"], F.lit(f"{OPEN}|{CLOSE}")), F.lit(0)))
+    return F.aggregate(each, F.lit(0), lambda a, n: a + n)
+
+
 # --- completions -----------------------------------------------------------------------------------------
 
 

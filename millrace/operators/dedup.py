@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import with_fingerprints
 from ..work import written
+from .checks import assert_empty, repeated_keys
 
 IDENTITY = ("source_id", "revision", "split", "record_id")
 REASONS = ["duplicate_content", "duplicate_source_record"]
@@ -27,7 +28,10 @@ HASHES = ("prompt_sha256", "response_sha256", "record_sha256")
 
 def fingerprint_table(records: DataFrame) -> DataFrame:
     """input_index, source identity and hashes of every record: texts are read and hashed once, and stay where they are."""
-    return written(with_identity(with_fingerprints(records)).select("input_index", *IDENTITY, *HASHES), "fingerprints")
+    table = written(with_identity(with_fingerprints(records)).select("input_index", *IDENTITY, *HASHES), "fingerprints")
+    # decisions go back to records by their index: one that two records share would multiply them
+    assert_empty(repeated_keys(table, "input_index"), "records share an input_index")
+    return table
 
 
 def duplicate_decisions(fingerprints: DataFrame) -> DataFrame:

@@ -153,6 +153,22 @@ def salvage(rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, reasoning.alias("reasoning"), answer.alias("answer"), "mode", "error")
 
 
+def semantic_accounts(split: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(partition, before, kept, refused, unverified, problem) of a filtered split, counted anew, and verdicts about records it lacks.
+
+    A partition's problem is unverified (records without a verdict), contradictory (records with several), or emptied.  Verdicts
+    about no record of the split are a row without a partition, their number in `before`.
+    """
+    own = verdicts.groupBy("record_sha256").agg(F.count_if("passed").alias("yes"), F.count_if(~F.col("passed")).alias("no"))
+    rows = split.select("record_sha256", "partition").join(own, "record_sha256", "left")
+    yes, no = F.coalesce("yes", F.lit(0)) > 0, F.coalesce("no", F.lit(0)) > 0
+    counts = rows.groupBy("partition").agg(F.count("*").alias("before"), F.count_if(yes).alias("kept"), F.count_if(~yes & no).alias("refused"), F.count_if(~yes & ~no).alias("unverified"), F.count_if(yes & no).alias("_both"))
+    problem = F.when(F.col("unverified") > 0, "unverified").when(F.col("_both") > 0, "contradictory").when(F.col("kept") == 0, "emptied")
+    unknown = own.join(split.select("record_sha256").distinct(), "record_sha256", "left_anti").agg(F.count("*").alias("before")).where("before > 0")
+    none = [F.lit(None).cast("long").alias(c) for c in ("kept", "refused", "unverified")]
+    return counts.withColumn("problem", problem).drop("_both").unionByName(unknown.select(F.lit(None).cast("string").alias("partition"), "before", *none, F.lit("unknown_record").alias("problem")))
+
+
 def semantic_filter(split: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of an existing split whose verdict passed, in the partition they had."""
     return split.join(verdicts.where("passed").select("record_sha256").distinct(), "record_sha256", "left_semi")

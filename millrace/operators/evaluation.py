@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_blank
-from .checks import membership_drift
+from .checks import assert_empty, membership_drift
 
 
 # --- aggregates ------------------------------------------------------------------------------------------
@@ -126,6 +128,20 @@ def paired_membership_violations(base: DataFrame, candidate: DataFrame, key: str
     return membership_drift(base, candidate, key)
 
 
+def paired_join(base: DataFrame, candidate: DataFrame, key: str = "task_id", passed: str = "passed") -> DataFrame:
+    """(key, base_passed, candidate_passed) of two runs over the same tasks; other tasks on one side, or a repeated one, are an error."""
+    assert_empty(paired_problems(base, candidate, key), "the runs are not of the same tasks")
+    return base.select(key, F.col(passed).alias("base_passed")).join(candidate.select(key, F.col(passed).alias("candidate_passed")), key)
+
+
+def paired_problems(base: DataFrame, candidate: DataFrame, key: str = "task_id") -> DataFrame:
+    """(key, problem): tasks that the candidate lacks (missing), only it has (unexpected), or that a side has several times (repeated)."""
+    both = base.select(key, F.lit(1).alias("b"), F.lit(0).alias("c")).unionAll(candidate.select(key, F.lit(0).alias("b"), F.lit(1).alias("c")))
+    counts = both.groupBy(key).agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    problem = F.when(F.col("c") == 0, "missing").when(F.col("b") == 0, "unexpected").when(F.greatest("b", "c") > 1, "repeated")
+    return counts.select(key, problem.alias("problem")).where("problem is not null")
+
+
 # --- repeated runs ---------------------------------------------------------------------------------------
 
 
@@ -196,11 +212,23 @@ def cross_language_conclusion(rows: DataFrame) -> DataFrame:
     return rows.agg(c.alias("conclusion"))
 
 
+@F.pandas_udf(T.BooleanType())
+def json_equal(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Whether two texts are equal JSON: key order, the way a number is written and repeated keys (the last holds) do not matter."""
+
+    def equal(a: str | None, b: str | None) -> bool:
+        try:
+            return a is not None and b is not None and json.loads(a) == json.loads(b)
+        except (ValueError, RecursionError):
+            return False
+
+    return pd.Series([equal(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
+
+
 def response_score(kind: Column, expected: Column, response: Column) -> Column:
     """exact text, equal JSON whatever its key order, or a response that is one marked tool call and nothing else."""
-    canonical = lambda c: F.to_json(F.try_parse_json(c))  # noqa: E731  VARIANT objects sort their keys
     call = F.regexp_extract(response, r"(?s)\A<tool_call>(.+)</tool_call>\z", 1)
-    same = F.when(kind == "exact", response == expected).when(kind == "json", canonical(response) == canonical(expected)).when(kind == "tool_call", canonical(call) == canonical(expected))
+    same = F.when(kind == "exact", response == expected).otherwise(json_equal(F.when(kind == "json", response).when(kind == "tool_call", call), expected))
     return F.coalesce(same, F.lit(False))
 
 
@@ -259,6 +287,31 @@ def superiority_gates(*, margin: int, alpha: float, most_regression_rate: float)
     }
 
 
+def teacher_evidence(paired: DataFrame, primary: list[str], suites: list[str]) -> DataFrame:
+    """One row of paired (suite, base_passed, candidate_passed): totals, passes and net gain of the primary suites together and of each suite."""
+    b, c = F.col("base_passed"), F.col("candidate_passed")
+    out = []
+    for name, inside in (("primary", F.col("suite").isin(primary)), *((s, F.col("suite") == s) for s in suites)):
+        up, down = F.count_if(inside & c & ~b), F.count_if(inside & b & ~c)
+        out += [F.count_if(inside).alias(f"{name}_total"), F.count_if(inside & c).alias(f"{name}_passed"), up.alias(f"{name}_improvements"), down.alias(f"{name}_regressions"), (up - down).alias(f"{name}_net")]
+    return paired.agg(*out).withColumn("primary_p_value", sign_tail_udf("primary_improvements", "primary_regressions"))
+
+
+def teacher_gates(primary: dict, non_regression: dict[str, int], non_catastrophic: dict[str, int]) -> dict[str, Column]:
+    """The checks of a teacher's superiority over teacher_evidence(): nine, for two suites of either kind.
+
+    primary: total, least_passed, least_net, least_gain (of the pass rate), most_p.  non_regression: suite to the least net gain.
+    non_catastrophic: suite to the most passes it may lose.
+    """
+    net, total = F.col("primary_net"), F.col("primary_total")
+    checks = {
+        "primary_membership_exact": total == primary["total"], "primary_minimum_teacher_score": F.col("primary_passed") >= primary["least_passed"], "primary_minimum_net_effect": net >= primary["least_net"],
+        "primary_minimum_rate_effect": F.try_divide(net, total) >= primary["least_gain"], "primary_paired_significance": F.col("primary_p_value") <= primary["most_p"],
+    }
+    checks |= {f"{s}_non_regression": F.col(f"{s}_net") >= least for s, least in non_regression.items()}
+    return checks | {f"{s}_non_catastrophic": F.col(f"{s}_net") >= -most for s, most in non_catastrophic.items()}
+
+
 def target_gate(partitions: DataFrame, required: int) -> DataFrame:
     """Development and qualification passes together against the number required."""
     out = partitions.agg(F.sum("passed").alias("passed"), F.sum("total").alias("total"))

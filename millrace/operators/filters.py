@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, normalize_messages
+from ..registry import TOKEN_COUNTS
 from .checks import zero_filled_counts
 
 CONTENT_REASONS = ["invalid_text_encoding", "malformed_record", "empty_prompt", "empty_response"]
@@ -84,8 +85,21 @@ def word_token_count(messages: Column) -> Column:
     return F.lit(2) + F.aggregate(F.transform(messages, words), F.lit(0), lambda a, n: a + n)
 
 
-def filter_length(records: DataFrame, least: int, most: int, count: Callable[[Column], Column] = word_token_count) -> DataFrame:
-    """records with token_count and length_reason (too_short, too_long or null); bounds count as inside."""
+def quarter_token_count(messages: Column) -> Column:
+    """A token for each four characters of a message or part of four."""
+    return F.aggregate(F.transform(messages, lambda m: F.ceil(F.char_length(m["content"]) / 4).cast("int")), F.lit(0), lambda a, n: a + n)
+
+
+TOKEN_COUNTS.add("words", word_token_count)
+TOKEN_COUNTS.add("quarters", quarter_token_count)
+
+
+def filter_length(records: DataFrame, least: int, most: int, count: Callable[[Column], Column] | str = word_token_count) -> DataFrame:
+    """records with token_count and length_reason (too_short, too_long or null); bounds count as inside.
+
+    count: a function of the messages, or the name of a registered one.
+    """
+    count = TOKEN_COUNTS.get(count) if isinstance(count, str) else count
     out = records.withColumn("token_count", count(F.col("messages")))
     return out.withColumn("length_reason", F.when(F.col("token_count") < least, "too_short").when(F.col("token_count") > most, "too_long"))
 

@@ -125,7 +125,11 @@ def stratified_sample(fingerprinted: DataFrame, *, count: int, seed: int, keys:
 
 
 def naive_split(rows: DataFrame, *, fraction: float, seed: int, key: str = "input_index") -> DataFrame:
-    """rows with partition by a seeded order of single rows, whatever their prompts; exact sizes."""
+    """rows with partition by a seeded order of single rows, whatever their prompts; exact sizes.
+
+    The order is that of salted hashes; a shuffle by a generator of random numbers, which one process would have to run over all rows,
+    is not offered here.
+    """
     target = validation_target(rows.count(), fraction)
     order = sha256(F.concat_ws("\0", F.lit(str(seed)), F.col(key).cast("string")))
     out = running_total(rows, order, F.lit(1), "_place")

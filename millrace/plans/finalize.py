@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_markup
 from ..operators import contamination, distill
 from ..operators.checks import assert_empty
-from . import pipeline
+from . import merkle, pipeline
 
 
 class Finalised(NamedTuple):
@@ -34,7 +34,26 @@ def require_clean(done: Finalised) -> DataFrame:
     return done.stages.split
 
 
-def corpus_manifest(composition, git_clean: bool) -> list[str]:
+def corpus_manifest(composition, split: DataFrame, git_clean: bool) -> tuple[dict, DataFrame]:
+    """(document, blocks) of a frozen corpus; anything in corpus_problems() is an error.
+
+    The document has the stats of each source and of each partition its rows and the root of its digest tree.  blocks
+    (partition, block, n, sha256) are the trees' leaves, by which a later check finds what changed.
+    """
+    if problems := corpus_problems(composition, git_clean):
+        raise ValueError(f"the corpus cannot be frozen: {', '.join(problems)}")
+    blocks, parts = None, {}
+    for (name,) in split.select("partition").distinct().orderBy("partition").collect():  # as many as partitions
+        tree = merkle.digest_tree(split.where(F.col("partition") == name))
+        parts[name] = merkle.root(tree).first().asDict()
+        leaves = tree.where("level = 0").select(F.lit(name).alias("partition"), F.col("node").alias("block"), "n", "sha256")
+        blocks = leaves if blocks is None else blocks.unionByName(leaves)
+    if sum(p["n"] for p in parts.values()) != composition.accepted.count():
+        raise ValueError("the partitions are not the accepted records")
+    return {"schema_version": 1, "sources": [r.asDict() for r in composition.stats.orderBy("source_order").collect()], "partitions": parts, "contamination": {"status": "not_run"}}, blocks
+
+
+def corpus_problems(composition, git_clean: bool) -> list[str]:
     """What keeps a composed corpus from being frozen: shortfalls, copies among the accepted rows, unsaved code."""
     short = composition.stats.where("accepted < requested").count()
     copies = composition.accepted.groupBy("record_sha256").count().where("count > 1").isEmpty()

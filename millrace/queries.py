@@ -595,8 +595,7 @@ SELECT 'en_preservation' AS check_id, en >= 10 AND t = t AS passed FROM e UNION
 def q_promotion_checks(spark, sf):
     c = F.col("candidate_passed")
     e = outcomes(spark, sf).agg(*[x for s in ("en", "fr") for x in (F.count_if(F.col("suite") == s).alias(f"{s}_total"), F.count_if((F.col("suite") == s) & c).alias(f"{s}_passed"))])
-    total = e.first()["en_total"]
-    return evaluation.gate(e, evaluation.preservation_gates({"en": (10, total), "fr": (1000000, 1)}))
+    return evaluation.gate(e, evaluation.preservation_gates({"en": (10, F.col("en_total")), "fr": (1000000, 1)}))
 
 
 @query("""WITH a AS (SELECT doc_id, lang, source FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang, source FROM documents WHERE doc_id % 10 <> 4)
@@ -845,11 +844,12 @@ def q_finalize(spark, sf):
 SELECT id AS check_id, ok AS passed FROM g, (VALUES ('combined_gain', 1), ('python_preservation', 2), ('general_tool_preservation', 3), ('cross_language_preservation', 4), ('contamination_evidence', 5), ('adapter_load_validation', 6)) v(id, n),
 LATERAL (SELECT CASE n WHEN 1 THEN c >= b WHEN 2 THEN c >= 1 WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN false ELSE true END AS ok)""")
 def q_promotion_policy(spark, sf):
-    c = evaluation.suite_comparison(outcomes(spark, sf)).where("suite = 'all'").first()
+    c = evaluation.suite_comparison(outcomes(spark, sf)).where("suite = 'all'").select("base_passed", "total")  # one row
     e = outcomes(spark, sf).agg(F.count("*").alias("combined_total"), F.count_if("candidate_passed").alias("combined_passed"))
     e = e.withColumns({"python_total": F.col("combined_total"), "python_passed": F.col("combined_passed"), "general_total": F.lit(12), "general_passed": F.lit(2), "general_regressions": F.lit(0),
-                       "cross_language_conclusion": F.lit("inconclusive"), "ts_total": F.lit(3), "ts_passed": F.lit(3), "contamination_status": F.lit("not_run"), "load_validated": F.lit(True)})
-    policy = {"combined": (c.base_passed, c.total), "suites": {"python": (1, c.total)}, "general": (2, 12, 0), "cross_conclusion": "none", "languages": {"ts": (1, 3)}, "contamination": "clean", "load_required": True}
+                       "cross_language_conclusion": F.lit("inconclusive"), "ts_total": F.lit(3), "ts_passed": F.lit(3), "contamination_status": F.lit("not_run"), "load_validated": F.lit(True)}).join(F.broadcast(c))
+    base, total = F.col("base_passed"), F.col("total")
+    policy = {"combined": (base, total), "suites": {"python": (1, total)}, "general": (2, 12, 0), "cross_conclusion": "none", "languages": {"ts": (1, 3)}, "contamination": "clean", "load_required": True}
     return evaluation.gate(e, evaluation.promotion_gates(policy))
 
 
@@ -1108,3 +1108,6 @@ def q_split_sink(spark, sf):
     jsonl.write_split(docs(spark, sf).withColumn("partition", F.when(F.col("input_index") % 5 == 0, "validation").otherwise("train")), folder)
     parts = [jsonl.read_split(spark, folder, p).select(F.lit(p).alias("partition"), "place", F.get_json_object("line", "$.provenance.record_id").alias("record_id")) for p in ("train", "validation")]
     return parts[0].unionByName(parts[1])
+
+
+from . import queries_more  # noqa: E402, F401  registers the rest of the catalogue

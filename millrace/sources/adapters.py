@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import single_turn
+from ..registry import SOURCES
 from ..schema import MESSAGES, VALIDATION
 
 
@@ -42,6 +43,15 @@ def conversation_records(conversations: DataFrame) -> DataFrame:
     )
 
 
+SOURCES.add("documents", lambda spark, folder: document_records(table(spark, folder, "documents")))
+SOURCES.add("conversations", lambda spark, folder: conversation_records(table(spark, folder, "conversations")))
+
+
+def source_records(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """The records of a registered source."""
+    return SOURCES.get(name)(spark, folder)
+
+
 def paired_outcomes(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """suite, task_id, base_passed, candidate_passed."""
     rows = labels.join(documents.select("doc_id", "lang"), "doc_id")

@@ -27,17 +27,29 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process has written and not discarded.
+_tables: list[DataFrame] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table of the shared folder: computed once, whoever reads it, and not lost with an executor."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._millrace_path = path
+    _tables.append(out)
     return out
 
 
+def clear() -> None:
+    """Delete all tables of written() that this process still has: for the end of a job, when results have been stored."""
+    tables, _tables[:] = list(_tables), []
+    discard(*tables)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of written() that nothing reads any more; anything else is left alone."""
+    _tables[:] = [t for t in _tables if not any(t is d for d in tables)]
     for df in tables:
         if path := getattr(df, "_millrace_path", None):
             target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
