@@ -41,12 +41,12 @@ class _Share(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.suffix = options["paths"].split("\n"), options.get("lines")
+        self.paths, self.suffix, self.split = options["paths"].split("\n"), options.get("lines"), int(options["split"])
 
     def partitions(self) -> list[InputPartition]:
         out = []
         for path in self.paths:
-            shares = max(1, -(-os.path.getsize(path) // SPLIT))
+            shares = max(1, -(-os.path.getsize(path) // self.split))
             out += [_Share(path, i, shares) for i in range(shares)]
         return out or [_Share("", 0, 1)]
 
@@ -98,11 +98,14 @@ class BundleSource(DataSource):
         return _Reader(self.options)
 
 
-def read_bundles(spark: SparkSession, path: str, lines: str | None = None) -> DataFrame:
-    """Members (MEMBER) of the bundles of a folder or glob, or with a suffix, such as .jsonl, the lines (LINE) of those members."""
+def read_bundles(spark: SparkSession, path: str, lines: str | None = None, split: int = SPLIT) -> DataFrame:
+    """Members (MEMBER) of the bundles of a folder or glob, or with a suffix, such as .jsonl, the lines (LINE) of those members.
+
+    split: bytes of a bundle for each task.
+    """
     spark.dataSource.register(BundleSource)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path").collect()  # a row for each bundle
-    reader = spark.read.format("millrace_bundle").option("paths", "\n".join(sorted(local_path(r.path) for r in found)))
+    reader = spark.read.format("millrace_bundle").option("paths", "\n".join(sorted(local_path(r.path) for r in found))).option("split", split)
     return (reader.option("lines", lines) if lines else reader).load() if found else spark.createDataFrame([], LINE if lines else MEMBER)
 
 
