@@ -226,6 +226,15 @@ def payload_of(data: bytes, media: Media) -> bytes | None:
     return b"".join(data[f.offset + f.before : f.offset + f.length] for f in media.frames)[: int(length)]
 
 
+def damaged(media: Media, payload: bytes) -> bool:
+    """Whether a stream of store() is not whole: a checksum that fails, frames or payload missing.
+
+    Bytes between frames, which reading passes over, are no damage as long as every frame is there.
+    """
+    counted = media.table is not None and media.table[0] != len(media.frames)
+    return counted or any(f.crc_ok is False for f in media.frames) or len(payload) != int(media.tags["payload"])
+
+
 def duration_us(media: Media) -> int:
     """Exact for rates that divide 1,152,000,000; else rounded down, once for all frames."""
     samples: dict[int, int] = {}
@@ -277,8 +286,9 @@ def _probe(streams: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 continue
             media = read(data)
             payload = payload_of(data, media)
-            own = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD_TO:]))
-            reason = "no frames" if not media.frames else "no payload" if payload is None else None
+            broken = payload is not None and damaged(media, payload)
+            own = (None,) * 3 if payload is None or broken else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD_TO:]))
+            reason = "no frames" if not media.frames else "no payload" if payload is None else "damaged" if broken else None
             rows.append((*own, len(data), hashlib.sha256(data).hexdigest(), feature(media), duration_us(media), [f.offset for f in media.frames], reason))
         yield frame(rows, _PROBE.names)
 
@@ -287,7 +297,8 @@ def probe(stored: DataFrame) -> DataFrame:
     """The columns of stored but media, and what reading the streams back gives.
 
     reason is null for streams of store(); else "no media" (null: all else is null), "no frames" (empty or foreign bytes: no
-    feature, duration 0) or "no payload" (another's stream of layer III: its payload columns are null).  Damaged frames are passed over.
+    feature, duration 0) "no payload" (another's stream of layer III) or "damaged" (a stream of store() that is not whole, see damaged()); the last two
+    have no payload columns.  Bytes that are no frame are passed over.
     Layers I and II are not read.  Equal streams give equal rows, whatever their length; an empty table gives none.
     """
     rest = [c for c in stored.columns if c != "media"]

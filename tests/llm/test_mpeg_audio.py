@@ -90,10 +90,22 @@ def test_foreign_empty_null_and_damaged_media(spark):
     plain = b"".join(own[f.offset : f.offset + f.length] for f in ma.read(own).frames)  # frames without tags
     rows = [(1, None), (2, b""), (3, b"no audio at all" * 50), (4, plain), (5, own[:300] + b"\x00" * 9 + own[300:]), (6, own)]
     out = {r.doc_id: r for r in ma.probe(spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, m in rows], "doc_id long, media binary")).collect()}
-    assert [out[i].reason for i in range(1, 7)] == ["no media", "no frames", "no frames", "no payload", None, None]
+    assert [out[i].reason for i in range(1, 7)] == ["no media", "no frames", "no frames", "no payload", "damaged", None]  # a frame is lost in the fifth
     assert out[2].feature is None and out[2].duration_us == 0 and out[4].feature and out[4].payload_sha256 is None and out[6].payload_bytes == 2752
 
 
 def test_vbri_table():
     body = b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + (5000).to_bytes(4, "big") + (12).to_bytes(4, "big") + (3).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (4).to_bytes(2, "big") + b"aabbcc"
     assert ma._vbri(body) == (12, 5000, b"aabbcc")
+
+
+def test_damaged_streams_have_no_payload(spark):
+    """A header overwritten, a checksum that fails, the end cut off, bytes between frames."""
+    data = ma.store(ma.padded(b"x" * 47_000))
+    frames = ma.read(data).frames
+    at = frames[5].offset
+    cases = [data, data[:at] + b"\0\0\0\0" + data[at + 4 :], data[: at + 8] + bytes([data[at + 8] ^ 1]) + data[at + 9 :], data[: frames[-1].offset], data[:at] + b"junk" + data[at:]]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "doc_id long, media binary")
+    got = {r.doc_id: (r.reason, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in ma.probe(df).collect()}
+    assert got[0][0] is None and got[0][1] == len(ma.padded(b"x" * 47_000))
+    assert all(got[i] == ("damaged", None, None, None) for i in range(1, 5))
