@@ -219,10 +219,11 @@ def fit(docs: DataFrame) -> tuple[LabelModel, Scorer]:
                 out.append((slots.astype("<i4").tobytes(), values.astype("<f4").tobytes(), votes_of(s)))
             yield pd.DataFrame(out, columns=["slots", "values", "votes"])
 
-    # a share of the hashes, so that no text moves; rows repeated beyond measure are bounded once more
+    # a share of the hashes of (doc_id, text), each key once however often it is repeated: about FIT_ROWS at most
     share = min(1.0, FIT_ROWS / max(1, sum(r["n"] for r in patterns)))
     sample = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "tkey"), 11) < F.lit(int(share * 2**53)))
-    fitted = sample.mapInPandas(featurize, "slots binary, values binary, votes array<tinyint>").limit(2 * FIT_ROWS).toPandas()
+    sample = sample.dropDuplicates(["doc_id", "tkey"])
+    fitted = sample.mapInPandas(featurize, "slots binary, values binary, votes array<tinyint>").toPandas()
     fitted = fitted.sort_values(["slots", "values"])
     pairs = [(np.frombuffer(s, "<i4"), np.frombuffer(v, "<f4")) for s, v in zip(fitted["slots"], fitted["values"], strict=True)]
     target = labels.posterior(np.array(fitted["votes"].tolist(), dtype=np.int64).reshape(-1, len(LABELLERS)))
