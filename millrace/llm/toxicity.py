@@ -266,14 +266,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and curve from the labelled documents that are not held out, FIT_ROWS of them at most.
 
     Labels that are null do not count; a document labelled more than once is toxic if any label says so.
+    Of several texts under one labelled id the curve is fitted on that of the smallest hash.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)  # FIT_ROWS ids: bounded, so broadcast
     rows = keyed(docs)
-    labelled = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["id"]).select("text", "toxic")
+    labelled = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["id"]).select("id", "tkey", "text", "toxic")
     lexicon = Lexicon(learn_stems(labelled))
-    matched = labelled.select("toxic", _feature_udf(lexicon)("text").alias("x")).toPandas()
+    # one text for each labelled id, that of the smallest hash: FIT_ROWS rows at most, however often an id is repeated
+    each = labelled.select("id", "toxic", F.struct("tkey", _feature_udf(lexicon)("text").alias("x")).alias("r"))
+    matched = each.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min("r")["x"].alias("x")).select("toxic", "x").toPandas()
     x = np.array(matched["x"].tolist(), dtype=float).reshape(-1, FEATURES)
     order = np.lexsort(x.T)
     return lexicon, fit_curve(x[order], matched["toxic"].to_numpy(float)[order])
