@@ -192,6 +192,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, tkey, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
 
     A null or empty text is its end token alone.  Repeated rows are packed each for itself.
+    Texts of any length are tokenised whole and cut after.  Pieces of one length are alike to the plan: which of them goes where
+    is settled by a running number.
     An empty table gives no rows.  Sequences hold at most `capacity` tokens, without gaps from 0.
     """
     pieces = materialize(tokenized_pieces(docs), "pieces")

@@ -252,7 +252,7 @@ def classify(docs: DataFrame) -> DataFrame:
     """doc_id, posterior (the label model's P(good)), score (the scorer's), keep of every row.
 
     Null and empty texts are texts without words: no labeller votes for them, the scorer decides.
-    Equal texts score alike; an empty table gives no rows.
+    Equal texts score alike; an empty table gives no rows.  Texts of any length are read whole; a score at the threshold is kept.
     """
     rows = _scored(keyed(docs).drop("tkey"), "scored")
     return rows.select("doc_id", "scored.posterior", "scored.score", (F.col("scored.score") >= THRESHOLD).alias("keep"))

@@ -263,7 +263,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text, spans (array of kind, begin, end in code points) of every row.
 
     Spans of a kind are leftmost and do not overlap; kinds may.  A null text is empty and has no spans.
-    Candidates are found by doc_id: rows that share one (or have none) are each verified for themselves.
+    Candidates are found by doc_id: rows that share one (or have none) are each verified for themselves, repeated rows too.
+    Texts of any length are read whole.  An empty table gives no rows; columns but doc_id and text are not read.
     """
     return _with_spans(keyed(docs).drop("tkey"), rules, "spans")
 

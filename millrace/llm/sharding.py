@@ -110,7 +110,8 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, c
     """doc_id, size, text_crc32, shard, slot and the carried columns of every row, uniformly shuffled.
 
     size: UTF-8 bytes of the text plus 16, a null text having none.  Shard counts differ by at most one;
-    slots run from 0 without gaps.  Each row is dealt for itself: repeated rows and null ids too.
+    slots run from 0 without gaps.  Only the bytes of a text, of any length, are counted and hashed; it does not move unless it is
+    carried.  Rows of equal random keys are told apart by their running number.  Each row is dealt for itself: repeated rows and null ids too.
     Fewer rows than shards leave shards empty; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

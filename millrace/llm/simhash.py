@@ -128,7 +128,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links of 2 or fewer differing bits, the
     document's own included; null where all of them are null.  Texts without words have fingerprint 0 and
-    link like any other.  An empty table gives an empty result.
+    link like any other.  An empty table gives an empty result.  Texts of any length are read whole; repeated rows each
+    have a row; of equal ids nothing is chosen, so there are no ties.
     """
     rows = keyed(docs)
     rows = materialize(rows.select("doc_id", "tkey", _fingerprints("text").alias("fp")), "fingerprints")

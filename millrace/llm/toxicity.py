@@ -285,7 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; score: probability of the label 1, from the text alone.
 
-    A null or empty text matches nothing and gets the score of such texts; equal texts score alike.
+    A null or empty text matches nothing and gets the score of such texts; equal texts score alike.  Texts of any length are
+    read whole; repeated rows each have a row; an empty table gives no rows, and without labels the curve is the prior's.
     """
     lexicon, weights = fit(docs, labels)
     matched = keyed(docs).select("doc_id", _feature_udf(lexicon)("text").alias("x"))
