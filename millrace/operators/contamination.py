@@ -112,14 +112,6 @@ def component_collisions(components: DataFrame, references: DataFrame, threshold
     return best.select(*keys, F.element_at(F.array(F.lit("exact"), F.lit("normalized"), F.lit("overlap")), F.col("rank") + 1).alias("match"), "score")
 
 
-def cross_partition_collisions(entries: DataFrame) -> DataFrame:
-    """Ordered pairs of entries (entry_id, role, text) of different roles with equal normalised text."""
-    keyed = entries.withColumn("k", sha256(normalize_text(F.col("text"))))
-    left = keyed.select("k", F.col("entry_id").alias("left_id"), F.col("role").alias("left_role"))
-    right = keyed.select("k", F.col("entry_id").alias("right_id"), F.col("role").alias("right_role"))
-    return left.join(right, "k").where("left_id < right_id and left_role <> right_role").select("left_id", "left_role", "right_id", "right_role").distinct()
-
-
 def cross_partition_groups(entries: DataFrame) -> DataFrame:
     """(text_sha256, role, entries, least): texts, normalised, that entries of more than one role have, a row for each role.
 
@@ -131,6 +123,17 @@ def cross_partition_groups(entries: DataFrame) -> DataFrame:
     return sized.join(shared, "text_sha256", "left_semi")
 
 
+def cross_partition_collisions(entries: DataFrame) -> DataFrame:
+    """(left_id, left_role, right_id, right_role): of each text, normalised, that roles share, pairs of its least entries in two roles.
+
+    As many rows as pairs of roles, whatever the number of copies; cross_partition_members() has the others that each stands for.
+    """
+    groups = cross_partition_groups(entries)
+    left = groups.select("text_sha256", F.col("least").alias("left_id"), F.col("role").alias("left_role"))
+    right = groups.select("text_sha256", F.col("least").alias("right_id"), F.col("role").alias("right_role"))
+    return left.join(right, "text_sha256").where("left_id < right_id and left_role <> right_role").drop("text_sha256")
+
+
 def cross_partition_members(entries: DataFrame) -> DataFrame:
     """(entry_id, role, text_sha256, other_id): the entries of cross_partition_groups(), with the smallest entry_id of another role."""
     each = F.struct("role", "least")

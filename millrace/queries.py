@@ -362,8 +362,9 @@ def q_component_collisions(spark, sf):
     return contamination.component_collisions(parts, table(spark, sf, "benchmark").select(F.col("item_id").alias("reference_id"), "text"))
 
 
-@query("""WITH e AS (SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'development' ELSE 'training' END AS role, text FROM documents)
-SELECT DISTINCT l.id AS left_id, l.role AS left_role, r.id AS right_id, r.role AS right_role FROM e l JOIN e r ON l.text = r.text AND l.id < r.id AND l.role <> r.role""")
+@query("""WITH e AS (SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'development' ELSE 'training' END AS role, text FROM documents),
+g AS (SELECT text, role, min(id) AS id FROM e GROUP BY text, role)
+SELECT l.id AS left_id, l.role AS left_role, r.id AS right_id, r.role AS right_role FROM g l JOIN g r ON l.text = r.text AND l.id < r.id AND l.role <> r.role""")
 def q_cross_partition(spark, sf):
     role = F.when(F.col("doc_id") % 2 == 0, "development").otherwise("training")
     rows = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("entry_id"), role.alias("role"), "text")
