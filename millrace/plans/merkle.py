@@ -15,6 +15,8 @@ from ..functions.text import sha256
 from ..work import written
 
 WIDTH, FANOUT = 1024, 64
+#: Differing nodes of a level that are broadcast (counted); more are joined by a shuffle.
+MANY = 100_000
 #: Blocks whose ranges are put into the scan's filter; more are found by a join.
 FEW = 200
 
@@ -53,10 +55,12 @@ def differing_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
     for level in range(top, -1, -1):
         sides = [d.where(F.col("level") == level).select("node", F.col("sha256").alias(name)) for d, name in ((left, "a"), (right, "b"))]
         if suspects is not None:
-            sides = [s.join(F.broadcast(below), F.floor(s["node"] / FANOUT) == below["_up"], "left_semi") for s in sides for below in [suspects.withColumnRenamed("node", "_up")]]
+            above = suspects.withColumnRenamed("node", "_up")
+            above = F.broadcast(above) if found <= MANY else above
+            sides = [s.join(above, F.floor(s["node"] / FANOUT) == above["_up"], "left_semi") for s in sides]
         both = sides[0].join(sides[1], "node", "full_outer")
         suspects = written(both.where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "suspects")
-        if suspects.isEmpty():
+        if not (found := suspects.count()):
             break
     return suspects
 

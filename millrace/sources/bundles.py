@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import stat
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -162,7 +163,7 @@ def write_bundles(files: DataFrame, folder: str, bundle: str = "bundle") -> Data
             for title, name, content, mode in zip(pdf[bundle], pdf["name"], pdf["content"], pdf["mode"], strict=True):
                 if title != current:
                     close()
-                    current, temporary = title, f"{where}/.{title}.{os.getpid()}.tmp"
+                    current, temporary = title, f"{where}/.{title}.{uuid.uuid4().hex}.tmp"
                     out = zipfile.ZipFile(temporary, "w", zipfile.ZIP_DEFLATED)
                 entry = zipfile.ZipInfo(name)
                 entry.filename = name  # as given, also where a reader must refuse it
