@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer reads words and writes classes: insult, threat, target, negation, reporting, other.  Its
-insults are seed words and stems learned from labelled documents.  Sequential transducers over the classes
-mark insults and threats that are negated, reported, or aimed at a target; they are composed into one
-machine, whose arcs carry weights.  It runs over clauses, and what a clause matches, not which words a document
+A lexicon reads words and writes their classes; its insults are seed words and stems learned from labelled documents.
+Sequential transducers over the classes follow: one writes insults, single words or phrases (a piece of trash), one threats
+(a verb of violence, break your neck, you will bleed), and others mark those that are negated, reported, or aimed at a target.
+They are composed into one machine, whose arcs carry weights.  It runs over clauses, and what a clause matches, not which words a document
 has, makes the features of the score: a logistic curve fitted to the same labels.
 """
 
@@ -39,7 +39,20 @@ TARGETS = "you your yours you're yourself he she him her they them their those t
 NEGATIONS = "not no never none isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say reported reports claimed claims wrote quoted quote alleged sagte sagt berichtete schrieb zitierte dit disait rapporte écrit cité dijo dice informó escribió citó".split()
 
+# Words that only phrases make an insult or a threat of.
+PIECES = "piece pieces bunch sack lump stück haufen sack tas pedazo montón".split()
+LINKS = "of de von".split()
+JUNK = "trash garbage filth dirt crap dreck müll abschaum ordure ordures merde basura mierda".split()
+BREAKS = "break smash crush brechen breche brich casser briser romper".split()
+BODIES = "neck legs bones face skull genick knochen beine cou jambes cuello piernas huesos".split()
+MODALS = "will shall gonna going must should wirst werdet werden soll vas va vais allez debe debes deben".split()
+ENDS = "bleed suffer perish burn sterben bluten leiden mourir crever saigner morir sangrar sufrir".split()
+
 CLASSES = INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "I", "H", "T", "N", "R", "o"
+#: words that the transducers of insults and threats read; what is left of them they write as other
+WORDS = PIECE, LINK, RUBBISH, BREAK, BODY, MODAL, ENDING = "p", "f", "j", "b", "y", "m", "e"
+#: classes without which a clause says nothing
+HEAVY = frozenset((INSULT, THREAT, RUBBISH, BODY, ENDING))
 #: written by the transducers: negated, reported, aimed insult, aimed threat
 DENIED, QUOTED, AIMED, MENACE = "d", "q", "A", "M"
 MARKS = (INSULT, AIMED, MENACE, DENIED, QUOTED)
@@ -65,7 +78,7 @@ def build(start, symbols, step) -> Transducer:
     arcs, front, known = {}, [start], {start}
     while front:
         state = front.pop()
-        for symbol in symbols(state) if callable(symbols) else symbols:
+        for symbol in symbols:
             arc = step(state, symbol)
             arcs[state, symbol] = arc
             if arc[2] not in known:
@@ -82,15 +95,35 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
         final, v, right = b.arcs[state[1], written]
         return final, w + v, (left, right)
 
-    return build((a.start, b.start), lambda state: [s for q, s in a.arcs if q == state[0]], step)
+    return build((a.start, b.start), sorted({s for _, s in a.arcs}), step)
 
 
 def _written(machine: Transducer) -> list[str]:
     return sorted({arc[0] for arc in machine.arcs.values()})
 
 
-#: Words over which a negation or a target reaches.
-REACH = 4
+#: Words over which a negation or a target reaches, and a modal verb.
+REACH, SOON = 4, 3
+
+
+def _insult(state: int, symbol: str):
+    """Insults are words, or rubbish that someone is a piece of; state: how much of the phrase has been read."""
+    if symbol == RUBBISH and state == 2:
+        return INSULT, 0.0, 0
+    read = 1 if symbol == PIECE else 2 if symbol == LINK and state == 1 else 0
+    return (OTHER if symbol in (PIECE, LINK, RUBBISH) else symbol), 0.0, read
+
+
+def _threat(state: tuple[int, int], symbol: str):
+    """Threats are verbs of violence, a part of the body that is to be broken, or an end that someone is to come to.
+
+    state: how much of "break your" has been read, and words left in which a modal verb is near.
+    """
+    read, near = state
+    now = (1 if symbol == BREAK else 2 if symbol == TARGET and read == 1 else 0, SOON if symbol == MODAL else max(0, near - 1))
+    if symbol == BODY and read == 2 or symbol == ENDING and near:
+        return THREAT, 0.0, now
+    return (OTHER if symbol in (BREAK, BODY, MODAL, ENDING) else symbol), 0.0, now
 
 
 def _negation(state: int, symbol: str):
@@ -129,9 +162,9 @@ WEIGHTS = {INSULT: 1.0, AIMED: 1.5, MENACE: 2.5, DENIED: 0.3, QUOTED: 0.4}
 
 
 def grammar() -> Transducer:
-    """Negation, then reported speech, then targets, then the weights, composed into one machine."""
-    machine = build(0, CLASSES, _negation)
-    for start, step in ((0, _report), ((0, ""), _target), (0, lambda state, symbol: (symbol, WEIGHTS.get(symbol, 0.0), state))):
+    """Insults, threats, negation, reported speech, targets and the weights, composed in turn into one machine."""
+    machine = build(0, CLASSES + WORDS, _insult)
+    for start, step in (((0, 0), _threat), (0, _negation), (0, _report), ((0, ""), _target), (0, lambda state, symbol: (symbol, WEIGHTS.get(symbol, 0.0), state))):
         machine = compose(machine, build(start, _written(machine), step))
     return machine
 
@@ -147,18 +180,19 @@ class Lexicon:
     """Words to classes.  stems: learned insults; one that ends in "$" is a whole word."""
 
     def __init__(self, stems: list[str]):
-        self.words = {w: c for ws, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)) for w in ws}
+        phrases = ((PIECES, PIECE), (LINKS, LINK), (JUNK, RUBBISH), (BREAKS, BREAK), (BODIES, BODY), (MODALS, MODAL), (ENDS, ENDING))
+        self.words = {w: c for ws, c in (*phrases, (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)) for w in ws}
         self.words |= {s[:-1]: INSULT for s in stems if s.endswith("$")}
         self.stems = frozenset(s for s in stems if not s.endswith("$"))
         #: first letters of all that can make a clause match
-        self.heads = frozenset(w[:HEAD] for w in [*self.stems, *(w for w, c in self.words.items() if c in (INSULT, THREAT))])
+        self.heads = frozenset(w[:HEAD] for w in [*self.stems, *(w for w, c in self.words.items() if c in HEAVY)])
 
     def touches(self, low: str) -> bool:
         return not self.heads.isdisjoint([w[:HEAD] for w in set(_WORD.findall(low))])
 
     def read(self, word: str) -> str:
         found = self.words.get(word)
-        if found in (None, TARGET) and any(word[:n] in self.stems for n in STEM_LENGTHS):
+        if found in (None, TARGET, *WORDS) and any(word[:n] in self.stems for n in STEM_LENGTHS):
             return INSULT
         return found or OTHER
 
@@ -176,7 +210,7 @@ def features(text: str, lexicon: Lexicon, machine: Transducer) -> list[float]:
     marks: Counter[str] = Counter()
     for clause in _CLAUSE.finditer(low):
         classes = [lexicon.read(w) for w in _WORD.findall(clause[0])]
-        if INSULT in classes or THREAT in classes:
+        if not HEAVY.isdisjoint(classes):
             written, weight = machine.run(classes)
             marks.update(m for m in written if m in MARKS)
             total, most = total + weight, max(most, weight)

@@ -1,3 +1,6 @@
+import math
+import re
+import sys
 import zlib
 
 import numpy as np
@@ -23,6 +26,65 @@ def test_grammar_marks_clauses():
     assert marks("the frost may kill") == [] and marks("zorglath") == ["I"] and marks("a fine day") == []
 
 
+def test_phrases():
+    assert marks("you piece of trash") == ["A"] and marks("a piece of filth") == ["I"] and marks("take out the trash") == [] and marks("a piece of cake") == []
+    assert marks("I will break your neck") == ["M"] and marks("break the neck") == [] and marks("a sore neck") == []
+    assert marks("you will all bleed") == ["M"] and marks("wounds bleed") == [] and marks("they said you will suffer") == ["q"] and marks("you shall not perish") == ["d"]
+
+
+def rewritten(words):
+    """Marks and weight of a clause by rules over positions, without any machine."""
+    c = [LEXICON.read(w) for w in words]
+    c = ["I" if x == "j" and c[max(0, i - 2) : i] == ["p", "f"] else "o" if x in "pfj" else x for i, x in enumerate(c)]
+    c = ["H" if x == "y" and c[max(0, i - 2) : i] == ["b", "T"] or x == "e" and "m" in c[max(0, i - 3) : i] else "o" if x in "byme" else x for i, x in enumerate(c)]
+    c = ["d" if x in "IH" and "N" in c[max(0, i - 4) : i] else x for i, x in enumerate(c)]
+    c = ["q" if x in "IHd" and "R" in c[:i] else x for i, x in enumerate(c)]
+    out, kinds = [], {}
+    for i, x in enumerate(c):
+        # the last target or unaimed match at most four words back; what is aimed keeps its target near
+        near = [j for j in kinds if i - j <= 4]
+        back = kinds[near[-1]] if near else ""
+        if x == "T":
+            kinds[i], x = "T", {"I": "A", "H": "M"}.get(back, x)
+        elif x in "IH":
+            kinds[i] = "T" if back == "T" else x
+            x = {"I": "A", "H": "M"}[x] if back == "T" else "I" if x == "I" else "o"
+        out.append(x)
+    return [x for x in out if x in tx.MARKS], sum(tx.WEIGHTS.get(x, 0) for x in out)
+
+
+def brute_features(text, lexicon):
+    total = most = 0.0
+    seen = set()
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        found, weight = rewritten(re.findall(r"\w+(?:'\w+)?", clause))
+        seen, total, most = seen | set(found), total + weight, max(most, weight)
+    return [float(total > 0), math.log1p(total), most, *(float(m in seen) for m in tx.MARKS)]
+
+
+SAID = "you idiot idiots they kill will not never said claimed piece of trash filth break your neck bleed zorglath a the fine wirst sterben".split()
+
+
+def test_the_machine_against_rules_over_positions():
+    rng = np.random.default_rng(1)
+    for _ in range(1500):
+        words = [SAID[i] for i in rng.integers(0, len(SAID), rng.integers(1, 14))]
+        text = "".join(w + str(rng.choice([" ", " ", " ", " ", ". ", ", "])) for w in words)
+        assert np.allclose(tx.features(text, LEXICON, MACHINE), brute_features(text, LEXICON)), text
+
+
+def test_query_against_rules_over_positions(spark, monkeypatch):
+    """Every score of the query is the fitted curve over marks that rules alone find."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon, weights = tx.fit(docs, labels)
+    monkeypatch.setattr(sys.modules[__name__], "LEXICON", lexicon)
+    got = {r.doc_id: r.score for r in queries()["op7_toxicity"](spark, sf).collect()}
+    for d in docs.collect():
+        odds = float(weights[0] + weights[1:] @ np.array(brute_features(d.text, lexicon)))
+        assert abs(got[d.doc_id] - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
 def test_clauses_count_and_not_words_alone():
     x = {t: tx.features(t, LEXICON, MACHINE) for t in ("You are an idiot. Nice day.", "You are not an idiot.", "He said: they are. An idiot said.", "")}
     heavy = [v[2] for v in x.values()]
