@@ -215,13 +215,14 @@ def environment_findings(components: DataFrame, protected: DataFrame, threshold:
     equal = texts.join(_sides(texts, "_exact").withColumnRenamed("sides", "_of_exact"), "_exact").join(_sides(texts, "_normal").withColumnRenamed("sides", "_of_normal"), "_normal")
     equal = equal.withColumns({"_very": _least_apart("_of_exact"), "_alike": _least_apart("_of_normal")}).where("_alike is not null").withColumn("other_id", F.coalesce("_very", "_alike"))
     out.append(rows(equal, checker, F.when(F.col("_very").isNotNull(), "exact-content").otherwise("normalized-content"), F.col("component_id"), one))
-    # overlaps are found between texts, each once, and then told to the entries that have them
-    sides = written(_sides(texts, "_normal"), "sides")
-    single = components.select(sha256(normalize_text(F.col("text"))).alias("key"), "text").dropDuplicates(["key"])
+    # overlaps are found between texts, each once, and then told to the entries that have them; a text's name there is 8 bytes
+    texts = texts.withColumn("_class", F.xxhash64("_normal"))
+    sides = written(_sides(texts, "_class"), "sides")
+    single = components.select(F.xxhash64(sha256(normalize_text(F.col("text")))).alias("key"), "text").where("text is not null").dropDuplicates(["key"])
     sets = written(with_shingles(single, F.col("text"), "shingles").drop("text"), "text-sets")
     near = overlap_pairs(sets.withColumnRenamed("key", "lid"), sets.withColumnRenamed("key", "rid"), threshold).where("lid <> rid")
-    apart = near.join(sides.withColumnRenamed("_normal", "rid"), "rid").select(F.col("lid").alias("_normal"), "sides", F.bround("raw", 6).alias("score"))
-    told = texts.join(apart, "_normal").withColumn("other_id", _least_apart("sides")).where("other_id is not null")
+    apart = near.join(sides.withColumnRenamed("_class", "rid"), "rid").select(F.col("lid").alias("_class"), "sides", F.bround("raw", 6).alias("score"))
+    told = texts.join(apart, "_class").withColumn("other_id", _least_apart("sides")).where("other_id is not null")
     out.append(rows(told, checker, F.lit("text-overlap"), F.col("component_id"), score))
     odd = owners.where((F.col("kind") != "author") & ~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))).withColumn("other_id", none)
     out.append(rows(odd, checker, F.lit("unknown-role")))
