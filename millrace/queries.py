@@ -973,7 +973,7 @@ CASE WHEN doc_id % 16 = 0 THEN lang END AS language, CASE WHEN doc_id % 16 = 0 T
 def q_strict_scan(spark, sf):
     """Record lines of the documents, written in order and scanned: where each has its first fault, and what the others hold."""
     folder = work_folder(spark, "lines")
-    _faulty_lines(spark, sf).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(folder)
+    _faulty_lines(spark, sf).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.option("compression", "gzip").text(folder)
     rows = jsonl.scan_records(spark, folder)
     answer = F.char_length(text.normalize_text(F.element_at("messages", -1)["content"])).cast("long")
     return rows.select("input_index", "path", "problem", F.when(F.col("problem").isNull(), F.col("language")).alias("language"), F.when(F.col("problem").isNull(), answer).alias("answer_chars"))
