@@ -1017,7 +1017,7 @@ def q_policy_verify(spark, sf):
 _BUNDLED = ["NULL", "'digest_differs'", "'no_sidecar'", "'unsafe_path'", "'link'", "'sidecar_format'", "'sidecar_elsewhere'", "'manifest_differs'", "'not_in_manifest'", "NULL"]
 
 
-@query(f"""WITH d AS (SELECT *, doc_id % 10 AS k, 'b' || doc_id % 7 AS bundle, CASE WHEN doc_id % 10 = 3 THEN '../' ELSE 'texts/' END || doc_id || '.txt' AS name FROM documents)
+@query(f"""WITH d AS (SELECT *, doc_id % 10 AS k, 'b' || doc_id // 300 AS bundle, CASE WHEN doc_id % 10 = 3 THEN '../' ELSE 'texts/' END || doc_id || '.txt' AS name FROM documents)
 SELECT bundle || '.zip' AS bundle, name, strlen(text) AS bytes, sha256(text) AS sha256, CASE k {" ".join(f"WHEN {i} THEN {r}" for i, r in enumerate(_BUNDLED) if r != "NULL")} END AS problem FROM d
 UNION ALL SELECT bundle || '.zip', 'gone/' || doc_id || '.txt', NULL, NULL, 'missing' FROM d WHERE k = 9
 UNION ALL SELECT bundle || '.zip', 'alone/' || doc_id || '.txt.sha256', NULL, NULL, 'missing_payload' FROM d WHERE k = 9""")
@@ -1026,7 +1026,7 @@ def q_bundle_import(spark, sf):
     from .sources import bundles
 
     k, name = F.col("k"), F.col("name")
-    rows = _kind(spark, sf, 10).select("doc_id", "k", "text", F.concat(F.lit("b"), (F.col("doc_id") % 7).cast("string")).alias("bundle"))
+    rows = _kind(spark, sf, 10).select("doc_id", "k", "text", F.concat(F.lit("b"), F.expr("cast(doc_id div 300 as string)")).alias("bundle"))
     rows = rows.withColumn("name", F.concat(F.when(k == 3, "../").otherwise("texts/"), F.col("doc_id").cast("string"), F.lit(".txt"))).withColumn("sha", text.sha256(F.col("text")))
     payload = rows.select("bundle", "name", F.col("text").cast("binary").alias("content"), F.when(k == 4, 0o120777).cast("long").alias("mode"))
     base = F.substring_index("name", "/", -1)

@@ -171,7 +171,7 @@ def write_bundles(files: DataFrame, folder: str, bundle: str = "bundle") -> Data
                 out.writestr(entry, bytes(content), zipfile.ZIP_DEFLATED)
                 counts[title] = counts.get(title, 0) + 1
         close()
-        yield pd.DataFrame({"bundle": list(counts), "members": list(counts.values())})
+        yield pd.DataFrame({"bundle": pd.Series(list(counts), dtype=object), "members": pd.Series(list(counts.values()), dtype="int64")})
 
     rows = files.select(bundle, "name", "content", F.col("mode").cast("long").alias("mode")).repartition(bundle).sortWithinPartitions(bundle, "name")
     return rows.mapInPandas(write, "bundle string, members long")
