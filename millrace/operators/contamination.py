@@ -124,14 +124,16 @@ def cross_partition_groups(entries: DataFrame) -> DataFrame:
 
 
 def cross_partition_collisions(entries: DataFrame) -> DataFrame:
-    """(left_id, left_role, right_id, right_role): of each text, normalised, that roles share, pairs of its least entries in two roles.
+    """(left_id, left_role, right_id, right_role, class_id, links): every entry whose text, normalised, other roles have, a row for each such role.
 
-    As many rows as pairs of roles, whatever the number of copies; cross_partition_members() has the others that each stands for.
+    class_id is the least entry_id of the text, right_id that of the other role, and links counts the entries of that role: all pairs of
+    entries are told, each by its class, in as many rows as entries and roles.
     """
-    groups = cross_partition_groups(entries)
-    left = groups.select("text_sha256", F.col("least").alias("left_id"), F.col("role").alias("left_role"))
-    right = groups.select("text_sha256", F.col("least").alias("right_id"), F.col("role").alias("right_role"))
-    return left.join(right, "text_sha256").where("left_id < right_id and left_role <> right_role").drop("text_sha256")
+    each = F.struct(F.col("role").alias("right_role"), F.col("least").alias("right_id"), F.col("entries").alias("links"))
+    texts = cross_partition_groups(entries).groupBy("text_sha256").agg(F.min("least").alias("class_id"), F.collect_list(each).alias("sides"))  # as many as roles
+    named = entries.select(F.col("entry_id").alias("left_id"), F.col("role").alias("left_role"), sha256(normalize_text(F.col("text"))).alias("text_sha256"))
+    linked = named.join(texts, "text_sha256").withColumn("side", F.explode("sides")).where("side.right_role <> left_role")
+    return linked.select("left_id", "left_role", "side.right_id", "side.right_role", "class_id", "side.links")
 
 
 def cross_partition_members(entries: DataFrame) -> DataFrame:

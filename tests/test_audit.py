@@ -51,6 +51,14 @@ def test_a_common_shingle_makes_no_candidates(spark):
     assert contamination.overlap_pairs(sets, sets.withColumnRenamed("lid", "rid").limit(0)).isEmpty()
 
 
+def test_cross_partition_tells_every_entry_and_link(spark):
+    rows = [("a1", "dev", "x"), ("a2", "dev", "x"), ("b1", "train", "x"), ("b2", "train", "x"), ("b3", "train", "x"), ("c1", "other", "x"), ("d", "dev", "alone"), ("e1", "dev", "y\r\n"), ("e2", "train", "y\n"), ("n1", "dev", None), ("n2", "train", None)]
+    found = contamination.cross_partition_collisions(spark.createDataFrame(rows, "entry_id string, role string, text string")).collect()
+    pairs = sum(x[1] != y[1] and (x[2] or "").replace("\r", "") == (y[2] or "").replace("\r", "") and x[2] is not None for x in rows for y in rows)
+    assert sum(r.links for r in found) == pairs == 24
+    assert {(r.left_id, r.right_id, r.class_id, r.links) for r in found if r.left_id in ("a2", "c1", "e2")} == {("a2", "b1", "a1", 3), ("a2", "c1", "a1", 1), ("c1", "a1", "a1", 2), ("c1", "b1", "a1", 3), ("e2", "e1", "e1", 1)}
+
+
 WORDS = " ".join(f"w{i}" for i in range(30))
 SCHEMA = "entry_id string, kind string, role string, task_id string, environment_id long, component_id string, text string"
 
