@@ -105,7 +105,9 @@ def with_fingerprints(records: DataFrame) -> DataFrame:
 
 
 def overlap_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(normalize_text(text), F.lit(f"({OVERLAP_TOKEN})"), 1)
+    """Of the normalised text: line ends are no tokens, so that only the byte-order mark is taken off."""
+    marked = F.startswith(text, F.lit("\ufeff"))
+    return F.regexp_extract_all(F.when(marked, F.substring(text, F.lit(2), F.lit((1 << 31) - 1))).otherwise(text), F.lit(OVERLAP_TOKEN), 0)
 
 
 def prompt_text(messages: Column) -> Column:
