@@ -83,8 +83,10 @@ class Cut:
 
     def __init__(self, text: str):
         self.text, self.sentences, words, self.sizes = text, sentences(text), [], []
+        cut = str.split if text.isascii() else words_of  # ASCII has no script without spaces, and lower case has its length
+        lower = text.lower() if text.isascii() else text
         for a, b in self.sentences:
-            found = words_of(text[a:b])
+            found = cut(lower[a:b])
             words += found
             self.sizes.append(len(found))
         self.hashes = _hash_words(words)
@@ -103,8 +105,8 @@ class Cut:
         inside = (number[: n - WINDOW + 1] == number[WINDOW - 1 :]) & (sizes[number[: n - WINDOW + 1]] >= LONG_WORDS)
         return np.unique(least[inside])
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first unit, end unit) of all spans, in order, and two 64-bit hashes of each."""
+    def spans(self, hashes: int = 2) -> tuple[np.ndarray, ...]:
+        """(first unit, end unit) of all spans, in order, and so many 64-bit hashes of each, two at most."""
         b = self.borders
         units = np.arange(len(b))
         ends = np.searchsorted(b, b + SPAN_WORDS)
@@ -114,20 +116,20 @@ class Cut:
         i, j = pairs // len(b), pairs % len(b)
         n = len(self.hashes)
         power = _power(n + 1)
-        mixed = (self.hashes ^ (self.hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out = []
-        for k, h in enumerate((self.hashes, mixed)):
+        for k in range(hashes):
+            h = (self.hashes ^ (self.hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) if k else self.hashes
             sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power[k][:n])])
             span = (sums[b[j]] - sums[b[i]]) * power[k + 2][b[i]] + (b[j] - b[i]).astype(np.uint64)
             out.append(((span ^ (span >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64))
-        return np.stack([i, j]), out[0], out[1]
+        return np.stack([i, j]), *out
 
     def remove(self, repeated: np.ndarray) -> tuple[int, str, str]:
         """Sentences that lose words, the removed spans start:end in code points, and the text that stays.
 
         A span of units goes if its first hash is among repeated, or if the text has had it before.
         """
-        (i, j), h, _ = self.spans()
+        (i, j), h = self.spans(1)
         again = np.ones(len(h), dtype=bool)
         again[np.unique(h, return_index=True)[1]] = False
         again |= np.isin(h, repeated)
@@ -191,8 +193,9 @@ def _remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataF
     for texts, repeated in batches:
         rows = []
         for text, r in zip(texts, repeated, strict=True):
-            n = sum(not text[a:b].isspace() for a, b in sentences(text))
-            rows.append((n, *((0, "", text) if r is None else Cut(text).remove(np.asarray(r, dtype=np.int64)))))
+            cut = None if r is None else Cut(text)
+            n = sum(not text[a:b].isspace() for a, b in (cut.sentences if cut else sentences(text)))
+            rows.append((n, *(cut.remove(np.asarray(r, dtype=np.int64)) if cut else (0, "", text))))
         yield frame(rows, _CUT.names)
 
 
