@@ -6,17 +6,24 @@ set (overlap_pairs()), never from pairs, and are then counted.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalize_text, prompt_sha256, prompt_text, response_sha256, sha256, with_shingles
-from ..work import placed, written
+from ..work import discard, placed, written
 
 SHINGLE, LEAST_TOKENS, THRESHOLD = 5, 16, 0.8
 #: Protected shingles that are broadcast; more of them are joined by a shuffle.
 FEW = 500_000
+#: Pairs of equal hashes that one task makes.
+PAIRS = 1_000_000
 CHECKERS = ("exact_prompt", "overlap_prompt", "exact_solution", "overlap_solution")
 COLUMNS = ("checker_id", "protected_dataset_id", "finding_type", "training_record_sha256", "protected_record_id", "score")
 
@@ -60,6 +67,108 @@ def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     return scored.where(F.col("raw") >= threshold)
 
 
+def equal_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lid, rid) of all pairs of left (k, lid) and right (k, rid) of one k, each once if a lid has but one k; nulls match nothing.
+
+    Repeated rows go before the join, so that pairs are not shuffled; a k of very many pairs is dealt to as many tasks as they need.
+    """
+    left, right = (written(df.where("k is not null").distinct(), "equal-side") for df in (left, right))
+    sizes = left.groupBy("k").agg(F.count("*").alias("n")).join(right.groupBy("k").agg(F.count("*").alias("m")), "k").where(f"n * m > {PAIRS}")
+    hot = F.broadcast(written(sizes.select("k", F.expr(f"least(n, cast(ceil(n * m / {PAIRS}) as bigint))").alias("parts")), "hot-keys"))
+    dealt = left.join(hot, "k", "left").select("k", "lid", F.pmod(F.xxhash64("lid"), F.coalesce("parts", F.lit(1))).alias("part"))
+    copied = right.join(hot, "k", "left").select("k", "rid", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(copied, ["k", "part"]).select("lid", "rid")
+
+
+#: Of overlaps within one set of texts: bits of a shingle's name, the share of names that all texts are indexed by, one of how many
+#: texts is counted for frequent shingles, from which count there a shingle is one, and how many are known.
+NAME_BITS, EARLY, COUNTED, OFTEN, MOST_OFTEN = 48, 0.25, 16, 4, 500_000
+#: Rare needs of texts that are broadcast; more of them are found by a shuffle.
+FEW_LATE = 4_000_000
+_LONGS = T.ArrayType(T.LongType())
+
+
+def _parts(often, threshold: float):
+    """Of a text's shingles: those it is indexed by, and those that it needs beyond them, of which a text that it overlaps must have one."""
+
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names, ranks = often.value
+        for batch in batches:
+            rows = []
+            for shingles in batch:
+                own = np.asarray(shingles, dtype=np.int64)
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                common = names[at] == own
+                rare = own[~common]
+                early = rare[: np.searchsorted(rare, int(EARLY * (1 << NAME_BITS)))]
+                spare = len(own) - math.ceil(round(threshold * len(own), 6))  # so many may be missing
+                others = np.concatenate([rare[len(early) :], own[common][np.argsort(ranks[at[common]], kind="stable")]])
+                rows.append((early, others[: max(0, spare + 1 - len(early))], len(own), len(early) - spare))
+            yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object if k < 2 else "int32") for k, c in enumerate(("early", "late", "n", "least"))})
+
+    return F.pandas_udf(parts, T.StructType([T.StructField("early", _LONGS), T.StructField("late", _LONGS), T.StructField("n", T.IntegerType()), T.StructField("least", T.IntegerType())]))
+
+
+def _among(wanted):
+    def among(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = np.append(wanted.value, 1 << 62)
+        for batch in batches:
+            own = [np.asarray(s, dtype=np.int64) for s in batch]
+            yield pd.Series([x[names[np.searchsorted(names, x)] == x] for x in own], dtype=object)
+
+    return F.pandas_udf(among, _LONGS)
+
+
+def named_sets(df: DataFrame, name: str) -> DataFrame:
+    """df (key, text) as a table (key, shingles): the shingles' names in order, which Parquet then stores by their differences."""
+    sets = with_shingles(df, F.col("text"), "s").where("size(s) > 0")
+    names = F.sort_array(F.array_distinct(F.transform("s", lambda x: F.shiftrightunsigned(x, 64 - NAME_BITS))))
+    return written(sets.select("key", names.alias("shingles")), name, **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
+
+
+def overlaps_within(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(lid, rid, raw) of all pairs, in both orders, of different keys of named_sets() whose overlap coefficient is `threshold` or more.
+
+    A set that is the smaller of a pair may miss so many of its shingles in the other and no more.  All sets are indexed by their
+    rare shingles of the first quarter of names: a pair that shares fewer of these than the smaller has, less those that may be missing,
+    is none.  A set that has too few of them to say so needs some others too, the least frequent ones, of which one must be shared;
+    all sets are looked through for these few alone.  What is frequent is judged by a share of the texts, and decides only the order.
+    Candidates are then counted exactly.  Repeated rows of a key are one set.
+    """
+    spark = sets.sparkSession
+    counted = sets.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"))
+    often = counted.where(f"c >= {OFTEN}").orderBy(F.desc("c"), "s").limit(MOST_OFTEN).toPandas().sort_values("s")
+    names, ranks = np.append(often["s"].to_numpy(np.int64), 1 << 62), np.append(often["c"].to_numpy(np.int64), 0)
+    parts = sets.select("key", _parts(spark.sparkContext.broadcast((names, ranks)), threshold)("shingles").alias("p"))
+    parts = written(parts.select("key", "p.*"), "parts", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
+    one = lambda df: df.repartition("s").dropDuplicates(["s", "key"])
+    halves = lambda df, *c: [df.select("s", *[F.col(x).alias(f"{x}_{y}") for x in c]) for y in "uv"]
+    u, v = halves(one(parts.select("key", "n", "least", F.explode("early").alias("s"))), "key", "n", "least")
+    shared = u.join(v, "s").where("key_u < key_v").groupBy("key_u", "key_v").agg(F.count("*").alias("c"), F.first(F.expr("if(n_u = n_v, least(least_u, least_v), if(n_u < n_v, least_u, least_v))")).alias("needed"))
+    early = shared.where("c >= greatest(1, needed)").select("key_u", "key_v")
+    late = parts.where("size(late) > 0").select(F.col("key").alias("key_u"), F.col("n").alias("n_u"), F.explode("late").alias("s")).distinct()
+    wanted = late.select("s").distinct()
+    if wanted.count() <= FEW_LATE:
+        held = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["s"].to_numpy(np.int64)))
+        having = sets.select("key", F.size("shingles").alias("n"), F.explode(_among(held)("shingles")).alias("s"))
+    else:
+        having = sets.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(wanted, "s", "left_semi")
+    met = late.join(having.distinct().select("s", F.col("key").alias("key_v"), F.col("n").alias("n_v")), "s").where("key_u <> key_v and n_u <= n_v")
+    pairs = early.unionAll(met.select(F.least("key_u", "key_v"), F.greatest("key_u", "key_v"))).distinct()
+    sizes = parts.select("key", "n").distinct()
+    pairs = pairs.join(sizes.toDF("key_u", "n_u"), "key_u").join(sizes.toDF("key_v", "n_v"), "key_v")
+    # the smaller set moves to the larger one
+    small = F.expr("n_u < n_v or n_u = n_v and key_u < key_v")
+    pairs = written(pairs.select(F.when(small, F.col("key_u")).otherwise(F.col("key_v")).alias("small"), F.when(small, F.col("key_v")).otherwise(F.col("key_u")).alias("large")), "overlap-pairs")
+    discard(parts)
+    each = lambda side: sets.join(pairs.select(F.col(side).alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
+    a, b = each("small").select(F.col("key").alias("small"), F.col("shingles").alias("a")), each("large").select(F.col("key").alias("large"), F.col("shingles").alias("b"))
+    scored = pairs.join(a, "small").join(b, "large").select("small", "large", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("raw")).where(F.col("raw") >= threshold)
+    scored = written(scored, "overlaps-within")
+    discard(pairs)
+    return scored.select(F.col("small").alias("lid"), F.col("large").alias("rid"), "raw").unionAll(scored.select("large", "small", "raw"))
+
+
 def training_findings(fingerprinted: DataFrame, protected: DataFrame, *, size: int = SHINGLE, least: int = LEAST_TOKENS, threshold: float = THRESHOLD, checkers: tuple[str, ...] = CHECKERS) -> DataFrame:
     """Exact prompt and solution matches, and high overlaps of pairs that do not match exactly; of `checkers` alone.
 
@@ -68,22 +177,32 @@ def training_findings(fingerprinted: DataFrame, protected: DataFrame, *, size: i
     rows = fingerprinted.withColumnRenamed("record_sha256", "training_record_sha256")
     keys = ["training_record_sha256", "protected_dataset_id", "protected_record_id"]
     names = F.struct("protected_dataset_id", "protected_record_id")
-    hashes = protected.select(*keys[1:], prompt_sha256(F.col("prompt_messages")).alias("_prompt"), response_sha256(F.col("solution")).alias("_solution"))
+    own_id = "input_index" if "input_index" in rows.columns else "training_record_sha256"
+    hashes = protected.select(names.alias("rid"), prompt_sha256(F.col("prompt_messages")).alias("_prompt"), response_sha256(F.col("solution")).alias("_solution"))
     parts = []
     history = F.slice("messages", 1, F.greatest(F.size("messages") - 1, F.lit(0)))
     sides = {
         "prompt": ("prompt_sha256", "_prompt", prompt_text(history), prompt_text(F.col("prompt_messages"))),
         "solution": ("response_sha256", "_solution", F.element_at("messages", -1)["content"], F.col("solution")),
     }
+    if any(c.startswith("exact_") for c in checkers):
+        narrow = written(rows.select("training_record_sha256", "prompt_sha256", "response_sha256").distinct(), "training-hashes")
     for kind, (own, theirs, text, guarded) in sides.items():
-        exact = rows.select(own, "training_record_sha256").join(hashes, F.col(own) == F.col(theirs)).select(*keys).distinct()
         if f"exact_{kind}" in checkers:
-            parts.append(exact.select(F.lit(f"exact_{kind}").alias("checker_id"), "protected_dataset_id", F.lit(f"exact_{kind}_match").alias("finding_type"),
-                                      "training_record_sha256", "protected_record_id", F.lit(1.0).alias("score")))
+            exact = equal_pairs(narrow.select(F.col(own).alias("k"), F.col("training_record_sha256").alias("lid")), hashes.select(F.col(theirs).alias("k"), "rid"))
+            parts.append(exact.select(F.lit(f"exact_{kind}").alias("checker_id"), "rid.protected_dataset_id", F.lit(f"exact_{kind}_match").alias("finding_type"),
+                                      F.col("lid").alias("training_record_sha256"), "rid.protected_record_id", F.lit(1.0).alias("score")))
         if f"overlap_{kind}" in checkers:
-            left = with_shingles(rows.select(F.col("training_record_sha256").alias("lid"), text.alias("t")), F.col("t"), "shingles", size, least)
+            left = with_shingles(rows.select(F.col(own_id).alias("lid"), text.alias("t")), F.col("t"), "shingles", size, least)
             right = with_shingles(protected.select(names.alias("rid"), guarded.alias("t")), F.col("t"), "shingles", size, least)
-            found = overlap_pairs(left.drop("t"), right.drop("t"), threshold).select(F.col("lid").alias("training_record_sha256"), "rid.*", "raw").join(exact, keys, "left_anti")
+            near = written(overlap_pairs(left.drop("t"), right.drop("t"), threshold), "overlaps")
+            # only rows that overlap are hashed, and held against the exact matches
+            ids = near.select("lid").distinct()
+            ids = F.broadcast(ids) if near.count() <= FEW else ids
+            named = rows.join(ids, rows[own_id] == ids["lid"], "left_semi").select(F.col(own_id).alias("lid"), "training_record_sha256", F.col(own).alias("_own"))
+            named = named if own_id == "input_index" else named.distinct()
+            found = near.join(named, "lid").join(hashes.select("rid", F.col(theirs).alias("_own")).distinct(), ["rid", "_own"], "left_anti")
+            found = found.select("training_record_sha256", "rid.*", "raw").groupBy(*keys).agg(F.max("raw").alias("raw"))
             parts.append(found.select(F.lit("high_overlap").alias("checker_id"), "protected_dataset_id", F.lit(f"high_{kind}_overlap").alias("finding_type"),
                                       "training_record_sha256", "protected_record_id", F.bround("raw", 6).alias("score")))
     return reduce(DataFrame.unionByName, parts).select(*COLUMNS)
@@ -102,9 +221,9 @@ def component_collisions(components: DataFrame, references: DataFrame, threshold
     hashed = lambda df, key: df.select(key, sha256(F.col("text")).alias("_exact"), sha256(normalize_text(F.col("text"))).alias("_normal"))
     left, right = hashed(components, "component_id"), hashed(references, "reference_id")
     keys = ["component_id", "reference_id"]
-    ranked = []
-    for rank, column in enumerate(("_exact", "_normal")):
-        ranked.append(left.join(right, left[column] == right[column]).select(*keys, F.lit(rank).alias("rank"), F.lit(1.0).alias("score")))
+    # equal texts are equal when normalised: one join finds both
+    equal = left.join(right, left["_normal"] == right["_normal"])
+    ranked = [equal.select(*keys, F.when(left["_exact"] == right["_exact"], 0).otherwise(1).alias("rank"), F.lit(1.0).alias("score"))]
     sets = lambda df, key, name: with_shingles(df.select(F.col(key).alias(name), "text"), F.col("text"), "shingles").drop("text")
     overlap = overlap_pairs(sets(components, "component_id", "lid"), sets(references, "reference_id", "rid"), threshold)
     ranked.append(overlap.select(F.col("lid").alias("component_id"), F.col("rid").alias("reference_id"), F.lit(2).alias("rank"), F.bround("raw", 6).alias("score")))
@@ -198,9 +317,17 @@ def environment_findings(components: DataFrame, protected: DataFrame, threshold:
     held = lambda *c: F.concat_ws("/", *c)
     named = owners.join(protected.select(F.col("record_id").alias("task_id"), held("benchmark_id", "record_id").alias("other_id")).distinct(), "task_id")
     out = [rows(named, by_kind(F.lit("exact-task-id")), F.lit("exact-task-id"))]
-    subject = F.struct("entry_id", "kind", "component_id")
-    hits = component_collisions(components.select(subject.alias("component_id"), "text"), protected.select(held("benchmark_id", "record_id", "component_id").alias("reference_id"), "text"), threshold)
-    hits = hits.select("component_id.*", F.col("reference_id").alias("other_id"), F.when(F.col("match") == "overlap", "text-overlap").otherwise(F.concat("match", F.lit("-content"))).alias("type"), "score")
+    # a text's shingles are made once, for protected examples and for one another; its name there is 8 bytes
+    texts = texts.withColumn("_class", F.xxhash64("_normal"))
+    sets = named_sets(components.where("text is not null").select(F.xxhash64(sha256(normalize_text(F.col("text")))).alias("key"), "text"), "text-sets")
+    guard = protected.select(held("benchmark_id", "record_id", "component_id").alias("other_id"), "text", sha256(F.col("text")).alias("_exact"), sha256(normalize_text(F.col("text"))).alias("_normal"))
+    same = texts.join(guard.select("other_id", F.col("_exact").alias("_theirs"), "_normal").distinct(), "_normal")
+    same = same.select("entry_id", "kind", "component_id", "other_id", F.when(F.col("_exact") == F.col("_theirs"), 0).otherwise(1).alias("rank"), F.lit(1.0).alias("score"))
+    theirs = named_sets(guard.select(F.col("other_id").alias("key"), "text"), "guard-sets").select(F.col("key").alias("rid"), "shingles")
+    over = overlap_pairs(sets.withColumnRenamed("key", "lid"), theirs, threshold).select(F.col("lid").alias("_class"), F.col("rid").alias("other_id"), F.lit(2).alias("rank"), F.bround("raw", 6).alias("score"))
+    subject = ["entry_id", "kind", "component_id", "other_id"]
+    hits = same.unionByName(texts.join(over, "_class").select(*subject, "rank", "score")).groupBy(*subject).agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    hits = hits.withColumn("type", F.element_at(F.array(F.lit("exact-content"), F.lit("normalized-content"), F.lit("text-overlap")), F.col("rank") + 1))
     out.append(rows(hits, by_kind(F.col("type")), F.col("type"), F.col("component_id"), F.col("score")))
 
     checker = F.lit("partition-overlap")
@@ -217,12 +344,9 @@ def environment_findings(components: DataFrame, protected: DataFrame, threshold:
     equal = texts.join(_sides(texts, "_exact").withColumnRenamed("sides", "_of_exact"), "_exact").join(_sides(texts, "_normal").withColumnRenamed("sides", "_of_normal"), "_normal")
     equal = equal.withColumns({"_very": _least_apart("_of_exact"), "_alike": _least_apart("_of_normal")}).where("_alike is not null").withColumn("other_id", F.coalesce("_very", "_alike"))
     out.append(rows(equal, checker, F.when(F.col("_very").isNotNull(), "exact-content").otherwise("normalized-content"), F.col("component_id"), one))
-    # overlaps are found between texts, each once, and then told to the entries that have them; a text's name there is 8 bytes
-    texts = texts.withColumn("_class", F.xxhash64("_normal"))
+    # overlaps are found between texts, each once, and then told to the entries that have them
     sides = written(_sides(texts, "_class"), "sides")
-    single = components.select(F.xxhash64(sha256(normalize_text(F.col("text")))).alias("key"), "text").where("text is not null").dropDuplicates(["key"])
-    sets = written(with_shingles(single, F.col("text"), "shingles").drop("text"), "text-sets")
-    near = overlap_pairs(sets.withColumnRenamed("key", "lid"), sets.withColumnRenamed("key", "rid"), threshold).where("lid <> rid")
+    near = overlaps_within(sets, threshold)
     apart = near.join(sides.withColumnRenamed("_class", "rid"), "rid").select(F.col("lid").alias("_class"), "sides", F.bround("raw", 6).alias("score"))
     told = texts.join(apart, "_class").withColumn("other_id", _least_apart("sides")).where("other_id is not null")
     out.append(rows(told, checker, F.lit("text-overlap"), F.col("component_id"), score))

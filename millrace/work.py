@@ -31,10 +31,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
 _tables: list[DataFrame] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a table of the shared folder: computed once, whoever reads it, and not lost with an executor."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     _tables.append(out)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import work
+from millrace.functions.text import overlap_tokens, with_fingerprints
 from millrace.operators import checks, contamination, dedup, distill, evaluation
 from millrace.plans import merkle
 from millrace.sources import bundles, jsonl
@@ -206,3 +207,46 @@ def test_distributions(spark):
     got = {r.distribution: tuple(r)[1:] for r in distill.distributions(df, ["a", "b"]).collect()}
     assert got == {"a": (100, 1, 100, 50.5, 50, 90, 95, 99), "b": (50, 2, 100, 51.0, 50, 90, 96, 100)}
     assert distill.distributions(df.limit(0), ["a"]).isEmpty()
+
+
+def test_equal_pairs_of_a_large_key_are_dealt_out_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "PAIRS", 50)
+    left = spark.range(60).selectExpr("if(id < 40, 'hot', if(id < 59, concat('k', id), null)) as k", "id as lid")
+    right = spark.range(30).selectExpr("if(id < 25, 'hot', concat('k', id + 20)) as k", "id as rid")
+    found = contamination.equal_pairs(left.unionAll(left), right.unionAll(right))
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(i, j) for i in range(40) for j in range(25)] + [(j + 20, j) for j in range(25, 30)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hot-keys" in plan and plan.count("part#") > 2
+
+
+def test_overlaps_hash_only_rows_that_overlap(spark):
+    """Line ends are no tokens; records are hashed after the search, not all before it."""
+    texts = [("a\r\n" + WORDS, 0), ("\ufeff" + WORDS, 1), ("x " * 40, 2)]
+    assert [r.n for r in spark.createDataFrame(texts, "t string, i int").select(F.size(overlap_tokens(F.col("t"))).alias("n")).collect()] == [31, 30, 40]
+    rows = spark.createDataFrame([(i, [("user", "q"), ("assistant", t)]) for t, i in texts], "input_index long, messages array<struct<role: string, content: string>>")
+    guard = contamination.protected_example(spark.createDataFrame([(7, WORDS)], "item_id long, text string"), "g")
+    found = contamination.training_findings(with_fingerprints(rows), guard, checkers=("overlap_solution",))
+    # the second is an exact match
+    assert [(r.finding_type, r.score) for r in found.collect()] == [("high_solution_overlap", 1.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and plan.index("LeftSemi") > plan.index("sha2")
+
+
+def test_overlaps_within_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "COUNTED", 1)
+    rng = random.Random(9)
+    common, sets = [5 << 30, 9 << 40, 11 << 44, 1 << 47], []
+    for i in range(60):
+        base = rng.sample(range(1 << 48), rng.randint(12, 90))
+        sets.append(base + common[: i % 5])
+        for _ in range(i % 3):
+            kept = rng.sample(base, max(1, int(len(base) * rng.uniform(0.6, 1))))
+            sets.append(kept + rng.sample(range(1 << 48), rng.choice([0, 3, 200])) + common[: rng.randint(0, 4)])
+    frame_ = spark.createDataFrame([(i, sorted(set(s))) for i, s in enumerate(sets)] + [(0, sorted(set(sets[0])))], "key long, shingles array<long>")
+    want = {(i, j): len(set(a) & set(b)) / min(len(set(a)), len(set(b))) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j}
+    want = {k: round(v, 9) for k, v in want.items() if v >= 0.8}
+    for few in (contamination.FEW_LATE, 0):
+        monkeypatch.setattr(contamination, "FEW_LATE", few)
+        found = contamination.overlaps_within(frame_).collect()
+        assert len(found) == len(want) > 40 and {(r.lid, r.rid): round(r.raw, 9) for r in found} == want
+    assert contamination.overlaps_within(frame_.limit(0)).isEmpty()
