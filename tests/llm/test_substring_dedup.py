@@ -161,6 +161,6 @@ def test_sentences_are_sentences(spark):
 
 def test_spans_make_only_the_hashes_that_are_asked_for():
     for text in ("One two three. " * 30, "Ein Straße für ΑΣ. " * 30, "一二三四五六七八九十" * 8):
-        cut = substring_dedup.Cut(text)
+        cut = sd.Cut(text)
         both, one = cut.spans(), cut.spans(1)
         assert len(both) == 3 and len(one) == 2 and (one[0] == both[0]).all() and (one[1] == both[1]).all()
