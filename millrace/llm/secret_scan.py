@@ -176,11 +176,11 @@ _GRAMS = T.ArrayType(T.StringType())
 
 def _grams_of(trigrams: list[str]):
     codes = {int.from_bytes(t.encode("ascii"), "big"): t for t in trigrams}
-    wanted = np.zeros(1 << 24, dtype=bool)
-    wanted[list(codes)] = True
 
     @F.pandas_udf(_GRAMS)
     def grams(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        wanted = np.zeros(1 << 24, dtype=bool)
+        wanted[list(codes)] = True
         for batch in texts:
             out = []
             for text in batch:
@@ -234,29 +234,32 @@ def _compiled(rule: Rule) -> re.Pattern:
     return re.compile(f"{rule.pattern[:-1]}{{{rule.least},}}" if single else rule.pattern)
 
 
-def _verify(rules: tuple[Rule, ...]):
-    indexed = queries_of(rules)
+def _finder(rules: tuple[Rule, ...]):
+    """Of a text and the names of the indexed rules that may match it: its spans."""
+    indexed, patterns = queries_of(rules), [(r, _compiled(r)) for r in rules]
+
+    def find(text: str, names) -> list[tuple[str, int, int]]:
+        names = set() if names is None else set(names)
+        return spans_of(text, [(r, p) for r, p in patterns if r.name not in indexed or r.name in names])
+
+    return find
+
 
+def _verify(rules: tuple[Rule, ...]):
     @F.pandas_udf(T.ArrayType(_SPAN))
     def verify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        patterns = [(r, _compiled(r)) for r in rules]
+        find = _finder(rules)
         for texts, named in batches:
-            out = []
-            for text, names in zip(texts, named, strict=True):
-                names = set() if names is None else set(names)
-                found = spans_of(text, [(r, p) for r, p in patterns if r.name not in indexed or r.name in names])
-                out.append([{"kind": k, "begin": a, "end": b} for k, a, b in found])
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([[{"kind": k, "begin": a, "end": b} for k, a, b in find(*row)] for row in zip(texts, named, strict=True)], dtype=object)
 
     return verify
 
 
-def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame:
-    """docs with the column `name`: the spans of each row's text.  Texts move once, to meet their rules."""
-    id_, named = fresh(docs, "_mr_id"), fresh(docs, "_mr_rules")
-    found = materialize(candidates(build_index(docs, rules), rules), "candidates").select(F.col("doc_id").alias(id_), F.col("rules").alias(named))
-    both = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[id_]), "left")
-    return both.withColumn(name, _verify(rules)(F.coalesce(docs["text"], F.lit("")), F.col(named))).drop(id_, named)
+def _with_rules(docs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame:
+    """docs with the column `name`: the indexed rules that may match a row's text.  Texts move once, to meet them."""
+    id_ = fresh(docs, "_mr_id")
+    found = materialize(candidates(build_index(docs, rules), rules), "candidates").select(F.col("doc_id").alias(id_), F.col("rules").alias(name))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[id_]), "left").drop(id_)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -266,23 +269,30 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Candidates are found by doc_id: rows that share one (or have none) are each verified for themselves, repeated rows too.
     Texts of any length are read whole.  An empty table gives no rows; columns but doc_id and text are not read.
     """
-    return _with_spans(keyed(docs).drop("tkey"), rules, "spans")
+    rows = _with_rules(keyed(docs).drop("tkey"), rules, "named")
+    return rows.select("doc_id", "text", _verify(rules)("text", "named").alias("spans"))
 
 
-@F.pandas_udf(T.StringType())
-def _cut(texts: pd.Series, spans: pd.Series, marks: pd.Series) -> pd.Series:
-    out = []
-    for text, found, mark in zip(texts, spans, marks, strict=True):
-        if text is None or not len(found):
-            out.append(text)
-            continue
-        parts, at = [], 0
-        for a, b in sorted((s["begin"], s["end"]) for s in found):
-            if a >= at:
-                parts += [text[at:a], mark]
-            at = max(at, b)
-        out.append("".join([*parts, text[at:]]))
-    return pd.Series(out, dtype=object)
+def _cut(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    parts, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
+def _redacted(rules: tuple[Rule, ...], mark: str):
+    """The text without secrets, null if it has none: search and cut in one pass, so that a task needs one Python worker."""
+
+    @F.pandas_udf(T.StringType())
+    def redacted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        find = _finder(rules)
+        for texts, named in batches:
+            found = ((text, find(text, names)) for text, names in zip(texts, named, strict=True))
+            yield pd.Series([_cut(text, spans, mark) if spans else None for text, spans in found], dtype=object)
+
+    return redacted
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
@@ -290,9 +300,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 
     Rows without secrets are as they were, null texts too; no row comes or goes.
     """
-    spans = fresh(docs, "_mr_spans")
-    found = _with_spans(docs, rules, spans)
-    new = {"text": _cut(F.col("text"), F.col(spans), F.lit(mark))}
+    named, cut = fresh(docs, "_mr_rules"), fresh(docs, "_mr_cut")
+    rows = _with_rules(docs, rules, named)
+    rows = rows.withColumn(cut, _redacted(rules, mark)(F.coalesce(F.col("text"), F.lit("")), F.col(named)))
+    new = {"text": F.coalesce(cut, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size(spans) > 0, F.char_length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.coalesce(F.char_length(cut).cast(docs.schema["n_chars"].dataType), "n_chars")
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
