@@ -11,7 +11,8 @@ A ball of radius 2 holds at most 2 * 2017 fingerprints, so that no anchor's grou
 equal fingerprints are one row before they are copied.
 
 The pipeline's stage (one_of_each) links texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-Two such texts differ in about 10 of 64 bits, more than anchors can cover; MinHash bands find them instead, missing a
+Its first candidates are those of the method above, over the fingerprints of these shingles, and an exact check follows.
+Two texts at 0.8 differ in about 10 of 64 bits, more than anchors can cover; what they leave apart MinHash bands find, missing a
 pair at 0.8 with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, 3e-5, and 4e-8 at 0.85; every candidate is verified.
 Bands are long, so that texts that only share a passage, a quarter of their shingles, are no candidates
 (3e-4 of such pairs are): a passage in a third of all texts would otherwise make pairs by the square.
@@ -37,7 +38,9 @@ SHINGLE = 3
 WORDS = 5
 BANDS, BAND_ROWS = 56, 8
 #: Of the stage: bits by which pairs that differ too much are left out before they become rows, and rounds of centres of bands.
-BITS, ROUNDS = 256, 4
+BITS, ROUNDS = 1024, 5
+#: Shingles before one on which two sets meet, by which most of their further meetings are known as such.
+BEFORE = 4
 #: Texts that are found by a broadcast of their keys; more of them are found by a shuffle.
 FEW = 200_000
 _SLICE = 1 << 15
@@ -55,6 +58,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     else:
         runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
         hashes = np.fromiter(map(_hash, runs), dtype=np.uint64, count=len(words) - shingle + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash: the bits that more than half of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _SLICE):
         part = np.ascontiguousarray(hashes[at : at + _SLICE], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -175,7 +183,9 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 
 _LONGS = T.ArrayType(T.LongType())
-_SKETCH = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", _LONGS), T.StructField("bits", _LONGS)])
+_SKETCH = T.StructType(
+    [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("bands", _LONGS), T.StructField("bits", _LONGS)]
+)
 
 
 @F.pandas_udf(_SKETCH)
@@ -184,9 +194,10 @@ def _sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch:
             words = word_set(text)
-            rows.append((xxhash.xxh3_64_intdigest(words.tobytes()), len(words), band_keys(words), parities(words)))
+            rows.append((xxhash.xxh3_64_intdigest(words.tobytes()), len(words), majority(words), band_keys(words), parities(words)))
         ids = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"sid": ids, "n": [r[1] for r in rows], "bands": pd.Series([r[2] for r in rows], dtype=object), "bits": pd.Series([r[3] for r in rows], dtype=object)})
+        lists = {name: pd.Series([r[k] for r in rows], dtype=object) for k, name in ((3, "bands"), (4, "bits"))}
+        yield pd.DataFrame({"sid": ids, "n": [r[1] for r in rows], "fp": [r[2] for r in rows], **lists})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -205,29 +216,48 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _FITS = "5L * least({0}, {1}) >= 4L * greatest({0}, {1})"
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets (sid, n, fp, distinct) whose fingerprints anchors bring together.
+
+    Each set with the least of its fingerprint, and the least sets of two linked fingerprints; sizes rule some out.
+    """
+    least = materialize(sets.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("least")), "fingerprints")
+    equal = sets.join(least, "fp").where("sid <> least.sid").select(F.struct("sid", "n").alias("a"), F.col("least").alias("b"))
+    links = fingerprint_links(least.select("fp"))
+    first, second = least.select(F.col("fp").alias("u"), F.col("least").alias("a")), least.select(F.col("fp").alias("v"), F.col("least").alias("b"))
+    pairs = links.join(first, "u").join(second, "v").select("a", "b").unionAll(equal).where(_FITS.format("a.n", "b.n"))
+    return pairs.select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v")).distinct()
+
+
 def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v) of members (sid, n, part, bits) of different parts that a similarity of 4/5 does not rule out.
 
     Shingles are ordered by how few members have them.  Two sets of that similarity have 4/9 of their sizes' sum in common: of
     the smaller one 8/9 at least, of the larger one 4/5.  So one of the first n/9 of the smaller is among the first n/5 of the larger,
     and only these meet.  Sets that are further apart than that mostly begin with shingles of their own, and then make no pair,
-    however many of them there are.  Of those that meet, pairs whose parities() differ in more elements than the similarity
-    allows, a ninth of both sizes, are left out within the join.
+    however many of them there are.  Of those that meet, three kinds of pairs are left out within the join: where what both have from
+    there on is less than 4/9 of both sizes (of the first meeting, this is all they share); those whose parities() differ in more elements
+    than the similarity allows, a ninth of both sizes; and those that have met just before, so that few pairs come out twice.
     """
     each = members.join(sets, "sid").select("sid", "n", "part", "bits", F.explode("words").alias("w"))
     rarity = each.groupBy("w").agg(F.count("*").alias("df"))
     ranked = each.select("sid", "w").join(rarity.where("df > 1"), "w").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
     # shingles of one member alone stand before all others
-    first = ranked.join(members, "sid").select("sid", "n", "part", "bits", (F.col("n") - F.size("s")).alias("own"), "s")
-    first = first.select("sid", "n", "part", "bits", "own", F.posexplode(F.expr("slice(s, 1, greatest(0, n - cast(ceil(n * 4 / 5) as int) + 1 - own))")).alias("at", "x"))
-    bits = [F.get("bits", F.lit(k)).alias(f"bit{k}") for k in range(BITS // 64)]
-    first = materialize(first.select("sid", "n", "part", *bits, (F.col("at") + F.col("own")).alias("at"), F.col("x.w").alias("w")), "prefixes")
+    first = ranked.join(members, "sid").select("sid", "n", "part", (F.col("n") - F.size("s")).alias("own"), F.transform("s", lambda x: x["w"]).alias("s"))
+    reach = "slice(s, 1, greatest(0, n - cast(ceil(n * 4 / 5) as int) + 1 - own))"
+    entry = f"transform({reach}, (w, i) -> struct(own + i as at, w, slice(s, greatest(1, i + 1 - {BEFORE}), least(i, {BEFORE})) as before))"
+    first = materialize(first.select("sid", "n", "part", F.explode(F.expr(entry)).alias("x")).select("sid", "n", "part", "x.*"), "prefixes")
     mixed = first.groupBy("w").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("w")
-    met = first.join(mixed, "w", "left_semi")
-    side = lambda df, x: df.select("w", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("w", "at")])
+    bits = members.select("sid", *[F.get("bits", F.lit(k)).alias(f"bit{k}") for k in range(BITS // 64)])
+    met = first.join(mixed, "w", "left_semi").join(bits, "sid")
+    side = lambda df, x: df.select("w", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "w"])
     small, large = side(met.where("at <= n - cast(ceil(n * 8 / 9) as int)"), "u"), side(met, "v")
     apart = " + ".join(f"bit_count(bit{k}_u ^ bit{k}_v)" for k in range(BITS // 64))
-    close = F.expr(f"part_u <> part_v and sid_u <> sid_v and n_u <= n_v and {_FITS.format('n_u', 'n_v')} and 9 * ({apart}) <= n_u + n_v")
+    near = " and ".join(f"9 * (n_{x} - at_{x}) >= 4 * (n_u + n_v)" for x in "uv")
+    close = F.expr(
+        f"part_u <> part_v and sid_u <> sid_v and n_u <= n_v and {_FITS.format('n_u', 'n_v')} and {near} "
+        f"and 9 * ({apart}) <= n_u + n_v and not arrays_overlap(before_u, before_v)"
+    )
     pairs = small.join(large, (small["w"] == large["w"]) & close)
     return pairs.select(F.least("sid_u", "sid_v").alias("u"), F.greatest("sid_u", "sid_v").alias("v")).distinct()
 
@@ -235,26 +265,27 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 def word_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, part for every row; part names the component over links of Jaccard similarity 4/5 or more.
 
-    Texts with the same shingles are one set.  Sets that share a band are candidates, each verified by its
-    shingles: first every set of a band against the band's smallest, then in bands that this has not connected against other
-    centres, ROUNDS times; then, of sets in bands still unconnected, the pairs that prefix_pairs() leaves, so that neither a band of many near copies nor one of many sets below the similarity is
+    Texts with the same shingles are one set.  Sets whose fingerprints differ in THRESHOLD or fewer bits are linked by anchors, and
+    sets that share a band are candidates as well, each verified by its shingles: in bands that are not connected yet every set against a centre,
+    ROUNDS times; then, of sets in bands still unconnected, the pairs that prefix_pairs() leaves, so that neither a band of many near copies nor one of many sets below the similarity is
     held against itself.  Texts without words are copies of one another.
     Texts of any length are read whole; an empty table gives an empty result.
     """
     texts = keyed(docs)
     rows = materialize(texts.select("doc_id", "tkey", _sketch("text").alias("s")).select("doc_id", "tkey", "s.*"), "word-sets")
+    alike = materialize(fingerprint_pairs(rows.where("n > 0").select("sid", "n", "fp").distinct()), "fingerprint-pairs")
     each = rows.where("n > 0").dropDuplicates(["sid"]).select("sid", "n", F.explode("bands").alias("band"))
-    stars = each.groupBy("band").agg(F.min(F.struct("sid", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    bands = materialize(each.join(stars, "band").select("band", "sid", "n", "least"), "bands")
+    shared = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    bands = materialize(each.join(shared, "band").select("band", "sid", "n"), "bands")
     # the shingles of the candidates
-    wanted = bands.select("sid").distinct()
+    wanted = bands.select("sid").unionAll(alike.select("u")).unionAll(alike.select("v")).distinct()
     keys = materialize(rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("_key")), "wanted")
     keys = F.broadcast(keys) if keys.count() <= FEW else keys
     sets = texts.join(keys, texts["tkey"] == keys["_key"]).select("sid", "text").dropDuplicates(["sid"]).select("sid", _word_sets("text").alias("words"))
     sets = materialize(sets, "words")
-    star = bands.where("sid <> least.sid").where(_FITS.format("n", "least.n")).select(F.col("least.sid").alias("u"), F.col("sid").alias("v")).distinct()
-    links = materialize(_similar(star, sets), "star-links")
+    links = materialize(_similar(alike, sets), "fingerprint-links")
     near = materialize(connected_components(links), "near")
+    discard(alike)
     discard(links)
     for k in range(ROUNDS):
         # bands whose sets are not all connected: all of a band against a centre of this round's

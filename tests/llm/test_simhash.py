@@ -169,3 +169,38 @@ def test_many_near_copies_below_the_similarity_make_no_pairs(spark):
     df = spark.createDataFrame([(5000, " ".join(base)), *copies(400, 2)], "doc_id long, text string")
     linked = simhash.word_duplicates(df).groupBy("part").count().collect()
     assert max(r["count"] for r in linked) == 401
+
+
+def test_the_stage_gets_pairs_by_anchors_and_groups_of_near_copies_make_few_rows(spark, monkeypatch):
+    """Long texts with one word changed are found by fingerprints alone; mutual near misses are not held against each other shingle by shingle."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(9000)}" for _ in range(2000)]
+    rows = [(i, " ".join([*words[: 100 * i], f"x{i}", *words[100 * i + 1 :]]), "x", None) for i in range(12)]
+    rows += [(20 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(60)), "x", None) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sets = df.select("doc_id", simhash._sketch("text").alias("s")).select("doc_id", "s.*")
+    assert sets.where("doc_id < 12").select("sid").distinct().count() == 12
+    linked = simhash.fingerprint_pairs(sets.select("sid", "n", "fp").distinct()).collect()
+    assert {s for r in linked for s in (r.u, r.v)} <= {r.sid for r in sets.where("doc_id < 12").collect()}
+    # without bands all that is found comes from the anchors
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: [])
+    assert linked and simhash.word_duplicates(df).where("doc_id < 12").select("part").distinct().count() < 12
+
+    # texts of a group that differ a little more than the similarity allows: pairs of them make no rows
+    base = [f"w{i}" for i in range(400)]
+    near = []
+    for i in range(200):
+        copy = list(base)
+        for at in rng.sample(range(4, 396, 5), 6):
+            copy[at] = f"x{rng.randrange(4)}y{at}"
+        near.append((i, " ".join(copy), "x", None))
+    near = spark.createDataFrame(near, SCHEMA)
+    sets = near.select(F.col("doc_id").alias("sid"), simhash._word_sets("text").alias("words"))
+    bits = near.select(F.col("doc_id").alias("sid"), simhash._sketch("text")["bits"].alias("bits"))
+    members = sets.select("sid", F.size("words").alias("n"), F.col("sid").alias("part")).join(bits, "sid")
+    listed = {r.sid: set(r.words) for r in sets.collect()}
+    true = {(a, b) for a in listed for b in listed if a < b and 5 * len(listed[a] & listed[b]) >= 4 * len(listed[a] | listed[b])}
+    found = {(r.u, r.v) for r in simhash.prefix_pairs(members, sets).collect()}
+    assert true <= found and len(found - true) < 200 * 199 // 20
