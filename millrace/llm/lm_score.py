@@ -1,11 +1,15 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-A word's context is the word before it (a document's end, for its first).  The CONTEXTS most frequent words have
-restaurants of their own; these share as parents the restaurants of word endings, which also seat what follows
-all rarer words, and the endings share a root.  The DISHES most frequent words are dishes of these
-restaurants, and all rarer words together are one more, within which the restaurant of words tells them apart.
-That one has as its base a spelling model: restaurants for the contexts of the two bytes before, which
-share the restaurant of the one byte before as their parent, and these share the root.
+A word's context is the word before it (a document's end, for its first).  Every pair of words has its place:
+
+- The CONTEXTS most frequent words have restaurants over the DISHES most frequent words and one dish more, all rarer
+  words together.  Of this dish the classes of rare words (CLASSES) are told apart by their counts after the word, and
+  within a class the words by a restaurant of the pair of word and class.
+- Every other word has a restaurant over all words, frequent or rare.
+
+Parents of the contexts' restaurants are those of word endings, and the endings share a root, over the same dishes; among
+rare words the restaurant of words tells apart.  That one has as its base a spelling model: restaurants for the contexts of
+the two bytes before, which share the restaurant of the one byte before as their parent, and these share the root.
 
 Each table of a restaurant is a customer of its parent.  Customers are seated by the Chinese-restaurant rule and
 all of them reseated again and again by Gibbs sampling, dish by dish, from sweep to sweep; predictive probabilities
@@ -14,8 +18,10 @@ the average table counts give them, and in every context they sum to one over al
 
 Spark counts words, pairs and spellings, seats the words of the corpus, task by task, and the restaurants of
 contexts and spellings, one group for each ending or last byte, whose subtree of contexts it holds whole.
-The spelling model has at most 256 ** 3 entries and the contexts at most (CONTEXTS + ENDINGS) * (DISHES + 1),
-however large the corpus; the words grow with it.
+The spelling model has at most 256 ** 3 entries and these contexts at most (CONTEXTS + ENDINGS) * (DISHES + 1),
+however large the corpus.  The words and all other pairs grow with it: their tokens are dealt by restaurant to buckets of
+about PAIRS tokens, where the pairs are counted, seated and scored, and only sums for documents go on.  (The endings' restaurants and
+that of words seat tokens, not the tables of these pairs.)  Words are known there by keys of 64 bits.
 """
 
 from __future__ import annotations
@@ -24,12 +30,13 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +57,8 @@ EXACT = 64
 LEAP = 256
 #: Sweeps over the words, each a pass of Spark, and about how many words are seated together.
 WORD_SWEEPS, TOGETHER = 2, 20_000
+#: Tokens, about how many, whose pairs are seated together; reseatings of these; classes of the rare words after a frequent one.
+PAIRS, PAIR_RESEATS, CLASSES = 1_000_000, 4, 64
 STRENGTH = 1.0
 SEED = 4
 #: The end of a document as a word, and of a word as a byte: neither occurs within words.
@@ -361,6 +370,78 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+FACTOR = 0x9E3779B97F4A7C15
+#: The end of a document in a stream of bytes: no text has this byte.
+_MARK = b"\xff"
+_PIECE, _BLOCK = 1 << 20, 8 << 20
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def mixed(key: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
+    return key ^ (key >> np.uint64(31))
+
+
+_DIGITS = np.where(_SPACE, np.uint64(0), mixed((np.arange(256).astype(np.uint64) + np.uint64(1)) * np.uint64(FACTOR)))
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of FACTOR modulo 2 ** 64, and their inverses."""
+    return np.cumprod(np.full(n, FACTOR, np.uint64)), np.cumprod(np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64))
+
+
+class Stream(NamedTuple):
+    """Words of a stream of bytes: 64-bit keys (of polynomials over the bytes), last two bytes, ends of documents, and where they lie."""
+
+    key: np.ndarray
+    last: np.ndarray
+    end: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    data: np.ndarray
+
+    def spelled(self, spelling: Spelling, which: np.ndarray) -> np.ndarray:
+        return spelling.log10([self.data[a:b].tobytes() for a, b in zip(self.start[which].tolist(), self.stop[which].tolist(), strict=True)])
+
+
+def _stream(data: bytes) -> Stream:
+    """data: words, the first at the very beginning, each with white space behind."""
+    raw = np.frombuffer(data, np.uint8)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, stop = np.concatenate([[0], edge[1::2]]), edge[::2]
+    power, inverse = _powers(max(_PIECE * 2, 1 << len(raw).bit_length()))
+    key = mixed(np.add.reduceat(_DIGITS[raw] * power[: len(raw)], start) * inverse[start])
+    end = raw[start] == _MARK[0]
+    last = np.where(end, STOP, raw[stop - 1]).astype(np.int32)
+    return Stream(key, np.where(stop - start > 1, raw[stop - 2], STOP).astype(np.int32) << 8 | last, end, start, stop, raw)
+
+
+def stream_of(texts: list[bytes]) -> Stream:
+    """Words of lower-cased texts, an end before the first and after each."""
+    return _stream(b"\xff " + b" \xff ".join(texts) + b" \xff ")
+
+
+def keys_of(words: list[bytes]) -> np.ndarray:
+    return _stream(b" ".join([w or _MARK for w in words]) + b" ").key if words else np.zeros(0, np.uint64)
+
+
+def class_of(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(58)).astype(np.int64) % CLASSES
+
+
+def pieces_of(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in pieces of about _PIECE bytes, and the number of the first."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size > _PIECE or i + 1 == len(texts):
+            yield begin, texts[begin : i + 1]
+            begin, size = i + 1, 0
+
+
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter[bytes] = Counter()
 
@@ -477,6 +558,8 @@ def pairs_of(words: list[bytes], ranks: dict[bytes, int]) -> np.ndarray:
 
 
 def _count_pairs(ranked: list[bytes]):
+    """Counts of pairs_of(), word by word: the plain form that _count_codes() is held to."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, size = ranks_of(ranked), (CONTEXTS + ENDINGS) * (DISHES + 1)
         total = np.zeros(size, dtype=np.int64)
@@ -495,6 +578,31 @@ def _count_pairs(ranked: list[bytes]):
     return count
 
 
+def _count_codes(keys: np.ndarray, dishes: np.ndarray):
+    """Counts of _count_pairs() and, behind these, of classes of rare words after each frequent one; keys: of the dishes, sorted."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = (CONTEXTS + ENDINGS) * (DISHES + 1)
+        total = np.zeros(pairs + CONTEXTS * CLASSES, dtype=np.int64)
+
+        def add(texts: list[bytes]) -> None:
+            for _, part in pieces_of(texts):
+                words = stream_of(part)
+                at = np.minimum(np.searchsorted(keys, words.key), len(keys) - 1)
+                dish = np.where(keys[at] == words.key, dishes[at], DISHES)
+                context, dish = np.where(dish < CONTEXTS, dish, CONTEXTS + _endings()[words.last])[:-1], dish[1:]
+                rare = (context < CONTEXTS) & (dish == DISHES)
+                found = np.concatenate([context * (DISHES + 1) + dish, pairs + context[rare] * CLASSES + class_of(words.key[1:][rare])])
+                np.add.at(total, found, 1)
+
+        for batch in batches:
+            add([t.encode("utf-8", "surrogatepass").lower() for t in batch["text"]])
+        found = np.flatnonzero(total)
+        yield pd.DataFrame({"code": found.astype(np.int32), "n": total[found]})
+
+    return count
+
+
 def _seat_contexts(root: np.ndarray, discount: float):
     def seat(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         """One group: the restaurant of an ending, with the words of this ending that have one of their own."""
@@ -547,6 +655,8 @@ class ContextModel(NamedTuple):
     logs: np.ndarray
     #: log10 of the probability that a word is none of the ranked ones, by the restaurant of words
     rare: float
+    #: rare words of each class after each frequent word
+    counts: np.ndarray
 
 
 def fit_contexts(train: DataFrame, words: DataFrame) -> ContextModel:
@@ -563,8 +673,16 @@ def fit_contexts(train: DataFrame, words: DataFrame) -> ContextModel:
     base[: len(ranked)] = 10.0 ** top["lp"].to_numpy(np.float64)
     base[DISHES] = max(1e-12, 1 - base.sum())
     rare = math.log10(base[DISHES])
-    pairs = train.select("text").mapInPandas(_count_pairs(ranked), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    pairs = materialize(pairs, "pairs")
+    keys = np.append(keys_of(ranked), np.uint64(2**64 - 1))
+    by_key = np.argsort(keys)
+    dishes = np.append(np.arange(len(ranked)), DISHES)[by_key]
+    codes = train.select("text").mapInPandas(_count_codes(keys[by_key], dishes), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    codes = materialize(codes, "pairs")
+    size = (CONTEXTS + ENDINGS) * (DISHES + 1)
+    counts = np.zeros(CONTEXTS * CLASSES)
+    for row in codes.where(F.col("code") >= size).toLocalIterator():  # CONTEXTS * CLASSES rows at most
+        counts[row["code"] - size] = row["n"]
+    pairs = codes.where(F.col("code") < size)
     stats = pairs.agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
     discount = discount_of(stats["one"], stats["two"])
     # a context of its own goes with its ending
@@ -583,51 +701,318 @@ def fit_contexts(train: DataFrame, words: DataFrame) -> ContextModel:
     for row in seated.groupBy("ending").applyInPandas(_weigh_contexts(root, discount), "context int, logs binary").toLocalIterator():
         at = row["context"] * (DISHES + 1)
         logs[at : at + DISHES + 1] = np.frombuffer(row["logs"], "<f4")
-    return ContextModel(ranked, logs, rare)
+    return ContextModel(ranked, logs, rare, counts.reshape(CONTEXTS, CLASSES))
 
 
 # --- scores ----------------------------------------------------------------------------------------------
 
-_PARTS = "doc_id long, tkey long, word binary, n int, lp double, n_tokens long, n_known long, base double"
 
+class AtHand(NamedTuple):
+    """What tasks know of the most frequent words, in the order of their keys, and of the model."""
 
-def _score_parts(model: WordModel, contexts, at_hand):
-    """A row for each document, with what its contexts and the words at hand give, and one for each other word of it.
+    keys: np.ndarray
+    #: log10(c + 1) and log10 of the probability by the restaurant of words; the dish
+    counted: np.ndarray
+    logs: np.ndarray
+    dish: np.ndarray
+    contexts: ContextModel
+    #: log10 of the share of each class in the rare words' probability, and of the unknown words' and the known ones' in it
+    shares: np.ndarray
+    unknown: float
+    known: float
+    #: log10 of the probability of each class of known rare words after each frequent word
+    classes: np.ndarray
+    model: WordModel
+    buckets: int
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys stand, -1 for words that are not at hand, and their dishes."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at = np.where(self.keys[at] == key, at, -1)
+        return at, np.where(at < 0, DISHES, self.dish[at])
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        """Buckets of keys, in their order."""
+        return ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def parts(self, key: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Each bucket of sorted keys and where it lies."""
+        edges = np.searchsorted(self.bucket(key), np.arange(self.buckets + 1))
+        yield from ((i, slice(edges[i], edges[i + 1])) for i in np.flatnonzero(np.diff(edges)).tolist())
+
+
+#: Rows on their way: words (key, log10 of the probability), documents of a block, rare tokens, tokens at hand, rare tokens whose
+#: words are resolved, sums for documents.  block: of the documents, whatever it is that data holds columns of.
+_WORDS, _DOCS, _RARE, _TOKENS, _RESOLVED, _SPELLED, _RARE_SUMS, _SUMS = range(8)
+_ROWS = "bucket int, kind int, block long, data binary"
+_COLUMNS = {
+    _WORDS: "u8 f8", _DOCS: "i8 u1 i8 i8 i8 f8 f8", _RARE: "u8 u8 u2 u2 f4", _RESOLVED: "u8 u8 f4 u4 u4 u2", _SPELLED: "u2 f8",
+    _RARE_SUMS: "u2 f8 f8 u2", _SUMS: "u2 f8",
+}
+#: The bit of a document's number in its block that says that it is held out.
+_HELD = 1 << 15
+
+
+def _pack(kind: int, columns) -> bytes:
+    return b"".join(np.asarray(c).astype("<" + t).tobytes() for c, t in zip(columns, _COLUMNS[kind].split(), strict=True))
+
+
+def _unpack(kind: int, data: bytes) -> list[np.ndarray]:
+    types = [np.dtype("<" + t) for t in _COLUMNS[kind].split()]
+    n, at, out = len(data) // sum(t.itemsize for t in types), 0, []
+    for t in types:
+        out.append(np.frombuffer(data, t, n, at))
+        at += n * t.itemsize
+    return out
+
+
+def _pack_runs(group: np.ndarray, context: np.ndarray, at: np.ndarray, doc: np.ndarray) -> bytes:
+    """Tokens by sorted groups, each of which is written once."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    runs = np.diff(first, append=len(group))
+    head = np.array([len(first), len(group)], "<u4")
+    return b"".join(x.tobytes() for x in (head, group[first].astype("<u8"), runs.astype("<u4"), at.astype("<u4"), context[first].astype("<u2"), doc.astype("<u2")))
+
+
+def _unpack_runs(data: bytes) -> tuple[np.ndarray, ...]:
+    runs, n = np.frombuffer(data, "<u4", 2).tolist()
+    out, place = [], 8
+    for kind, many in (("<u8", runs), ("<u4", runs), ("<u4", n), ("<u2", runs), ("<u2", n)):
+        out.append(np.frombuffer(data, kind, many, place))
+        place += out[-1].nbytes
+    group, each, at, context, doc = out
+    return np.repeat(group, each), np.repeat(context, each), at, doc
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return frame(rows, ["bucket", "kind", "block", "data"])
 
-    The former's key, a space and its ids, is no word; lp of the latter is that of an unknown word, given that
-    it is a rare one, and null for a ranked word, of which the contexts have said all.
-    """
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, (ranked, pair_logs, rarity) = at_hand.value, contexts.value
-        ranks = ranks_of(ranked)
-        floor = math.log10(model.total + model.distinct + 1)
+def _word_rows(hand):
+    """The words that are not at hand, by buckets of their keys."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, keys, logs = hand.value, [], []
+
+        def packed() -> pd.DataFrame:
+            key, lp = np.concatenate(keys), np.concatenate(logs)
+            order = np.argsort(key)
+            order = order[known.find(key[order])[0] < 0]
+            key, lp = key[order], lp[order]
+            return _rows([(i, _WORDS, 0, _pack(_WORDS, (key[part], lp[part]))) for i, part in known.parts(key)])
+
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                rows, rare = [], []
-                part = batch.iloc[at : at + 500]
-                for doc_id, tkey, text in zip(part["doc_id"].astype("Int64"), part["tkey"], part["text"], strict=True):
-                    words = tokens_of(text)
-                    doc_id = None if doc_id is pd.NA else int(doc_id)
-                    n_known, base, score = 0, 0.0, float(pair_logs[pairs_of([END, *words, END], ranks)].sum(dtype=np.float64))
-                    counts = Counter(words)
-                    counts[END] = 1
-                    for word, n in counts.items():
-                        found = known.get(word)
-                        if found:
-                            n_known += n
-                            base += n * (found[0] - floor)
-                            if word not in ranks:
-                                score += n * (found[1] - rarity)
-                        else:
-                            rare.append((doc_id, tkey, word, n))
-                    rows.append((doc_id, tkey, b" %d %d" % (doc_id or 0, tkey), None, score, len(words) + 1, n_known, base))
-                zero = np.zeros(1)
-                logs = (model.log10([r[2] for r in rare], zero, zero) - rarity).tolist()
-                rows += [(*r, None if r[2] in ranks else lp, None, None, None) for r, lp in zip(rare, logs, strict=True)]
-                yield frame(rows, ["doc_id", "tkey", "word", "n", "lp", "n_tokens", "n_known", "base"])
-
-    return parts
+            keys.append(keys_of([bytes(w) for w in batch["word"]]))
+            logs.append(batch["lp"].to_numpy(np.float64))
+            if len(keys) > 400:
+                yield packed()
+                keys, logs = [], []
+        if keys:
+            yield packed()
+
+    return rows
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """Documents (id, text hash, held out, bytes) in blocks."""
+    block, size = [], 0
+    for batch in batches:
+        for doc_id, tkey, held, text in zip(batch["doc_id"].astype("Int64"), batch["tkey"], batch["held"], batch["text"], strict=True):
+            block.append((None if doc_id is pd.NA else int(doc_id), tkey, held, text.encode("utf-8", "surrogatepass").lower()))
+            size += len(block[-1][3])
+            if size > _BLOCK or len(block) == 30_000:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
+
+
+def _token_rows(hand, rare: bool):
+    """The tokens that no frequent pair explains, by buckets: of their words, if these are rare and not at hand, or of their groups.
+
+    A group is a restaurant: a context or, of a frequent word, a class of the rare words after it.  A row of each block has its
+    documents, with what is known of their scores; of rare tokens it is the tokens alone that are left.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = hand.value
+        pair_logs, floor, wide = known.contexts.logs, math.log10(known.model.total + known.model.distinct + 1), DISHES + 1
+        task = TaskContext.get().partitionId()
+        for serial, docs in enumerate(_blocks(batches)):
+            number = (task << 12 | serial << 1) + rare
+            if serial >= 2048 or number >= 1 << 32:
+                raise ValueError("too many texts in a partition, or too many partitions")
+            held = np.array([h for _, _, h, _ in docs])
+            n_tokens, n_known, base, score = (np.zeros(len(docs)) for _ in range(4))
+            found = []
+            for begin, texts in pieces_of([d[3] for d in docs]):
+                words = stream_of(texts)
+                at, dish = known.find(words.key)
+                context = np.where(dish < CONTEXTS, dish, CONTEXTS + _endings()[words.last])
+                doc = begin + np.cumsum(words.end)[:-1] - 1
+                group, before, class_ = words.key[:-1], context[:-1], class_of(words.key[1:])
+                often, at, dish, key = before < CONTEXTS, at[1:], dish[1:], words.key[1:]
+                group = np.where(often, mixed(group + (class_.astype(np.uint64) + np.uint64(1)) * np.uint64(FACTOR)), group)
+                mine = (at < 0) if rare else (at >= 0)
+                outer = np.where(often, pair_logs[before * wide + dish] + np.where(dish == DISHES, known.known + known.classes[np.minimum(before, CONTEXTS - 1), class_], 0.0), 0.0)
+                score += np.bincount(doc, np.where(mine, outer, 0.0), len(docs))
+                if rare:
+                    left = np.flatnonzero(mine)
+                    spelled = np.zeros(len(left), np.float32)
+                    new = np.flatnonzero(held[doc[left]])
+                    spelled[new] = math.log10(known.model.backoff) + np.maximum(words.spelled(known.model.spelling, left[new] + 1), -280)
+                    found.append((key[left], group[left], before[left], doc[left], spelled))
+                else:
+                    n_tokens += np.bincount(doc, minlength=len(docs))
+                    n_known += np.bincount(doc, mine, len(docs))
+                    base += np.bincount(doc, np.where(mine, known.counted[at] - floor, 0.0), len(docs))
+                    left = np.flatnonzero(mine & ~(often & (dish < DISHES)))
+                    found.append((group[left], before[left], at[left], doc[left]))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            columns = [c[order] for c in columns]
+            columns[3] = columns[3] + _HELD * held[columns[3]]
+            out = []
+            for i, part in known.parts(columns[0]):
+                here = [c[part] for c in columns]
+                out.append((i, _RARE, number, _pack(_RARE, here)) if rare else (i, _TOKENS, number, _pack_runs(*here)))
+            ids = [d[0] for d in docs]
+            about = ([i or 0 for i in ids], [i is None for i in ids], [d[1] for d in docs], n_tokens, n_known, base, score)
+            yield _rows([*out, (number % known.buckets, _DOCS, number, _pack(_DOCS, about))])
+
+    return rows
+
+
+def _columns(group: pd.DataFrame, kind: int) -> list[np.ndarray]:
+    """Columns of all rows of a kind, and their block last."""
+    here = group[group["kind"] == kind]
+    parts = [_unpack(kind, d) for d in here["data"]] or [_unpack(kind, b"")]
+    blocks = np.repeat(here["block"].to_numpy(np.int64), [len(p[0]) for p in parts]) if len(here) else np.zeros(0, np.int64)
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] + [blocks]
+
+
+def _resolve(hand):
+    def resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """Rare tokens of a bucket of words, with their words' counts and probabilities, on to the buckets of their groups."""
+        known = hand.value
+        out = list(group[group["kind"] == _DOCS][["bucket", "kind", "block", "data"]].itertuples(index=False, name=None))
+        words, logs, _ = _columns(group, _WORDS)
+        order = np.argsort(words)
+        words, logs = np.append(words[order], np.uint64(2**64 - 1)), np.append(logs[order], 0.0)
+        word, to, context, doc, spelled, block = _columns(group, _RARE)
+        if len(word):
+            _, back = np.unique(word, return_inverse=True)
+            count = np.bincount(back, (doc & _HELD) == 0)[back]
+            new, often, class_ = count == 0, context < CONTEXTS, class_of(word)
+            lp = logs[np.minimum(np.searchsorted(words, word), len(words) - 1)] - known.contexts.rare
+            lp = np.where(new, known.unknown, lp)
+            context = context.astype(np.int64)
+            above = np.where(often, -known.shares[class_], known.contexts.logs[context * (DISHES + 1) + DISHES])
+            # an unknown word has no class: what was said of the class is taken back, in a restaurant of no one
+            above = np.where(often & new, -known.known - known.classes[np.minimum(context, CONTEXTS - 1), class_], above)
+            to = np.where(often & new, mixed(word ^ np.uint64(FACTOR)), to)
+            order = np.lexsort((doc, block, word, to))
+            columns = [c[order] for c in (to, word, lp + above, count, block, doc)]
+            out += [(i, _RESOLVED, 0, _pack(_RESOLVED, [c[part] for c in columns])) for i, part in known.parts(columns[0])]
+            new = np.flatnonzero(new)
+            more = spelled[new].astype(np.float64) - known.contexts.rare - known.unknown
+            out += [(int(key[0]), _SPELLED, b, _pack(_SPELLED, c)) for b, c in _by_document(block[new], doc[new], more)]
+        return _rows(out)
+
+    return resolve
+
+
+def _by_document(block: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of each block its documents and their sums of values."""
+    codes, back = np.unique(block.astype(np.int64) << 15 | (doc & (_HELD - 1)), return_inverse=True)
+    sums = [np.bincount(back, v, len(codes)) for v in values]
+    blocks, first = np.unique(codes >> 15, return_index=True)
+    for b, at, end in zip(blocks.tolist(), first, np.append(first, len(codes))[1:], strict=True):
+        yield b, [codes[at:end] & (_HELD - 1), *(s[at:end] for s in sums)]
+
+
+def seat_pairs(group: np.ndarray, word: np.ndarray, base: np.ndarray, train: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """log10 of the probability of each token by the restaurant of its group, of which all tokens must be given.
+
+    base: log10 of the probability of the word before the restaurant; train: the tokens that are customers.
+    """
+    order = np.lexsort((word, group))
+    g, w = group[order], word[order]
+    new_group = np.concatenate([[True], g[1:] != g[:-1]])
+    new = np.flatnonzero(new_group | np.concatenate([[True], w[1:] != w[:-1]]))
+    of = np.repeat(np.arange(len(new)), np.diff(new, append=len(g)))
+    customers = np.add.reduceat(train[order].astype(np.float64), new)
+    where, above = (np.cumsum(new_group) - 1)[new], 10.0 ** base[order][new]
+    discount = discount_of(np.count_nonzero(customers == 1), np.count_nonzero(customers == 2))
+    tables, rooms = (customers > 0) * 1.0, int(where[-1]) + 1
+    many = np.flatnonzero(customers > 1)
+    held = np.bincount(where, tables, rooms)
+    for at in range(0, len(many), _CHUNK):
+        part = many[at : at + _CHUNK]
+        room, back = np.unique(where[part], return_inverse=True)
+        others = held[room] - np.bincount(back, tables[part])
+        seated = gibbs(customers[part], above[part], back, discount, rng, others, reseats=PAIR_RESEATS)
+        tables[part] = seated.mean
+        held[room] = others + np.bincount(back, seated.mean)
+    size = np.bincount(where, customers, rooms)
+    logs = np.log10(predictive(customers, tables, size[where], held[where], discount, above))
+    out = np.empty(len(g))
+    out[order] = logs[of]
+    return out
+
+
+def _seat_and_score(hand):
+    def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The tokens of a bucket of groups, which has these whole: sums of their scores, by blocks of documents."""
+        known = hand.value
+        floor = math.log10(known.model.total + known.model.distinct + 1)
+        out = list(rows[rows["kind"].isin([_DOCS, _SPELLED])][["bucket", "kind", "block", "data"]].itertuples(index=False, name=None))
+        here = rows[rows["kind"] == _TOKENS]
+        parts = [_unpack_runs(d) for d in here["data"]]
+        group, word, base, count, block, doc, _ = _columns(rows, _RESOLVED)
+        rare = len(group)
+        base, block = base.astype(np.float64), block.astype(np.int64)
+        if parts:
+            to, context, at, number = (np.concatenate(c) for c in zip(*parts, strict=True))
+            blocks = np.repeat(here["block"].to_numpy(np.int64), [len(p[0]) for p in parts])
+            context, dish = context.astype(np.int64), known.dish[at]
+            lp = np.where(dish == DISHES, known.logs[at] - known.contexts.rare, 0.0)
+            lp += np.where(context < CONTEXTS, -known.shares[class_of(known.keys[at])], known.contexts.logs[context * (DISHES + 1) + dish])
+            group, word, base = np.concatenate([group, to]), np.concatenate([word, at.astype(np.uint64)]), np.concatenate([base, lp])
+            block, doc = np.concatenate([block, blocks]), np.concatenate([doc, number])
+        if len(group):
+            logs = seat_pairs(group, word, base, (doc & _HELD) == 0, np.random.default_rng([SEED, 5, int(key[0])]))
+            counted = np.where(count > 0, 1, 0)
+            sums = _by_document(block[:rare], doc[:rare], logs[:rare], np.log10(count + 1.0) - floor, counted)
+            out += [(0, _RARE_SUMS, b, _pack(_RARE_SUMS, c)) for b, c in sums]
+            out += [(0, _SUMS, b, _pack(_SUMS, c)) for b, c in _by_document(block[rare:], doc[rare:], logs[rare:])]
+        return _rows(out)
+
+    return score
+
+
+_SCORES = "doc_id long, tkey long, whole boolean, n_tokens long, n_known long, base double, score double, more double"
+
+
+def _add_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A row for each document of a block."""
+    ids, none, tkey, n_tokens, n_known, base, score = (c.copy() for c in _columns(rows, _DOCS)[:-1])
+    more = np.zeros(len(ids))
+    rows = rows.sort_values(["kind", "bucket"])
+    for kind, data in zip(rows["kind"], rows["data"], strict=True):
+        if kind == _SPELLED:
+            doc, value = _unpack(kind, data)
+            more[doc] += value
+        elif kind == _SUMS:
+            doc, value = _unpack(kind, data)
+            score[doc] += value
+        elif kind == _RARE_SUMS:
+            doc, value, counted, words = _unpack(kind, data)
+            score[doc] += value
+            base[doc] += counted
+            n_known[doc] += words
+    ids = pd.Series(ids, dtype="Int64").mask(none.astype(bool))
+    return pd.DataFrame({"doc_id": ids, "tkey": tkey, "whole": int(key[0]) % 2 == 0, "n_tokens": n_tokens, "n_known": n_known, "base": base, "score": score, "more": more})
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
@@ -642,6 +1027,48 @@ def _frequent(words: DataFrame, most: int) -> DataFrame:
     return words.where(step >= least)
 
 
+def _at_hand(model: WordModel, contexts: ContextModel, words: DataFrame, unknown: float) -> AtHand:
+    """unknown: log10 of the probability of an unknown word by the restaurant of words."""
+    top = _frequent(words, max(AT_HAND, DISHES)).toPandas()
+    names = [bytes(w) for w in top["word"]]
+    keys, order = keys_of(names), []
+    ranks = ranks_of(contexts.ranked)
+    # few may be at hand, but dishes always are
+    if len(names) > AT_HAND:
+        order = sorted(range(len(names)), key=lambda i: (-top["c"][i], names[i]))[:AT_HAND]
+        order = sorted({*order, *(i for i, w in enumerate(names) if w in ranks)})
+    else:
+        order = list(range(len(names)))
+    order = np.array(order, dtype=np.int64)
+    order = order[np.argsort(keys[order])]
+    dish = np.array([ranks.get(names[i], DISHES) for i in order], dtype=np.int64)
+    ranked = keys_of(contexts.ranked)
+    mass = np.zeros(CLASSES)
+    for row in words.select("word", "lp").mapInPandas(_weigh_classes(ranked), "class int, p double").groupBy("class").agg(F.sum("p").alias("p")).collect():
+        mass[row["class"]] = row["p"]
+    shares = np.maximum(mass / 10.0**contexts.rare, 1e-300)
+    share = min(1.0, 10.0 ** (unknown - contexts.rare))
+    size = contexts.counts.sum(axis=1, keepdims=True)
+    classes = (contexts.counts + STRENGTH * shares / shares.sum()) / (size + STRENGTH)
+    end = np.zeros(1)  # a key that no word has, so that there is one
+    return AtHand(
+        np.append(keys[order], np.uint64(2**64 - 1)), np.append(np.log10(top["c"].to_numpy(np.float64) + 1)[order], end), np.append(top["lp"].to_numpy(np.float64)[order], end),
+        np.append(dish, DISHES), contexts, np.log10(shares), unknown - contexts.rare, math.log10(max(1e-300, 1 - share)), np.log10(np.maximum(classes, 1e-300)), model,
+        max(1, math.ceil(model.total / PAIRS)),
+    )
+
+
+def _weigh_classes(ranked: np.ndarray):
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mass = np.zeros(CLASSES)
+        for batch in batches:
+            key = keys_of([bytes(w) for w in batch["word"]])
+            mass += np.bincount(class_of(key), np.where(np.isin(key, ranked), 0.0, 10.0 ** batch["lp"].to_numpy(np.float64)), CLASSES)
+        yield pd.DataFrame({"class": np.arange(CLASSES), "p": mass})
+
+    return weigh
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 7 = 2; a row without an id counts by the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -663,20 +1090,16 @@ def score(docs: DataFrame) -> DataFrame:
     model, words = fit(train)
     contexts = fit_contexts(train, words)
     unknown = math.log10(model.backoff * max(1e-12, 1 - (words.agg(F.sum("spelled").alias("s")).first()["s"] or 0.0)))
-    top = _frequent(words, AT_HAND).toPandas()
-    at_hand = spark.sparkContext.broadcast({bytes(w): (math.log10(c + 1), lp) for w, c, lp in zip(top["word"], top["c"].tolist(), top["lp"].tolist(), strict=True)})
-    parts = rows.mapInPandas(_score_parts(model, spark.sparkContext.broadcast(tuple(contexts)), at_hand), _PARTS)
-    joined = parts.join(words.select("word", "c", (F.col("lp") - F.lit(contexts.rare)).alias("known_lp")), "word", "left")
-    n, whole, ranked = F.col("n"), F.col("n_tokens").isNotNull(), F.col("lp").isNull()
-    log_base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))
-    summed = joined.groupBy("doc_id", "tkey").agg(
-        F.count_if(whole).alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(whole, F.col("n_known")).otherwise(F.when(F.col("c").isNotNull(), n).otherwise(0))).alias("n_known"),
-        F.sum(F.when(whole, F.col("base")).otherwise(n * log_base)).alias("base_score"),
-        F.sum(F.when(whole, F.col("lp")).when(ranked, 0.0).otherwise(n * F.coalesce("known_lp", F.lit(unknown - contexts.rare)))).alias("score"),
-        F.sum(F.when(whole, F.col("lp")).when(ranked, 0.0).otherwise(n * F.coalesce("known_lp", "lp"))).alias("spelled_score"),
-    )
+    hand = spark.sparkContext.broadcast(_at_hand(model, contexts, words, unknown))
+    texts = rows.withColumn("held", held_out(F.col("doc_id")))
+    rare = texts.mapInPandas(_token_rows(hand, True), _ROWS).unionAll(words.select("word", "lp").mapInPandas(_word_rows(hand), _ROWS))
+    rare = rare.groupBy("bucket").applyInPandas(_resolve(hand), _ROWS)
+    tokens = texts.mapInPandas(_token_rows(hand, False), _ROWS).unionAll(rare)
+    sums = tokens.groupBy("bucket").applyInPandas(_seat_and_score(hand), _ROWS)
+    summed = sums.groupBy("block").applyInPandas(_add_up, _SCORES).groupBy("doc_id", "tkey").agg(
+        F.count_if("whole").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum(F.col("score") + F.col("more")).alias("spelled_score"),
+    )
     # repeated rows share a key: their sums are divided again, and each has its row
     one = {c: (F.col(c) / F.col("copies")) for c in ("n_tokens", "n_known", "base_score", "score", "spelled_score")}
     out = summed.select(

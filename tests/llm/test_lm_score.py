@@ -155,3 +155,65 @@ def test_scores_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     one, many = ({(r.doc_id, r.n_tokens): (r.score, r.spelled_score) for r in lm.score(df.repartition(k)).collect()} for k in (1, 9))
     assert one.keys() == many.keys() and all(np.allclose(one[k], many[k], rtol=1e-9) for k in one)
+
+
+def test_keys_and_streams():
+    texts = [b"a bc\t a", b"", "é\n".encode()]
+    words = lm.stream_of(texts)
+    flat = [b"", b"a", b"bc", b"a", b"", b"", "é".encode(), b""]
+    assert words.key.tolist() == lm.keys_of(flat).tolist() and len(set(words.key.tolist())) == 4
+    assert words.end.tolist() == [w == b"" for w in flat]
+    assert [lm._endings()[c] for c in words.last] == [lm.ending(w) for w in flat]
+    assert sum(len(p) for _, p in lm.pieces_of([b"x" * (lm._PIECE - 1)] * 5)) == 5
+
+
+def test_counts_by_streams_are_those_of_pairs():
+    texts = ["a b a", "", "b  b\tc dd", "A é c"]
+    ranked = [b"", b"a", b"b"]
+    keys = np.append(lm.keys_of(ranked), np.uint64(2**64 - 1))
+    order = np.argsort(keys)
+    batch = pd.DataFrame({"text": texts})
+    old, new = (list(f(iter([batch])))[0] for f in (lm._count_pairs(ranked), lm._count_codes(keys[order], np.append([0, 1, 2], lm.DISHES)[order])))
+    size = (lm.CONTEXTS + lm.ENDINGS) * (lm.DISHES + 1)
+    pairs = new[new["code"] < size]
+    assert pairs["code"].tolist() == old["code"].tolist() and pairs["n"].tolist() == old["n"].tolist()
+    # c after b, é after a: rare words after frequent ones
+    want = Counter(size + ranked.index(u) * lm.CLASSES + int(lm.class_of(lm.keys_of([w]))[0]) for u, w in ((b"b", b"c"), (b"a", "é".encode())))
+    assert dict(new[new["code"] >= size].itertuples(index=False, name=None)) == want
+
+
+def test_restaurants_of_pairs_sum_to_one():
+    rng = np.random.default_rng(0)
+    words, groups = 50, 7
+    p = rng.dirichlet(np.ones(words))
+    seen = [(g, w) for g in range(groups) for w in rng.choice(words, 300 if g else 0, p=p)]
+    asked = [(g, w) for g in range(groups) for w in range(words)]
+    group, word = np.array(seen + asked).T
+    train = np.arange(len(group)) < len(seen)
+    logs = lm.seat_pairs(group, word, np.log10(p[word]), train, np.random.default_rng(1))
+    found = (10 ** logs[len(seen) :]).reshape(groups, words)
+    assert np.allclose(found.sum(axis=1), 1)
+    # a group without customers leaves the base as it is
+    assert np.allclose(found[0], p)
+
+
+def test_pairs_of_rare_words_have_restaurants(spark, monkeypatch):
+    """Beyond all dishes and contexts, a pair seen often is likelier than one of the same words never seen."""
+    rng = np.random.default_rng(3)
+    some = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    # 12,000 words more frequent than x, y, v and w, which are beyond the dishes
+    common = [f"c{i}" for i in range(12_000)]
+    texts = {i: " ".join(rng.permutation(common)[:3_000]) for i in some}
+    for i in some[:6]:
+        texts[i] += " xx yy c1 vv ww"
+    texts |= {out[0]: "xx yy", out[1]: "xx ww", out[2]: "vv ww", out[3]: "vv yy", out[4]: "xx zz"}
+    docs = list(texts.items())
+    monkeypatch.setattr(lm, "AT_HAND", 100)
+    rows = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for (d, _), want in brute(docs).items():
+        r = rows[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4] and math.isclose(r.base_score, want[4], rel_tol=1e-9)
+    assert rows[out[0]].score > rows[out[1]].score + 1 and rows[out[2]].score > rows[out[3]].score + 1
+    assert rows[out[4]].n_known == 2 and rows[out[4]].spelled_score < rows[out[4]].score
+    assert all(math.isfinite(r.score) for r in rows.values())
