@@ -57,6 +57,8 @@ EXACT = 64
 LEAP = 256
 #: Sweeps over the words, each a pass of Spark, and about how many words are seated together.
 WORD_SWEEPS, TOGETHER = 2, 20_000
+#: Parts in which the driver fetches the probabilities of contexts.
+PARTS = 8
 #: Tokens, about how many, whose pairs are seated together; reseatings of these; classes of the rare words after a frequent one.
 PAIRS, PAIR_RESEATS, CLASSES = 1_000_000, 4, 64
 STRENGTH = 1.0
@@ -340,7 +342,8 @@ def fit_spelling(words: DataFrame) -> Spelling:
     seated = counts.withColumn("last", F.expr("(code div 256) % 256").cast("int")).groupBy("last").applyInPandas(
         _seat_spellings(base, discount), "code int, depth tinyint, n float, t float"
     )
-    rows = seated.toPandas().sort_values(["depth", "code"])
+    kinds = {"depth": "i1", "code": "i4", "n": "f4", "t": "f4"}
+    rows = pd.DataFrame(dict(zip(kinds, gathered(seated, **kinds), strict=True))).sort_values(["depth", "code"])
     one, two = rows[rows["depth"] == 1], rows[rows["depth"] == 2]
     # the root again, with the tables of its children
     root = np.bincount(one["code"].to_numpy() & 255, one["t"].to_numpy(), 256)
@@ -406,13 +409,13 @@ class Stream(NamedTuple):
         return spelling.log10([self.data[a:b].tobytes() for a, b in zip(self.start[which].tolist(), self.stop[which].tolist(), strict=True)])
 
 
-def _stream(data: bytes) -> Stream:
-    """data: words, the first at the very beginning, each with white space behind."""
+def _stream(data: bytes, least: int = 0) -> Stream:
+    """data: words, the first at the very beginning, each with white space behind; least: bytes that powers are made for."""
     raw = np.frombuffer(data, np.uint8)
     space = _SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, stop = np.concatenate([[0], edge[1::2]]), edge[::2]
-    power, inverse = _powers(max(_PIECE * 2, 1 << len(raw).bit_length()))
+    power, inverse = _powers(max(least, 1 << len(raw).bit_length()))
     key = mixed(np.add.reduceat(_DIGITS[raw] * power[: len(raw)], start) * inverse[start])
     end = raw[start] == _MARK[0]
     last = np.where(end, STOP, raw[stop - 1]).astype(np.int32)
@@ -421,13 +424,32 @@ def _stream(data: bytes) -> Stream:
 
 def stream_of(texts: list[bytes]) -> Stream:
     """Words of lower-cased texts, an end before the first and after each."""
-    return _stream(b"\xff " + b" \xff ".join(texts) + b" \xff ")
+    return _stream(b"\xff " + b" \xff ".join(texts) + b" \xff ", _PIECE * 2)
 
 
 def keys_of(words: list[bytes]) -> np.ndarray:
     return _stream(b" ".join([w or _MARK for w in words]) + b" ").key if words else np.zeros(0, np.uint64)
 
 
+def gathered(df: DataFrame, **types: str) -> tuple[np.ndarray, ...]:
+    """Columns of a bounded table as arrays on the driver; word: by its key.
+
+    Tasks pack them, so that the driver has as many bytes as numbers need, in a row of each task, and no objects of rows.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[list[bytes]] = [[] for _ in types]
+        for batch in batches:
+            for part, (c, t) in zip(parts, types.items(), strict=True):
+                values = keys_of([bytes(w) for w in batch[c]]) if c == "word" else batch[c].to_numpy()
+                part.append(values.astype(t).tobytes())
+        if parts[0]:
+            yield frame([tuple(map(b"".join, parts))], list(types))
+
+    rows = df.select(*types).mapInPandas(pack, ", ".join(f"{c} binary" for c in types)).collect()
+    return tuple(np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in types.items())
+
+
 def class_of(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(58)).astype(np.int64) % CLASSES
 
@@ -665,7 +687,7 @@ def fit_contexts(train: DataFrame, words: DataFrame) -> ContextModel:
     The driver gets DISHES words and a row of DISHES + 1 numbers for each context.  Without training rows
     every word is a rare one.
     """
-    top = _frequent(words, DISHES).toPandas()
+    top = _frequent(words, DISHES).select("word", "c", "lp").toPandas()
     top["word"] = [bytes(w) for w in top["word"]]
     top = top.sort_values(["c", "word"], ascending=[False, True])
     ranked = top["word"].tolist()
@@ -679,9 +701,8 @@ def fit_contexts(train: DataFrame, words: DataFrame) -> ContextModel:
     codes = train.select("text").mapInPandas(_count_codes(keys[by_key], dishes), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     codes = materialize(codes, "pairs")
     size = (CONTEXTS + ENDINGS) * (DISHES + 1)
-    counts = np.zeros(CONTEXTS * CLASSES)
-    for row in codes.where(F.col("code") >= size).toLocalIterator():  # CONTEXTS * CLASSES rows at most
-        counts[row["code"] - size] = row["n"]
+    code, n = gathered(codes.where(F.col("code") >= size), code="i8", n="f8")  # CONTEXTS * CLASSES rows at most
+    counts = np.bincount(code - size, n, CONTEXTS * CLASSES)
     pairs = codes.where(F.col("code") < size)
     stats = pairs.agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
     discount = discount_of(stats["one"], stats["two"])
@@ -692,13 +713,14 @@ def fit_contexts(train: DataFrame, words: DataFrame) -> ContextModel:
     seated = pairs.groupBy("ending").applyInPandas(_seat_contexts(base, discount), "ending int, code int, n double, t double")
     seated = materialize(seated, "seated-contexts")
     # the root: its customers are the tables of the endings, its base the restaurant of words
-    tables = seated.where(F.col("code") >= CONTEXTS * (DISHES + 1)).groupBy((F.col("code") % (DISHES + 1)).alias("dish")).agg(F.sum("t").alias("t")).toPandas()
-    above = np.bincount(tables["dish"].to_numpy(np.int64), tables["t"].to_numpy(np.float64), DISHES + 1)
+    tables = seated.where(F.col("code") >= CONTEXTS * (DISHES + 1)).groupBy((F.col("code") % (DISHES + 1)).alias("dish")).agg(F.sum("t").alias("t"))
+    above = np.bincount(*gathered(tables, dish="i8", t="f8"), DISHES + 1)
     top_tables = gibbs(np.ceil(above), base, np.zeros(DISHES + 1, np.int64), discount, np.random.default_rng([SEED, 3])).mean
     top_tables = np.where(above > 0, np.minimum(top_tables, above), 0.0)
     root = predictive(above, top_tables, above.sum(), top_tables.sum(), discount, base)
     logs = np.tile(np.log10(np.maximum(root, 1e-300)).astype(np.float32), CONTEXTS + ENDINGS)
-    for row in seated.groupBy("ending").applyInPandas(_weigh_contexts(root, discount), "context int, logs binary").toLocalIterator():
+    weighed = seated.groupBy("ending").applyInPandas(_weigh_contexts(root, discount), "context int, logs binary")
+    for row in weighed.coalesce(PARTS).toLocalIterator():  # a job for each part, whatever the number of shuffle partitions
         at = row["context"] * (DISHES + 1)
         logs[at : at + DISHES + 1] = np.frombuffer(row["logs"], "<f4")
     return ContextModel(ranked, logs, rare, counts.reshape(CONTEXTS, CLASSES))
@@ -1029,20 +1051,13 @@ def _frequent(words: DataFrame, most: int) -> DataFrame:
 
 def _at_hand(model: WordModel, contexts: ContextModel, words: DataFrame, unknown: float) -> AtHand:
     """unknown: log10 of the probability of an unknown word by the restaurant of words."""
-    top = _frequent(words, max(AT_HAND, DISHES)).toPandas()
-    names = [bytes(w) for w in top["word"]]
-    keys, order = keys_of(names), []
-    ranks = ranks_of(contexts.ranked)
+    keys, c, lp = gathered(_frequent(words, max(AT_HAND, DISHES)), word="u8", c="f8", lp="f8")
+    order = np.argsort(keys)
+    keys = keys[order]
     # few may be at hand, but dishes always are
-    if len(names) > AT_HAND:
-        order = sorted(range(len(names)), key=lambda i: (-top["c"][i], names[i]))[:AT_HAND]
-        order = sorted({*order, *(i for i, w in enumerate(names) if w in ranks)})
-    else:
-        order = list(range(len(names)))
-    order = np.array(order, dtype=np.int64)
-    order = order[np.argsort(keys[order])]
-    dish = np.array([ranks.get(names[i], DISHES) for i in order], dtype=np.int64)
     ranked = keys_of(contexts.ranked)
+    dish = np.full(len(keys), DISHES)
+    dish[np.searchsorted(keys, ranked)] = np.arange(len(ranked))
     mass = np.zeros(CLASSES)
     for row in words.select("word", "lp").mapInPandas(_weigh_classes(ranked), "class int, p double").groupBy("class").agg(F.sum("p").alias("p")).collect():
         mass[row["class"]] = row["p"]
@@ -1052,7 +1067,7 @@ def _at_hand(model: WordModel, contexts: ContextModel, words: DataFrame, unknown
     classes = (contexts.counts + STRENGTH * shares / shares.sum()) / (size + STRENGTH)
     end = np.zeros(1)  # a key that no word has, so that there is one
     return AtHand(
-        np.append(keys[order], np.uint64(2**64 - 1)), np.append(np.log10(top["c"].to_numpy(np.float64) + 1)[order], end), np.append(top["lp"].to_numpy(np.float64)[order], end),
+        np.append(keys, np.uint64(2**64 - 1)), np.append(np.log10(c + 1)[order], end), np.append(lp[order], end),
         np.append(dish, DISHES), contexts, np.log10(shares), unknown - contexts.rare, math.log10(max(1e-300, 1 - share)), np.log10(np.maximum(classes, 1e-300)), model,
         max(1, math.ceil(model.total / PAIRS)),
     )
@@ -1088,9 +1103,8 @@ def score(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     train = rows.where(~held_out(F.col("doc_id")))
     model, words = fit(train)
-    contexts = fit_contexts(train, words)
     unknown = math.log10(model.backoff * max(1e-12, 1 - (words.agg(F.sum("spelled").alias("s")).first()["s"] or 0.0)))
-    hand = spark.sparkContext.broadcast(_at_hand(model, contexts, words, unknown))
+    hand = spark.sparkContext.broadcast(_at_hand(model, fit_contexts(train, words), words, unknown))
     texts = rows.withColumn("held", held_out(F.col("doc_id")))
     rare = texts.mapInPandas(_token_rows(hand, True), _ROWS).unionAll(words.select("word", "lp").mapInPandas(_word_rows(hand), _ROWS))
     rare = rare.groupBy("bucket").applyInPandas(_resolve(hand), _ROWS)

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -217,3 +218,47 @@ def test_pairs_of_rare_words_have_restaurants(spark, monkeypatch):
     assert rows[out[0]].score > rows[out[1]].score + 1 and rows[out[2]].score > rows[out[3]].score + 1
     assert rows[out[4]].n_known == 2 and rows[out[4]].spelled_score < rows[out[4]].score
     assert all(math.isfinite(r.score) for r in rows.values())
+
+
+def test_gathered_columns(spark):
+    df = spark.createDataFrame([(bytearray(b"b"), 1, 0.5), (bytearray(b""), 2, 0.25), (bytearray(b"a"), 3, 1.0)], "word binary, c long, lp double").repartition(2)
+    key, c, lp = lm.gathered(df, word="u8", c="f8", lp="f8")
+    keys = lm.keys_of([b"b", b"", b"a"]).tolist()
+    assert sorted(zip(key.tolist(), c.tolist(), lp.tolist(), strict=True)) == sorted(zip(keys, [1.0, 2.0, 3.0], [0.5, 0.25, 1.0], strict=True))
+    assert [len(x) for x in lm.gathered(df.where("c > 9"), word="u8", lp="f8")] == [0, 0]
+
+
+def test_words_at_hand_are_no_rows_on_the_driver(spark):
+    """Whole rows of 60,000 words are over 20 MB of objects; their keys and numbers are 1.4 MB."""
+    n = 60_000
+    words = spark.range(n, numPartitions=4).selectExpr("cast(concat('word', id) as binary) as word", f"{n} - id as c", "-5.0D as lp", "1e-9D as spelled")
+    ranked = [b"word%d" % i for i in range(100)]
+    contexts = lm.ContextModel(ranked, np.zeros(1, np.float32), -0.1, np.zeros((lm.CONTEXTS, lm.CLASSES)))
+    model = lm.WordModel(n * (n + 1) // 2, n, 0.5, float(n), None)
+    tracemalloc.start()
+    hand = lm._at_hand(model, contexts, words, -6.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+    at, dish = hand.find(lm.keys_of([*ranked, b"word100", b"word59999", b"none"]))
+    assert dish.tolist() == [*range(100), lm.DISHES, lm.DISHES, lm.DISHES] and at[-1] == -1 and (at[:-1] >= 0).all()
+    assert np.allclose(hand.counted[at[[0, 100, 101]]], np.log10([n + 1, n - 99, 2]))
+
+
+def test_jobs_do_not_grow_with_shuffle_partitions(spark):
+    train = spark.createDataFrame([("a b a c",), ("b c d",)], "text string")
+    _, words = lm.fit(train)
+    context, jobs = spark.sparkContext, []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        for partitions in (10, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            context.setJobGroup(f"contexts-{partitions}", "")
+            lm.fit_contexts(train, words)
+            jobs.append(len(context.statusTracker().getJobIdsForGroup(f"contexts-{partitions}")))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < jobs[0] == jobs[1]
