@@ -273,6 +273,18 @@ class Spelling:
         codes, lengths = spell(words)
         return np.add.reduceat(self.table[codes].astype(np.float64), np.cumsum(lengths) - lengths)
 
+    def log10_of_few(self, words: list[bytes]) -> np.ndarray:
+        """The same without a table of all codes, which takes 67 MB of a task."""
+        if not words:
+            return np.zeros(0)
+        codes, lengths = spell(words)
+        seen, probabilities, backoff, parent = self.parts
+        p = backoff.astype(np.float32)[codes >> 8] * parent.astype(np.float32).reshape(-1)[codes & 0xFFFF]
+        if len(seen):
+            at = np.minimum(np.searchsorted(seen, codes), len(seen) - 1)
+            p = np.where(seen[at] == codes, probabilities.astype(np.float32)[at], p)
+        return np.add.reduceat(np.log10(p).astype(np.float64), np.cumsum(lengths) - lengths)
+
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes (two bytes before, byte) of all words' bytes and ends in turn, and how many of each word."""
@@ -376,7 +388,7 @@ def tokens_of(text: str) -> list[bytes]:
 FACTOR = 0x9E3779B97F4A7C15
 #: The end of a document in a stream of bytes: no text has this byte.
 _MARK = b"\xff"
-_PIECE, _BLOCK = 1 << 20, 8 << 20
+_PIECE, _BLOCK = 1 << 18, 8 << 20
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -392,7 +404,8 @@ _DIGITS = np.where(_SPACE, np.uint64(0), mixed((np.arange(256).astype(np.uint64)
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of FACTOR modulo 2 ** 64, and their inverses."""
-    return np.cumprod(np.full(n, FACTOR, np.uint64)), np.cumprod(np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64))
+    power, inverse = np.full(n, FACTOR, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
+    return np.cumprod(power, out=power), np.cumprod(inverse, out=inverse)
 
 
 class Stream(NamedTuple):
@@ -406,7 +419,7 @@ class Stream(NamedTuple):
     data: np.ndarray
 
     def spelled(self, spelling: Spelling, which: np.ndarray) -> np.ndarray:
-        return spelling.log10([self.data[a:b].tobytes() for a, b in zip(self.start[which].tolist(), self.stop[which].tolist(), strict=True)])
+        return spelling.log10_of_few([self.data[a:b].tobytes() for a, b in zip(self.start[which].tolist(), self.stop[which].tolist(), strict=True)])
 
 
 def _stream(data: bytes, least: int = 0) -> Stream:

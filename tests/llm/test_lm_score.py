@@ -262,3 +262,15 @@ def test_jobs_do_not_grow_with_shuffle_partitions(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert 0 < jobs[0] == jobs[1]
+
+
+def test_few_words_are_spelled_without_the_table(spark):
+    words = [b"ab", b"b", b"abc", b"", b"ca"]
+    spelling = lm.fit_spelling(spark.createDataFrame([(bytearray(w), 2.0) for w in words], "word binary, t double"))
+    stream = lm.stream_of([b"ab unseen \xc3\xa9", b"ca b"])
+    which = np.flatnonzero(~stream.end)
+    found = stream.spelled(spelling, which)
+    assert spelling.table is None
+    assert np.allclose(found, spelling.log10([b"ab", b"unseen", b"\xc3\xa9", b"ca", b"b"]), rtol=1e-6)
+    none = lm.Spelling(np.zeros(0, np.int32), np.zeros(0), np.ones(65536), np.full((256, 256), 1 / 256))
+    assert np.allclose(none.log10_of_few([b"ab", b""]), none.log10([b"ab", b""]))
