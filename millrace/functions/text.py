@@ -137,13 +137,19 @@ def overlap_score(left: Column, right: Column) -> Column:
 OPEN, CLOSE = "<think>", "</think>"
 
 
+def marked_parts(text: Column) -> Column:
+    """struct(reasoning, answer) of a text that begins with the opening marker: what is before and after the first closing one, as it stands."""
+    inside = F.substring(F.substring_index(text, CLOSE, 1), F.lit(len(OPEN) + 1), F.lit((1 << 31) - 1))
+    after = F.substring(text, F.instr(text, CLOSE) + len(CLOSE), F.lit((1 << 31) - 1))
+    return F.struct(inside.alias("reasoning"), after.alias("answer"))
+
+
 def split_reasoning(text: Column) -> Column:
     """struct(reasoning, answer, error) of a completion whose reasoning is marked, or only closed."""
     bare = strip(text)
     opened, closed = F.instr(bare, OPEN), F.instr(bare, CLOSE)
     full = F.when((closed > 0) & (opened != 1), F.concat(F.lit(OPEN), bare)).otherwise(bare)
-    answer = strip(F.substring(full, F.instr(full, CLOSE) + len(CLOSE), F.lit(1 << 30)))
-    reasoning = strip(F.substring(full, F.lit(len(OPEN) + 1), F.instr(full, CLOSE) - 1 - len(OPEN)))
+    reasoning, answer = strip(marked_parts(full)["reasoning"]), strip(marked_parts(full)["answer"])
     error = (
         F.when((opened > 1) & (closed > 0), "opening marker is not leading")
         .when((opened > 1) & (closed == 0), "opening marker without a closing one")
