@@ -83,6 +83,8 @@ def equal_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 #: Of overlaps within one set of texts: bits of a shingle's name, the share of names that all texts are indexed by, one of how many
 #: texts is counted for frequent shingles, from which count there a shingle is one, and how many are known.
 NAME_BITS, EARLY, COUNTED, OFTEN, MOST_OFTEN = 48, 0.25, 16, 4, 500_000
+#: Ranges of names, one after another, in which the shingles of one text alone are counted; the first is that of EARLY.
+RANGES = 4
 #: Rare needs of texts that are broadcast; more of them are found by a shuffle.
 FEW_LATE = 4_000_000
 _LONGS = T.ArrayType(T.LongType())
@@ -126,26 +128,42 @@ def named_sets(df: DataFrame, name: str) -> DataFrame:
     return written(sets.select("key", names.alias("shingles")), name, **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
 
 
-def overlaps_within(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _alone(sets: DataFrame) -> DataFrame:
+    """(key, range, alone): how many shingles of each range of names a set has that no other set has; none, no row.
+
+    A range at a time, whose shuffle goes before the next one's comes.
+    """
+    width, parts = (1 << NAME_BITS) // RANGES, []
+    for k in range(RANGES):
+        inside = F.filter("shingles", lambda s: (s >= k * width) & (s < (k + 1) * width))  # noqa: B023
+        held = sets.select("key", F.explode(inside).alias("s")).groupBy("s").agg(F.min("key").alias("key"), F.max("key").alias("_last"))
+        part = held.where("key = _last").groupBy("key").agg(F.count("*").alias("alone"))
+        parts.append(written(part.select("key", F.lit(k).alias("range"), "alone"), "alone", tidy=True))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def overlaps_within(sets: DataFrame, threshold: float = THRESHOLD, last: bool = False) -> DataFrame:
     """(lid, rid, raw) of all pairs, in both orders, of different keys of named_sets() whose overlap coefficient is `threshold` or more.
 
     A set that is the smaller of a pair may miss so many of its shingles in the other and no more.  All sets are indexed by their
     rare shingles of the first quarter of names: a pair that shares fewer of these than the smaller has, less those that may be missing,
     is none.  A set that has too few of them to say so needs some others too, the least frequent ones, of which one must be shared;
     all sets are looked through for these few alone.  What is frequent is judged by a share of the texts, and decides only the order.
-    Candidates are then counted exactly.  Repeated rows of a key are one set.
+    Shingles that no other text has are counted too: a text with more of them than may be missing is never the smaller one, and what
+    is left to be missing bounds the count.  Candidates that remain are then counted exactly.  Repeated rows of a key are one set.
+    last: nothing reads sets after this, so that they are deleted when those of the candidates have been taken out.
     """
     spark = sets.sparkSession
     counted = sets.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"))
     often = counted.where(f"c >= {OFTEN}").orderBy(F.desc("c"), "s").limit(MOST_OFTEN).toPandas().sort_values("s")
     names, ranks = np.append(often["s"].to_numpy(np.int64), 1 << 62), np.append(often["c"].to_numpy(np.int64), 0)
     parts = sets.select("key", _parts(spark.sparkContext.broadcast((names, ranks)), threshold)("shingles").alias("p"))
-    parts = written(parts.select("key", "p.*"), "parts", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
+    parts = written(parts.select("key", "p.*"), "parts", tidy=True, **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
     one = lambda df: df.repartition("s").dropDuplicates(["s", "key"])
     halves = lambda df, *c: [df.select("s", *[F.col(x).alias(f"{x}_{y}") for x in c]) for y in "uv"]
     u, v = halves(one(parts.select("key", "n", "least", F.explode("early").alias("s"))), "key", "n", "least")
     shared = u.join(v, "s").where("key_u < key_v").groupBy("key_u", "key_v").agg(F.count("*").alias("c"), F.first(F.expr("if(n_u = n_v, least(least_u, least_v), if(n_u < n_v, least_u, least_v))")).alias("needed"))
-    early = shared.where("c >= greatest(1, needed)").select("key_u", "key_v")
+    early = written(shared.where("c >= greatest(1, needed)").select("key_u", "key_v", "c"), "early-pairs", tidy=True)
     late = parts.where("size(late) > 0").select(F.col("key").alias("key_u"), F.col("n").alias("n_u"), F.explode("late").alias("s")).distinct()
     wanted = late.select("s").distinct()
     if wanted.count() <= FEW_LATE:
@@ -154,18 +172,29 @@ def overlaps_within(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     else:
         having = sets.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(wanted, "s", "left_semi")
     met = late.join(having.distinct().select("s", F.col("key").alias("key_v"), F.col("n").alias("n_v")), "s").where("key_u <> key_v and n_u <= n_v")
-    pairs = early.unionAll(met.select(F.least("key_u", "key_v"), F.greatest("key_u", "key_v"))).distinct()
-    sizes = parts.select("key", "n").distinct()
-    pairs = pairs.join(sizes.toDF("key_u", "n_u"), "key_u").join(sizes.toDF("key_v", "n_v"), "key_v")
+    met = met.select(F.least("key_u", "key_v").alias("key_u"), F.greatest("key_u", "key_v").alias("key_v"), F.lit(0).cast("long").alias("c"))
+    pairs = early.unionAll(met).groupBy("key_u", "key_v").agg(F.max("c").alias("c"))
+    # what no other text has is missing from all of them
+    alone = _alone(sets).groupBy("key").agg(F.sum("alone").alias("alone"), F.sum(F.when(F.col("range") > 0, F.col("alone")).otherwise(0)).alias("beyond"))
+    spare = F.col("n") - F.ceil(F.round(F.lit(threshold) * F.col("n"), 6))
+    sizes = parts.select("key", "n", "least").distinct().join(alone, "key", "left").na.fill(0, ["alone", "beyond"])
+    sizes = written(sizes.select("key", "n", (F.col("alone") <= spare).alias("may"), (F.col("least") + F.col("beyond")).alias("bound")), "sizes", tidy=True)
+    pairs = pairs.join(sizes.toDF("key_u", "n_u", "may_u", "bound_u"), "key_u").join(sizes.toDF("key_v", "n_v", "may_v", "bound_v"), "key_v")
     # the smaller set moves to the larger one
     small = F.expr("n_u < n_v or n_u = n_v and key_u < key_v")
-    pairs = written(pairs.select(F.when(small, F.col("key_u")).otherwise(F.col("key_v")).alias("small"), F.when(small, F.col("key_v")).otherwise(F.col("key_u")).alias("large")), "overlap-pairs")
-    discard(parts)
-    each = lambda side: sets.join(pairs.select(F.col(side).alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
-    a, b = each("small").select(F.col("key").alias("small"), F.col("shingles").alias("a")), each("large").select(F.col("key").alias("large"), F.col("shingles").alias("b"))
+    pairs = pairs.where(F.when(small, F.expr("may_u and c >= bound_u")).otherwise(F.expr("may_v and c >= bound_v")))
+    pairs = written(pairs.select(F.when(small, F.col("key_u")).otherwise(F.col("key_v")).alias("small"), F.when(small, F.col("key_v")).otherwise(F.col("key_u")).alias("large")), "overlap-pairs", tidy=True)
+    discard(parts, early, sizes)
+    keys = written(pairs.select(F.explode(F.array("small", "large")).alias("key")).distinct(), "overlap-keys", tidy=True)
+    few = F.broadcast(keys) if keys.count() <= FEW else keys
+    named = written(sets.join(few, "key", "left_semi").dropDuplicates(["key"]), "overlap-sets", tidy=True, **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
+    discard(keys)
+    if last:
+        discard(sets)
+    a, b = named.select(F.col("key").alias("small"), F.col("shingles").alias("a")), named.select(F.col("key").alias("large"), F.col("shingles").alias("b"))
     scored = pairs.join(a, "small").join(b, "large").select("small", "large", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("raw")).where(F.col("raw") >= threshold)
-    scored = written(scored, "overlaps-within")
-    discard(pairs)
+    scored = written(scored, "overlaps-within", tidy=True)
+    discard(pairs, named)
     return scored.select(F.col("small").alias("lid"), F.col("large").alias("rid"), "raw").unionAll(scored.select("large", "small", "raw"))
 
 
@@ -346,7 +375,7 @@ def environment_findings(components: DataFrame, protected: DataFrame, threshold:
     out.append(rows(equal, checker, F.when(F.col("_very").isNotNull(), "exact-content").otherwise("normalized-content"), F.col("component_id"), one))
     # overlaps are found between texts, each once, and then told to the entries that have them
     sides = written(_sides(texts, "_class"), "sides")
-    near = overlaps_within(sets, threshold)
+    near = overlaps_within(sets, threshold, last=True)
     apart = near.join(sides.withColumnRenamed("_class", "rid"), "rid").select(F.col("lid").alias("_class"), "sides", F.bround("raw", 6).alias("score"))
     told = texts.join(apart, "_class").withColumn("other_id", _least_apart("sides")).where("other_id is not null")
     out.append(rows(told, checker, F.lit("text-overlap"), F.col("component_id"), score))

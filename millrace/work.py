@@ -31,10 +31,24 @@ def work_folder(spark: SparkSession, name: str) -> str:
 _tables: list[DataFrame] = []
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a table of the shared folder: computed once, whoever reads it, and not lost with an executor."""
-    path = work_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+#: Whether a query's shuffle files go when it ends; by default when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, tidy: bool = False, **options: str) -> DataFrame:
+    """df as a table of the shared folder: computed once, whoever reads it, and not lost with an executor.
+
+    tidy: the shuffle files that it took are deleted at once.
+    """
+    path, conf = work_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    if tidy:
+        conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if tidy:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     _tables.append(out)

@@ -250,3 +250,27 @@ def test_overlaps_within_against_brute_force(spark, monkeypatch):
         found = contamination.overlaps_within(frame_).collect()
         assert len(found) == len(want) > 40 and {(r.lid, r.rid): round(r.raw, 9) for r in found} == want
     assert contamination.overlaps_within(frame_.limit(0)).isEmpty()
+
+
+def test_texts_of_shingles_of_their_own_are_no_candidates(spark, monkeypatch):
+    """Texts that share a third of their shingles need not be counted, and what finding overlaps has written and shuffled goes at once."""
+    rng = random.Random(4)
+    shared = rng.sample(range(1 << 48), 60)
+    sets = [shared + rng.sample(range(1 << 48), 120) for _ in range(24)]
+    sets.append(sets[0][:170] + rng.sample(range(1 << 48), 4))
+    frame_ = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "key long, shingles array<long>")
+    counts, write = {}, contamination.written
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(contamination, "written", counted)
+    rows = write(frame_, "some-sets")
+    found = contamination.overlaps_within(rows, last=True)
+    assert sorted((r.lid, r.rid, round(r.raw, 6)) for r in found.collect()) == [(0, 24, round(170 / 174, 6)), (24, 0, round(170 / 174, 6))]
+    assert counts["overlap-pairs"] <= 47  # those of the two that overlap, of 300
+    assert spark.conf.get(work._CLEANUP) == "false"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rows._millrace_path)
+    assert not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
