@@ -183,7 +183,9 @@ def overlaps_within(sets: DataFrame, threshold: float = THRESHOLD, last: bool =
     # the smaller set moves to the larger one
     small = F.expr("n_u < n_v or n_u = n_v and key_u < key_v")
     pairs = pairs.where(F.when(small, F.expr("may_u and c >= bound_u")).otherwise(F.expr("may_v and c >= bound_v")))
-    pairs = written(pairs.select(F.when(small, F.col("key_u")).otherwise(F.col("key_v")).alias("small"), F.when(small, F.col("key_v")).otherwise(F.col("key_u")).alias("large")), "overlap-pairs", tidy=True)
+    pairs = written(pairs.select(F.when(small, F.col("key_u")).otherwise(F.col("key_v")).alias("small"), F.when(small, F.col("key_v")).otherwise(F.col("key_u")).alias("large"), F.least("n_u", "n_v").alias("n")), "overlap-pairs", tidy=True)
+    # all pairs are counted, in rounds that move half as many shingles as all sets have
+    rounds = math.ceil(2 * (pairs.agg(F.sum("n")).first()[0] or 0) / (sizes.agg(F.sum("n")).first()[0] or 1)) or 1
     discard(parts, early, sizes)
     keys = written(pairs.select(F.explode(F.array("small", "large")).alias("key")).distinct(), "overlap-keys", tidy=True)
     few = F.broadcast(keys) if keys.count() <= FEW else keys
@@ -192,8 +194,12 @@ def overlaps_within(sets: DataFrame, threshold: float = THRESHOLD, last: bool =
     if last:
         discard(sets)
     a, b = named.select(F.col("key").alias("small"), F.col("shingles").alias("a")), named.select(F.col("key").alias("large"), F.col("shingles").alias("b"))
-    scored = pairs.join(a, "small").join(b, "large").select("small", "large", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("raw")).where(F.col("raw") >= threshold)
-    scored = written(scored, "overlaps-within", tidy=True)
+    done = []
+    for k in range(rounds):
+        some = pairs.where(F.pmod(F.xxhash64("small", "large"), F.lit(rounds)) == k)
+        scored = some.join(a, "small").join(b, "large").select("small", "large", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("raw")).where(F.col("raw") >= threshold)
+        done.append(written(scored, "overlaps-within", tidy=True))
+    scored = reduce(DataFrame.unionAll, done)
     discard(pairs, named)
     return scored.select(F.col("small").alias("lid"), F.col("large").alias("rid"), "raw").unionAll(scored.select("large", "small", "raw"))
 
